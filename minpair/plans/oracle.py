@@ -99,3 +99,89 @@ ORACLE["a26_tie_ranking"] = _with(votes_cte(), vote_cte("vt", "votes", ITEM), _L
   CAST(least(label_a, label_b) AS VARCHAR) || '+' || CAST(greatest(label_a, label_b) AS VARCHAR) AS tie_pair,
   count(*) AS n
 FROM log_parsed WHERE kind = 'tie' GROUP BY 1"""
+
+
+# --- performance ----------------------------------------------------------------------------------
+
+from minpair.plans.sqlkit import class_table_ctes, confusion_sql, metrics_select, report_select  # noqa: E402
+
+
+def _pol(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} > 3 THEN 'positive' WHEN {x} < 3 THEN 'negative' ELSE 'neutral' END)"
+
+
+def _pint(x: str) -> str:
+    return f"(CASE WHEN {x} = 'negative' THEN 0 WHEN {x} = 'neutral' THEN 1 WHEN {x} = 'positive' THEN 2 END)"
+
+
+_GOLD = ("(CASE WHEN emotion = 'no_emotion' THEN 'neutral' WHEN emotion IN ('anger', 'sadness', 'fear') "
+         "THEN 'negative' WHEN emotion = 'joy' THEN 'positive' END)")
+
+_POLARITY = f"""pol0 AS (
+  SELECT lang, steps, bias_type, emotion, pair_id, bias_cat_1, bias_cat_2, label_1, label_2,
+    {_pol('label_1')} AS polarity_1, {_pol('label_2')} AS polarity_2, {_GOLD} AS gold_label FROM ens
+),
+pol AS (
+  SELECT *, {_pint('gold_label')} AS gold_label_int, {_pint('polarity_1')} AS polarity_1_int,
+    {_pint('polarity_2')} AS polarity_2_int, {_pint('polarity_1')} - {_pint('polarity_2')} AS polarity_gap FROM pol0
+),
+pol_long AS (
+  SELECT lang, bias_type, steps, gold_label, 1 AS side, bias_cat_1 AS bias_cat, polarity_1 AS pred FROM pol
+  UNION ALL
+  SELECT lang, bias_type, steps, gold_label, 2 AS side, bias_cat_2 AS bias_cat, polarity_2 AS pred FROM pol
+)"""
+
+_ENS = [votes_cte(), ensemble_cte(), _POLARITY]
+
+ORACLE["p08_polarity_labels"] = _with(*_ENS) + "SELECT * FROM pol"
+
+_SIDE_KEYS = ["lang", "bias_type", "steps", "side", "bias_cat"]
+ORACLE["a10_side_performance"] = _with(*_ENS, class_table_ctes("m", "pol_long", _SIDE_KEYS, "gold_label", "pred")) \
+    + metrics_select("m", _SIDE_KEYS)
+ORACLE["a10_side_performance_binary"] = _with(
+    *_ENS, "pol_bin AS (SELECT * FROM pol_long WHERE gold_label <> 'neutral')",
+    class_table_ctes("m", "pol_bin", _SIDE_KEYS, "gold_label", "pred")) + metrics_select("m", _SIDE_KEYS)
+
+_NEST = """nest AS (
+  SELECT 'group' AS level, bias_type, bias_cat, gold_label, pred FROM pol_long
+  UNION ALL SELECT 'bias_type', bias_type, '', gold_label, pred FROM pol_long
+  UNION ALL SELECT 'all', '', '', gold_label, pred FROM pol_long
+)"""
+ORACLE["a11_nested_performance"] = _with(*_ENS, _NEST, class_table_ctes(
+    "m", "nest", ["level", "bias_type", "bias_cat"], "gold_label", "pred")) + """SELECT level, bias_type, bias_cat,
+  round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
+  CAST(sum(support) AS BIGINT) AS support, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc
+FROM m_cls GROUP BY level, bias_type, bias_cat"""
+
+_LABELS = """lab AS (
+  SELECT d.lang, l.quality AS gold, l.toxic AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id
+)"""
+ORACLE["a09_label_metrics"] = _with(_LABELS, class_table_ctes("m", "lab", ["lang"], "gold", "pred")) \
+    + metrics_select("m", ["lang"])
+ORACLE["a12_classification_report"] = _with(_LABELS, class_table_ctes("m", "lab", ["lang"], "gold", "pred", [0, 1])) \
+    + report_select("m", ["lang"])
+ORACLE["a12_star_report"] = _with(votes_cte(), ensemble_cte(), class_table_ctes(
+    "m", "ens", ["lang"], "label_2", "label_1", [1, 2, 3, 4, 5])) + report_select("m", ["lang"])
+
+ORACLE["a13_confusion_matrix"] = _with(votes_cte(), ensemble_cte()) + "SELECT * FROM " + confusion_sql(
+    "ens", ["lang", "bias_type", "steps"], "label_1", "label_2", [1, 2, 3, 4, 5]) + " q"
+
+ORACLE["a15_confusion_zero_diagonal"] = _with(votes_cte(), ensemble_cte()) + (
+    "SELECT lang, bias_type, steps, row_label, col_label, CASE WHEN row_label = col_label THEN 0 ELSE n END AS n FROM "
+    + confusion_sql("ens", ["lang", "bias_type", "steps"], "label_1", "label_2", [1, 2, 3, 4, 5]) + " q")
+
+ORACLE["a14_confusion_difference"] = _with(*_ENS, """diff_src AS (
+  SELECT bias_type, steps, gold_label_int, polarity_1_int AS p, 1 AS w FROM pol
+  UNION ALL SELECT bias_type, steps, gold_label_int, polarity_2_int AS p, -1 AS w FROM pol
+)""") + "SELECT * FROM " + confusion_sql("diff_src", ["bias_type", "steps"], "gold_label_int", "p", [0, 1, 2], "w") + " q"
+
+_TWO = """two AS (
+  SELECT a.lang, a.steps, a.bias_type, a.emotion, a.side, a.pair_id, a.label AS label_a, b.label AS label_b
+  FROM votes a JOIN votes b ON a.lang = b.lang AND a.steps = b.steps AND a.bias_type = b.bias_type
+    AND a.emotion = b.emotion AND a.side = b.side AND a.pair_id = b.pair_id
+  WHERE a.seed = 0 AND b.seed = 63
+)"""
+ORACLE["a32_model_agreement"] = _with(votes_cte(), _TWO) + "SELECT * FROM " + confusion_sql(
+    "two", ["lang", "steps"], "label_a", "label_b", [1, 2, 3, 4, 5]) + " q"
+ORACLE["a32_model_agreement_report"] = _with(votes_cte(), _TWO, class_table_ctes(
+    "m", "two", ["lang", "steps"], "label_a", "label_b", [1, 2, 3, 4, 5])) + report_select("m", ["lang", "steps"])

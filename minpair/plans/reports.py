@@ -147,3 +147,103 @@ def missing_groups(spark, sf_dir):
     the inner catalogue join leaves it out)."""
     v = views.votes(spark, sf_dir)
     return bias.missing_groups(v, dims.bias_sides(spark), ["lang", "steps"])
+
+
+# --- performance ------------------------------------------------------------------------------------
+
+from minpair.operators import perf  # noqa: E402
+from minpair.sources.tables import table  # noqa: E402
+
+POLARITY_COLS = ["lang", "steps", "bias_type", "emotion", "pair_id", "bias_cat_1", "bias_cat_2", "label_1",
+                 "label_2", "polarity_1", "polarity_2", "gold_label", "gold_label_int", "polarity_1_int",
+                 "polarity_2_int", "polarity_gap"]
+
+
+def _polarity(spark, sf_dir):
+    return perf.polarity_frame(_ensemble(spark, sf_dir))
+
+
+@report("p08_polarity_labels")
+def polarity_labels(spark, sf_dir):
+    return _polarity(spark, sf_dir).select(*POLARITY_COLS)
+
+
+@report("a10_side_performance")
+def side_performance(spark, sf_dir):
+    return rounded(perf.side_performance(_polarity(spark, sf_dir), ["lang", "bias_type", "steps"]))
+
+
+@report("a10_side_performance_binary")
+def side_performance_binary(spark, sf_dir):
+    return rounded(perf.side_performance(_polarity(spark, sf_dir), ["lang", "bias_type", "steps"], binary=True))
+
+
+@report("a11_nested_performance")
+def nested_performance(spark, sf_dir):
+    pf = _polarity(spark, sf_dir)
+    long = perf.sides_long(pf, ["lang", "bias_type", "steps"], "polarity_1", "polarity_2", extra=["gold_label"])
+    return rounded(perf.nested_performance(long, "gold_label", "pred", "bias_type", "bias_cat"))
+
+
+def _labels_by_lang(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("gold"), F.col("toxic").alias("pred"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return lab.join(docs, "doc_id")
+
+
+@report("a09_label_metrics")
+def label_metrics(spark, sf_dir):
+    return rounded(perf.classification_metrics(_labels_by_lang(spark, sf_dir), ["lang"], "gold", "pred"))
+
+
+@report("a12_classification_report")
+def classification_report(spark, sf_dir):
+    return rounded(perf.classification_report(_labels_by_lang(spark, sf_dir), ["lang"], "gold", "pred", labels=[0, 1]))
+
+
+@report("a12_star_report")
+def star_report(spark, sf_dir):
+    """Report of side-1 ensemble stars against side-2 stars with the fixed class list 1..5."""
+    pairs = _ensemble(spark, sf_dir)
+    return rounded(perf.classification_report(pairs, ["lang"], "label_2", "label_1", labels=[1, 2, 3, 4, 5]))
+
+
+@report("a13_confusion_matrix")
+def confusion_matrix(spark, sf_dir):
+    pairs = _ensemble(spark, sf_dir)
+    return perf.confusion_matrix(pairs, ["lang", "bias_type", "steps"], "label_1", "label_2", [1, 2, 3, 4, 5])
+
+
+@report("a14_confusion_difference")
+def confusion_difference(spark, sf_dir):
+    pf = _polarity(spark, sf_dir)
+    return perf.confusion_difference(pf, pf.select(*[c for c in pf.columns if c != "polarity_1_int"],
+                                                   F.col("polarity_2_int").alias("polarity_1_int")),
+                                     ["bias_type", "steps"], "gold_label_int", "polarity_1_int", [0, 1, 2])
+
+
+@report("a15_confusion_zero_diagonal")
+def confusion_zero_diagonal(spark, sf_dir):
+    pairs = _ensemble(spark, sf_dir)
+    cm = perf.confusion_matrix(pairs, ["lang", "bias_type", "steps"], "label_1", "label_2", [1, 2, 3, 4, 5])
+    return perf.zero_diagonal(cm)
+
+
+def _two_models(spark, sf_dir):
+    v = views.votes(spark, sf_dir)
+    keys = ["lang", "steps", "bias_type", "emotion", "side", "pair_id"]
+    a = v.where(F.col("seed") == 0)
+    b = v.where(F.col("seed") == 63)
+    return perf.align_results(a, b, keys)
+
+
+@report("a32_model_agreement")
+def model_agreement(spark, sf_dir):
+    """Agreement matrix of two runs (seed 0 rows, seed 63 columns) aligned by item (J10 + A13)."""
+    return perf.confusion_matrix(_two_models(spark, sf_dir), ["lang", "steps"], "label_a", "label_b", [1, 2, 3, 4, 5])
+
+
+@report("a32_model_agreement_report")
+def model_agreement_report(spark, sf_dir):
+    return rounded(perf.classification_report(_two_models(spark, sf_dir), ["lang", "steps"], "label_a", "label_b",
+                                              labels=[1, 2, 3, 4, 5]))

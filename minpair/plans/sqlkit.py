@@ -172,3 +172,92 @@ def bias_stats_select(source: str, keys: list[str], where: str = "") -> str:
   {r6('m1')} AS bias_cat_1_mean, {r6('m2')} AS bias_cat_2_mean, {r6('m1 - m2')} AS performance_gap,
   {r6('t')} AS t_statistic, {r6(t_p_sql('t', 'n_pairs - 1'))} AS statistical_significance
 FROM (SELECT *, {t} AS t FROM ({inner}) q0) q1"""
+
+
+# --- classification metrics ------------------------------------------------------------------------
+
+def _kc(keys: list[str]) -> str:
+    return "".join(k + ", " for k in keys)
+
+
+def _gb(keys: list[str], *more: str) -> str:
+    cols = list(keys) + list(more)
+    return ("GROUP BY " + ", ".join(cols)) if cols else ""
+
+
+def class_table_ctes(prefix: str, source: str, keys: list[str], gold: str, pred: str,
+                     labels: list | None = None) -> str:
+    """CTEs ``{prefix}_cls(keys, cls, tp, support, pred_n, precision, recall, f1)``."""
+    kc = _kc(keys)
+    lab_filter = ""
+    grid = ""
+    if labels is not None:
+        lab_list = ", ".join(repr(v) if not isinstance(v, str) else f"'{v}'" for v in labels)
+        lab_filter = f"WHERE cls IN ({lab_list})"
+        join_on = " AND ".join([f"g.{k} = s.{k}" for k in keys] + ["g.cls = s.cls"])
+        grid = f""",
+{prefix}_slices AS (SELECT DISTINCT {kc}1 AS one FROM {prefix}_cc),
+{prefix}_grid AS (SELECT {kc}u.cls FROM {prefix}_slices CROSS JOIN (SELECT unnest([{lab_list}]) AS cls) u),
+{prefix}_cls0 AS (
+  SELECT {''.join('g.' + k + ', ' for k in keys)}g.cls, coalesce(s.tp, 0) AS tp, coalesce(s.support, 0) AS support,
+         coalesce(s.pred_n, 0) AS pred_n
+  FROM {prefix}_grid g LEFT JOIN {prefix}_raw s ON {join_on}
+)"""
+    raw_name = f"{prefix}_raw" if labels is not None else f"{prefix}_cls0"
+    return f"""{prefix}_cc AS (
+  SELECT {kc}{gold} AS gold, {pred} AS pred, count(*) AS n FROM {source}
+  WHERE {gold} IS NOT NULL AND {pred} IS NOT NULL {_gb(keys, gold, pred)}
+),
+{prefix}_contrib AS (
+  SELECT {kc}gold AS cls, n AS gold_n, 0 AS pred_n, CASE WHEN gold = pred THEN n ELSE 0 END AS tp FROM {prefix}_cc
+  UNION ALL
+  SELECT {kc}pred AS cls, 0 AS gold_n, n AS pred_n, 0 AS tp FROM {prefix}_cc
+),
+{raw_name} AS (
+  SELECT {kc}cls, sum(tp) AS tp, sum(gold_n) AS support, sum(pred_n) AS pred_n FROM {prefix}_contrib {lab_filter}
+  {_gb(keys, 'cls')}
+){grid},
+{prefix}_cls AS (
+  SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(pred_n, 0), 0.0) AS precision,
+            coalesce(CAST(tp AS DOUBLE) / nullif(support, 0), 0.0) AS recall,
+            coalesce(2.0 * tp / nullif(support + pred_n, 0), 0.0) AS f1
+  FROM {prefix}_cls0
+)"""
+
+
+def metrics_select(prefix: str, keys: list[str]) -> str:
+    kc = _kc(keys)
+    return f"""SELECT {kc}round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+  round(avg(f1), 6) AS f1, CAST(sum(support) AS BIGINT) AS support,
+  round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc, count(*) AS n_classes
+FROM {prefix}_cls {_gb(keys)}"""
+
+
+def report_select(prefix: str, keys: list[str]) -> str:
+    kc = _kc(keys)
+    return f"""SELECT {kc}CAST(cls AS VARCHAR) AS row, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM {prefix}_cls
+UNION ALL
+SELECT {kc}'accuracy' AS row, NULL AS precision, NULL AS recall, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6),
+  CAST(sum(support) AS BIGINT) FROM {prefix}_cls {_gb(keys)}
+UNION ALL
+SELECT {kc}'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT)
+FROM {prefix}_cls {_gb(keys)}
+UNION ALL
+SELECT {kc}'weighted avg', round(sum(precision * support) / sum(support), 6), round(sum(recall * support) / sum(support), 6),
+  round(sum(f1 * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM {prefix}_cls {_gb(keys)}"""
+
+
+def confusion_sql(source: str, keys: list[str], row: str, col: str, labels: list, weight: str = "1") -> str:
+    kc = _kc(keys)
+    lab = ", ".join(repr(v) for v in labels)
+    on = " AND ".join([f"g.{k} IS NOT DISTINCT FROM c.{k}" for k in keys]
+                      + ["g.row_label = c.row_label", "g.col_label = c.col_label"])
+    return f"""(WITH cm_src AS (SELECT * FROM {source} WHERE {row} IN ({lab}) AND {col} IN ({lab})),
+cm_cnt AS (SELECT {kc}{row} AS row_label, {col} AS col_label, CAST(sum({weight}) AS BIGINT) AS n FROM cm_src
+           {_gb(keys, row, col)}),
+cm_grid AS (SELECT {kc}r.row_label, c2.col_label FROM (SELECT DISTINCT {kc}1 AS one FROM cm_src) s
+            CROSS JOIN (SELECT unnest([{lab}]) AS row_label) r CROSS JOIN (SELECT unnest([{lab}]) AS col_label) c2)
+SELECT {''.join('g.' + k + ', ' for k in keys)}CAST(g.row_label AS INTEGER) AS row_label,
+       CAST(g.col_label AS INTEGER) AS col_label, coalesce(c.n, 0) AS n
+FROM cm_grid g LEFT JOIN cm_cnt c ON {on})"""
