@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TINY = 1e-300
@@ -59,7 +59,7 @@ def _beta_cf(a: Column, b: Column, x: Column, max_terms: Column) -> Column:
 
 
 def regularized_incomplete_beta(x: Column, a: Column, b: Column) -> Column:
-    """I_x(a, b) for 0 <= x <= 1, a, b > 0."""
+    """I_x(a, b) for 0 <= x <= 1, a, b > 0 (pass column references: arguments are reused)."""
     # Terms needed grow like sqrt(max(a, b)) near the switch point; rows are few, so be generous.
     max_terms = F.least(F.lit(200000), F.greatest(F.lit(300), (F.ceil(F.sqrt(F.greatest(a, b))) * 8)))
     ln_front = (lgamma(a + b) - lgamma(a) - lgamma(b)
@@ -74,7 +74,11 @@ def regularized_incomplete_beta(x: Column, a: Column, b: Column) -> Column:
 
 
 def t_two_sided_p(t: Column, dof: Column) -> Column:
-    """Two-sided p of Student's t with ``dof`` degrees of freedom; NULL when t is NULL/NaN."""
+    """Two-sided p of Student's t with ``dof`` degrees of freedom; NULL when t is NULL/NaN.
+
+    Prefer :func:`with_t_p_value` on DataFrames: it stages the inputs as columns first, so the
+    optimizer does not inline a long ``t`` expression into every use.
+    """
     v = dof.cast("double")
     x = v / (v + t * t)
     p = regularized_incomplete_beta(x, v / 2.0, F.lit(0.5))
@@ -83,6 +87,19 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
             .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
 
 
+def with_t_p_value(df: DataFrame, t: str, dof: Column, out: str = "statistical_significance") -> DataFrame:
+    """Add the two-sided p of column ``t`` as ``out``; inputs are staged in their own projection."""
+    staged = df.withColumns({"__t": F.col(t), "__v": dof.cast("double")})
+    staged = staged.withColumns({"__x": F.col("__v") / (F.col("__v") + F.col("__t") * F.col("__t")),
+                                 "__a": F.col("__v") / 2.0})
+    ib = regularized_incomplete_beta(F.col("__x"), F.col("__a"), F.lit(0.5))
+    t_c, v_c = F.col("__t"), F.col("__v")
+    p = (F.when(t_c.isNull() | F.isnan(t_c) | (v_c <= 0), F.lit(None).cast("double"))
+         .when(F.abs(t_c) == float("inf"), F.lit(0.0))
+         .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ib))))
+    return staged.withColumn(out, p).drop("__t", "__v", "__x", "__a")
+
+
 def paired_t(n: Column, mean: Column, sd: Column) -> Column:
     """t of a paired test from count, mean and sample sd of the differences.
 

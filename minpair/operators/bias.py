@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from minpair.functions.stats import paired_t, t_two_sided_p
+from minpair.functions.stats import paired_t, with_t_p_value
 
 
 def paired_ttest(df: DataFrame, keys: list[str], x: str = "label_1", y: str = "label_2") -> DataFrame:
@@ -26,12 +26,7 @@ def paired_ttest(df: DataFrame, keys: list[str], x: str = "label_1", y: str = "l
     )
     t = paired_t(F.col("n_pairs"), F.col("mean_diff"), F.col("sd_diff"))
     g = g.withColumn("t_statistic", t)
-    return g.withColumn("statistical_significance", _p(F.col("t_statistic"), F.col("n_pairs"), F.col("mean_diff")))
-
-
-def _p(t, n, mean):
-    # sd = 0 with a non-zero mean gives an infinite t and p = 0; mean = 0 too gives NULL.
-    return F.when(F.abs(t) == float("inf"), F.lit(0.0)).otherwise(t_two_sided_p(t, n - 1))
+    return with_t_p_value(g, "t_statistic", F.col("n_pairs") - 1)
 
 
 def bias_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -59,9 +54,7 @@ def bias_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
         (F.col("bias_cat_1_mean") - F.col("bias_cat_2_mean")).alias("performance_gap"),
         t.alias("t_statistic"), F.col("mean_diff"),
     )
-    out = out.withColumn("statistical_significance",
-                         _p(F.col("t_statistic"), F.col("n_pairs"), F.col("mean_diff")))
-    return out.drop("mean_diff")
+    return with_t_p_value(out.drop("mean_diff"), "t_statistic", F.col("n_pairs") - 1)
 
 
 def bias_stats_sets(pairs: DataFrame, base_keys: list[str], extra: str = "emotion") -> DataFrame:
@@ -84,8 +77,7 @@ def bias_stats_sets(pairs: DataFrame, base_keys: list[str], extra: str = "emotio
                    F.col("bias_cat_2").alias("bias_cat_2_name"), "n_pairs", "bias_cat_1_mean",
                    "bias_cat_2_mean", (F.col("bias_cat_1_mean") - F.col("bias_cat_2_mean")).alias("performance_gap"),
                    t.alias("t_statistic"), "mean_diff")
-    return out.withColumn("statistical_significance",
-                          _p(F.col("t_statistic"), F.col("n_pairs"), F.col("mean_diff"))).drop("mean_diff")
+    return with_t_p_value(out.drop("mean_diff"), "t_statistic", F.col("n_pairs") - 1)
 
 
 def missing_groups(observed: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:

@@ -80,11 +80,9 @@ def classification_metrics(df: DataFrame, keys: list[str], gold: str, pred: str,
     """Macro precision / recall / F1, accuracy and n per slice (0/0 counts as 0)."""
     counts = confusion_counts(df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()), keys, gold, pred)
     classes = class_table(counts, keys, labels)
-    macro = classes.groupBy(*keys).agg(
+    out = classes.groupBy(*keys).agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-        F.sum("tp").alias("correct"), F.count(F.lit(1)).alias("n_classes"))
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("support"))
-    out = macro.join(totals, keys)
+        F.sum("tp").alias("correct"), F.count(F.lit(1)).alias("n_classes"), F.sum("support").alias("support"))
     return out.select(*keys, "precision", "recall", "f1", "support",
                       F.try_divide(F.col("correct").cast("double"), F.col("support")).alias("acc"),
                       "n_classes")

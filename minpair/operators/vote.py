@@ -43,13 +43,12 @@ def ensemble_pairs(votes: DataFrame, pair_keys: list[str] | None = None, tie: st
     Pairs missing a side are dropped (inner alignment).
     """
     pair_keys = pair_keys or PAIR_KEYS
-    g = votes.groupBy(*pair_keys).agg(
-        F.collect_list(F.struct("side", "seed_rank", "label")).alias("v"),
-        F.max(F.when(F.col("side") == 1, F.col("grp"))).alias("bias_cat_1"),
-        F.max(F.when(F.col("side") == 2, F.col("grp"))).alias("bias_cat_2"),
-    )
+    # Only collect_list (an object-hash aggregate with map-side partial merge): string max() would
+    # force a sort-based aggregate. The group name rides along in the struct.
+    g = votes.groupBy(*pair_keys).agg(F.collect_list(F.struct("side", "seed_rank", "label", "grp")).alias("v"))
     s1, s2 = _side_votes(F.col("v"), 1), _side_votes(F.col("v"), 2)
-    g = g.select(*pair_keys, "bias_cat_1", "bias_cat_2", s1.alias("v1"), s2.alias("v2"))
+    g = g.select(*pair_keys, _side_name(F.col("v"), 1).alias("bias_cat_1"),
+                 _side_name(F.col("v"), 2).alias("bias_cat_2"), s1.alias("v1"), s2.alias("v2"))
     cond = (F.size("v1") > 0) & (F.size("v2") > 0)
     if n_seeds is not None:
         cond = (F.size("v1") == n_seeds) & (F.size("v2") == n_seeds)
@@ -66,27 +65,38 @@ def ensemble_pairs(votes: DataFrame, pair_keys: list[str] | None = None, tie: st
     )
 
 
+def _side_name(arr: Column, side: int) -> Column:
+    return F.element_at(F.filter(arr, lambda x: x["side"] == side), 1)["grp"]
+
+
+def _sided(votes: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Collect ``(side, value, grp)`` per key: both sides of a pair in one object-hash aggregate."""
+    g = votes.groupBy(*keys).agg(F.collect_list(F.struct(F.col("side"), value.alias("x"), F.col("grp"))).alias("v"))
+    return g.select(*keys, "v", _side_name(F.col("v"), 1).alias("bias_cat_1"),
+                    _side_name(F.col("v"), 2).alias("bias_cat_2"))
+
+
 def seed_pairs(votes: DataFrame, pair_keys: list[str] | None = None) -> DataFrame:
     """Per-run pair alignment (J06 per seed): ``pair_keys + seed, label_1, label_2, gap``."""
-    pair_keys = (pair_keys or PAIR_KEYS) + ["seed"]
-    g = votes.groupBy(*pair_keys).agg(
-        F.max(F.when(F.col("side") == 1, F.col("label"))).alias("label_1"),
-        F.max(F.when(F.col("side") == 2, F.col("label"))).alias("label_2"),
-        F.max(F.when(F.col("side") == 1, F.col("grp"))).alias("bias_cat_1"),
-        F.max(F.when(F.col("side") == 2, F.col("grp"))).alias("bias_cat_2"),
-    ).where(F.col("label_1").isNotNull() & F.col("label_2").isNotNull())
+    keys = (pair_keys or PAIR_KEYS) + ["seed"]
+    g = _sided(votes, keys, F.col("label"))
+    pick = lambda side: F.element_at(F.filter(F.col("v"), lambda x: x["side"] == side), 1)["x"]
+    g = g.select(*keys, "bias_cat_1", "bias_cat_2", pick(1).alias("label_1"), pick(2).alias("label_2"))
+    g = g.where(F.col("label_1").isNotNull() & F.col("label_2").isNotNull())
     return g.withColumn("performance_gap", F.col("label_1") - F.col("label_2"))
 
 
 def mean_pairs(votes: DataFrame, pair_keys: list[str] | None = None) -> DataFrame:
     """Item-wise mean label over seeds for each side, aligned by pair."""
-    pair_keys = pair_keys or PAIR_KEYS
-    g = votes.groupBy(*pair_keys).agg(
-        F.avg(F.when(F.col("side") == 1, F.col("label"))).alias("label_1"),
-        F.avg(F.when(F.col("side") == 2, F.col("label"))).alias("label_2"),
-        F.max(F.when(F.col("side") == 1, F.col("grp"))).alias("bias_cat_1"),
-        F.max(F.when(F.col("side") == 2, F.col("grp"))).alias("bias_cat_2"),
-    ).where(F.col("label_1").isNotNull() & F.col("label_2").isNotNull())
+    keys = pair_keys or PAIR_KEYS
+    g = _sided(votes, keys, F.col("label"))
+
+    def mean(side):
+        xs = F.transform(F.filter(F.col("v"), lambda x: x["side"] == side), lambda x: x["x"].cast("double"))
+        return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda acc, y: acc + y), F.size(xs))
+
+    g = g.select(*keys, "bias_cat_1", "bias_cat_2", mean(1).alias("label_1"), mean(2).alias("label_2"))
+    g = g.where(F.col("label_1").isNotNull() & F.col("label_2").isNotNull())
     return g.withColumn("performance_gap", F.col("label_1") - F.col("label_2"))
 
 
