@@ -185,3 +185,82 @@ ORACLE["a32_model_agreement"] = _with(votes_cte(), _TWO) + "SELECT * FROM " + co
     "two", ["lang", "steps"], "label_a", "label_b", [1, 2, 3, 4, 5]) + " q"
 ORACLE["a32_model_agreement_report"] = _with(votes_cte(), _TWO, class_table_ctes(
     "m", "two", ["lang", "steps"], "label_a", "label_b", [1, 2, 3, 4, 5])) + report_select("m", ["lang", "steps"])
+
+
+# --- distributions --------------------------------------------------------------------------------
+
+_STACK = """stacked AS (
+  SELECT lang, bias_type, steps, pair_id, 'label_1' AS source, label_1 AS label FROM ens
+  UNION ALL SELECT lang, bias_type, steps, pair_id, 'label_2' AS source, label_2 AS label FROM ens
+)"""
+_ENS2 = [votes_cte(), ensemble_cte()]
+ORACLE["u06_stack_labels"] = _with(*_ENS2, _STACK) + "SELECT * FROM stacked"
+ORACLE["a16_label_distribution"] = _with(*_ENS2, _STACK) + """SELECT lang, bias_type, steps, source, label,
+  count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang, bias_type, steps, source), 6) AS share
+FROM stacked GROUP BY lang, bias_type, steps, source, label"""
+
+
+def _wasserstein_sql(source: str, keys: list[str], sample: str, value: str, a: str, b: str) -> str:
+    k = ", ".join(keys)
+    return f"""SELECT {k}, round(coalesce(sum(abs(fa - fb) * (nxt - {value})), 0.0), 6) AS wasserstein FROM (
+  SELECT {k}, {value},
+    sum(na) OVER (PARTITION BY {k} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      / sum(na) OVER (PARTITION BY {k}) AS fa,
+    sum(nb) OVER (PARTITION BY {k} ORDER BY {value} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+      / sum(nb) OVER (PARTITION BY {k}) AS fb,
+    lead({value}) OVER (PARTITION BY {k} ORDER BY {value}) AS nxt
+  FROM (SELECT {k}, {value}, sum(CASE WHEN {sample} = {a} THEN 1 ELSE 0 END) AS na,
+               sum(CASE WHEN {sample} = {b} THEN 1 ELSE 0 END) AS nb
+        FROM {source} GROUP BY {k}, {value}) c
+) w GROUP BY {k}"""
+
+
+ORACLE["a17_wasserstein"] = _with(*_ENS2, _STACK) + _wasserstein_sql(
+    "stacked", ["lang", "bias_type", "steps"], "source", "label", "'label_1'", "'label_2'")
+ORACLE["a17_wasserstein_seeds"] = _with(votes_cte()) + _wasserstein_sql(
+    "(SELECT * FROM votes WHERE seed IN (0, 63))", ["lang", "steps"], "seed", "label", "0", "63")
+
+ORACLE["a19_five_numbers"] = _with(*_ENS2, """q AS (
+  SELECT bias_type, steps, count(performance_gap) AS n, CAST(min(performance_gap) AS DOUBLE) AS min,
+    CAST(max(performance_gap) AS DOUBLE) AS max,
+    quantile_cont(CAST(performance_gap AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(performance_gap AS DOUBLE), 0.5) AS median,
+    quantile_cont(CAST(performance_gap AS DOUBLE), 0.75) AS q3
+  FROM ens GROUP BY bias_type, steps
+)""") + """SELECT q.bias_type, q.steps, q.n, round(q.min, 6) AS min, round(q.max, 6) AS max, round(q1, 6) AS q1,
+  round(median, 6) AS median, round(q3, 6) AS q3,
+  round(CAST(min(CASE WHEN e.performance_gap >= q1 - 1.5 * (q3 - q1) THEN e.performance_gap END) AS DOUBLE), 6) AS whisker_low,
+  round(CAST(max(CASE WHEN e.performance_gap <= q3 + 1.5 * (q3 - q1) THEN e.performance_gap END) AS DOUBLE), 6) AS whisker_high
+FROM q JOIN ens e ON e.bias_type = q.bias_type AND e.steps = q.steps
+GROUP BY q.bias_type, q.steps, q.n, q.min, q.max, q1, median, q3"""
+
+ORACLE["a21_point_counts"] = _with(votes_cte(), _SEED_PAIRS) + """SELECT seed, bias_type,
+  label_1 - label_2 AS performance_gap, count(*) AS n FROM seed_pairs
+WHERE label_1 IS NOT NULL AND label_2 IS NOT NULL GROUP BY seed, bias_type, label_1 - label_2"""
+
+ORACLE["a22_min_max"] = _with(votes_cte(), _SEED_PAIRS, """per_run AS (
+  SELECT lang, seed, bias_type, steps, avg(CAST(label_1 AS DOUBLE)) - avg(CAST(label_2 AS DOUBLE)) AS performance_gap
+  FROM seed_pairs GROUP BY lang, seed, bias_type, steps
+)""") + """SELECT bias_type, round(min(performance_gap), 6) AS min_value, round(max(performance_gap), 6) AS max_value
+FROM per_run GROUP BY bias_type"""
+
+ORACLE["a18_normal_ci"] = _with(*_ENS2) + """SELECT lang, bias_type, steps, n, round(mean, 6) AS mean, round(sd, 6) AS sd,
+  round(mean - 1.96 * sd / sqrt(n), 6) AS ci_low, round(mean + 1.96 * sd / sqrt(n), 6) AS ci_high
+FROM (SELECT lang, bias_type, steps, count(performance_gap) AS n, avg(CAST(performance_gap AS DOUBLE)) AS mean,
+             stddev_samp(CAST(performance_gap AS DOUBLE)) AS sd FROM ens GROUP BY lang, bias_type, steps) g"""
+
+ORACLE["a20_kde_density"] = _with(*_ENS2, """cells AS (
+  SELECT bias_type, steps, CAST(performance_gap AS DOUBLE) AS v, count(*) AS c FROM ens
+  WHERE performance_gap IS NOT NULL GROUP BY bias_type, steps, performance_gap
+), st AS (
+  SELECT bias_type, steps, sum(c) AS n, sum(c * v) / sum(c) AS mean, min(v) AS vmin, max(v) AS vmax,
+         sum(c * v * v) AS s2 FROM cells GROUP BY bias_type, steps
+), st2 AS (
+  SELECT *, sqrt(greatest((s2 - n * mean * mean) / (n - 1), 0.0)) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st
+), grid AS (
+  SELECT bias_type, steps, n, bw, CAST(gi AS INTEGER) AS gi,
+         (vmin - 3.0 * bw) + gi * ((vmax - vmin + 6.0 * bw) / 63) AS x
+  FROM st2, (SELECT unnest(range(0, 64)) AS gi) r WHERE bw > 0
+)""") + """SELECT g.bias_type, g.steps, g.gi, round(g.x, 6) AS x,
+  round(sum(c.c * exp(-0.5 * ((g.x - c.v) / g.bw) * ((g.x - c.v) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())), 6) AS density
+FROM grid g JOIN cells c ON g.bias_type = c.bias_type AND g.steps = c.steps
+GROUP BY g.bias_type, g.steps, g.gi, g.x, g.n, g.bw"""

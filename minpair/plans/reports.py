@@ -247,3 +247,73 @@ def model_agreement(spark, sf_dir):
 def model_agreement_report(spark, sf_dir):
     return rounded(perf.classification_report(_two_models(spark, sf_dir), ["lang", "steps"], "label_a", "label_b",
                                               labels=[1, 2, 3, 4, 5]))
+
+
+# --- distributions ----------------------------------------------------------------------------------
+
+from minpair.operators import dist  # noqa: E402
+
+
+def _stacked(spark, sf_dir):
+    return dist.stack_columns(_ensemble(spark, sf_dir), ["lang", "bias_type", "steps", "pair_id"],
+                              ["label_1", "label_2"], name="label", tag="source")
+
+
+@report("u06_stack_labels")
+def stack_labels(spark, sf_dir):
+    return _stacked(spark, sf_dir)
+
+
+@report("a16_label_distribution")
+def label_distribution(spark, sf_dir):
+    return rounded(dist.label_distribution(_stacked(spark, sf_dir), ["lang", "bias_type", "steps", "source"], "label"))
+
+
+@report("a17_wasserstein")
+def wasserstein(spark, sf_dir):
+    """Distance between the label distributions of the two sides, per language, bias type, step."""
+    return rounded(dist.wasserstein(_stacked(spark, sf_dir), ["lang", "bias_type", "steps"], "source", "label",
+                                    "label_1", "label_2"))
+
+
+@report("a17_wasserstein_seeds")
+def wasserstein_seeds(spark, sf_dir):
+    """Distance between the label distributions of two runs (seed 0 vs seed 63) per language."""
+    v = views.votes(spark, sf_dir).where(F.col("seed").isin(0, 63))
+    return rounded(dist.wasserstein(v, ["lang", "steps"], "seed", "label", 0, 63))
+
+
+@report("a19_five_numbers")
+def five_numbers(spark, sf_dir):
+    return rounded(dist.five_numbers(_ensemble(spark, sf_dir), ["bias_type", "steps"], "performance_gap"))
+
+
+@report("a21_point_counts")
+def point_counts(spark, sf_dir):
+    """Identical (run, gap) points: bubble sizes of the per-seed gap scatter."""
+    return dist.point_counts(vote.seed_pairs(views.votes(spark, sf_dir)), ["seed", "bias_type"], "performance_gap")
+
+
+@report("a22_min_max")
+def min_max(spark, sf_dir):
+    """Range of the per-run summary gaps per bias type (over all seeds, steps, languages)."""
+    pairs = vote.seed_pairs(views.votes(spark, sf_dir))
+    per_run = bias.bias_stats(pairs, ["lang", "seed", "bias_type", "steps"])
+    return rounded(dist.min_max(per_run, ["bias_type"], "performance_gap"))
+
+
+@report("a18_normal_ci")
+def normal_ci(spark, sf_dir):
+    return rounded(dist.normal_ci(_ensemble(spark, sf_dir), ["lang", "bias_type", "steps"], "performance_gap"))
+
+
+@report("a18_bootstrap_ci")
+def bootstrap_ci(spark, sf_dir):
+    """Randomised (hash-seeded) bootstrap interval: checked by row count and properties only."""
+    return rounded(dist.bootstrap_ci(_ensemble(spark, sf_dir), ["lang", "bias_type", "steps"], "performance_gap",
+                                     replicates=200))
+
+
+@report("a20_kde_density")
+def kde_density(spark, sf_dir):
+    return rounded(dist.kde_density(_ensemble(spark, sf_dir), ["bias_type", "steps"], "performance_gap"))

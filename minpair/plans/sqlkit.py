@@ -96,6 +96,7 @@ def ensemble_cte(name: str = "ens", tie: str = "compat") -> str:
   SELECT v.lang, v.steps, v.bias_type, v.emotion, v.pair_id, g.bias_cat_1, g.bias_cat_2,
     max(CASE WHEN v.side = 1 THEN v.label END) AS label_1,
     max(CASE WHEN v.side = 2 THEN v.label END) AS label_2,
+    max(CASE WHEN v.side = 1 THEN v.label END) - max(CASE WHEN v.side = 2 THEN v.label END) AS performance_gap,
     bool_or(CASE WHEN v.side = 1 THEN v.disagreement END) AS disagreement_1,
     bool_or(CASE WHEN v.side = 2 THEN v.disagreement END) AS disagreement_2,
     max(CASE WHEN v.side = 1 THEN v.kind END) AS kind_1,
