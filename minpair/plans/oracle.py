@@ -264,3 +264,110 @@ ORACLE["a20_kde_density"] = _with(*_ENS2, """cells AS (
   round(sum(c.c * exp(-0.5 * ((g.x - c.v) / g.bw) * ((g.x - c.v) / g.bw))) / (g.n * g.bw * sqrt(2 * pi())), 6) AS density
 FROM grid g JOIN cells c ON g.bias_type = c.bias_type AND g.steps = c.steps
 GROUP BY g.bias_type, g.steps, g.gi, g.x, g.n, g.bw"""
+
+
+# --- corpus -------------------------------------------------------------------------------------------
+
+from minpair.plans import corpus_parts as _cp  # noqa: E402
+from minpair.plans import dims as _dims  # noqa: E402
+from minpair.plans.sqlkit import lit as _lit, values as _vals  # noqa: E402
+
+_GCAT_ROWS = [(lang, role, i, g, _dims.GRAMMAR_PLACEHOLDER[g])
+              for lang, roles in _dims.GRAMMAR_CATALOGUE.items() for role, names in roles.items()
+              for i, g in enumerate(names)]
+_AGREE = ", ".join(_lit(x) for x in _dims.AGREEMENT_LANGS)
+_EORDER = ", ".join(_lit(x) for x in _dims.EMOTION_CATEGORIES + [_dims.NO_EMOTION])
+
+_CORPUS_INPUTS = f"""templates AS (SELECT * FROM {_vals(_cp.TEMPLATES, "lang, template_idx, template", "t")}),
+emotions AS (SELECT * FROM {_vals(_cp.EMOTIONS, "lang, emotion_idx, emotion_category, emotion_word, grammar_cell, emotion_word_female", "e")}),
+gcat AS (SELECT * FROM {_vals(_GCAT_ROWS, "lang, role, grammar_idx, grammar, placeholder", "g")}),
+cats AS (SELECT unnest([{", ".join(_lit(c) for c in _dims.EMOTION_CATEGORIES)}]) AS emotion),
+tg AS (
+  SELECT t.lang, t.template_idx, t.template, g.grammar_idx, g.grammar, g.placeholder
+  FROM templates t JOIN gcat g ON g.lang = t.lang AND g.role = 'emotions' WHERE contains(t.template, g.placeholder)
+),
+words AS (
+  SELECT e.*, g.grammar, c.emotion FROM emotions e
+  JOIN gcat g ON g.lang = e.lang AND g.role = 'emotions' AND contains(coalesce(e.grammar_cell, ''), g.grammar)
+  JOIN cats c ON contains(coalesce(e.emotion_category, ''), c.emotion)
+),
+filled AS (
+  SELECT tg.lang, w.emotion, tg.grammar_idx AS e_grammar_idx, tg.template_idx, w.emotion_idx,
+    replace(tg.template, tg.placeholder, w.emotion_word) AS text,
+    CASE WHEN tg.lang IN ({_AGREE}) AND tg.grammar = '{_dims.AGREEMENT_GRAMMAR}'
+         THEN replace(tg.template, tg.placeholder, w.emotion_word) END AS text_male,
+    CASE WHEN tg.lang IN ({_AGREE}) AND tg.grammar = '{_dims.AGREEMENT_GRAMMAR}'
+         THEN replace(tg.template, tg.placeholder, coalesce(w.emotion_word_female, w.emotion_word)) END AS text_female
+  FROM tg JOIN words w ON w.lang = tg.lang AND w.grammar = tg.grammar
+),
+sentences AS (
+  SELECT * FROM filled
+  UNION ALL
+  SELECT lang, '{_dims.NO_EMOTION}' AS emotion, -1 AS e_grammar_idx, min(template_idx) AS template_idx, -1 AS emotion_idx,
+         template AS text, CAST(NULL AS VARCHAR) AS text_male, CAST(NULL AS VARCHAR) AS text_female
+  FROM templates t WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.lang = t.lang AND tg.template = t.template)
+  GROUP BY lang, template
+),
+people AS (
+  SELECT l.lang, a.c_custkey AS person_idx, ' ' || a.c_name AS person_1,
+    CASE WHEN a.c_mktsegment = 'HOUSEHOLD' AND a.c_custkey % 7 = 0 THEN '{_dims.NON_MARKED}' ELSE b.c_name || '  ' END AS person_2,
+    CASE WHEN a.c_custkey % 2 = 0 THEN 'male' ELSE 'race: privileged' END AS person_1_type,
+    CASE WHEN a.c_custkey % 2 = 0 THEN 'female' ELSE 'race: minoritized' END AS person_2_type,
+    CASE WHEN a.c_custkey % 2 = 0 THEN 'gender' ELSE 'race' END AS bias_type,
+    CASE WHEN a.c_acctbal < 0 THEN 'subject' ELSE 'subject, object' END AS grammar_cell,
+    'male' AS grammar_1, CASE WHEN a.c_custkey % 2 = 0 THEN 'female' ELSE 'male' END AS grammar_2
+  FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 AND b.c_nationkey = a.c_nationkey
+  CROSS JOIN (SELECT unnest(['en', 'es']) AS lang) l
+),
+pp AS (
+  SELECT p.lang, g.grammar, p.person_idx, p.bias_type,
+    trim(CASE WHEN p.person_1 = '{_dims.NON_MARKED}' THEN '' ELSE p.person_1 END) AS p1,
+    trim(CASE WHEN p.person_2 = '{_dims.NON_MARKED}' THEN '' ELSE p.person_2 END) AS p2,
+    trim(p.person_1_type) AS bias_cat_1, trim(p.person_2_type) AS bias_cat_2, trim(grammar_1) AS g1, trim(grammar_2) AS g2
+  FROM people p JOIN gcat g ON g.lang = p.lang AND g.role = 'people' AND contains(coalesce(p.grammar_cell, ''), g.grammar)
+),
+sg AS (
+  SELECT s.*, g.grammar_idx, g.grammar, g.placeholder FROM sentences s
+  JOIN gcat g ON g.lang = s.lang AND g.role = 'people' WHERE contains(s.text, g.placeholder)
+),
+cand AS (
+  SELECT sg.lang, sg.emotion, pp.bias_type, pp.bias_cat_1, pp.bias_cat_2, sg.grammar_idx AS p_grammar_idx,
+    CAST(list_position([{_EORDER}], sg.emotion) AS INTEGER) AS emotion_rank, sg.e_grammar_idx, sg.template_idx,
+    sg.emotion_idx, pp.person_idx,
+    regexp_replace(replace(CASE WHEN sg.lang IN ({_AGREE}) AND sg.text_female IS NOT NULL
+        THEN coalesce(CASE pp.g1 WHEN 'male' THEN sg.text_male WHEN 'female' THEN sg.text_female END, sg.text)
+        ELSE sg.text END, sg.placeholder, pp.p1), '\\s+', ' ', 'g') AS sentence_1,
+    regexp_replace(replace(CASE WHEN sg.lang IN ({_AGREE}) AND sg.text_female IS NOT NULL
+        THEN coalesce(CASE pp.g2 WHEN 'male' THEN sg.text_male WHEN 'female' THEN sg.text_female END, sg.text)
+        ELSE sg.text END, sg.placeholder, pp.p2), '\\s+', ' ', 'g') AS sentence_2
+  FROM sg JOIN pp ON pp.lang = sg.lang AND pp.grammar = sg.grammar
+  WHERE pp.p1 <> '' AND pp.p2 <> ''
+),
+dedup AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang, sentence_1, sentence_2
+      ORDER BY p_grammar_idx, emotion_rank, e_grammar_idx, template_idx, emotion_idx, person_idx) AS rn FROM cand) x
+  WHERE rn = 1
+),
+corpus AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, emotion, bias_type
+      ORDER BY p_grammar_idx, emotion_rank, e_grammar_idx, template_idx, emotion_idx, person_idx) - 1 AS pair_id
+  FROM dedup
+),
+corpus_long AS (
+  SELECT lang, emotion, bias_type, 1 AS side, bias_cat_1 AS grp, pair_id, sentence_1 AS sentence FROM corpus
+  UNION ALL
+  SELECT lang, emotion, bias_type, 2 AS side, bias_cat_2 AS grp, pair_id, sentence_2 AS sentence FROM corpus
+)"""
+
+ORACLE["j01_fill_emotions"] = _with(_CORPUS_INPUTS) + "SELECT * FROM sentences"
+ORACLE["j02_fill_people"] = _with(_CORPUS_INPUTS) + "SELECT * FROM cand"
+ORACLE["u04_dedupe_pairs"] = _with(_CORPUS_INPUTS) + "SELECT * FROM corpus"
+ORACLE["a25_corpus_sizes"] = _with(_CORPUS_INPUTS) + """SELECT lang, bias_type, emotion, count(*) AS n_pairs,
+  count(DISTINCT (sentence_1, sentence_2)) AS n_distinct_pairs, count(DISTINCT sentence_1) AS n_distinct_side_1,
+  count(DISTINCT sentence_2) AS n_distinct_side_2
+FROM corpus GROUP BY ROLLUP (lang, bias_type, emotion) HAVING lang IS NOT NULL"""
+ORACLE["a30_validate_pairs"] = _with(_CORPUS_INPUTS) + """SELECT lang, emotion, bias_type,
+  count(*) FILTER (WHERE side = 1) AS n_side_1, count(*) FILTER (WHERE side = 2) AS n_side_2
+FROM corpus_long GROUP BY lang, emotion, bias_type HAVING n_side_1 <> n_side_2"""
+ORACLE["w01_first_sentences"] = _with(_CORPUS_INPUTS) + "SELECT * FROM corpus_long WHERE pair_id < 11"

@@ -317,3 +317,52 @@ def bootstrap_ci(spark, sf_dir):
 @report("a20_kde_density")
 def kde_density(spark, sf_dir):
     return rounded(dist.kde_density(_ensemble(spark, sf_dir), ["bias_type", "steps"], "performance_gap"))
+
+
+# --- corpus -------------------------------------------------------------------------------------------
+
+from minpair.operators import corpus  # noqa: E402
+from minpair.plans import corpus_parts  # noqa: E402
+
+
+def _sentences(spark):
+    return corpus.fill_emotions(corpus_parts.templates(spark), corpus_parts.emotions(spark), dims.grammar_catalogue(spark))
+
+
+def _corpus(spark, sf_dir):
+    return corpus.build_corpus(corpus_parts.templates(spark), corpus_parts.emotions(spark),
+                               corpus_parts.people(spark, sf_dir), dims.grammar_catalogue(spark))
+
+
+@report("j01_fill_emotions")
+def fill_emotions(spark, sf_dir):
+    s = _sentences(spark)
+    return s.select("lang", "emotion", "e_grammar_idx", "template_idx", "emotion_idx", "text",
+                    F.col("variants")["male"].alias("text_male"), F.col("variants")["female"].alias("text_female"))
+
+
+@report("j02_fill_people")
+def fill_people(spark, sf_dir):
+    """Candidate pairs before de-duplication (sentences x person pairs of the same grammar)."""
+    return corpus.fill_people(_sentences(spark), corpus_parts.people(spark, sf_dir), dims.grammar_catalogue(spark))
+
+
+@report("u04_dedupe_pairs")
+def dedupe_pairs(spark, sf_dir):
+    """The corpus: first-wins de-duplicated pairs with dense pair ids."""
+    return _corpus(spark, sf_dir)
+
+
+@report("a25_corpus_sizes")
+def corpus_sizes(spark, sf_dir):
+    return corpus.corpus_sizes(_corpus(spark, sf_dir))
+
+
+@report("a30_validate_pairs")
+def validate_pairs(spark, sf_dir):
+    return corpus.validate_pairs(corpus.corpus_long(_corpus(spark, sf_dir)))
+
+
+@report("w01_first_sentences")
+def first_sentences(spark, sf_dir):
+    return corpus.corpus_long(corpus.first_sentences(_corpus(spark, sf_dir), 11))

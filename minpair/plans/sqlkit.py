@@ -10,12 +10,22 @@ from __future__ import annotations
 from minpair.plans import dims
 
 
+def lit(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, str):
+        return "'" + v.replace("'", "''") + "'"
+    return repr(v)
+
+
 def _values(rows, cols: str, alias: str) -> str:
-    body = ", ".join("(" + ", ".join(repr(v) if not isinstance(v, str) else "'" + v + "'" for v in r) + ")"
-                     for r in rows)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
     return f"(VALUES {body}) AS {alias}({cols})"
 
 
+values = _values
+
+
 def emotion_case(doc: str) -> str:
     whens = " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(dims.EMOTION_OF_DOC))
     return f"CASE {doc} % {len(dims.EMOTION_OF_DOC)} {whens} END"
