@@ -9,3 +9,61 @@ from pyspark.sql import functions as F
 def collapse_whitespace(c: Column) -> Column:
     """Runs of whitespace to one blank."""
     return F.regexp_replace(c, r"\s+", " ")
+
+
+def scrub_pattern(words: list[str] | None = None, caseless: list[str] | None = None) -> str:
+    """T01 pattern: whole words of the list; the first letter is case-free, and every letter of the
+    ``caseless`` words. ``(?U)`` makes ``\\b`` Unicode-aware on every JVM."""
+    from minpair.plans.dims import SCRUB_FULLY_CASELESS, SCRUB_WORDS
+    words = SCRUB_WORDS if words is None else words
+    caseless = SCRUB_FULLY_CASELESS if caseless is None else caseless
+
+    def letter(ch: str) -> str:
+        return f"[{ch.upper()}{ch.lower()}]" if ch.isalpha() else ch
+
+    alts = []
+    for w in words:
+        if w in caseless:
+            alts.append("".join(letter(ch) for ch in w))
+        else:
+            alts.append(letter(w[0]) + w[1:])
+    return r"(?U)\b(?:" + "|".join(alts) + r")\b"
+
+
+def scrub(c: Column, replacement: str = "_", pattern: str | None = None) -> Column:
+    """Replace every listed gendered word by ``replacement``."""
+    return F.regexp_replace(c, pattern or scrub_pattern(), replacement)
+
+
+def scrub_count(c: Column, pattern: str | None = None) -> Column:
+    """Number of replacements ``scrub`` makes in ``c`` (0 for NULL)."""
+    return F.coalesce(F.regexp_count(c, F.lit(pattern or scrub_pattern())), F.lit(0)).cast("int")
+
+
+def format_text(body: Column, title: Column) -> Column:
+    """Body followed by title, no separator (NULL if either is NULL)."""
+    return F.concat(body, title)
+
+
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def punctuation_to_spaces(c: Column) -> Column:
+    """Trim, punctuation to blanks, runs of blanks squeezed (an edge blank may remain)."""
+    return F.regexp_replace(F.translate(F.trim(c), PUNCTUATION, " " * len(PUNCTUATION)), " +", " ")
+
+
+def word_tokens(c: Column) -> Column:
+    """T10 (words): lower-cased tokens of two or more word characters."""
+    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b\w\w+\b"), 0)
+
+
+def char_tokens(c: Column) -> Column:
+    """T10 (characters, for zh / ja): lower-cased characters, blank runs squeezed to one."""
+    s = F.regexp_replace(F.lower(c), r"\s\s+", " ")
+    return F.split(s, "")
+
+
+def has_han(c: Column) -> Column:
+    """Text contains a Han character."""
+    return c.rlike(r"\p{IsHan}")

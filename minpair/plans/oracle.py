@@ -371,3 +371,88 @@ ORACLE["a30_validate_pairs"] = _with(_CORPUS_INPUTS) + """SELECT lang, emotion,
   count(*) FILTER (WHERE side = 1) AS n_side_1, count(*) FILTER (WHERE side = 2) AS n_side_2
 FROM corpus_long GROUP BY lang, emotion, bias_type HAVING n_side_1 <> n_side_2"""
 ORACLE["w01_first_sentences"] = _with(_CORPUS_INPUTS) + "SELECT * FROM corpus_long WHERE pair_id < 11"
+
+
+# --- review preparation ----------------------------------------------------------------------------
+
+from minpair.functions.text import scrub_pattern as _scrub_pattern  # noqa: E402
+
+_REVIEWS = """reviews AS (
+  SELECT doc_id AS review_id, text AS review_body, substring(text, 1, 40) AS review_title, lang AS language,
+         source AS product_category, CAST(1 + n_chars % 5 AS INTEGER) AS stars FROM documents
+)"""
+
+# RE2's \\b is ASCII-only, so the whole-word rule is emulated with an explicit Unicode word class;
+# two passes catch neighbours whose shared separator the first pass consumed.
+_ALTS = _scrub_pattern()[len("(?U)\\b"):-len("\\b")]
+_WCH = "\\p{L}\\p{N}\\p{M}\\p{Pc}"
+
+
+def _scrub_sql(x: str) -> str:
+    pat = f"(^|[^{_WCH}]){_ALTS}([^{_WCH}]|$)"
+    once = f"regexp_replace({x}, '{pat}', '\\1_\\2', 'g')"
+    return f"regexp_replace({once}, '{pat}', '\\1_\\2', 'g')"
+
+
+def _scrub_count_sql(x: str) -> str:
+    return (f"CAST(coalesce(len(list_filter(regexp_extract_all({x}, '[{_WCH}]+'), "
+            f"lambda w: regexp_full_match(w, '{_ALTS}'))), 0) AS INTEGER)")
+
+
+_SCRUBBED = f"""scrubbed AS (
+  SELECT review_id, product_category, {_scrub_sql('review_body')} AS review_body, {_scrub_sql('review_title')} AS review_title,
+    {_scrub_count_sql('review_body')} AS n_scrub_body, {_scrub_count_sql('review_title')} AS n_scrub_title,
+    {_scrub_count_sql('review_body')} + {_scrub_count_sql('review_title')} AS n_scrubbed
+  FROM reviews WHERE language = 'en'
+)"""
+
+ORACLE["p01_format_data"] = _with(_REVIEWS) + """SELECT review_id, review_body || review_title AS text,
+  CAST(stars AS INTEGER) AS label FROM reviews"""
+ORACLE["t01_scrub_reviews"] = _with(_REVIEWS, _SCRUBBED) + """SELECT review_id, review_body, review_title,
+  n_scrub_body, n_scrub_title, n_scrubbed FROM scrubbed"""
+ORACLE["t01_scrub_counts"] = _with(_REVIEWS, _SCRUBBED) + """SELECT product_category, count(*) AS n_rows,
+  count(*) FILTER (WHERE n_scrubbed > 0) AS n_changed, CAST(sum(n_scrubbed) AS BIGINT) AS n_replacements,
+  max(n_scrubbed) AS max_replacements FROM scrubbed GROUP BY product_category"""
+ORACLE["a28_class_counts"] = _with(_REVIEWS) + """SELECT language, stars, n,
+  min(n) OVER w AS min_class, count(*) OVER w AS n_classes, sum(n) OVER w AS total,
+  round(min(n) OVER w * count(*) OVER w * 100.0 / sum(n) OVER w, 6) AS kept_pct
+FROM (SELECT language, stars, count(*) AS n FROM reviews GROUP BY language, stars) c
+WINDOW w AS (PARTITION BY language)"""
+ORACLE["m01_balance_classes"] = _with(_REVIEWS) + """SELECT review_id, language, stars FROM (
+  SELECT *, row_number() OVER (PARTITION BY stars ORDER BY md5(concat_ws('-', 42, review_id)), review_id) - 1 AS pos
+  FROM reviews) r
+JOIN (SELECT min(n) AS lim FROM (SELECT stars, count(*) AS n FROM reviews GROUP BY stars) c) l ON r.pos < l.lim"""
+
+_HASH_SPLIT = """split AS (
+  SELECT review_id, stars, CASE WHEN b < 950 THEN 'train' WHEN b < 975 THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, ('0x' || substr(md5(concat_ws('-', 42, review_id)), 1, 8))::BIGINT % 1000 AS b FROM reviews) h
+)"""
+ORACLE["m02_split"] = _with(_REVIEWS, _HASH_SPLIT) + "SELECT * FROM split"
+ORACLE["m02_split_exact"] = _with(_REVIEWS, """p AS (
+  SELECT review_id, stars, row_number() OVER (ORDER BY md5(concat_ws('-', 42, 'a', review_id)), review_id) - 1 AS p1,
+         count(*) OVER () AS n FROM reviews
+), held AS (
+  SELECT review_id, stars, row_number() OVER (ORDER BY md5(concat_ws('-', 42, 'b', review_id)), review_id) - 1 AS p2,
+         count(*) OVER () AS m FROM p WHERE p1 >= n - ceil(n * 0.05)
+)""") + """SELECT review_id, stars, 'train' AS split FROM p WHERE p1 < n - ceil(n * 0.05)
+UNION ALL
+SELECT review_id, stars, CASE WHEN p2 < m - ceil(m * 0.5) THEN 'validation' ELSE 'test' END FROM held"""
+ORACLE["u08_interleave"] = """WITH d AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         CAST(regexp_extract(source, 'src(\\d+)', 1) AS INTEGER) AS si FROM documents
+), lim AS (
+  SELECT source, min(n) OVER () AS mn, count(*) OVER () AS k, dense_rank() OVER (ORDER BY si) - 1 AS rk
+  FROM (SELECT source, si, count(*) AS n FROM d GROUP BY source, si) c
+)
+SELECT d.doc_id, d.source, d.pos, d.pos * lim.k + lim.rk AS interleave_pos
+FROM d JOIN lim ON d.source = lim.source WHERE d.pos < lim.mn"""
+ORACLE["w05_first_rows"] = _with(_REVIEWS, _HASH_SPLIT) + """SELECT * FROM (
+  SELECT review_id, stars, split, row_number() OVER (PARTITION BY split ORDER BY review_id) - 1 AS pos FROM split) s
+WHERE pos < 1000"""
+ORACLE["w06_seeded_shuffle"] = _with(_REVIEWS, _HASH_SPLIT) + """SELECT review_id, stars, split,
+  row_number() OVER (PARTITION BY split ORDER BY md5(concat_ws('-', 7, review_id)), review_id) - 1 AS shuffle_pos
+FROM split"""
+ORACLE["j11_category_mapping"] = _with(_REVIEWS) + """SELECT r.product_category, r.review_id,
+  CASE WHEN k % 6 = 0 THEN NULL ELSE 'cat' || CAST(k % 6 AS VARCHAR) END AS target_category,
+  CASE WHEN k IS NULL THEN NULL ELSE k % 5 = 0 END AS uncertain
+FROM reviews r LEFT JOIN (SELECT unnest(range(0, 20)) AS k) m ON r.product_category = 'src' || CAST(m.k AS VARCHAR)"""

@@ -366,3 +366,91 @@ def validate_pairs(spark, sf_dir):
 @report("w01_first_sentences")
 def first_sentences(spark, sf_dir):
     return corpus.corpus_long(corpus.first_sentences(_corpus(spark, sf_dir), 11))
+
+
+# --- review preparation ------------------------------------------------------------------------------
+
+from minpair.operators import prep  # noqa: E402
+
+
+def _english(spark, sf_dir):
+    return views.reviews(spark, sf_dir).where(F.col("language") == "en")
+
+
+@report("p01_format_data")
+def format_data(spark, sf_dir):
+    return prep.format_data(views.reviews(spark, sf_dir)).select("review_id", "text", "label")
+
+
+@report("t01_scrub_reviews")
+def scrub_reviews(spark, sf_dir):
+    """Gender-word scrubbing of English reviews (body and title) with replacement counts."""
+    s = prep.scrub_reviews(_english(spark, sf_dir))
+    return s.select("review_id", "review_body", "review_title", "n_scrub_body", "n_scrub_title", "n_scrubbed")
+
+
+@report("t01_scrub_counts")
+def scrub_counts(spark, sf_dir):
+    """A27 per product category: rows changed, total and maximum replacements."""
+    return prep.scrub_stats(prep.scrub_reviews(_english(spark, sf_dir)), ["product_category"])
+
+
+@report("a28_class_counts")
+def class_counts(spark, sf_dir):
+    return rounded(prep.class_counts(views.reviews(spark, sf_dir), "stars", ["language"]))
+
+
+@report("m01_balance_classes")
+def balance_classes(spark, sf_dir):
+    """Every star class undersampled to the smallest one (seeded hash order)."""
+    return prep.balance_classes(views.reviews(spark, sf_dir), "stars", "review_id", seed=42).select(
+        "review_id", "language", "stars")
+
+
+@report("m02_split")
+def split(spark, sf_dir):
+    return prep.split_by_hash(views.reviews(spark, sf_dir), "review_id", seed=42).select("review_id", "stars", "split")
+
+
+@report("m02_split_exact")
+def split_exact(spark, sf_dir):
+    return prep.split_exact(views.reviews(spark, sf_dir).select("review_id", "stars"), "review_id", seed=42)
+
+
+def _source_idx():
+    return F.regexp_extract(F.col("source"), r"src(\d+)", 1).cast("int")
+
+
+@report("u08_interleave")
+def interleave(spark, sf_dir):
+    from minpair.sources.tables import table as _t
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    return prep.interleave(d, "source", _source_idx(), "doc_id")
+
+
+@report("w05_first_rows")
+def first_rows(spark, sf_dir):
+    s = prep.split_by_hash(views.reviews(spark, sf_dir).select("review_id", "stars"), "review_id", seed=42)
+    return prep.first_rows(s, ["split"], "review_id", 1000)
+
+
+@report("w06_seeded_shuffle")
+def seeded_shuffle(spark, sf_dir):
+    s = prep.split_by_hash(views.reviews(spark, sf_dir).select("review_id", "stars"), "review_id", seed=42)
+    return prep.seeded_shuffle(s, ["split"], "review_id", seed=7)
+
+
+def category_mapping(spark):
+    """Mapping dimension for the driver binding: source k -> cat(k % 6), none when k % 6 == 0,
+    uncertain when k % 5 == 0 (a rule, 20 rows)."""
+    k = F.col("id")
+    return spark.range(20).select(
+        F.concat(F.lit("src"), k.cast("string")).alias("source_category"),
+        F.when(k % 6 == 0, F.lit(None)).otherwise(F.concat(F.lit("cat"), (k % 6).cast("string"))).alias("target_category"),
+        (k % 5 == 0).alias("uncertain"))
+
+
+@report("j11_category_mapping")
+def map_categories(spark, sf_dir):
+    r = views.reviews(spark, sf_dir).select("review_id", "product_category")
+    return prep.map_categories(r, category_mapping(spark), "product_category")
