@@ -456,3 +456,82 @@ ORACLE["j11_category_mapping"] = _with(_REVIEWS) + """SELECT r.product_category,
   CASE WHEN k % 6 = 0 THEN NULL ELSE 'cat' || CAST(k % 6 AS VARCHAR) END AS target_category,
   CASE WHEN k IS NULL THEN NULL ELSE k % 5 = 0 END AS uncertain
 FROM reviews r LEFT JOIN (SELECT unnest(range(0, 20)) AS k) m ON r.product_category = 'src' || CAST(m.k AS VARCHAR)"""
+
+
+# --- result marts ---------------------------------------------------------------------------------
+
+_MODEL_TYPE = ("CASE seed WHEN 0 THEN 'baseline' WHEN 5 THEN 'mono' WHEN 26 THEN 'multi_xl' "
+               "WHEN 42 THEN 'mono_c' WHEN 63 THEN 'multi_on_mono' END")
+_CONV = """conv AS (SELECT * FROM (VALUES
+  ('mono', 'en', 33334), ('mono_c', 'en', 50001), ('multi_on_mono', 'en', 33334),
+  ('mono', 'fr', 33334), ('mono_c', 'fr', 50001), ('multi_on_mono', 'fr', 33334),
+  ('mono', 'de', 50001), ('mono_c', 'de', 50001), ('multi_on_mono', 'de', 33334),
+  ('mono', 'es', 50001), ('mono_c', 'es', 50001), ('multi_on_mono', 'es', 33334),
+  ('multi_xl', NULL, 50001)) AS c(c_type, c_lang, c_steps))"""
+_LABEL_RESULTS = f"""label_results AS (
+  SELECT *, label_1 - label_2 AS performance_gap, {_MODEL_TYPE} AS model_type FROM seed_pairs
+  WHERE label_1 IS NOT NULL AND label_2 IS NOT NULL
+)"""
+_ORDER_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_dims.MODEL_TYPE_ORDER))
+_MART = f"""mart0 AS (
+  SELECT r.* FROM label_results r WHERE r.model_type <> 'baseline' AND EXISTS (
+    SELECT 1 FROM conv c WHERE c.c_type = r.model_type AND c.c_steps = r.steps AND (c.c_lang IS NULL OR c.c_lang = r.lang))
+  UNION ALL SELECT * FROM label_results WHERE model_type = 'baseline'
+),
+mart AS (
+  SELECT m.model_type, o.type_order,
+    CASE WHEN m.lang = 'en_scrubbed' THEN 'en_s' ELSE m.lang END AS lang, m.bias_type, m.emotion, m.steps, m.pair_id,
+    m.label_1, m.label_2, m.performance_gap,
+    CASE WHEN CAST(trunc(m.performance_gap) AS BIGINT) < 0 THEN 'male_bias'
+         WHEN CAST(trunc(m.performance_gap) AS BIGINT) > 0 THEN 'female_bias' END AS bias_direction,
+    abs(m.performance_gap) AS performance_gap_abs
+  FROM mart0 m LEFT JOIN (VALUES {_ORDER_ROWS}) AS o(type_order, model_type) ON o.model_type = m.model_type
+  WHERE m.bias_type <> 'rank'
+)"""
+_M = [votes_cte(), _SEED_PAIRS, _CONV, _LABEL_RESULTS, _MART]
+
+ORACLE["s07_result_mart"] = _with(*_M) + "SELECT * FROM mart"
+
+ORACLE["j04_converged_summaries"] = _with(votes_cte(), _SEED_PAIRS, _CONV, _LABEL_RESULTS, "summ AS (" + bias_stats_select(
+    "label_results", ["model_type", "lang", "bias_type", "steps"]) + ")") + """SELECT * FROM summ r
+WHERE r.model_type = 'baseline' OR EXISTS (SELECT 1 FROM conv c WHERE c.c_type = r.model_type AND c.c_steps = r.steps
+  AND (c.c_lang IS NULL OR c.c_lang = r.lang))"""
+
+ORACLE["p11_significance_flags"] = _with(votes_cte(), _SEED_PAIRS, _CONV, _LABEL_RESULTS, "summ AS (" + bias_stats_select(
+    "label_results", ["model_type", "lang", "bias_type", "emotion", "steps"]) + ")") + f"""SELECT model_type, lang, bias_type,
+  emotion, steps, performance_gap, statistical_significance,
+  CASE WHEN statistical_significance < 0.05 THEN 1 ELSE 0 END AS significant,
+  coalesce(statistical_significance > 0.05, false) AS not_significant,
+  CASE WHEN statistical_significance < {0.05 / 8!r} THEN 1 ELSE 0 END AS significant_corrected,
+  performance_gap BETWEEN -0.1 AND 0.1 AS within_band
+FROM summ"""
+
+ORACLE["a29_mono_vs_multi"] = _with(*_M, """mm AS (
+  SELECT a.lang, a.bias_type, a.performance_gap AS label_1, b.performance_gap AS label_2
+  FROM mart a JOIN mart b ON a.lang = b.lang AND a.bias_type = b.bias_type AND a.emotion = b.emotion AND a.pair_id = b.pair_id
+  WHERE a.model_type = 'mono' AND b.model_type = 'multi_xl'
+), agg AS (
+  SELECT lang, bias_type, count(label_1 - label_2) AS n_pairs, avg(CAST(label_1 - label_2 AS DOUBLE)) AS md,
+         stddev_samp(CAST(label_1 - label_2 AS DOUBLE)) AS sd FROM mm GROUP BY lang, bias_type
+), tt AS (SELECT *, """ + t_sql("n_pairs", "md", "sd") + """ AS t FROM agg)""") + f"""SELECT lang, bias_type, n_pairs,
+  round(md, 6) AS mean_diff, round(sd, 6) AS sd_diff, round(t, 6) AS t_statistic,
+  round({t_p_sql('t', 'n_pairs - 1')}, 6) AS statistical_significance FROM tt"""
+
+_PERF_KEYS = ["lang", "model_type", "bias_type", "steps", "side", "bias_cat"]
+ORACLE["a31_performance_curve"] = _with(votes_cte(), _SEED_PAIRS, _LABEL_RESULTS, f"""lr_long AS (
+  SELECT lang, model_type, bias_type, steps, {_GOLD} AS gold_label, 1 AS side, bias_cat_1 AS bias_cat, {_pol('label_1')} AS pred
+  FROM label_results
+  UNION ALL
+  SELECT lang, model_type, bias_type, steps, {_GOLD} AS gold_label, 2 AS side, bias_cat_2 AS bias_cat, {_pol('label_2')} AS pred
+  FROM label_results
+)""", class_table_ctes("m", "lr_long", _PERF_KEYS, "gold_label", "pred")) + """SELECT lang, model_type, bias_type,
+  side, bias_cat, steps, round(avg(f1), 6) AS f1, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc
+FROM m_cls GROUP BY lang, model_type, bias_type, steps, side, bias_cat"""
+
+ORACLE["a14_language_difference"] = _with(votes_cte(), ensemble_cte(), """ld AS (
+  SELECT bias_type, steps, label_1, label_2, CASE WHEN lang = 'en' THEN 1 ELSE -1 END AS w FROM ens WHERE lang IN ('en', 'de')
+)""") + "SELECT * FROM " + confusion_sql("ld", ["bias_type", "steps"], "label_1", "label_2", [1, 2, 3, 4, 5], "w") + " q"
+
+ORACLE["s10_results_roundtrip"] = _with(votes_cte(), _SEED_PAIRS, "summ AS (" + bias_stats_select(
+    "seed_pairs", ["lang", "seed", "bias_type", "steps"]) + ")") + """SELECT bias_cat_1_mean, bias_cat_2_mean,
+  performance_gap, statistical_significance, bias_cat_1_name, bias_cat_2_name, bias_type, steps, lang, seed FROM summ"""

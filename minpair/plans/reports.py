@@ -454,3 +454,102 @@ def category_mapping(spark):
 def map_categories(spark, sf_dir):
     r = views.reviews(spark, sf_dir).select("review_id", "product_category")
     return prep.map_categories(r, category_mapping(spark), "product_category")
+
+
+# --- result marts ----------------------------------------------------------------------------------
+
+from minpair.operators import mart  # noqa: E402
+
+# Driver binding: each seed of the vote table plays one model type.
+SEED_MODEL_TYPE = {0: "baseline", 5: "mono", 26: "multi_xl", 42: "mono_c", 63: "multi_on_mono"}
+
+
+def binding_convergence(spark):
+    """Convergence catalogue for the binding steps (per-language kinds and one shared kind)."""
+    rows = []
+    for lang in ["en", "fr", "de", "es"]:
+        rows.append(("mono", lang, 33334 if lang in ("en", "fr") else 50001))
+        rows.append(("mono_c", lang, 50001))
+        rows.append(("multi_on_mono", lang, 33334))
+    rows.append(("multi_xl", None, 50001))
+    return spark.createDataFrame(rows, "model_type string, lang string, steps int")
+
+
+def _model_type():
+    expr = None
+    for s, t in SEED_MODEL_TYPE.items():
+        expr = F.when(F.col("seed") == s, F.lit(t)) if expr is None else expr.when(F.col("seed") == s, F.lit(t))
+    return expr
+
+
+def _label_results(spark, sf_dir):
+    pairs = vote.seed_pairs(views.votes(spark, sf_dir))
+    return pairs.withColumn("model_type", _model_type())
+
+
+def _mart(spark, sf_dir):
+    m = mart.convergence_filter(_label_results(spark, sf_dir), binding_convergence(spark))
+    m = mart.relabel(mart.drop_bias_type(m))
+    return mart.with_type_order(mart.with_direction(m), dims.model_type_order(spark))
+
+
+@report("s07_result_mart")
+def result_mart(spark, sf_dir):
+    return _mart(spark, sf_dir).select("model_type", "type_order", "lang", "bias_type", "emotion", "steps", "pair_id",
+                                       "label_1", "label_2", "performance_gap", "bias_direction",
+                                       "performance_gap_abs")
+
+
+@report("j04_converged_summaries")
+def converged_summaries(spark, sf_dir):
+    """Per-run summaries kept at each model type's convergence step."""
+    summ = bias.bias_stats(_label_results(spark, sf_dir), ["model_type", "lang", "bias_type", "steps"])
+    return rounded(mart.convergence_filter(summ, binding_convergence(spark)))
+
+
+@report("p11_significance_flags")
+def significance_flags(spark, sf_dir):
+    summ = bias.bias_stats(_label_results(spark, sf_dir), ["model_type", "lang", "bias_type", "emotion", "steps"])
+    # Flags are taken on the reported (rounded) values, as a reader of the result files would.
+    return rounded(mart.significance_flags(rounded(summ)).select(
+        "model_type", "lang", "bias_type", "emotion", "steps", "performance_gap", "statistical_significance",
+        "significant", "not_significant", "significant_corrected", "within_band"))
+
+
+@report("a29_mono_vs_multi")
+def mono_vs_multi(spark, sf_dir):
+    """Paired test of per-item gaps, mono vs multilingual model, per language and bias type."""
+    return rounded(mart.paired_model_test(_mart(spark, sf_dir), "mono", "multi_xl", ["lang", "bias_type"],
+                                          ["emotion", "pair_id"]))
+
+
+@report("a31_performance_curve")
+def performance_curve(spark, sf_dir):
+    lr = perf.polarity_frame(_label_results(spark, sf_dir))
+    p = perf.side_performance(lr, ["lang", "model_type", "bias_type", "steps"])
+    return rounded(mart.performance_curve(p, ["lang", "model_type", "bias_type", "side", "bias_cat"]))
+
+
+@report("a14_language_difference")
+def language_difference(spark, sf_dir):
+    """Side-1 vs side-2 confusion of English minus German ensemble labels, per bias type and step."""
+    e = _ensemble(spark, sf_dir)
+    return perf.confusion_difference(e.where(F.col("lang") == "en"), e.where(F.col("lang") == "de"),
+                                     ["bias_type", "steps"], "label_1", "label_2", [1, 2, 3, 4, 5])
+
+
+@report("s10_results_roundtrip")
+def results_roundtrip(spark, sf_dir):
+    """Per-run summaries written as CSV partitioned by language and seed under the shared
+    checkpoint folder, then read back with the fixed schema (NaN -> NULL)."""
+    import uuid
+    from minpair.session import shared_path
+    from minpair.sources import tables
+    summ = bias.bias_stats(vote.seed_pairs(views.votes(spark, sf_dir)), ["lang", "seed", "bias_type", "steps"])
+    path = shared_path(spark, f"results-{uuid.uuid4().hex}")
+    out = summ.select("bias_cat_1_mean", "bias_cat_2_mean", "performance_gap", "statistical_significance",
+                      "bias_cat_1_name", "bias_cat_2_name", "bias_type", "steps", "lang", "seed")
+    tables.write_result_csv(out, path, partition_by=["lang", "seed"])
+    schema = T.StructType(tables.SUMMARY_SCHEMA.fields + [T.StructField("seed", T.IntegerType())])
+    back = tables.read_result_csv(spark, path, schema).drop("source_file")
+    return rounded(back)
