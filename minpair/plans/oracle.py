@@ -535,3 +535,126 @@ ORACLE["a14_language_difference"] = _with(votes_cte(), ensemble_cte(), """ld AS
 ORACLE["s10_results_roundtrip"] = _with(votes_cte(), _SEED_PAIRS, "summ AS (" + bias_stats_select(
     "seed_pairs", ["lang", "seed", "bias_type", "steps"]) + ")") + """SELECT bias_cat_1_mean, bias_cat_2_mean,
   performance_gap, statistical_significance, bias_cat_1_name, bias_cat_2_name, bias_type, steps, lang, seed FROM summ"""
+
+
+# --- text and models --------------------------------------------------------------------------------
+
+from minpair.functions.text import PUNCTUATION as _PUNCT  # noqa: E402
+
+_TOK = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}\\p{{M}}\\p{{Pc}}]{{2,}}')"
+
+
+def _tokens(x: str) -> str:
+    return _TOK.format(x=x)
+
+
+ORACLE["t03_normalise"] = f"""SELECT doc_id, regexp_replace(translate(trim(text), {_lit(_PUNCT)}, {_lit(' ' * len(_PUNCT))}),
+  ' +', ' ', 'g') AS normalised FROM documents"""
+ORACLE["t10_word_tokens"] = f"""SELECT doc_id, CAST(len({_tokens('text')}) AS INTEGER) AS n_tokens,
+  array_to_string({_tokens('text')}, ' ') AS tokens FROM documents"""
+_TC = f"""tc AS (
+  SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) t
+  GROUP BY doc_id, term
+)"""
+ORACLE["m03_term_counts"] = _with(_TC) + "SELECT * FROM tc"
+ORACLE["m04_tfidf"] = _with(_TC, """idf AS (
+  SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1.0 AS idf FROM tc GROUP BY term
+), w AS (SELECT tc.doc_id, tc.term, tc.n, tc.n * idf.idf AS w FROM tc JOIN idf USING (term))""") + """SELECT doc_id, term, n,
+  round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS tfidf FROM w"""
+
+_PROFILE = """dl AS (SELECT doc_id, lower(text) AS t, lang FROM documents),
+dgrams AS (
+  SELECT doc_id, lang, substring(t, i, 3) AS gram FROM (
+    SELECT doc_id, lang, t, unnest(generate_series(1, length(t) - 2)) AS i FROM dl WHERE length(t) >= 3) x
+),
+prof0 AS (SELECT lang, gram, count(*) AS c FROM dgrams GROUP BY lang, gram),
+tot AS (SELECT lang, sum(c) AS total, (SELECT count(DISTINCT gram) FROM prof0) AS v FROM prof0 GROUP BY lang),
+prof AS (
+  SELECT p.lang, p.gram, ln((p.c + 1.0) / (t.total + t.v)) AS logp, ln(1.0 / (t.total + t.v)) AS unseen
+  FROM prof0 p JOIN tot t USING (lang)
+),
+langs AS (SELECT DISTINCT lang, unseen FROM prof)"""
+
+
+def _identify(src: str) -> str:
+    """``src(id, text)`` -> ``best(id, detected_lang, score)``."""
+    return f"""sl AS (SELECT id, lower(text) AS t FROM {src}),
+sgrams AS (
+  SELECT id, substring(t, i, 3) AS gram, count(*) AS n FROM (
+    SELECT id, t, unnest(generate_series(1, length(t) - 2)) AS i FROM sl WHERE length(t) >= 3) x GROUP BY id, gram
+),
+ntot AS (SELECT id, sum(n) AS n_total FROM sgrams GROUP BY id),
+per AS (
+  SELECT g.id, p.lang, sum(g.n * p.logp) AS seen, sum(g.n) AS n_seen FROM sgrams g JOIN prof p USING (gram)
+  GROUP BY g.id, p.lang
+),
+scores AS (
+  SELECT n.id, l.lang, coalesce(per.seen, 0) + (n.n_total - coalesce(per.n_seen, 0)) * l.unseen AS score
+  FROM ntot n CROSS JOIN langs l LEFT JOIN per ON per.id = n.id AND per.lang = l.lang
+),
+best AS (
+  SELECT id, lang AS detected_lang, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, lang) AS r FROM scores) s WHERE r = 1
+)"""
+
+
+ORACLE["t04_identify_language"] = _with(_PROFILE, "src AS (SELECT doc_id AS id, text FROM documents)",
+                                        _identify("src")) + """SELECT id AS doc_id, detected_lang,
+  round(score, 3) AS score FROM best"""
+ORACLE["a24_texts_by_language"] = _with(
+    _PROFILE, "src AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, role, text FROM conversations)",
+    _identify("src")) + """SELECT s.role, b.detected_lang, count(*) AS n FROM best b JOIN src s USING (id)
+GROUP BY ROLLUP (s.role, b.detected_lang)"""
+ORACLE["t05_script_flags"] = """SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '\\p{Han}')) AS n_han
+FROM documents GROUP BY lang"""
+
+_RSPLIT = _REVIEWS + """,
+rsplit AS (
+  SELECT review_id, stars AS label, CASE WHEN b < 950 THEN 'train' WHEN b < 975 THEN 'validation' ELSE 'test' END AS split
+  FROM (SELECT *, ('0x' || substr(md5(concat_ws('-', 42, review_id)), 1, 8))::BIGINT % 1000 AS b FROM reviews) h
+)"""
+ORACLE["m06_dummy_most_frequent"] = _with(_RSPLIT) + """SELECT review_id, split, label,
+  (SELECT arg_min(label, (-n, label)) FROM (SELECT label, count(*) AS n FROM rsplit WHERE split = 'train' GROUP BY label) c)
+    AS prediction
+FROM rsplit WHERE split <> 'train'"""
+ORACLE["m06_dummy_stratified"] = _with(_RSPLIT, """cls AS (
+  SELECT label AS prediction, hi - w AS lo, hi FROM (
+    SELECT label, w, sum(w) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi FROM (
+      SELECT label, n / sum(n) OVER () AS w FROM (
+        SELECT label, count(*) AS n FROM rsplit WHERE split = 'train' GROUP BY label) c) c2) c3
+), t AS (
+  SELECT *, (('0x' || substr(md5(concat_ws('-', 3, review_id)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u
+  FROM rsplit WHERE split <> 'train'
+)""") + """SELECT t.review_id, t.split, t.label, c.prediction FROM t JOIN cls c
+  ON t.u >= c.lo AND (t.u < c.hi OR c.hi >= 0.999999999)"""
+
+_LEX_ROWS = sorted({(l, (w or '').lower(), 5 if c == 'joy' else 1) for (l, _i, c, w, _g, _f) in _cp.EMOTIONS
+                    if w and c in ('joy', 'anger', 'sadness', 'fear')})
+_SCORED = _CORPUS_INPUTS + f""",
+lex AS (SELECT * FROM {_vals(_LEX_ROWS, "lang, word, stars", "lx")}),
+scored AS (
+  SELECT c.lang, c.emotion, c.bias_type, c.side, c.grp, c.pair_id, c.sentence,
+    coalesce(CAST(round(avg(lex.stars)) AS INTEGER), 3) AS label
+  FROM corpus_long c
+  LEFT JOIN (SELECT lang, emotion, bias_type, side, pair_id, unnest({_tokens('sentence')}) AS w FROM corpus_long) t
+    ON t.lang = c.lang AND t.emotion = c.emotion AND t.bias_type = c.bias_type AND t.side = c.side AND t.pair_id = c.pair_id
+  LEFT JOIN lex ON lex.lang = t.lang AND lex.word = t.w
+  GROUP BY c.lang, c.emotion, c.bias_type, c.side, c.grp, c.pair_id, c.sentence
+),
+scored_pairs AS (
+  SELECT lang, emotion, bias_type, pair_id, max(CASE WHEN side = 1 THEN label END) AS label_1,
+    max(CASE WHEN side = 2 THEN label END) AS label_2, max(CASE WHEN side = 1 THEN grp END) AS bias_cat_1,
+    max(CASE WHEN side = 2 THEN grp END) AS bias_cat_2
+  FROM scored GROUP BY lang, emotion, bias_type, pair_id
+)"""
+ORACLE["m09_corpus_bias"] = _with(_SCORED) + bias_stats_select("scored_pairs", ["lang", "bias_type", "emotion"])
+ORACLE["m09_corpus_performance"] = _with(_SCORED, f"""ev AS (
+  SELECT bias_type, grp, {_GOLD} AS gold_label, {_pol('label')} AS pred FROM scored
+), nest AS (
+  SELECT 'group' AS level, bias_type, grp, gold_label, pred FROM ev
+  UNION ALL SELECT 'bias_type', bias_type, '', gold_label, pred FROM ev
+  UNION ALL SELECT 'all', '', '', gold_label, pred FROM ev
+)""", class_table_ctes("m", "nest", ["level", "bias_type", "grp"], "gold_label", "pred")) + """SELECT level, bias_type,
+  grp, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
+  CAST(sum(support) AS BIGINT) AS support, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc
+FROM m_cls GROUP BY level, bias_type, grp"""

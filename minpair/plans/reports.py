@@ -553,3 +553,133 @@ def results_roundtrip(spark, sf_dir):
     schema = T.StructType(tables.SUMMARY_SCHEMA.fields + [T.StructField("seed", T.IntegerType())])
     back = tables.read_result_csv(spark, path, schema).drop("source_file")
     return rounded(back)
+
+
+# --- text and models ---------------------------------------------------------------------------------
+
+from minpair.operators import ml, text  # noqa: E402
+from minpair.functions.text import word_tokens as _word_tokens  # noqa: E402
+
+
+def _documents(spark, sf_dir, *cols):
+    from minpair.sources.tables import table as _t
+    return _t(spark, sf_dir, "documents").select(*cols)
+
+
+@report("t03_normalise")
+def normalise(spark, sf_dir):
+    return text.normalise(_documents(spark, sf_dir, "doc_id", "text"), "text").select("doc_id", "normalised")
+
+
+@report("t10_word_tokens")
+def word_tokens(spark, sf_dir):
+    d = text.tokens(_documents(spark, sf_dir, "doc_id", "text"), "text")
+    return d.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@report("m03_term_counts")
+def term_counts(spark, sf_dir):
+    return ml.term_counts(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text")
+
+
+@report("m04_tfidf")
+def tfidf(spark, sf_dir):
+    return rounded(ml.tfidf(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text"))
+
+
+def _profiles(spark, sf_dir):
+    return text.trigram_profiles(_documents(spark, sf_dir, "doc_id", "text", "lang"), "doc_id", "text", "lang")
+
+
+@report("t04_identify_language")
+def identify_language(spark, sf_dir):
+    """Trigram language profiles learnt from the documents, applied to every document."""
+    det = text.identify_language(_documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text", _profiles(spark, sf_dir))
+    return rounded(det.select("doc_id", "detected_lang", F.round("score", 3).alias("score")))
+
+
+@report("a24_texts_by_language")
+def texts_by_language(spark, sf_dir):
+    """Conversation turns by role and detected language (rollup totals)."""
+    from minpair.sources.tables import table as _t
+    conv = _t(spark, sf_dir, "conversations").select(
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("tid"), "role", "text")
+    det = text.identify_language(conv, "tid", "text", _profiles(spark, sf_dir))
+    return text.texts_by_language(det.join(conv.select("tid", "role"), "tid"), ["role"])
+
+
+@report("t05_script_flags")
+def script_flags(spark, sf_dir):
+    d = text.script_flags(_documents(spark, sf_dir, "doc_id", "text", "lang"), "text")
+    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_han").alias("n_han"))
+
+
+def _review_splits(spark, sf_dir):
+    r = prep.format_data(views.reviews(spark, sf_dir))
+    r = r.withColumn("class_id", (F.col("label") - 1).cast("double"))
+    return prep.split_by_hash(r, "review_id", seed=42)
+
+
+@report("m06_dummy_most_frequent")
+def dummy_most_frequent(spark, sf_dir):
+    s = _review_splits(spark, sf_dir)
+    pred = ml.dummy_predictions(s.where(F.col("split") == "train"), s.where(F.col("split") != "train"),
+                                "label", "review_id", "most_frequent")
+    return pred.select("review_id", "split", "label", "prediction")
+
+
+@report("m06_dummy_stratified")
+def dummy_stratified(spark, sf_dir):
+    s = _review_splits(spark, sf_dir)
+    pred = ml.dummy_predictions(s.where(F.col("split") == "train"), s.where(F.col("split") != "train"),
+                                "label", "review_id", "stratified", seed=3)
+    return pred.select("review_id", "split", "label", "prediction")
+
+
+@report("m07_linear_baseline_report")
+def linear_baseline_report(spark, sf_dir):
+    """M05 + M07: bag-of-words one-vs-rest linear SVM on the train split, report on validation."""
+    s = _review_splits(spark, sf_dir)
+    model = ml.train_linear(s.where(F.col("split") == "train"), "text", "class_id")
+    val = model.transform(s.where(F.col("split") != "train")).withColumn("pred_stars", (F.col("prediction") + 1).cast("int"))
+    return rounded(perf.classification_report(val, ["split"], "label", "pred_stars", labels=[1, 2, 3, 4, 5]))
+
+
+def _lexicon_scored(spark, sf_dir):
+    c = corpus.corpus_long(_corpus(spark, sf_dir))
+    lex = ml.lexicon_model(corpus_parts.emotions(spark))
+    return ml.score_lexicon(c, "sentence", lex)
+
+
+@report("m09_corpus_bias")
+def corpus_bias(spark, sf_dir):
+    """The corpus scored by a lexicon model learnt from the emotion sheet; bias statistics per
+    language, bias type and emotion (J08 + M08 + J06 + A04)."""
+    scored = _lexicon_scored(spark, sf_dir)
+    pairs = scored.groupBy("lang", "emotion", "bias_type", "pair_id").agg(
+        F.max(F.when(F.col("side") == 1, F.col("label"))).alias("label_1"),
+        F.max(F.when(F.col("side") == 2, F.col("label"))).alias("label_2"),
+        F.max(F.when(F.col("side") == 1, F.col("grp"))).alias("bias_cat_1"),
+        F.max(F.when(F.col("side") == 2, F.col("grp"))).alias("bias_cat_2"))
+    return rounded(bias.bias_stats(pairs, ["lang", "bias_type", "emotion"]))
+
+
+@report("m09_corpus_performance")
+def corpus_performance(spark, sf_dir):
+    """Nested performance of the lexicon scorer against the emotion gold labels."""
+    scored = ml.evaluate_scorer(None, _lexicon_scored(spark, sf_dir))
+    return rounded(perf.nested_performance(scored, "gold_label", "pred_polarity", "bias_type", "grp"))
+
+
+@report("t11_encode_pairs")
+def encode_pairs(spark, sf_dir):
+    """Body / title pairs of the reviews encoded to 500 ids with mask and segments (vocabulary
+    built from the same reviews)."""
+    r = views.reviews(spark, sf_dir).select("review_id", "review_body", "review_title")
+    tc = ml.term_counts(r.select("review_id", F.concat_ws(" ", "review_body", "review_title").alias("t")),
+                        "review_id", "t")
+    vocab = ml.build_vocabulary(tc).select("term", "id")
+    enc = ml.encode_pairs(r, "review_id", "review_body", "review_title", vocab)
+    return enc.select("review_id", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
+                      F.aggregate("token_type_ids", F.lit(0), lambda a, x: a + x).alias("n_second"))
