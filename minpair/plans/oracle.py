@@ -658,3 +658,19 @@ ORACLE["m09_corpus_performance"] = _with(_SCORED, f"""ev AS (
   grp, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
   CAST(sum(support) AS BIGINT) AS support, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc
 FROM m_cls GROUP BY level, bias_type, grp"""
+
+
+# --- nearest words ------------------------------------------------------------------------------------
+
+_KNN = """wv AS (SELECT 'w' || CAST(vec_id AS VARCHAR) AS word, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+seeds AS (SELECT 'w' || CAST(min(vec_id) AS VARCHAR) AS word FROM embeddings GROUP BY label),
+sv AS (SELECT s.word, w.v FROM seeds s JOIN wv w USING (word)),
+sims AS (
+  SELECT sv.word AS seed, wv.word,
+    list_dot_product(sv.v, wv.v) / (sqrt(list_dot_product(sv.v, sv.v)) * sqrt(list_dot_product(wv.v, wv.v))) AS similarity
+  FROM sv CROSS JOIN wv
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, word) AS rank FROM sims)"""
+ORACLE["w02_nearest_words"] = _with(_KNN) + """SELECT seed, word, round(similarity, 6) AS similarity,
+  CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20"""
+ORACLE["u09_neighbour_set"] = _with(_KNN) + "SELECT DISTINCT word FROM ranked WHERE rank <= 20"

@@ -683,3 +683,28 @@ def encode_pairs(spark, sf_dir):
     return enc.select("review_id", F.array_join("input_ids", " ").alias("input_ids"),
                       F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"),
                       F.aggregate("token_type_ids", F.lit(0), lambda a, x: a + x).alias("n_second"))
+
+
+# --- nearest words ------------------------------------------------------------------------------------
+
+from minpair.operators import neighbors  # noqa: E402
+
+
+def _seed_words(spark, sf_dir):
+    """Seeds of the binding: one prototype word per embedding label (the lowest id of each)."""
+    wv = views.word_vectors(spark, sf_dir)
+    return wv.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select(
+        F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"))
+
+
+@report("w02_nearest_words")
+def nearest_words(spark, sf_dir):
+    wv = views.word_vectors(spark, sf_dir).select("word", "vector")
+    nn = neighbors.nearest_words(wv, _seed_words(spark, sf_dir), k=20)
+    return rounded(nn)
+
+
+@report("u09_neighbour_set")
+def neighbour_set(spark, sf_dir):
+    wv = views.word_vectors(spark, sf_dir).select("word", "vector")
+    return neighbors.neighbour_set(neighbors.nearest_words(wv, _seed_words(spark, sf_dir), k=20))
