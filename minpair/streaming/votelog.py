@@ -1,0 +1,35 @@
+"""Vote-log statistics over a growing folder of log files (S17 + T12 + A26 as a stream).
+
+The batch readers accept the same lines; as a stream, new log files are picked up incrementally and
+the kind counts are kept in Spark's state store (complete mode, a handful of keys). The checkpoint
+lives under the session's shared ``spark.checkpoint.dir`` so a restarted driver resumes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from minpair.operators.vote import parse_vote_log
+from minpair.session import shared_path
+
+
+def vote_log_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Streaming parse of log lines: ``(kind, label_a, label_b, tie_pair)``."""
+    lines = spark.readStream.format("text").load(folder)
+    return parse_vote_log(lines)
+
+
+def kind_counts(parsed: DataFrame) -> DataFrame:
+    return parsed.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def start_kind_counts(spark: SparkSession, folder: str, table: str, name: str = "vote_log_counts",
+                      available_now: bool = True) -> StreamingQuery:
+    """Run the counts into an in-memory table ``table`` (complete output mode)."""
+    q = (kind_counts(vote_log_stream(spark, folder)).writeStream
+         .outputMode("complete").format("memory").queryName(table)
+         .option("checkpointLocation", shared_path(spark, f"stream-{name}")))
+    q = q.trigger(availableNow=True) if available_now else q.trigger(processingTime="10 seconds")
+    return q.start()

@@ -11,6 +11,7 @@ import sys
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -32,6 +33,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if math.isinf(v):
+            return v
         if v == int(v) and abs(v) < 1e15:
             return int(v)
         return round(v, 6)

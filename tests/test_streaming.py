@@ -1,0 +1,23 @@
+"""Streaming vote-log counts over files."""
+
+import os
+import uuid
+
+from minpair.streaming.votelog import start_kind_counts
+
+
+def test_vote_log_stream(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text(
+        "disagreement, all different votes, returning middle\n"
+        "disagreement, two labels are tied, arbitrarily picking one, labels: 4, 2 \n"
+        "some other line\n")
+    (folder / "b.log").write_text(
+        "disagreement, two labels are tied, arbitrarily picking one, labels: 2, 4 \n"
+        "disagreement, only one vote has more, using it\n")
+    table = "vl_" + uuid.uuid4().hex[:8]
+    q = start_kind_counts(spark, str(folder), table, name=table)
+    q.awaitTermination(120)
+    got = {r["kind"]: r["n"] for r in spark.sql(f"SELECT * FROM {table}").collect()}
+    assert got == {"no_winner": 1, "tie": 2, "one_winner": 1}
