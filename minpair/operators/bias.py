@@ -97,3 +97,17 @@ def complete_bias_types(pairs: DataFrame, missing: DataFrame, keys: list[str]) -
     """Drop the slices (keys + bias_type) that miss a catalogue group."""
     bad = missing.select(*keys, "bias_type").distinct()
     return pairs.join(bad, [*keys, "bias_type"], "left_anti")
+
+
+def attach_sides(predictions: DataFrame, sides: DataFrame) -> DataFrame:
+    """Bias type and side of each prediction from the catalogue ``(lang, bias_type, grp,
+    side)`` (broadcast equi-join on language and group; groups outside the catalogue drop out)."""
+    return predictions.join(F.broadcast(sides), ["lang", "grp"])
+
+
+def mean_labels(df: DataFrame, keys: list[str], group: str = "grp", extra: str = "emotion",
+                label: str = "label") -> DataFrame:
+    """Mean label per (keys, group) and per (keys, group, extra) in one grouping-set pass."""
+    g = df.groupingSets([[*keys, group], [*keys, group, extra]], *keys, group, extra).agg(
+        F.count(label).alias("n"), F.avg(F.col(label).cast("double")).alias("mean_label"))
+    return g.withColumn("level", F.when(F.col(extra).isNull(), F.lit(group)).otherwise(F.lit(extra)))

@@ -158,3 +158,22 @@ def corpus_sizes(pairs: DataFrame) -> DataFrame:
 def first_sentences(pairs: DataFrame, n: int = 11) -> DataFrame:
     """The first ``n`` pairs of every (lang, emotion, bias type) - a filter on the dense id."""
     return pairs.where(F.col("pair_id") < n)
+
+
+PEOPLE_HEADER = ["person_1", "person_2", "person_1_type", "person_2_type", "bias_type", "grammar"]
+
+
+def check_people_header(people: DataFrame, expected: list[str] | None = None) -> None:
+    """The first six people columns must come in the fixed order (raises otherwise)."""
+    expected = expected or PEOPLE_HEADER
+    cols = [c for c in people.columns if c not in ("lang", "person_idx")][:len(expected)]
+    if cols != expected:
+        raise ValueError(f"people columns out of order: expected {expected}, got {cols}")
+
+
+def score_runs(corpus: DataFrame, runs: list[tuple]) -> DataFrame:
+    """Every run scores every sentence - the corpus times a fixed run registry, written as a
+    generator over the registry list (no join); ``runs`` are ``(seed, seed_rank, steps)`` tuples."""
+    arr = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(r).alias("seed_rank"), F.lit(st).alias("steps"))
+                    for s, r, st in runs])
+    return corpus.select("*", F.explode(arr).alias("__run")).select(*corpus.columns, "__run.*")

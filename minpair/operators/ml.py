@@ -26,17 +26,24 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def tfidf(df: DataFrame, id_col: str, text_col: str, max_broadcast_terms: int = 5_000_000) -> DataFrame:
     """M04 (long form): ``tf * (ln((1 + N) / (1 + df)) + 1)``, L2-normalised per document.
 
-    N counts documents with at least one token... plus empty ones: all rows of ``df``.
+    ``N`` is the number of rows of ``df``. Plan: tokens are hash-partitioned by document once; the
+    term counts, the idf join (idf broadcast after a size check, materialised by a checkpoint) and
+    the per-document norm window all reuse that partitioning, so the only other shuffle is the
+    partially aggregated document-frequency count. Above the broadcast bound the idf join shuffles
+    by term (AQE splits hot terms).
     """
-    tc = term_counts(df, id_col, text_col)
+    toks = df.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term")).repartition(id_col)
+    tc = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    dfreq = dfreq.withColumn("__k", F.lit(0)).join(F.broadcast(n_docs.withColumn("__k", F.lit(0))), "__k").drop("__k")
-    idf = dfreq.select("term", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tc.join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
+    dfreq = term_counts(df, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = dfreq.crossJoin(F.broadcast(n_docs)).select(  # n_docs is one aggregated row
+        "term", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    idf = idf.checkpoint(eager=True)
+    from minpair.operators.joins import join_dimension
+    w = join_dimension(tc, idf, ["term"], max_broadcast_terms).withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "n", (F.col("w") / norm).alias("tfidf"))
 

@@ -674,3 +674,29 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY similarity DE
 ORACLE["w02_nearest_words"] = _with(_KNN) + """SELECT seed, word, round(similarity, 6) AS similarity,
   CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 20"""
 ORACLE["u09_neighbour_set"] = _with(_KNN) + "SELECT DISTINCT word FROM ranked WHERE rank <= 20"
+
+
+# --- remaining statistics ------------------------------------------------------------------------
+
+ORACLE["a23_mean_labels"] = _with(votes_cte()) + """SELECT lang, seed, steps, grp, emotion, count(label) AS n,
+  round(avg(CAST(label AS DOUBLE)), 6) AS mean_label, CASE WHEN emotion IS NULL THEN 'grp' ELSE 'emotion' END AS level
+FROM votes GROUP BY GROUPING SETS ((lang, seed, steps, grp), (lang, seed, steps, grp, emotion))"""
+
+_SIDES_ROWS = [(l, bt, g, s) for l, bt, c1, c2 in _dims.BIAS_CATALOGUE for g, s in ((c1, 1), (c2, 2))]
+ORACLE["j05_catalogue_sides"] = _with(votes_cte()) + f"""SELECT c.lang, c.bias_type, c.side, count(*) AS n,
+  CAST(sum(v.label) AS BIGINT) AS label_sum
+FROM votes v JOIN {_vals(_SIDES_ROWS, "lang, bias_type, grp, side", "c")} ON c.lang = v.lang AND c.grp = v.grp
+GROUP BY c.lang, c.bias_type, c.side"""
+
+_GS_KEYS = ["lang", "bias_type", "steps"]
+ORACLE["a03_a04_grouping_sets"] = _with(votes_cte(), ensemble_cte(), """ens_all AS (
+  SELECT lang, bias_type, steps, bias_cat_1, bias_cat_2, CAST(NULL AS VARCHAR) AS emotion, label_1, label_2 FROM ens
+  UNION ALL SELECT lang, bias_type, steps, bias_cat_1, bias_cat_2, emotion, label_1, label_2 FROM ens
+), ens_tagged AS (SELECT *, coalesce(emotion, '<all>') AS emo_key FROM ens_all)""") + f"""SELECT lang, bias_type, steps,
+  CASE WHEN emo_key = '<all>' THEN NULL ELSE emo_key END AS emotion, bias_cat_1_name, bias_cat_2_name, n_pairs,
+  bias_cat_1_mean, bias_cat_2_mean, performance_gap, t_statistic, statistical_significance
+FROM ({bias_stats_select("ens_tagged", ["lang", "bias_type", "steps", "emo_key"])}) q"""
+
+ORACLE["j08_scored_runs"] = _with(_SCORED) + f"""SELECT r.seed, r.steps, s.lang, s.label, count(*) AS n
+FROM scored s CROSS JOIN (SELECT * FROM {_vals([(s, st) for s, _ in _dims.SEEDS for st in _dims.STEPS], "seed, steps", "rr")}) r
+GROUP BY r.seed, r.steps, s.lang, s.label"""

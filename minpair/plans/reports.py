@@ -708,3 +708,34 @@ def nearest_words(spark, sf_dir):
 def neighbour_set(spark, sf_dir):
     wv = views.word_vectors(spark, sf_dir).select("word", "vector")
     return neighbors.neighbour_set(neighbors.nearest_words(wv, _seed_words(spark, sf_dir), k=20))
+
+
+# --- remaining statistics ------------------------------------------------------------------------
+
+@report("a23_mean_labels")
+def mean_labels(spark, sf_dir):
+    """Mean predicted label per group, and per group and emotion, for every run and step."""
+    return rounded(bias.mean_labels(views.votes(spark, sf_dir), ["lang", "seed", "steps"]))
+
+
+@report("j05_catalogue_sides")
+def catalogue_sides(spark, sf_dir):
+    """Predictions keyed by group name get bias type and side from the catalogue (languages without
+    a catalogue entry drop out); counts per language, bias type and side."""
+    v = views.votes(spark, sf_dir).select("lang", "grp", "label")
+    j = bias.attach_sides(v, dims.bias_sides(spark))
+    return j.groupBy("lang", "bias_type", "side").agg(F.count(F.lit(1)).alias("n"),
+                                                      F.sum("label").cast("bigint").alias("label_sum"))
+
+
+@report("a03_a04_grouping_sets")
+def grouping_sets(spark, sf_dir):
+    """Overall and per-emotion ensemble statistics in one grouping-set aggregation."""
+    return rounded(bias.bias_stats_sets(_ensemble(spark, sf_dir), ["lang", "bias_type", "steps"]))
+
+
+@report("j08_scored_runs")
+def scored_runs(spark, sf_dir):
+    """The corpus scored by every run of the registry (lexicon scorer), label counts per run."""
+    scored = corpus.score_runs(_lexicon_scored(spark, sf_dir), [(s, r, st) for s, r in dims.SEEDS for st in dims.STEPS])
+    return scored.groupBy("seed", "steps", "lang", "label").agg(F.count(F.lit(1)).alias("n"))
