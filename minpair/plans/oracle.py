@@ -700,3 +700,8 @@ FROM ({bias_stats_select("ens_tagged", ["lang", "bias_type", "steps", "emo_key"]
 ORACLE["j08_scored_runs"] = _with(_SCORED) + f"""SELECT r.seed, r.steps, s.lang, s.label, count(*) AS n
 FROM scored s CROSS JOIN (SELECT * FROM {_vals([(s, st) for s, _ in _dims.SEEDS for st in _dims.STEPS], "seed, steps", "rr")}) r
 GROUP BY r.seed, r.steps, s.lang, s.label"""
+
+ORACLE["j12_missing_groups"] = _with(votes_cte()) + f"""SELECT s.lang, s.steps, c.bias_type, c.grp, c.side
+FROM (SELECT DISTINCT lang, steps FROM votes) s JOIN {_vals(_SIDES_ROWS, "lang, bias_type, grp, side", "c")} ON c.lang = s.lang
+WHERE NOT EXISTS (SELECT 1 FROM votes v WHERE v.lang = s.lang AND v.steps = s.steps AND v.bias_type = c.bias_type
+                  AND v.grp = c.grp)"""
