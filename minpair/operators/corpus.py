@@ -126,7 +126,9 @@ def build_corpus(templates: DataFrame, emotions: DataFrame, people: DataFrame, g
     sentence_1, sentence_2)`` plus the order columns."""
     sents = fill_emotions(templates, emotions, grammar_cat, agreement_langs)
     cand = fill_people(sents, people, grammar_cat, agreement_langs)
-    return number_pairs(dedupe_pairs(cand))
+    # Numbering reads the de-duplicated pairs twice (bucket counts, rows): materialise them once
+    # in the shared checkpoint folder rather than re-running the expansion joins.
+    return number_pairs(dedupe_pairs(cand).checkpoint(eager=True))
 
 
 def corpus_long(pairs: DataFrame) -> DataFrame:

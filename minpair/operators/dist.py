@@ -55,24 +55,20 @@ def wasserstein(df: DataFrame, keys: list[str], sample: str, value: str, a, b) -
 def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles (linear interpolation) and Tukey whiskers (extreme values within 1.5 IQR).
 
-    Spark's exact ``percentile`` keeps a value -> count map per group, so memory follows the number
-    of distinct values (a handful for labels and gaps), not the number of rows.
+    One chain over the per-value counts: the weighted ``percentile`` and the fences are window
+    aggregates over a slice's distinct values, the whiskers a final ``groupBy``.
     """
     v = F.col(value).cast("double")
-    q = df.groupBy(*keys).agg(
-        F.percentile(v, [0.25, 0.5, 0.75]).alias("q"), F.count(v).alias("n"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
-    q = q.select(*keys, "n", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
-    q = q.withColumns({"lo_fence": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")),
-                       "hi_fence": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))})
-    # Whiskers need the fences: second pass over per-value counts (bounded), joined to the slices.
-    vc = df.groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    j = vc.join(q.select(*keys, "lo_fence", "hi_fence"), keys)
-    wh = j.groupBy(*keys).agg(
-        F.min(F.when(F.col("v") >= F.col("lo_fence"), F.col("v"))).alias("whisker_low"),
-        F.max(F.when(F.col("v") <= F.col("hi_fence"), F.col("v"))).alias("whisker_high"))
-    return q.join(wh, keys).drop("lo_fence", "hi_fence")
+    vc = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*keys)
+    vc = vc.withColumn("q", F.percentile(F.col("v"), [0.25, 0.5, 0.75], F.col("c")).over(w))
+    vc = vc.withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]})
+    lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
+    hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
+    return vc.groupBy(*keys, "q1", "median", "q3").agg(
+        F.sum("c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("whisker_low"),
+        F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("whisker_high"))
 
 
 def point_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -138,13 +134,13 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 1
     u1 = _uniform(key_str, F.col("b"), F.lit(seed), F.lit(1))
     u2 = _uniform(key_str, F.col("b"), F.lit(seed), F.lit(2))
     reps = reps.withColumn("w", _poisson(F.col("c"), u1, u2).cast("double"))
-    means = reps.groupBy(*keys, "b").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
+    means = reps.groupBy(*keys, "b").agg(
+        F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"),
+        (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("point"), F.sum("c").alias("n"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
-    ci = means.groupBy(*keys).agg(F.percentile("m", [lo, hi]).alias("q"))
-    point = cells.groupBy(*keys).agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
-                                     F.sum("c").cast("bigint").alias("n"))
-    return point.join(ci, keys).select(*keys, "n", "mean", F.col("q")[0].alias("ci_low"),
-                                       F.col("q")[1].alias("ci_high"))
+    ci = means.groupBy(*keys).agg(F.first("n").cast("bigint").alias("n"), F.first("point").alias("mean"),
+                                  F.percentile("m", [lo, hi]).alias("q"))
+    return ci.select(*keys, "n", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
 def kde_density(df: DataFrame, keys: list[str], value: str, grid_points: int = 64,
@@ -152,23 +148,24 @@ def kde_density(df: DataFrame, keys: list[str], value: str, grid_points: int = 6
     """Gaussian kernel density per slice on an even grid (violin outline).
 
     Bandwidth by Scott's rule ``sd * n^(-1/5)``; the grid spans ``[min - cut*bw, max + cut*bw]``.
-    The kernel sum is an equi-join of the grid with the slice's distinct values (both bounded).
+    A slice's distinct values (bounded for labels and gaps) are gathered once; the grid is a
+    generator and the kernel sum an ``aggregate`` over that small array - no join.
     """
     v = F.col(value).cast("double")
     cells = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     st = cells.groupBy(*keys).agg(
-        F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
-        F.min("v").alias("vmin"), F.max("v").alias("vmax"),
-        F.sum(F.col("c") * F.col("v") * F.col("v")).alias("s2"))
+        F.collect_list(F.struct("v", "c")).alias("vc"), F.sum("c").alias("n"),
+        (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
+        F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("s2"))
     var = (F.col("s2") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)
     st = st.withColumn("bw", F.sqrt(F.greatest(var, F.lit(0.0))) * F.pow(F.col("n").cast("double"), -0.2))
     st = st.where(F.col("bw") > 0)
     lo = F.col("vmin") - cut * F.col("bw")
     step = (F.col("vmax") - F.col("vmin") + 2 * cut * F.col("bw")) / (grid_points - 1)
-    grid = st.select(*keys, "n", "bw", lo.alias("lo"), step.alias("step"),
+    grid = st.select(*keys, "vc", "n", "bw", lo.alias("lo"), step.alias("step"),
                      F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1))).alias("gi"))
     grid = grid.withColumn("x", F.col("lo") + F.col("gi") * F.col("step"))
-    j = grid.join(cells, keys)
-    zz = (F.col("x") - F.col("v")) / F.col("bw")
-    dens = F.sum(F.col("c") * F.exp(-0.5 * zz * zz)) / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
-    return j.groupBy(*keys, "gi", "x", "n", "bw").agg(dens.alias("density")).drop("n", "bw")
+    kern = F.aggregate("vc", F.lit(0.0), lambda acc, e: acc + e["c"] * F.exp(
+        -0.5 * ((F.col("x") - e["v"]) / F.col("bw")) * ((F.col("x") - e["v"]) / F.col("bw"))))
+    dens = kern / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))
+    return grid.select(*keys, "gi", "x", dens.alias("density"))

@@ -36,12 +36,13 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_broadcast_terms: int =
     by term (AQE splits hot terms).
     """
     toks = df.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term")).repartition(id_col)
-    tc = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
+    # Term counts are read twice (document frequencies, weights): materialise them once. The
+    # checkpoint keeps the by-document partitioning, so the norm window below needs no shuffle.
+    tc = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    dfreq = term_counts(df, id_col, text_col).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.crossJoin(F.broadcast(n_docs)).select(  # n_docs is one aggregated row
         "term", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    idf = idf.checkpoint(eager=True)
     from minpair.operators.joins import join_dimension
     w = join_dimension(tc, idf, ["term"], max_broadcast_terms).withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))

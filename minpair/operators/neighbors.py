@@ -51,13 +51,19 @@ def nearest_words(vectors: DataFrame, seeds: DataFrame, k: int = 20, max_seeds_p
     """
     vec = vectors.select(F.lower("word").alias("word") if lower else "word", "vector")
     seed_vecs = seeds.select(F.lower("word").alias("word") if lower else "word").distinct().join(vec, "word")
-    n_seeds = seed_vecs.count()
+    # One bounded collect decides the plan: up to the block size the seeds are one broadcast block.
+    first = seed_vecs.orderBy("word").limit(max_seeds_per_block + 1).collect()
+    if len(first) <= max_seeds_per_block:
+        blocks = [first]
+    else:  # larger seed lists: consecutive blocks of the sorted seed list, each collected alone
+        ordered = seed_vecs.orderBy("word")
+        n_seeds = seed_vecs.count()
+        blocks = (ordered.offset(start).limit(max_seeds_per_block).collect()
+                  for start in range(0, n_seeds, max_seeds_per_block))
     parts = []
-    # Blocks of seeds, each small enough to broadcast; rows are ordered by word for stable blocks.
-    block_ids = seed_vecs.select("word").orderBy("word")
-    for start in range(0, n_seeds, max_seeds_per_block):
-        block = block_ids.offset(start).limit(max_seeds_per_block) if n_seeds > max_seeds_per_block else block_ids
-        rows = block.join(seed_vecs, "word").collect()  # bounded by max_seeds_per_block
+    for rows in blocks:
+        if not rows:
+            continue
         words = [r["word"] for r in rows]
         mat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
         nrm = np.linalg.norm(mat, axis=1)

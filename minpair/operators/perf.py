@@ -61,8 +61,13 @@ def class_table(counts: DataFrame, keys: list[str], labels: list | None = None)
     out = per.groupBy(*keys, "cls").agg(F.sum("tp").alias("tp"), F.sum("gold_n").alias("support"),
                                         F.sum("pred_n").alias("pred_n"))
     if labels is not None:
-        grid = counts.select(*keys).distinct().select(*keys, F.explode(F.array(*[F.lit(v) for v in labels])).alias("cls"))
-        out = grid.join(out, [*keys, "cls"], "left").fillna(0, subset=["tp", "support", "pred_n"])
+        # fixed class list: complete every slice from a bounded per-slice map (no join back)
+        per_slice = out.groupBy(*keys).agg(F.map_from_entries(F.collect_list(
+            F.struct("cls", F.struct("tp", "support", "pred_n")))).alias("m"))
+        g = per_slice.select(*keys, "m", F.explode(F.array(*[F.lit(v) for v in labels])).alias("cls"))
+        v = F.try_element_at(F.col("m"), F.col("cls"))
+        out = g.select(*keys, "cls", *[F.coalesce(v[c], F.lit(0)).cast("bigint").alias(c)
+                                       for c in ("tp", "support", "pred_n")])
     return out.withColumns(_class_metrics())
 
 
@@ -123,40 +128,61 @@ def classification_report(df: DataFrame, keys: list[str], gold: str, pred: str,
     """
     counts = confusion_counts(df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()), keys, gold, pred)
     classes = class_table(counts, keys, labels)
-    per_class = classes.select(*keys, F.col("cls").cast("string").alias("row"), "precision", "recall", "f1", "support")
-    tot = classes.groupBy(*keys).agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.sum("support").alias("sup"), F.sum("tp").alias("tp"),
-        F.sum(F.col("precision") * F.col("support")).alias("wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("wr"),
-        F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    summary = tot.select(*keys, F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
-                 F.lit(None).cast("double").alias("recall"),
-                 F.try_divide(F.col("tp").cast("double"), F.col("sup")).alias("f1"), F.col("sup").alias("support")),
-        F.struct(F.lit("macro avg").alias("row"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1"), F.col("sup").alias("support")),
-        F.struct(F.lit("weighted avg").alias("row"), F.try_divide(F.col("wp"), F.col("sup")).alias("precision"),
-                 F.try_divide(F.col("wr"), F.col("sup")).alias("recall"),
-                 F.try_divide(F.col("wf"), F.col("sup")).alias("f1"), F.col("sup").alias("support")),
-    )).alias("s")).select(*keys, "s.*")
-    return per_class.unionByName(summary)
+    # One aggregation per slice over its (few) classes; class rows and summary rows are generated
+    # from that bounded array, so the input is read once.
+    cs = classes.groupBy(*keys).agg(F.collect_list(F.struct(
+        F.col("cls").cast("string").alias("row"), "precision", "recall", "f1", "support", "tp")).alias("cs"))
+    k = F.size("cs").cast("double")
+    sup = F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, x: a + x["support"])
+    tp = F.aggregate("cs", F.lit(0).cast("bigint"), lambda a, x: a + x["tp"])
+
+    def mean(f):
+        return F.aggregate("cs", F.lit(0.0), lambda a, x: a + x[f]) / k
+
+    def weighted(f):
+        return F.try_divide(F.aggregate("cs", F.lit(0.0), lambda a, x: a + x[f] * x["support"]), sup)
+
+    def row(name, p, r, f1):
+        return F.struct(F.lit(name).alias("row"), p.cast("double").alias("precision"), r.cast("double").alias("recall"),
+                        f1.cast("double").alias("f1"), sup.alias("support"))
+
+    per_class = F.transform("cs", lambda x: F.struct(x["row"].alias("row"), x["precision"].alias("precision"),
+                                                     x["recall"].alias("recall"), x["f1"].alias("f1"),
+                                                     x["support"].alias("support")))
+    summary = F.array(row("accuracy", F.lit(None), F.lit(None), F.try_divide(tp.cast("double"), sup)),
+                      row("macro avg", mean("precision"), mean("recall"), mean("f1")),
+                      row("weighted avg", weighted("precision"), weighted("recall"), weighted("f1")))
+    return cs.select(*keys, F.explode(F.concat(per_class, summary)).alias("s")).select(*keys, "s.*")
 
 
 def confusion_matrix(df: DataFrame, keys: list[str], row: str, col: str, labels: list) -> DataFrame:
     """Full ``labels x labels`` grid of counts per slice (rows = first argument).
 
-    The grid is a generator over the fixed label list, not a join of data; labels outside the list
-    are ignored.
+    One pass: cell counts over all rows (partial aggregation), the slice list taken from those counts
+    and the grid generated from the fixed label list; labels outside the list are ignored.
     """
-    counts = (df.where(F.col(row).isin(*labels) & F.col(col).isin(*labels))
-              .groupBy(*keys, F.col(row).alias("row_label"), F.col(col).alias("col_label"))
-              .agg(F.count(F.lit(1)).alias("n")))
+    inside = F.col(row).isin(*labels) & F.col(col).isin(*labels)
+    cells = (df.groupBy(*keys, F.when(inside, F.col(row)).alias("row_label"),
+                        F.when(inside, F.col(col)).alias("col_label"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    return _fill_grid(cells, keys, labels)
+
+
+def _fill_grid(cells: DataFrame, keys: list[str], labels: list) -> DataFrame:
+    """Complete the label grid of every slice from its (bounded) cell counts.
+
+    Each slice gathers its at most ``len(labels)**2`` counted cells into a map and the grid is a
+    generator over the fixed label list: one aggregation, no join back to the data (a join would let
+    the optimizer compute the slice list by a second pass over the input).
+    """
+    entry = F.when(F.col("row_label").isNotNull(),
+                   F.struct(F.struct(F.col("row_label").alias("r"), F.col("col_label").alias("c")), F.col("n")))
+    per = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     lab = F.array(*[F.lit(v) for v in labels])
-    grid = (df.select(*keys).distinct()
-            .select(*keys, F.explode(lab).alias("row_label"))
-            .select(*keys, "row_label", F.explode(lab).alias("col_label")))
-    return grid.join(counts, [*keys, "row_label", "col_label"], "left").fillna(0, subset=["n"])
+    g = per.select(*keys, "m", F.explode(lab).alias("row_label"))
+    g = g.select(*keys, "m", "row_label", F.explode(lab).alias("col_label"))
+    n = F.try_element_at(F.col("m"), F.struct(F.col("row_label").alias("r"), F.col("col_label").alias("c")))
+    return g.select(*keys, "row_label", "col_label", F.coalesce(n, F.lit(0)).cast("bigint").alias("n"))
 
 
 def confusion_wide(cm: DataFrame, keys: list[str], labels: list) -> DataFrame:
@@ -169,13 +195,19 @@ def confusion_difference(df_1: DataFrame, df_2: DataFrame, keys: list[str], row:
     """Cell-wise ``cm(df_1) - cm(df_2)`` in one pass over the union (+1 / -1 weights)."""
     u = (df_1.select(*keys, F.col(row).alias("r"), F.col(col).alias("c"), F.lit(1).alias("w"))
          .unionByName(df_2.select(*keys, F.col(row).alias("r"), F.col(col).alias("c"), F.lit(-1).alias("w"))))
-    u = u.where(F.col("r").isin(*labels) & F.col("c").isin(*labels))
-    diff = u.groupBy(*keys, F.col("r").alias("row_label"), F.col("c").alias("col_label")).agg(
-        F.sum("w").cast("bigint").alias("n"))
-    lab = F.array(*[F.lit(v) for v in labels])
-    grid = (u.select(*keys).distinct().select(*keys, F.explode(lab).alias("row_label"))
-            .select(*keys, "row_label", F.explode(lab).alias("col_label")))
-    return grid.join(diff, [*keys, "row_label", "col_label"], "left").fillna(0, subset=["n"])
+    inside = F.col("r").isin(*labels) & F.col("c").isin(*labels)
+    cells = u.groupBy(*keys, F.when(inside, F.col("r")).alias("row_label"),
+                      F.when(inside, F.col("c")).alias("col_label")).agg(F.sum("w").cast("bigint").alias("n"))
+    return _fill_grid(cells, keys, labels)
+
+
+def weighted_confusion(df: DataFrame, keys: list[str], row: str, col: str, weight: str, labels: list) -> DataFrame:
+    """A14 from one frame: cells summed with a per-row weight (+1 / -1), e.g. the two sides of a
+    pair stacked by :func:`sides_long` - one scan instead of a union of two."""
+    inside = F.col(row).isin(*labels) & F.col(col).isin(*labels)
+    cells = df.groupBy(*keys, F.when(inside, F.col(row)).alias("row_label"),
+                       F.when(inside, F.col(col)).alias("col_label")).agg(F.sum(weight).cast("bigint").alias("n"))
+    return _fill_grid(cells, keys, labels)
 
 
 def zero_diagonal(cm: DataFrame) -> DataFrame:

@@ -216,10 +216,13 @@ def confusion_matrix(spark, sf_dir):
 
 @report("a14_confusion_difference")
 def confusion_difference(spark, sf_dir):
+    """Gold-vs-prediction confusion of side 1 minus that of side 2 (polarity scale 0..2)."""
     pf = _polarity(spark, sf_dir)
-    return perf.confusion_difference(pf, pf.select(*[c for c in pf.columns if c != "polarity_1_int"],
-                                                   F.col("polarity_2_int").alias("polarity_1_int")),
-                                     ["bias_type", "steps"], "gold_label_int", "polarity_1_int", [0, 1, 2])
+    sides = F.array(F.struct(F.col("polarity_1_int").alias("p"), F.lit(1).alias("w")),
+                    F.struct(F.col("polarity_2_int").alias("p"), F.lit(-1).alias("w")))
+    long = pf.select("bias_type", "steps", "gold_label_int", F.explode(sides).alias("s")).select(
+        "bias_type", "steps", "gold_label_int", F.col("s.p").alias("polarity_1_int"), F.col("s.w").alias("w"))
+    return perf.weighted_confusion(long, ["bias_type", "steps"], "gold_label_int", "polarity_1_int", "w", [0, 1, 2])
 
 
 @report("a15_confusion_zero_diagonal")
