@@ -87,17 +87,69 @@ def t_two_sided_p(t: Column, dof: Column) -> Column:
             .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
 
 
+# --- the same functions as Spark SQL text: one parse on the JVM instead of thousands of Python-side
+# Column constructions (the expressions are large; building them call by call dominates planning).
+
+def lgamma_sql(z: str) -> str:
+    w = f"({z} + {float(_SHIFT)})"
+    series = (f"(1.0 / (12.0 * {w}) - 1.0 / (360.0 * power({w}, 3)) + 1.0 / (1260.0 * power({w}, 5)) "
+              f"- 1.0 / (1680.0 * power({w}, 7)))")
+    shift = " + ".join(f"ln({z} + {float(k)})" for k in range(_SHIFT))
+    return f"(({w} - 0.5) * ln({w}) - {w} + {_LN_SQRT_2PI!r} + {series} - ({shift}))"
+
+
+def _fix_sql(x: str) -> str:
+    return f"(CASE WHEN abs({x}) < {_TINY!r} THEN {_TINY!r} ELSE {x} END)"
+
+
+def _beta_cf_sql(a: str, b: str, x: str, max_terms: str) -> str:
+    """Lentz iteration as micro-steps over one accumulator, so each sub-expression appears once:
+    k % 3 = 0 computes the coefficient, 1 updates d and c, 2 updates h and the stop flag."""
+    qab, qap, qam = f"({a} + {b})", f"({a} + 1.0)", f"({a} - 1.0)"
+    j = "(CAST(k / 3 AS INT) + 1)"
+    m = f"CAST(ceil({j} / 2) AS DOUBLE)"
+    odd = f"({j} % 2 = 1)"
+    aa = (f"CASE WHEN {odd} THEN {m} * ({b} - {m}) * {x} / (({qam} + 2.0 * {m}) * ({a} + 2.0 * {m})) "
+          f"ELSE -({a} + {m}) * ({qab} + {m}) * {x} / (({a} + 2.0 * {m}) * ({qap} + 2.0 * {m})) END")
+    d0 = f"(1.0 / {_fix_sql(f'1.0 - {qab} * {x} / {qap}')})"
+    st = "named_struct('aa', {aa}, 'c', {c}, 'd', {d}, 'h', {h}, 'done', {done})"
+    coef = st.format(aa=aa, c="acc.c", d="acc.d", h="acc.h", done="acc.done")
+    upd = st.format(aa="acc.aa", c=_fix_sql("1.0 + acc.aa / acc.c"),
+                    d=f"1.0 / {_fix_sql('1.0 + acc.aa * acc.d')}", h="acc.h", done="acc.done")
+    fin = st.format(aa="acc.aa", c="acc.c", d="acc.d", h="acc.h * acc.d * acc.c",
+                    done=f"(NOT {odd}) AND abs(acc.d * acc.c - 1.0) < {_EPS!r}")
+    step = f"CASE WHEN acc.done THEN acc WHEN k % 3 = 0 THEN {coef} WHEN k % 3 = 1 THEN {upd} ELSE {fin} END"
+    init = f"named_struct('aa', 0.0D, 'c', 1.0D, 'd', {d0}, 'h', {d0}, 'done', false)"
+    return f"aggregate(sequence(0, CAST(6 * {max_terms} AS INT) - 1), {init}, (acc, k) -> {step}, acc -> acc.h)"
+
+
+def ibeta_sql(x: str, a: str, b: str, ln_front: str | None = None) -> str:
+    """I_x(a, b) as SQL text over column names / literals (``ln_front``: a staged column with the
+    log of the beta front factor, else computed inline)."""
+    terms = f"least(200000, greatest(300, ceil(sqrt(greatest({a}, {b}))) * 8))"
+    if ln_front is None:
+        ln_front = (f"({lgamma_sql(f'({a} + {b})')} - {lgamma_sql(a)} - {lgamma_sql(b)} "
+                    f"+ {a} * ln(greatest({x}, {_TINY!r})) + {b} * ln(greatest(1.0 - {x}, {_TINY!r})))")
+    front = f"exp({ln_front})"
+    direct = f"({front} * {_beta_cf_sql(a, b, x, terms)} / {a})"
+    mirrored = f"(1.0 - {front} * {_beta_cf_sql(b, a, f'(1.0 - {x})', terms)} / {b})"
+    return (f"(CASE WHEN {x} <= 0.0 THEN 0.0D WHEN {x} >= 1.0 THEN 1.0D "
+            f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {mirrored} END)")
+
+
 def with_t_p_value(df: DataFrame, t: str, dof: Column, out: str = "statistical_significance") -> DataFrame:
-    """Add the two-sided p of column ``t`` as ``out``; inputs are staged in their own projection."""
+    """Add the two-sided p of column ``t`` as ``out``; inputs are staged in their own projections."""
     staged = df.withColumns({"__t": F.col(t), "__v": dof.cast("double")})
     staged = staged.withColumns({"__x": F.col("__v") / (F.col("__v") + F.col("__t") * F.col("__t")),
                                  "__a": F.col("__v") / 2.0})
-    ib = regularized_incomplete_beta(F.col("__x"), F.col("__a"), F.lit(0.5))
-    t_c, v_c = F.col("__t"), F.col("__v")
-    p = (F.when(t_c.isNull() | F.isnan(t_c) | (v_c <= 0), F.lit(None).cast("double"))
-         .when(F.abs(t_c) == float("inf"), F.lit(0.0))
-         .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ib))))
-    return staged.withColumn(out, p).drop("__t", "__v", "__x", "__a")
+    x, a = "`__x`", "`__a`"
+    staged = staged.withColumn("__lf", F.expr(
+        f"{lgamma_sql(f'({a} + 0.5D)')} - {lgamma_sql(a)} - {lgamma_sql('0.5D')} "
+        f"+ {a} * ln(greatest({x}, {_TINY!r})) + 0.5D * ln(greatest(1.0 - {x}, {_TINY!r}))"))
+    ib = ibeta_sql(x, a, "0.5D", ln_front="`__lf`")
+    p = F.expr(f"CASE WHEN `__t` IS NULL OR isnan(`__t`) OR `__v` <= 0 THEN CAST(NULL AS DOUBLE) "
+               f"WHEN abs(`__t`) = double('inf') THEN 0.0D ELSE least(1.0D, greatest(0.0D, {ib})) END")
+    return staged.withColumn(out, p).drop("__t", "__v", "__x", "__a", "__lf")
 
 
 def paired_t(n: Column, mean: Column, sd: Column) -> Column:

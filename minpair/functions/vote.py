@@ -63,3 +63,39 @@ def majority_vote(votes: Column, tie: str = "compat") -> Column:
         kind.alias("kind"),
         runner_up.cast("int").alias("runner_up"),
     )
+
+
+def with_majority_vote(df, votes: str, prefix: str, tie: str = "compat"):
+    """DataFrame form of :func:`majority_vote`: adds ``{prefix}label, {prefix}disagreement,
+    {prefix}kind, {prefix}runner_up``.
+
+    Written as Spark SQL text (one JVM-side parse per projection) and staged: intermediate arrays
+    get their own projections, which the optimizer keeps separate rather than copying a non-trivial
+    expression into every output field.
+    """
+    if tie not in ("compat", "median"):
+        raise ValueError("tie must be 'compat' or 'median'")
+    p = f"__{prefix}"
+    v = f"`{votes}`"
+    df = df.withColumns({
+        f"{p}scored": F.expr(f"transform({v}, x -> named_struct('cnt', size(filter({v}, y -> y.label = x.label)), "
+                             f"'neg_rank', -x.seed_rank, 'label', x.label))"),
+        f"{p}labels": F.expr(f"transform({v}, x -> x.label)"),
+        f"{p}n": F.expr(f"size({v})")})
+    n = f"`{p}n`"
+    pos = f"CAST(ceil({n} / 2) AS INT) + 1" if tie == "compat" else f"CAST(floor(({n} - 1) / 2) AS INT) + 1"
+    df = df.withColumns({f"{p}top": F.expr(f"array_max(`{p}scored`)"),
+                         f"{p}nd": F.expr(f"size(array_distinct(`{p}labels`))"),
+                         f"{p}mid": F.expr(f"element_at(array_sort(`{p}labels`), {pos})")})
+    top, nd = f"`{p}top`", f"`{p}nd`"
+    df = df.withColumns({f"{p}strict": F.expr(f"{top}.cnt > floor({n} / 2)"), f"{p}alldiff": F.expr(f"{nd} = {n}")})
+    strict, alldiff = f"`{p}strict`", f"`{p}alldiff`"
+    df = df.withColumns({
+        f"{prefix}label": F.expr(f"CAST(CASE WHEN {strict} THEN {top}.label WHEN {alldiff} THEN `{p}mid` "
+                                 f"ELSE {top}.label END AS INT)"),
+        f"{prefix}disagreement": F.expr(f"NOT {strict}"),
+        f"{prefix}kind": F.expr(f"CASE WHEN {strict} THEN 'agreement' WHEN {alldiff} THEN 'no_winner' "
+                                f"WHEN {nd} = {n} - 1 THEN 'one_winner' ELSE 'tie' END"),
+        f"{prefix}runner_up": F.expr(f"CAST(CASE WHEN NOT {strict} AND NOT {alldiff} AND {nd} <> {n} - 1 THEN "
+                                     f"array_max(filter(`{p}scored`, s -> s.label <> {top}.label)).label END AS INT)")})
+    return df.drop(*[f"{p}{s}" for s in ("scored", "labels", "n", "top", "nd", "mid", "strict", "alldiff")])

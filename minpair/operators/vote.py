@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minpair.functions.vote import majority_vote
+from minpair.functions.vote import majority_vote, with_majority_vote
 
 PAIR_KEYS = ["lang", "steps", "bias_type", "emotion", "pair_id"]
 
@@ -25,13 +25,13 @@ def vote_items(votes: DataFrame, item_keys: list[str], tie: str = "compat",
     g = votes.groupBy(*item_keys).agg(F.collect_list(F.struct("seed_rank", "label")).alias("v"))
     if n_seeds is not None:
         g = g.where(F.size("v") == n_seeds)
-    out = g.select(*item_keys, majority_vote(F.col("v"), tie).alias("w"), F.size("v").alias("n_votes"))
-    return out.select(*item_keys, "w.label", "w.disagreement", "w.kind", "w.runner_up", "n_votes")
+    out = with_majority_vote(g.withColumn("n_votes", F.size("v")), "v", "", tie)
+    return out.select(*item_keys, "label", "disagreement", "kind", "runner_up", "n_votes")
 
 
-def _side_votes(arr: Column, side: int) -> Column:
-    return F.transform(F.filter(arr, lambda x: x["side"] == side),
-                       lambda x: F.struct(x["seed_rank"].alias("seed_rank"), x["label"].alias("label")))
+def _side_votes(arr: str, side: int) -> Column:
+    return F.expr(f"transform(filter(`{arr}`, x -> x.side = {side}), "
+                  f"x -> named_struct('seed_rank', x.seed_rank, 'label', x.label))")
 
 
 def ensemble_pairs(votes: DataFrame, pair_keys: list[str] | None = None, tie: str = "compat",
@@ -46,41 +46,40 @@ def ensemble_pairs(votes: DataFrame, pair_keys: list[str] | None = None, tie: st
     # Only collect_list (an object-hash aggregate with map-side partial merge): string max() would
     # force a sort-based aggregate. The group name rides along in the struct.
     g = votes.groupBy(*pair_keys).agg(F.collect_list(F.struct("side", "seed_rank", "label", "grp")).alias("v"))
-    s1, s2 = _side_votes(F.col("v"), 1), _side_votes(F.col("v"), 2)
-    g = g.select(*pair_keys, _side_name(F.col("v"), 1).alias("bias_cat_1"),
-                 _side_name(F.col("v"), 2).alias("bias_cat_2"), s1.alias("v1"), s2.alias("v2"))
+    s1, s2 = _side_votes("v", 1), _side_votes("v", 2)
+    g = g.select(*pair_keys, _side_name("v", 1).alias("bias_cat_1"),
+                 _side_name("v", 2).alias("bias_cat_2"), s1.alias("v1"), s2.alias("v2"))
     cond = (F.size("v1") > 0) & (F.size("v2") > 0)
     if n_seeds is not None:
         cond = (F.size("v1") == n_seeds) & (F.size("v2") == n_seeds)
     g = g.where(cond)
-    w = g.select(*pair_keys, "bias_cat_1", "bias_cat_2",
-                 majority_vote(F.col("v1"), tie).alias("w1"), majority_vote(F.col("v2"), tie).alias("w2"))
+    w = with_majority_vote(with_majority_vote(g, "v1", "s1_", tie), "v2", "s2_", tie)
     return w.select(
         *pair_keys, "bias_cat_1", "bias_cat_2",
-        F.col("w1.label").alias("label_1"), F.col("w2.label").alias("label_2"),
-        (F.col("w1.label") - F.col("w2.label")).alias("performance_gap"),
-        F.col("w1.disagreement").alias("disagreement_1"), F.col("w2.disagreement").alias("disagreement_2"),
-        F.col("w1.kind").alias("kind_1"), F.col("w2.kind").alias("kind_2"),
-        F.col("w1.runner_up").alias("runner_up_1"), F.col("w2.runner_up").alias("runner_up_2"),
+        F.col("s1_label").alias("label_1"), F.col("s2_label").alias("label_2"),
+        (F.col("s1_label") - F.col("s2_label")).alias("performance_gap"),
+        F.col("s1_disagreement").alias("disagreement_1"), F.col("s2_disagreement").alias("disagreement_2"),
+        F.col("s1_kind").alias("kind_1"), F.col("s2_kind").alias("kind_2"),
+        F.col("s1_runner_up").alias("runner_up_1"), F.col("s2_runner_up").alias("runner_up_2"),
     )
 
 
-def _side_name(arr: Column, side: int) -> Column:
-    return F.element_at(F.filter(arr, lambda x: x["side"] == side), 1)["grp"]
+def _side_name(arr: str, side: int) -> Column:
+    return F.expr(f"element_at(filter(`{arr}`, x -> x.side = {side}), 1).grp")
 
 
 def _sided(votes: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Collect ``(side, value, grp)`` per key: both sides of a pair in one object-hash aggregate."""
     g = votes.groupBy(*keys).agg(F.collect_list(F.struct(F.col("side"), value.alias("x"), F.col("grp"))).alias("v"))
-    return g.select(*keys, "v", _side_name(F.col("v"), 1).alias("bias_cat_1"),
-                    _side_name(F.col("v"), 2).alias("bias_cat_2"))
+    return g.select(*keys, "v", _side_name("v", 1).alias("bias_cat_1"),
+                    _side_name("v", 2).alias("bias_cat_2"))
 
 
 def seed_pairs(votes: DataFrame, pair_keys: list[str] | None = None) -> DataFrame:
     """Per-run pair alignment (J06 per seed): ``pair_keys + seed, label_1, label_2, gap``."""
     keys = (pair_keys or PAIR_KEYS) + ["seed"]
     g = _sided(votes, keys, F.col("label"))
-    pick = lambda side: F.element_at(F.filter(F.col("v"), lambda x: x["side"] == side), 1)["x"]
+    pick = lambda side: F.expr(f"element_at(filter(v, e -> e.side = {side}), 1).x")
     g = g.select(*keys, "bias_cat_1", "bias_cat_2", pick(1).alias("label_1"), pick(2).alias("label_2"))
     g = g.where(F.col("label_1").isNotNull() & F.col("label_2").isNotNull())
     return g.withColumn("performance_gap", F.col("label_1") - F.col("label_2"))
@@ -92,8 +91,8 @@ def mean_pairs(votes: DataFrame, pair_keys: list[str] | None = None) -> DataFram
     g = _sided(votes, keys, F.col("label"))
 
     def mean(side):
-        xs = F.transform(F.filter(F.col("v"), lambda x: x["side"] == side), lambda x: x["x"].cast("double"))
-        return F.try_divide(F.aggregate(xs, F.lit(0.0), lambda acc, y: acc + y), F.size(xs))
+        xs = f"transform(filter(v, e -> e.side = {side}), e -> CAST(e.x AS DOUBLE))"
+        return F.expr(f"try_divide(aggregate({xs}, 0.0D, (acc, y) -> acc + y), size({xs}))")
 
     g = g.select(*keys, "bias_cat_1", "bias_cat_2", mean(1).alias("label_1"), mean(2).alias("label_2"))
     g = g.where(F.col("label_1").isNotNull() & F.col("label_2").isNotNull())

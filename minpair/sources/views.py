@@ -51,10 +51,10 @@ def votes(spark: SparkSession, sf_dir: str, seeds=None, steps=None) -> DataFrame
     """
     seeds = seeds or dims.SEEDS
     steps = steps or dims.STEPS
-    combos = F.array(*[
-        F.struct(F.lit(s).alias("seed"), F.lit(r).alias("seed_rank"), F.lit(st).alias("steps"),
-                 F.lit(side).alias("side"))
-        for (s, r) in seeds for st in steps for side in (1, 2)])
+    # The run x side product as one literal array (SQL text: a single parse, not one call per value).
+    combos = F.expr("array(" + ", ".join(
+        f"named_struct('seed', {s}, 'seed_rank', {r}, 'steps', {st}, 'side', {side})"
+        for (s, r) in seeds for st in steps for side in (1, 2)) + ")")
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     x = d.select("doc_id", "lang", F.explode(combos).alias("r")).select("doc_id", "lang", "r.*")
     label = F.lit(1) + ((F.col("doc_id") + 1) * (F.col("seed") + 3)
