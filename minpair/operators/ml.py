@@ -21,29 +21,33 @@ from minpair.functions.text import word_tokens
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """M03 (long form): ``(id, term, n)`` from T10 word tokens over the whole text."""
-    t = df.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term"))
+    """M03 (long form): ``(id, term, n)`` from T10 word tokens over the whole text.
+
+    Documents are hash-partitioned by id *before* tokenising: the shuffle moves each text once
+    (cheaper than moving its per-term rows), spreads the regex work over all tasks, and the per-
+    document aggregation then needs no exchange.
+    """
+    docs = df.select(id_col, text_col).repartition(id_col)
+    t = docs.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term"))
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, max_broadcast_terms: int = 5_000_000) -> DataFrame:
     """M04 (long form): ``tf * (ln((1 + N) / (1 + df)) + 1)``, L2-normalised per document.
 
-    ``N`` is the number of rows of ``df``. Plan: tokens are hash-partitioned by document once; the
-    term counts, the idf join (idf broadcast after a size check, materialised by a checkpoint) and
-    the per-document norm window all reuse that partitioning, so the only other shuffle is the
-    partially aggregated document-frequency count. Above the broadcast bound the idf join shuffles
-    by term (AQE splits hot terms).
+    ``N`` is the number of rows of ``df``. Plan: documents are partitioned by id once (the exchange
+    is shared by both uses of the term counts); the idf table is the only other shuffle (a partial
+    aggregation by term), is checkpointed and broadcast after a size check, so the per-document norm
+    window runs on the existing partitioning. Above the bound the idf join shuffles by term (AQE
+    splits hot terms).
     """
-    toks = df.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term")).repartition(id_col)
-    # Term counts are read twice (document frequencies, weights): materialise them once. The
-    # checkpoint keeps the by-document partitioning, so the norm window below needs no shuffle.
-    tc = toks.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    from minpair.operators.joins import join_dimension
+    tc = term_counts(df, id_col, text_col)
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
     dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.crossJoin(F.broadcast(n_docs)).select(  # n_docs is one aggregated row
         "term", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    from minpair.operators.joins import join_dimension
+    idf = idf.checkpoint(eager=True)  # materialised once: the size check and the join read it
     w = join_dimension(tc, idf, ["term"], max_broadcast_terms).withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "n", (F.col("w") / norm).alias("tfidf"))
