@@ -25,11 +25,12 @@ def hex_bucket(key: Column, digits: int = 3) -> Column:
 
 
 def positions(df: DataFrame, partition: list[str], order: list[Column | str], bucket: list[Column | str],
-              name: str = "pos") -> DataFrame:
+              name: str = "pos", total_name: str | None = None) -> DataFrame:
     """Add the 0-based ``row_number - 1`` of each row within ``partition`` ordered by ``order``.
 
     ``bucket`` must be order-consistent: sorting by (bucket, order) equals sorting by order (for
     example a prefix of the order key, or an integer division of its last component).
+    ``total_name``: also add the partition's row count (from the bucket table, no extra pass).
     """
     bcols = []
     df2 = df
@@ -37,10 +38,12 @@ def positions(df: DataFrame, partition: list[str], order: list[Column | str], bu
         c = f"__b{i}"
         df2 = df2.withColumn(c, F.col(b) if isinstance(b, str) else b)
         bcols.append(c)
-    counts = df2.groupBy(*partition, *bcols).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df2.groupBy(*partition, *bcols).agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.partitionBy(*partition).orderBy(*bcols).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
-    joined = df2.join(offsets, [*partition, *bcols])
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
+    if total_name:
+        offsets = offsets.withColumn(total_name, F.sum("__cnt").over(Window.partitionBy(*partition)))
+    joined = df2.join(offsets.drop("__cnt"), [*partition, *bcols])
     inner = Window.partitionBy(*partition, *bcols).orderBy(*order)
     out = joined.withColumn(name, F.col("__off") + F.row_number().over(inner) - 1)
     return out.drop("__off", *bcols)

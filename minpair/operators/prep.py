@@ -78,28 +78,23 @@ def split_by_hash(df: DataFrame, id_col: str, seed: int = 42, train: float = 0.9
 
 def split_exact(df: DataFrame, id_col: str, seed: int = 42, test_size: float = 0.05) -> DataFrame:
     """M02 (exact-size mode): ``test = ceil(n * test_size)`` rows by hash order, then the held-out
-    part halved the same way (validation first, ``ceil`` half to test)."""
-    h1 = hash_key(F.lit(seed), F.lit("a"), F.col(id_col))
-    d = df.withColumn("__h", h1)
-    d = positions(d, [], [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], name="__p1")
-    d = _with_total(d, "__n")
-    n_test = F.ceil(F.col("__n") * test_size)
-    d = d.withColumn("__train", F.col("__p1") < F.col("__n") - n_test)
-    held = d.where(~F.col("__train")).withColumn("__h2", hash_key(F.lit(seed), F.lit("b"), F.col(id_col)))
-    held = positions(held, [], [F.col("__h2"), F.col(id_col)], [hex_bucket(F.col("__h2"))], name="__p2")
-    held = _with_total(held, "__m")
-    n_val = F.col("__m") - F.ceil(F.col("__m") * 0.5)
-    held = held.withColumn("split", F.when(F.col("__p2") < n_val, F.lit("validation")).otherwise(F.lit("test")))
-    train = d.where(F.col("__train")).withColumn("split", F.lit("train"))
-    cols = df.columns + ["split"]
-    return train.select(*cols).unionByName(held.select(*cols))
-
+    part halved the same way (validation first, ``ceil`` half to test).
 
-def _with_total(df: DataFrame, name: str) -> DataFrame:
-    """Attach the row count as a column via a bucket count table (no global window, no cross join)."""
-    tmp = df.withColumn("__tb", F.lit(0))
-    total = tmp.groupBy("__tb").agg(F.count(F.lit(1)).alias(name))
-    return tmp.join(F.broadcast(total), "__tb").drop("__tb")
+    One chain: a global hash rank (bucketed, with the total from the bucket table), checkpointed,
+    then a second rank partitioned by the held-out flag (the train rows' second rank is unused).
+    """
+    d = df.withColumn("__h", hash_key(F.lit(seed), F.lit("a"), F.col(id_col)))
+    d = positions(d, [], [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], name="__p1",
+                  total_name="__n")
+    d = d.withColumn("__held", F.col("__p1") >= F.col("__n") - F.ceil(F.col("__n") * test_size))
+    d = d.checkpoint(eager=True)  # read twice below (bucket counts and rows of the second rank)
+    d = d.withColumn("__h2", hash_key(F.lit(seed), F.lit("b"), F.col(id_col)))
+    d = positions(d, ["__held"], [F.col("__h2"), F.col(id_col)], [hex_bucket(F.col("__h2"))], name="__p2",
+                  total_name="__m")
+    n_val = F.col("__m") - F.ceil(F.col("__m") * 0.5)
+    split = (F.when(~F.col("__held"), F.lit("train"))
+             .when(F.col("__p2") < n_val, F.lit("validation")).otherwise(F.lit("test")))
+    return d.select(*df.columns, split.alias("split"))
 
 
 def interleave(df: DataFrame, source: str, source_idx: Column, order: str, bucket_size: int = 4096) -> DataFrame:
