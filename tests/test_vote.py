@@ -54,3 +54,21 @@ def _reference_rule(x):
 def test_vote_matches_counter_rule(spark, votes):
     got = _vote(spark, votes)
     assert got[:2] == _reference_rule(votes)
+
+
+def test_vote_log_tie_ranking(spark):
+    """Tie lines as logged by the study (label pairs from its sample output) parse back to pair counts."""
+    from collections import Counter
+    from minpair.operators.vote import parse_vote_log, tie_ranking, vote_log_shares
+    pairs = [(2, 3), (4, 5), (3, 4), (3, 5), (2, 3), (2, 3), (1, 5), (3, 4), (4, 5), (3, 4), (4, 5), (3, 5),
+             (4, 5), (5, 3), (3, 5), (3, 1), (1, 3), (1, 3), (1, 3), (1, 3), (1, 3), (1, 2), (5, 3)]
+    lines = [f"disagreement, two labels are tied, arbitrarily picking one, labels: {a}, {b} " for a, b in pairs]
+    lines += ["disagreement, all different votes, returning middle",
+              "disagreement, only one vote has more, using it", "Results for models at 100 steps:"]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    parsed = parse_vote_log(df)
+    got = {r["tie_pair"]: r["n"] for r in tie_ranking(parsed).collect()}
+    exp = Counter("+".join(str(x) for x in sorted(p)) for p in pairs)
+    assert got == dict(exp)
+    shares = {r["kind"]: r["n"] for r in vote_log_shares(parsed).collect()}
+    assert shares == {"tie": len(pairs), "no_winner": 1, "one_winner": 1}
