@@ -43,10 +43,9 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_broadcast_terms: int =
     """
     from minpair.operators.joins import join_dimension
     tc = term_counts(df, id_col, text_col)
-    n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
+    n_docs = df.count()  # one scalar
     dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.crossJoin(F.broadcast(n_docs)).select(  # n_docs is one aggregated row
-        "term", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    idf = dfreq.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     idf = idf.checkpoint(eager=True)  # materialised once: the size check and the join read it
     w = join_dimension(tc, idf, ["term"], max_broadcast_terms).withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
@@ -80,25 +79,29 @@ def dummy_predictions(train: DataFrame, test: DataFrame, label_col: str, id_col:
 
     The class table is tiny (one row per class) and is broadcast.
     """
-    classes = train.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
+    # The class table has one row per class: collecting it is bounded by the label set.
+    classes = sorted((r[0], r[1]) for r in train.groupBy(label_col).agg(F.count(F.lit(1))).collect()
+                     if r[0] is not None)
+    if not classes:
+        return test.withColumn("prediction", F.lit(None))
     if strategy == "most_frequent":
-        top = classes.agg(F.min_by(F.col(label_col), F.struct(-F.col("n"), F.col(label_col))).alias("prediction"))
-        return test.withColumn("__k", F.lit(0)).join(F.broadcast(top.withColumn("__k", F.lit(0))), "__k").drop("__k")
-    u = (F.conv(F.substring(hash_key(F.lit(seed), F.col(id_col)), 1, 8), 16, 10).cast("double") + 0.5) / float(16 ** 8)
-    w = Window.partitionBy(F.lit(0)).orderBy(label_col)  # over the class table only
+        top = min(classes, key=lambda c: (-c[1], c[0]))[0]
+        return test.withColumn("prediction", F.lit(top))
     if strategy == "uniform":
-        share = F.lit(1.0) / F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-        cls = classes.withColumn("__w", share)
+        shares = [1.0 / len(classes)] * len(classes)
     elif strategy == "stratified":
-        cls = classes.withColumn("__w", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))
+        total = sum(n for _, n in classes)
+        shares = [n / total for _, n in classes]
     else:
         raise ValueError(strategy)
-    cls = cls.withColumn("__hi", F.sum("__w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cls = cls.withColumn("__lo", F.col("__hi") - F.col("__w"))
-    t = test.withColumn("__u", u)
-    j = t.join(F.broadcast(cls.select(F.col(label_col).alias("prediction"), "__lo", "__hi")),
-               (F.col("__u") >= F.col("__lo")) & ((F.col("__u") < F.col("__hi")) | (F.col("__hi") >= 0.999999999)))
-    return j.drop("__u", "__lo", "__hi")
+    u = (F.conv(F.substring(hash_key(F.lit(seed), F.col(id_col)), 1, 8), 16, 10).cast("double") + 0.5) / float(16 ** 8)
+    # cumulative share boundaries, summed in label order; the last class takes the rest
+    expr, hi = None, 0.0
+    for (label, _), share in zip(classes[:-1], shares[:-1]):
+        hi += share
+        expr = F.when(u < hi, F.lit(label)) if expr is None else expr.when(u < hi, F.lit(label))
+    last = F.lit(classes[-1][0])
+    return test.withColumn("prediction", last if expr is None else expr.otherwise(last))
 
 
 def score_with_model(df: DataFrame, model: PipelineModel, out: str = "prediction") -> DataFrame:
