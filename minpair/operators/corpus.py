@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from minpair.functions.ranking import positions
 from minpair.functions.text import collapse_whitespace
 from minpair.plans import dims
+from minpair.session import materialise
 
 EMOTION_ORDER = dims.EMOTION_CATEGORIES + [dims.NO_EMOTION]
 
@@ -128,7 +129,7 @@ def build_corpus(templates: DataFrame, emotions: DataFrame, people: DataFrame, g
     cand = fill_people(sents, people, grammar_cat, agreement_langs)
     # Numbering reads the de-duplicated pairs twice (bucket counts, rows): materialise them once
     # in the shared checkpoint folder rather than re-running the expansion joins.
-    return number_pairs(dedupe_pairs(cand).checkpoint(eager=True))
+    return number_pairs(materialise(dedupe_pairs(cand)))
 
 
 def corpus_long(pairs: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from minpair.functions.labels import gold_from_emotion, polarity
 from minpair.functions.ranking import hash_key, positions
 from minpair.functions.text import word_tokens
+from minpair.session import materialise
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -46,7 +47,7 @@ def tfidf(df: DataFrame, id_col: str, text_col: str, max_broadcast_terms: int =
     n_docs = df.count()  # one scalar
     dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    idf = idf.checkpoint(eager=True)  # materialised once: the size check and the join read it
+    idf = materialise(idf)  # materialised once: the size check and the join read it
     w = join_dimension(tc, idf, ["term"], max_broadcast_terms).withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "n", (F.col("w") / norm).alias("tfidf"))

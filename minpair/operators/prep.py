@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from minpair.functions.ranking import hash_key, hex_bucket, positions
 from minpair.functions.text import format_text, scrub, scrub_count
+from minpair.session import materialise
 
 
 def format_data(reviews: DataFrame, body: str = "review_body", title: str = "review_title",
@@ -87,7 +88,7 @@ def split_exact(df: DataFrame, id_col: str, seed: int = 42, test_size: float = 0
     d = positions(d, [], [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], name="__p1",
                   total_name="__n")
     d = d.withColumn("__held", F.col("__p1") >= F.col("__n") - F.ceil(F.col("__n") * test_size))
-    d = d.checkpoint(eager=True)  # read twice below (bucket counts and rows of the second rank)
+    d = materialise(d)  # read twice below (bucket counts and rows of the second rank)
     d = d.withColumn("__h2", hash_key(F.lit(seed), F.lit("b"), F.col(id_col)))
     d = positions(d, ["__held"], [F.col("__h2"), F.col(id_col)], [hex_bucket(F.col("__h2"))], name="__p2",
                   total_name="__m")

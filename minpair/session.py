@@ -51,3 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A location under the cluster's shared checkpoint folder for materialised tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+def materialise(df):
+    """Reliable ``checkpoint`` into the session's ``spark.checkpoint.dir`` (lineage cut, survives
+    executor loss); the folder comes from the session conf and is only invented when unset."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
