@@ -152,13 +152,14 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
     each document's ids are gathered back in token order.
     """
     from minpair.operators.joins import join_dimension
-    toks = df.select(id_col, F.posexplode(word_tokens(F.col(first))).alias("pos", "term"), F.lit(0).alias("seg"))
-    toks = toks.unionByName(df.select(id_col, F.posexplode(word_tokens(F.col(second))).alias("pos", "term"),
+    # posexplode_outer keeps texts without tokens (their marker row has a NULL position)
+    toks = df.select(id_col, F.posexplode_outer(word_tokens(F.col(first))).alias("pos", "term"), F.lit(0).alias("seg"))
+    toks = toks.unionByName(df.select(id_col, F.posexplode_outer(word_tokens(F.col(second))).alias("pos", "term"),
                                       F.lit(1).alias("seg")))
     ids = join_dimension(toks, vocab, ["term"], how="left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
     g = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seg", "pos", "id"))).alias("t"))
-    a = F.transform(F.filter("t", lambda x: x["seg"] == 0), lambda x: x["id"])
-    b = F.transform(F.filter("t", lambda x: x["seg"] == 1), lambda x: x["id"])
+    a = F.expr("transform(filter(t, x -> x.seg = 0 AND x.pos IS NOT NULL), x -> x.id)")
+    b = F.expr("transform(filter(t, x -> x.seg = 1 AND x.pos IS NOT NULL), x -> x.id)")
     g = g.select(id_col, a.alias("a"), b.alias("b"))
     budget = max_length - 3
     la, lb = F.size("a"), F.size("b")

@@ -705,3 +705,41 @@ ORACLE["j12_missing_groups"] = _with(votes_cte()) + f"""SELECT s.lang, s.steps,
 FROM (SELECT DISTINCT lang, steps FROM votes) s JOIN {_vals(_SIDES_ROWS, "lang, bias_type, grp, side", "c")} ON c.lang = s.lang
 WHERE NOT EXISTS (SELECT 1 FROM votes v WHERE v.lang = s.lang AND v.steps = s.steps AND v.bias_type = c.bias_type
                   AND v.grp = c.grp)"""
+
+
+# --- pair encoding ---------------------------------------------------------------------------------
+
+_B = 497  # 500 minus the three special tokens
+ORACLE["t11_encode_pairs"] = _with(_REVIEWS, f"""tok_all AS (
+  SELECT review_id, unnest({_tokens("review_body || ' ' || review_title")}) AS term FROM reviews
+), vocab AS (
+  SELECT term, row_number() OVER (ORDER BY cnt DESC, term) - 1 + 4 AS id
+  FROM (SELECT term, count(*) AS cnt FROM tok_all GROUP BY term) c
+), seg_tok AS (
+  SELECT review_id, 0 AS seg, unnest({_tokens('review_body')}) AS term,
+         generate_subscripts({_tokens('review_body')}, 1) AS pos FROM reviews
+  UNION ALL
+  SELECT review_id, 1 AS seg, unnest({_tokens('review_title')}) AS term,
+         generate_subscripts({_tokens('review_title')}, 1) AS pos FROM reviews
+), ids AS (
+  SELECT s.review_id, s.seg, s.pos, coalesce(v.id, 3) AS id FROM seg_tok s LEFT JOIN vocab v USING (term)
+), ab AS (
+  SELECT r.review_id,
+    coalesce((SELECT list(id ORDER BY pos) FROM ids WHERE ids.review_id = r.review_id AND seg = 0), []) AS a,
+    coalesce((SELECT list(id ORDER BY pos) FROM ids WHERE ids.review_id = r.review_id AND seg = 1), []) AS b
+  FROM reviews r
+), l AS (SELECT *, len(a) AS la, len(b) AS lb FROM ab),
+ks AS (
+  SELECT *,
+    CASE WHEN la + lb <= {_B} THEN least(la, lb) WHEN least(la, lb) <= {_B // 2} THEN least(la, lb) ELSE {_B // 2} END AS k_short
+  FROM l
+), kl AS (SELECT *, CASE WHEN la + lb <= {_B} THEN greatest(la, lb) ELSE {_B} - k_short END AS k_long FROM ks),
+k AS (
+  SELECT *,
+    CAST(CASE WHEN la > lb THEN k_long WHEN la < lb THEN k_short ELSE ceil(least(la + lb, {_B}) / 2) END AS INTEGER) AS ka,
+    CAST(CASE WHEN la > lb THEN k_short WHEN la < lb THEN k_long ELSE floor(least(la + lb, {_B}) / 2) END AS INTEGER) AS kb
+  FROM kl
+)""") + """SELECT review_id,
+  array_to_string([1] || a[1:ka] || [2] || b[1:kb] || [2] || list_transform(range(500 - (ka + kb + 3)), lambda x: 0), ' ') AS input_ids,
+  CAST(ka + kb + 3 AS INTEGER) AS n_attended, CAST(kb + 1 AS INTEGER) AS n_second
+FROM k"""
