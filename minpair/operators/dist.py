@@ -91,9 +91,10 @@ def normal_ci(df: DataFrame, keys: list[str], value: str, z: float = 1.96) -> Da
 
 
 def _uniform(*cols: Column) -> Column:
-    """Deterministic uniform in (0, 1) from a 64-bit hash of the given columns."""
-    h = F.xxhash64(*cols)
-    return (F.pmod(h, F.lit(2 ** 52)).cast("double") + 0.5) / float(2 ** 52)
+    """Deterministic uniform in (0, 1): the first 52 bits of ``md5`` of the ``|``-joined values
+    (the same draw in any engine that has md5)."""
+    key = F.concat_ws("|", *[c.cast("string") for c in cols])
+    return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(16 ** 13)
 
 
 def _poisson(lam: Column, u: Column, u2: Column) -> Column:
@@ -124,7 +125,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 1
     """A18 (bootstrap): Poisson bootstrap of the mean per slice.
 
     The data are first reduced to ``(slice, value, count)``; replicate ``b`` reweights each cell with
-    a Poisson(count) draw seeded by ``xxhash64(slice, value, b, seed)`` (the sum of ``count``
+    a Poisson(count) draw seeded by ``md5(slice, value, b, seed)`` (the sum of ``count``
     independent Poisson(1) row weights). Work grows with slices x distinct values x replicates.
     """
     v = F.col(value).cast("double")

@@ -743,3 +743,33 @@ k AS (
   array_to_string([1] || a[1:ka] || [2] || b[1:kb] || [2] || list_transform(range(500 - (ka + kb + 3)), lambda x: 0), ' ') AS input_ids,
   CAST(ka + kb + 3 AS INTEGER) AS n_attended, CAST(kb + 1 AS INTEGER) AS n_second
 FROM k"""
+
+
+# --- bootstrap interval ----------------------------------------------------------------------------
+
+def _u_sql(key: str, b: str, seed: int, stream: int) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {key}, CAST({b} AS VARCHAR), '{seed}', '{stream}')), 1, 13))::BIGINT + 0.5) / {float(16 ** 13)!r})"
+
+
+_KEY = "concat_ws('|', lang, bias_type, CAST(steps AS VARCHAR), CAST(v AS VARCHAR))"
+_POISSON_SMALL = ("list_reduce(range(0, greatest(CAST(floor(c + 12.0 * sqrt(c) + 12.0) AS BIGINT), 1) + 1), "
+                  "lambda acc, i: CASE WHEN acc.res >= 0 THEN acc "
+                  "WHEN acc.cdf >= u1 THEN {'k': acc.k, 'pmf': acc.pmf, 'cdf': acc.cdf, 'res': acc.k} "
+                  "ELSE {'k': acc.k + 1, 'pmf': acc.pmf * c / (acc.k + 1), 'cdf': acc.cdf + acc.pmf * c / (acc.k + 1), "
+                  "'res': -1} END, {'k': 0, 'pmf': exp(-c), 'cdf': exp(-c), 'res': -1})")
+ORACLE["a18_bootstrap_ci"] = _with(votes_cte(), ensemble_cte(), f"""cells AS (
+  SELECT lang, bias_type, steps, CAST(performance_gap AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS c
+  FROM ens WHERE performance_gap IS NOT NULL GROUP BY lang, bias_type, steps, performance_gap
+), reps AS (
+  SELECT cells.*, b.b, {_u_sql(_KEY, 'b.b', 0, 1)} AS u1, {_u_sql(_KEY, 'b.b', 0, 2)} AS u2
+  FROM cells CROSS JOIN (SELECT unnest(range(1, 201)) AS b) b
+), w AS (
+  SELECT *, CASE WHEN c < 30 THEN (CASE WHEN p.res >= 0 THEN p.res ELSE p.k END)
+    ELSE greatest(0, CAST(round(c + sqrt(c) * (sqrt(-2.0 * ln(u1)) * cos(2.0 * pi() * u2))) AS INTEGER)) END AS wt
+  FROM (SELECT *, {_POISSON_SMALL} AS p FROM reps) r
+), means AS (
+  SELECT lang, bias_type, steps, b, sum(wt * v) / nullif(sum(wt), 0) AS m, sum(c * v) / sum(c) AS point, sum(c) AS n
+  FROM w GROUP BY lang, bias_type, steps, b
+)""") + """SELECT lang, bias_type, steps, CAST(first(n) AS BIGINT) AS n, round(first(point), 6) AS mean,
+  round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
+FROM means GROUP BY lang, bias_type, steps"""
