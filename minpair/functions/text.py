@@ -13,7 +13,12 @@ def collapse_whitespace(c: Column) -> Column:
 
 def scrub_pattern(words: list[str] | None = None, caseless: list[str] | None = None) -> str:
     """T01 pattern: whole words of the list; the first letter is case-free, and every letter of the
-    ``caseless`` words. ``(?U)`` makes ``\\b`` Unicode-aware on every JVM."""
+    ``caseless`` words. ``(?U)`` makes ``\\b`` Unicode-aware on every JVM.
+
+    Alternatives are grouped by their (case-free) first letter, in list order within a group: the
+    same language as the flat alternation, but the engine only explores the branch whose first
+    letter matches.
+    """
     from minpair.plans.dims import SCRUB_FULLY_CASELESS, SCRUB_WORDS
     words = SCRUB_WORDS if words is None else words
     caseless = SCRUB_FULLY_CASELESS if caseless is None else caseless
@@ -21,12 +26,11 @@ def scrub_pattern(words: list[str] | None = None, caseless: list[str] | None = N
     def letter(ch: str) -> str:
         return f"[{ch.upper()}{ch.lower()}]" if ch.isalpha() else ch
 
-    alts = []
+    groups: dict[str, list[str]] = {}
     for w in words:
-        if w in caseless:
-            alts.append("".join(letter(ch) for ch in w))
-        else:
-            alts.append(letter(w[0]) + w[1:])
+        rest = "".join(letter(ch) for ch in w[1:]) if w in caseless else w[1:]
+        groups.setdefault(w[0].lower(), []).append(rest)
+    alts = [letter(first) + "(?:" + "|".join(rests) + ")" for first, rests in groups.items()]
     return r"(?U)\b(?:" + "|".join(alts) + r")\b"
 
 
