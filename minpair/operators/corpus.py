@@ -88,7 +88,9 @@ def fill_people(sentences: DataFrame, people: DataFrame, grammar_cat: DataFrame,
                    F.trim("person_1_type").alias("bias_cat_1"), F.trim("person_2_type").alias("bias_cat_2"),
                    F.trim("grammar_1").alias("g1"), F.trim("grammar_2").alias("g2"))
     pp = pp.where((F.col("p1") != "") & (F.col("p2") != ""))  # F09
-    j = sg.join(pp, ["lang", "grammar"])
+    # The sentence side comes from the template and word sheets (fixed inputs, not data-sized):
+    # broadcast it, so the person pairs (which grow with the data) are never shuffled for this join.
+    j = F.broadcast(sg).join(pp, ["lang", "grammar"])
     has_var = F.col("lang").isin(*agreement_langs) & F.col("variants").isNotNull() if agreement_langs else F.lit(False)
     base1 = F.when(has_var, F.coalesce(F.col("variants")[F.col("g1")], F.col("text"))).otherwise(F.col("text"))
     base2 = F.when(has_var, F.coalesce(F.col("variants")[F.col("g2")], F.col("text"))).otherwise(F.col("text"))

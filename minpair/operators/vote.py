@@ -75,6 +75,15 @@ def _sided(votes: DataFrame, keys: list[str], value: Column) -> DataFrame:
                     _side_name("v", 2).alias("bias_cat_2"))
 
 
+def align_sides(df: DataFrame, keys: list[str], value: str = "label") -> DataFrame:
+    """J06 for any per-side table ``(keys..., side, grp, value)``: one row per pair with
+    ``label_1, label_2, bias_cat_1, bias_cat_2`` (pairs missing a side are dropped)."""
+    g = _sided(df, keys, F.col(value))
+    pick = lambda side: F.expr(f"element_at(filter(v, e -> e.side = {side}), 1).x")
+    g = g.select(*keys, "bias_cat_1", "bias_cat_2", pick(1).alias("label_1"), pick(2).alias("label_2"))
+    return g.where(F.col("label_1").isNotNull() & F.col("label_2").isNotNull())
+
+
 def seed_pairs(votes: DataFrame, pair_keys: list[str] | None = None) -> DataFrame:
     """Per-run pair alignment (J06 per seed): ``pair_keys + seed, label_1, label_2, gap``."""
     keys = (pair_keys or PAIR_KEYS) + ["seed"]

@@ -659,11 +659,7 @@ def corpus_bias(spark, sf_dir):
     """The corpus scored by a lexicon model learnt from the emotion sheet; bias statistics per
     language, bias type and emotion (J08 + M08 + J06 + A04)."""
     scored = _lexicon_scored(spark, sf_dir)
-    pairs = scored.groupBy("lang", "emotion", "bias_type", "pair_id").agg(
-        F.max(F.when(F.col("side") == 1, F.col("label"))).alias("label_1"),
-        F.max(F.when(F.col("side") == 2, F.col("label"))).alias("label_2"),
-        F.max(F.when(F.col("side") == 1, F.col("grp"))).alias("bias_cat_1"),
-        F.max(F.when(F.col("side") == 2, F.col("grp"))).alias("bias_cat_2"))
+    pairs = vote.align_sides(scored, ["lang", "emotion", "bias_type", "pair_id"])
     return rounded(bias.bias_stats(pairs, ["lang", "bias_type", "emotion"]))
 
 
