@@ -99,3 +99,8 @@ def paired_model_test(mart: DataFrame, type_a: str, type_b: str, keys: list[str]
 def performance_curve(perf: DataFrame, keys: list[str]) -> DataFrame:
     """f1 and accuracy by step (sorted numerically, not as text)."""
     return perf.select(*keys, "steps", "f1", "acc").orderBy(*keys, "steps")
+
+
+def keep_values(df: DataFrame, col: str, values: list) -> DataFrame:
+    """Keep one emotion, step, model type or language (or a list of them)."""
+    return df.where(F.col(col).isin(*values))

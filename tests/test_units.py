@@ -95,3 +95,21 @@ def test_corpus_json_roundtrip(spark, tmp_path):
     back = read_corpus_json(spark, str(p), "de")
     got = sorted((r.emotion, r.grp, r.pair_id, r.sentence) for r in back.collect())
     assert got == sorted((e, g, i, s) for _, e, g, i, s in rows)
+
+
+def test_chinese_variant(spark):
+    from minpair.operators.text import chinese_variant
+    docs = spark.createDataFrame([(1, "这是简体"), (2, "這是繁體"), (3, "这這"), (4, "plain text"), (5, "中文")],
+                                 "id int, t string")
+    table = spark.createDataFrame([("这", "simplified"), ("简", "simplified"), ("体", "simplified"),
+                                   ("這", "traditional"), ("繁", "traditional"), ("體", "traditional")],
+                                  "char string, variant string")
+    got = {r["id"]: r["zh_variant"] for r in chinese_variant(docs, "id", "t", table).collect()}
+    assert got == {1: "simplified", 2: "traditional", 3: "mixed", 4: None, 5: "unknown"}
+
+
+def test_keep_values_and_relabel(spark):
+    from minpair.operators import mart
+    df = spark.createDataFrame([("en_scrubbed", "anger", 1), ("de", "joy", 2)], "lang string, emotion string, steps int")
+    assert mart.keep_values(df, "emotion", ["joy"]).count() == 1
+    assert [r["lang"] for r in mart.relabel(df).collect()] == ["en_s", "de"]
