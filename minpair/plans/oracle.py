@@ -360,7 +360,11 @@ corpus_long AS (
   SELECT lang, emotion, bias_type, 2 AS side, bias_cat_2 AS grp, pair_id, sentence_2 AS sentence FROM corpus
 )"""
 
-ORACLE["j01_fill_emotions"] = _with(_CORPUS_INPUTS) + "SELECT * FROM sentences"
+ORACLE["j01_fill_emotions"] = _with(_CORPUS_INPUTS) + """SELECT s.*, coalesce(n.n_candidates, 0) AS n_candidates
+FROM sentences s LEFT JOIN (
+  SELECT lang, emotion, e_grammar_idx, template_idx, emotion_idx, count(*) AS n_candidates FROM cand
+  GROUP BY lang, emotion, e_grammar_idx, template_idx, emotion_idx) n
+USING (lang, emotion, e_grammar_idx, template_idx, emotion_idx)"""
 ORACLE["j02_fill_people"] = _with(_CORPUS_INPUTS) + "SELECT * FROM cand"
 ORACLE["u04_dedupe_pairs"] = _with(_CORPUS_INPUTS) + "SELECT * FROM corpus"
 ORACLE["a25_corpus_sizes"] = _with(_CORPUS_INPUTS) + """SELECT lang, bias_type, emotion, count(*) AS n_pairs,

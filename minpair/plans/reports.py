@@ -339,9 +339,15 @@ def _corpus(spark, sf_dir):
 
 @report("j01_fill_emotions")
 def fill_emotions(spark, sf_dir):
+    """Emotion expansion of the templates, with the number of candidate pairs each sentence yields
+    against the person pairs from ``customer`` (so the report's work grows with the data)."""
     s = _sentences(spark)
-    return s.select("lang", "emotion", "e_grammar_idx", "template_idx", "emotion_idx", "text",
-                    F.col("variants")["male"].alias("text_male"), F.col("variants")["female"].alias("text_female"))
+    cand = corpus.fill_people(s, corpus_parts.people(spark, sf_dir), dims.grammar_catalogue(spark))
+    keys = ["lang", "emotion", "e_grammar_idx", "template_idx", "emotion_idx"]
+    n = cand.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_candidates"))
+    out = s.join(n, keys, "left").fillna(0, subset=["n_candidates"])
+    return out.select(*keys, "text", F.col("variants")["male"].alias("text_male"),
+                      F.col("variants")["female"].alias("text_female"), "n_candidates")
 
 
 @report("j02_fill_people")
