@@ -121,14 +121,15 @@ def _poisson(lam: Column, u: Column, u2: Column) -> Column:
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 1000, seed: int = 0,
-                 level: float = 0.95) -> DataFrame:
+                 level: float = 0.95, bin_width: float | None = None) -> DataFrame:
     """A18 (bootstrap): Poisson bootstrap of the mean per slice.
 
     The data are first reduced to ``(slice, value, count)``; replicate ``b`` reweights each cell with
     a Poisson(count) draw seeded by ``md5(slice, value, b, seed)`` (the sum of ``count``
-    independent Poisson(1) row weights). Work grows with slices x distinct values x replicates.
+    independent Poisson(1) row weights). Work grows with slices x distinct values x replicates
+    (``bin_width`` bounds the distinct values of continuous inputs).
     """
-    v = F.col(value).cast("double")
+    v = _binned(F.col(value), bin_width)
     cells = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     reps = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
     key_str = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("v").cast("string"))
@@ -144,15 +145,23 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 1
     return ci.select(*keys, "n", "mean", F.col("q")[0].alias("ci_low"), F.col("q")[1].alias("ci_high"))
 
 
+def _binned(v: Column, bin_width: float | None) -> Column:
+    """Values as doubles; with ``bin_width`` rounded to bin centres (continuous inputs), which bounds
+    the distinct values per slice by range / width."""
+    v = v.cast("double")
+    return v if bin_width is None else F.round(v / bin_width) * bin_width
+
+
 def kde_density(df: DataFrame, keys: list[str], value: str, grid_points: int = 64,
-                cut: float = 3.0) -> DataFrame:
+                cut: float = 3.0, bin_width: float | None = None) -> DataFrame:
     """Gaussian kernel density per slice on an even grid (violin outline).
 
     Bandwidth by Scott's rule ``sd * n^(-1/5)``; the grid spans ``[min - cut*bw, max + cut*bw]``.
-    A slice's distinct values (bounded for labels and gaps) are gathered once; the grid is a
-    generator and the kernel sum an ``aggregate`` over that small array - no join.
+    A slice's distinct values (bounded for labels and gaps; pass ``bin_width`` for continuous
+    values) are gathered once; the grid is a generator and the kernel sum an ``aggregate`` over that
+    small array - no join.
     """
-    v = F.col(value).cast("double")
+    v = _binned(F.col(value), bin_width)
     cells = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
     st = cells.groupBy(*keys).agg(
         F.collect_list(F.struct("v", "c")).alias("vc"), F.sum("c").alias("n"),
