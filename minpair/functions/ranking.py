@@ -25,12 +25,15 @@ def hex_bucket(key: Column, digits: int = 3) -> Column:
 
 
 def positions(df: DataFrame, partition: list[str], order: list[Column | str], bucket: list[Column | str],
-              name: str = "pos", total_name: str | None = None) -> DataFrame:
+              name: str = "pos", total_name: str | None = None, limit: int | DataFrame | None = None) -> DataFrame:
     """Add the 0-based ``row_number - 1`` of each row within ``partition`` ordered by ``order``.
 
     ``bucket`` must be order-consistent: sorting by (bucket, order) equals sorting by order (for
     example a prefix of the order key, or an integer division of its last component).
     ``total_name``: also add the partition's row count (from the bucket table, no extra pass).
+    ``limit``: only rows with position below it are wanted - an int, or a DataFrame of
+    ``partition`` columns plus ``__limit``. Buckets starting at or beyond the limit are dropped in
+    the (small) bucket table, so their rows never reach the numbering window.
     """
     bcols = []
     df2 = df
@@ -43,14 +46,20 @@ def positions(df: DataFrame, partition: list[str], order: list[Column | str], bu
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w), F.lit(0)))
     if total_name:
         offsets = offsets.withColumn(total_name, F.sum("__cnt").over(Window.partitionBy(*partition)))
+    if isinstance(limit, int):
+        offsets = offsets.where(F.col("__off") < limit).withColumn("__limit", F.lit(limit))
+    elif limit is not None:
+        offsets = offsets.join(limit, partition).where(F.col("__off") < F.col("__limit"))
     joined = df2.join(offsets.drop("__cnt"), [*partition, *bcols])
     inner = Window.partitionBy(*partition, *bcols).orderBy(*order)
     out = joined.withColumn(name, F.col("__off") + F.row_number().over(inner) - 1)
+    if limit is not None:
+        out = out.where(F.col(name) < F.col("__limit")).drop("__limit")
     return out.drop("__off", *bcols)
 
 
 def first_n(df: DataFrame, partition: list[str], order: list[Column | str], bucket: list[Column | str],
-            n: Column | int, name: str = "pos") -> DataFrame:
-    """Rows whose position within ``partition`` is below ``n`` (a literal or a per-row column)."""
-    limit = F.lit(n) if isinstance(n, int) else n
-    return positions(df, partition, order, bucket, name).where(F.col(name) < limit)
+            n: int | DataFrame, name: str = "pos") -> DataFrame:
+    """Rows whose position within ``partition`` is below ``n`` (an int or a per-partition limit
+    table, see :func:`positions`)."""
+    return positions(df, partition, order, bucket, name, limit=n)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minpair.functions.ranking import hash_key, hex_bucket, positions
+from minpair.functions.ranking import first_n, hash_key, hex_bucket, positions
 from minpair.functions.text import format_text, scrub, scrub_count
 from minpair.session import materialise
 
@@ -60,8 +60,10 @@ def balance_classes(df: DataFrame, label: str, id_col: str, seed: int = 42, keys
     df = df.withColumn("__h", key)
     counts = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__n"))
     limits = counts.withColumn("__limit", F.min("__n").over(Window.partitionBy(*keys))).drop("__n")
-    ranked = positions(df, [*keys, label], [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], name="__pos")
-    return ranked.join(limits, [*keys, label]).where(F.col("__pos") < F.col("__limit")).drop("__h", "__pos", "__limit")
+    # rows of a large class beyond the smallest class size are cut in the bucket table already
+    ranked = first_n(df, [*keys, label], [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], limits,
+                     name="__pos")
+    return ranked.drop("__h", "__pos")
 
 
 def hex_to_long(hex_str: Column) -> Column:
@@ -117,8 +119,7 @@ def interleave(df: DataFrame, source: str, source_idx: Column, order: str, bucke
 
 def first_rows(df: DataFrame, partition: list[str], order: str, n: int, bucket_size: int = 4096) -> DataFrame:
     """The first ``n`` rows of each partition by ``order`` (a small-test subset)."""
-    d = positions(df, partition, [F.col(order)], [F.floor(F.col(order) / bucket_size)], name="pos")
-    return d.where(F.col("pos") < n)
+    return first_n(df, partition, [F.col(order)], [F.floor(F.col(order) / bucket_size)], n, name="pos")
 
 
 def seeded_shuffle(df: DataFrame, partition: list[str], id_col: str, seed: int) -> DataFrame:

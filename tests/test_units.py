@@ -113,3 +113,15 @@ def test_keep_values_and_relabel(spark):
     df = spark.createDataFrame([("en_scrubbed", "anger", 1), ("de", "joy", 2)], "lang string, emotion string, steps int")
     assert mart.keep_values(df, "emotion", ["joy"]).count() == 1
     assert [r["lang"] for r in mart.relabel(df).collect()] == ["en_s", "de"]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b"]), st.integers(0, 10_000)), min_size=1, max_size=80, unique=True),
+       st.integers(1, 12))
+def test_first_n_matches_row_number(spark, rows, n):
+    from pyspark.sql import Window
+    from minpair.functions.ranking import first_n
+    df = spark.createDataFrame(rows, "p string, k int")
+    got = sorted((r.p, r.k, r.pos) for r in first_n(df, ["p"], [F.col("k")], [F.floor(F.col("k") / 500)], n).collect())
+    exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1).where(F.col("pos") < n)
+    assert got == sorted((r.p, r.k, r.pos) for r in exp.collect())
