@@ -418,7 +418,7 @@ ORACLE["t01_scrub_counts"] = _with(_REVIEWS, _SCRUBBED) + """SELECT product_cate
   count(*) FILTER (WHERE n_scrubbed > 0) AS n_changed, CAST(sum(n_scrubbed) AS BIGINT) AS n_replacements,
   max(n_scrubbed) AS max_replacements FROM scrubbed GROUP BY product_category"""
 ORACLE["a28_class_counts"] = _with(_REVIEWS) + """SELECT language, stars, n,
-  min(n) OVER w AS min_class, count(*) OVER w AS n_classes, sum(n) OVER w AS total,
+  min(n) OVER w AS min_class, count(*) OVER w AS n_classes, CAST(sum(n) OVER w AS BIGINT) AS total,
   round(min(n) OVER w * count(*) OVER w * 100.0 / sum(n) OVER w, 6) AS kept_pct
 FROM (SELECT language, stars, count(*) AS n FROM reviews GROUP BY language, stars) c
 WINDOW w AS (PARTITION BY language)"""
