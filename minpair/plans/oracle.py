@@ -777,3 +777,14 @@ ORACLE["a18_bootstrap_ci"] = _with(votes_cte(), ensemble_cte(), f"""cells AS (
 )""") + """SELECT lang, bias_type, steps, CAST(first(n) AS BIGINT) AS n, round(first(point), 6) AS mean,
   round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
 FROM means GROUP BY lang, bias_type, steps"""
+
+ORACLE["a11_emotion_group_performance"] = _with(_SCORED, f"""ev AS (
+  SELECT emotion, grp, {_GOLD} AS gold_label, {_pol('label')} AS pred FROM scored
+), nest AS (
+  SELECT 'group' AS level, emotion, grp, gold_label, pred FROM ev
+  UNION ALL SELECT 'emotion', emotion, '', gold_label, pred FROM ev
+  UNION ALL SELECT 'all', '', '', gold_label, pred FROM ev
+)""", class_table_ctes("m", "nest", ["level", "emotion", "grp"], "gold_label", "pred")) + """SELECT level, emotion,
+  grp, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
+  CAST(sum(support) AS BIGINT) AS support, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc
+FROM m_cls GROUP BY level, emotion, grp"""

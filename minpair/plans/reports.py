@@ -744,3 +744,10 @@ def scored_runs(spark, sf_dir):
     """The corpus scored by every run of the registry (lexicon scorer), label counts per run."""
     scored = corpus.score_runs(_lexicon_scored(spark, sf_dir), [(s, r, st) for s, r in dims.SEEDS for st in dims.STEPS])
     return scored.groupBy("seed", "steps", "lang", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@report("a11_emotion_group_performance")
+def emotion_group_performance(spark, sf_dir):
+    """Performance of the corpus scorer by (emotion, group), by emotion and overall."""
+    scored = ml.evaluate_scorer(None, _lexicon_scored(spark, sf_dir))
+    return rounded(perf.nested_performance(scored, "gold_label", "pred_polarity", "emotion", "grp"))
