@@ -33,17 +33,17 @@ def convergence_filter(results: DataFrame, convergence: DataFrame, exempt: list[
 
     ``convergence(model_type, lang, steps)`` has ``lang`` NULL for language-independent kinds. Model
     types in ``exempt`` (the baseline) are kept whole; kinds without a catalogue entry drop out.
+    One pass: a semi join against the broadcast catalogue (tens of rows), the exemption part of the
+    join condition.
     """
     exempt = ["baseline"] if exempt is None else exempt
     conv = F.broadcast(convergence.select(F.col("model_type").alias("c_type"), F.col("lang").alias("c_lang"),
                                           F.col("steps").alias("c_steps")))
-    keep = results.where(~F.col("model_type").isin(*exempt)) if exempt else results
     cond = ((F.col("model_type") == F.col("c_type")) & (F.col("steps") == F.col("c_steps"))
             & (F.col("c_lang").isNull() | (F.col("c_lang") == F.col("lang"))))
-    converged = keep.join(conv, cond, "left_semi")
     if exempt:
-        converged = converged.unionByName(results.where(F.col("model_type").isin(*exempt)))
-    return converged
+        cond = cond | F.col("model_type").isin(*exempt)
+    return results.join(conv, cond, "left_semi")
 
 
 def drop_bias_type(df: DataFrame, bias_type: str = "rank") -> DataFrame:
@@ -90,10 +90,16 @@ def with_type_order(df: DataFrame, order: DataFrame) -> DataFrame:
 
 def paired_model_test(mart: DataFrame, type_a: str, type_b: str, keys: list[str], item_keys: list[str],
                       value: str = "performance_gap") -> DataFrame:
-    """Paired t-test of ``value`` between two model types, items aligned by key."""
-    a = mart.where(F.col("model_type") == type_a).select(*keys, *item_keys, F.col(value).alias("label_1"))
-    b = mart.where(F.col("model_type") == type_b).select(*keys, *item_keys, F.col(value).alias("label_2"))
-    return paired_ttest(a.join(b, [*keys, *item_keys]), keys)
+    """Paired t-test of ``value`` between two model types, items aligned by key.
+
+    One shuffle: both model types' values of an item meet in one group (conditional aggregation)
+    instead of a self-join of the mart; items missing either type are dropped.
+    """
+    m = mart.where(F.col("model_type").isin(type_a, type_b))
+    pairs = m.groupBy(*keys, *item_keys).agg(
+        F.max(F.when(F.col("model_type") == type_a, F.col(value))).alias("label_1"),
+        F.max(F.when(F.col("model_type") == type_b, F.col(value))).alias("label_2"))
+    return paired_ttest(pairs, keys)
 
 
 def performance_curve(perf: DataFrame, keys: list[str]) -> DataFrame:
