@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minpair.functions.vote import majority_vote, with_majority_vote
+from minpair.functions.vote import with_majority_vote
 
 PAIR_KEYS = ["lang", "steps", "bias_type", "emotion", "pair_id"]
 

@@ -567,7 +567,6 @@ def results_roundtrip(spark, sf_dir):
 # --- text and models ---------------------------------------------------------------------------------
 
 from minpair.operators import ml, text  # noqa: E402
-from minpair.functions.text import word_tokens as _word_tokens  # noqa: E402
 
 
 def _documents(spark, sf_dir, *cols):
