@@ -112,18 +112,15 @@ def disagreement_stats(voted: DataFrame, slice_keys: list[str]) -> DataFrame:
     """Items, disagreements and rate (%) per slice, plus a total row per bias type.
 
     ``voted`` is the output of :func:`vote_items`. ``slice_keys`` must contain ``bias_type``;
-    total rows carry NULL in the other keys (rollup semantics) and ``level = 'total'``.
+    total rows carry NULL in the other keys and ``level = 'total'``. One grouping-set aggregation,
+    so the votes are read once.
     """
-    others = [k for k in slice_keys if k != "bias_type"]
     agg = [F.count(F.lit(1)).alias("n_items"),
-           F.sum(F.col("disagreement").cast("bigint")).alias("n_disagreements")]
-    detail = voted.groupBy(*slice_keys).agg(*agg).withColumn("level", F.lit("detail"))
-    total = voted.groupBy("bias_type").agg(*agg).withColumn("level", F.lit("total"))
-    for k in others:
-        total = total.withColumn(k, F.lit(None).cast(voted.schema[k].dataType))
-    both = detail.unionByName(total.select(*detail.columns))
-    return both.withColumn("disagreement_pct",
-                           F.try_divide(F.col("n_disagreements") * 100.0, F.col("n_items")))
+           F.sum(F.col("disagreement").cast("bigint")).alias("n_disagreements"),
+           F.grouping_id().alias("__gid")]
+    g = voted.groupingSets([slice_keys, ["bias_type"]], *slice_keys).agg(*agg)
+    g = g.withColumn("level", F.when(F.col("__gid") == 0, F.lit("detail")).otherwise(F.lit("total"))).drop("__gid")
+    return g.withColumn("disagreement_pct", F.try_divide(F.col("n_disagreements") * 100.0, F.col("n_items")))
 
 
 def disagreement_items(voted: DataFrame) -> DataFrame:
