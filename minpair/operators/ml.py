@@ -153,9 +153,10 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
     """
     from minpair.operators.joins import join_dimension
     # posexplode_outer keeps texts without tokens (their marker row has a NULL position)
-    toks = df.select(id_col, F.posexplode_outer(word_tokens(F.col(first))).alias("pos", "term"), F.lit(0).alias("seg"))
-    toks = toks.unionByName(df.select(id_col, F.posexplode_outer(word_tokens(F.col(second))).alias("pos", "term"),
-                                      F.lit(1).alias("seg")))
+    segs = F.array(F.struct(F.lit(0).alias("seg"), word_tokens(F.col(first)).alias("toks")),
+                   F.struct(F.lit(1).alias("seg"), word_tokens(F.col(second)).alias("toks")))
+    toks = df.select(id_col, F.explode(segs).alias("s")).select(
+        id_col, F.col("s.seg").alias("seg"), F.posexplode_outer("s.toks").alias("pos", "term"))
     ids = join_dimension(toks, vocab, ["term"], how="left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
     g = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seg", "pos", "id"))).alias("t"))
     a = F.expr("transform(filter(t, x -> x.seg = 0 AND x.pos IS NOT NULL), x -> x.id)")
