@@ -153,17 +153,25 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
     """
     from minpair.operators.joins import join_dimension
     # posexplode_outer keeps texts without tokens (their marker row has a NULL position)
+    budget = max_length - 3
+    # Whole texts are tokenised and their full lengths drive the truncation; a segment can keep at
+    # most ``budget`` tokens, so positions beyond it cannot reach the output and are not joined.
     segs = F.array(F.struct(F.lit(0).alias("seg"), word_tokens(F.col(first)).alias("toks")),
                    F.struct(F.lit(1).alias("seg"), word_tokens(F.col(second)).alias("toks")))
-    toks = df.select(id_col, F.explode(segs).alias("s")).select(
-        id_col, F.col("s.seg").alias("seg"), F.posexplode_outer("s.toks").alias("pos", "term"))
+    # texts partitioned by id first: one text shuffle, parallel tokenising, and the per-document
+    # gather below runs on that partitioning (the vocabulary join is a broadcast when small)
+    docs = df.select(id_col, first, second).repartition(id_col)
+    toks = docs.select(id_col, F.explode(segs).alias("s")).select(
+        id_col, F.col("s.seg").alias("seg"), F.size("s.toks").alias("seg_len"),
+        F.posexplode_outer(F.slice("s.toks", 1, budget)).alias("pos", "term"))
     ids = join_dimension(toks, vocab, ["term"], how="left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    g = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seg", "pos", "id"))).alias("t"))
+    g = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seg", "pos", "id"))).alias("t"),
+                                F.max(F.when(F.col("seg") == 0, F.col("seg_len"))).alias("la"),
+                                F.max(F.when(F.col("seg") == 1, F.col("seg_len"))).alias("lb"))
     a = F.expr("transform(filter(t, x -> x.seg = 0 AND x.pos IS NOT NULL), x -> x.id)")
     b = F.expr("transform(filter(t, x -> x.seg = 1 AND x.pos IS NOT NULL), x -> x.id)")
-    g = g.select(id_col, a.alias("a"), b.alias("b"))
-    budget = max_length - 3
-    la, lb = F.size("a"), F.size("b")
+    g = g.select(id_col, a.alias("a"), b.alias("b"), "la", "lb")
+    la, lb = F.col("la"), F.col("lb")
     short, long_ = F.least(la, lb), F.greatest(la, lb)
     keep_short = F.when(la + lb <= budget, short).when(short <= budget // 2, short).otherwise(F.lit(budget // 2))
     keep_long = F.when(la + lb <= budget, long_).otherwise(F.lit(budget) - keep_short)
