@@ -788,3 +788,12 @@ ORACLE["a11_emotion_group_performance"] = _with(_SCORED, f"""ev AS (
   grp, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
   CAST(sum(support) AS BIGINT) AS support, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc
 FROM m_cls GROUP BY level, emotion, grp"""
+
+_OVERALL_COLS = """bias_cat_1_mean, bias_cat_2_mean, performance_gap, statistical_significance, bias_cat_1_name,
+  bias_cat_2_name, bias_type, steps, lang"""
+ORACLE["s11_overall_results_roundtrip"] = _with(
+    votes_cte(), _MEAN_PAIRS, ensemble_cte(),
+    "m AS (" + bias_stats_select("mean_pairs", ["lang", "bias_type", "steps"]) + ")",
+    "e AS (" + bias_stats_select("ens", ["lang", "bias_type", "steps"]) + ")") + f"""SELECT {_OVERALL_COLS},
+  'overall' AS averaging FROM m
+UNION ALL SELECT {_OVERALL_COLS}, 'ensemble' AS averaging FROM e"""

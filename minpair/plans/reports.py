@@ -750,3 +750,22 @@ def emotion_group_performance(spark, sf_dir):
     """Performance of the corpus scorer by (emotion, group), by emotion and overall."""
     scored = ml.evaluate_scorer(None, _lexicon_scored(spark, sf_dir))
     return rounded(perf.nested_performance(scored, "gold_label", "pred_polarity", "emotion", "grp"))
+
+
+@report("s11_overall_results_roundtrip")
+def overall_results_roundtrip(spark, sf_dir):
+    """Overall summaries of both averaging modes (seed mean, majority-vote ensemble) written as one
+    CSV dataset partitioned by ``averaging`` under the shared checkpoint folder, read back."""
+    import uuid
+    from minpair.session import shared_path
+    from minpair.sources import tables
+    v = views.votes(spark, sf_dir)
+    keys = ["lang", "bias_type", "steps"]
+    cols = ["bias_cat_1_mean", "bias_cat_2_mean", "performance_gap", "statistical_significance",
+            "bias_cat_1_name", "bias_cat_2_name", "bias_type", "steps", "lang"]
+    mean = bias.bias_stats(vote.mean_pairs(v), keys).select(*cols, F.lit("overall").alias("averaging"))
+    ens = bias.bias_stats(vote.ensemble_pairs(v, n_seeds=N_SEEDS), keys).select(*cols, F.lit("ensemble").alias("averaging"))
+    path = shared_path(spark, f"overall-{uuid.uuid4().hex}")
+    tables.write_result_csv(mean.unionByName(ens), path, partition_by=["averaging"])
+    schema = T.StructType(tables.SUMMARY_SCHEMA.fields + [T.StructField("averaging", T.StringType())])
+    return rounded(tables.read_result_csv(spark, path, schema).drop("source_file"))
