@@ -43,13 +43,16 @@ def wasserstein(df: DataFrame, keys: list[str], sample: str, value: str, a, b) -
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tot = Window.partitionBy(*keys)
     c = c.withColumns({
-        "fa": F.sum("na").over(run) / F.sum("na").over(tot),
-        "fb": F.sum("nb").over(run) / F.sum("nb").over(tot),
+        "ta": F.sum("na").over(tot), "tb": F.sum("nb").over(tot),
+        "fa": F.try_divide(F.sum("na").over(run), F.sum("na").over(tot)),
+        "fb": F.try_divide(F.sum("nb").over(run), F.sum("nb").over(tot)),
         "nxt": F.lead(value).over(w),
     })
     width = (F.col("nxt") - F.col(value)).cast("double")
-    return c.groupBy(*keys).agg(
-        F.coalesce(F.sum(F.abs(F.col("fa") - F.col("fb")) * width), F.lit(0.0)).alias("wasserstein"))
+    g = c.groupBy(*keys).agg(F.coalesce(F.sum(F.abs(F.col("fa") - F.col("fb")) * width), F.lit(0.0)).alias("d"),
+                             F.max("ta").alias("ta"), F.max("tb").alias("tb"))
+    # a slice where one sample is empty has no distance (NULL), rather than an ANSI division error
+    return g.select(*keys, F.when((F.col("ta") > 0) & (F.col("tb") > 0), F.col("d")).alias("wasserstein"))
 
 
 def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -85,7 +88,7 @@ def normal_ci(df: DataFrame, keys: list[str], value: str, z: float = 1.96) -> Da
     """A18 (closed form): mean with ``mean +- z * sd / sqrt(n)``."""
     v = F.col(value).cast("double")
     g = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
-    half = z * F.col("sd") / F.sqrt(F.col("n").cast("double"))
+    half = F.try_divide(z * F.col("sd"), F.sqrt(F.col("n").cast("double")))
     return g.select(*keys, "n", "mean", "sd", (F.col("mean") - half).alias("ci_low"),
                     (F.col("mean") + half).alias("ci_high"))
 
@@ -167,7 +170,7 @@ def kde_density(df: DataFrame, keys: list[str], value: str, grid_points: int = 6
         F.collect_list(F.struct("v", "c")).alias("vc"), F.sum("c").alias("n"),
         (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"),
         F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.sum(F.col("c") * F.col("v") * F.col("v")).alias("s2"))
-    var = (F.col("s2") - F.col("n") * F.col("mean") * F.col("mean")) / (F.col("n") - 1)
+    var = F.try_divide(F.col("s2") - F.col("n") * F.col("mean") * F.col("mean"), (F.col("n") - 1).cast("double"))
     st = st.withColumn("bw", F.sqrt(F.greatest(var, F.lit(0.0))) * F.pow(F.col("n").cast("double"), -0.2))
     st = st.where(F.col("bw") > 0)
     lo = F.col("vmin") - cut * F.col("bw")

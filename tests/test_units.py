@@ -125,3 +125,14 @@ def test_first_n_matches_row_number(spark, rows, n):
     got = sorted((r.p, r.k, r.pos) for r in first_n(df, ["p"], [F.col("k")], [F.floor(F.col("k") / 500)], n).collect())
     exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1).where(F.col("pos") < n)
     assert got == sorted((r.p, r.k, r.pos) for r in exp.collect())
+
+
+def test_distribution_edge_slices(spark):
+    """One-sided or single-value slices give NULLs, never an ANSI division error."""
+    df = spark.createDataFrame([("k", "a", 1), ("k", "a", 2), ("j", "a", 3), ("j", "b", 3)], "k string, s string, v int")
+    w = {r["k"]: r["wasserstein"] for r in dist.wasserstein(df, ["k"], "s", "v", "a", "b").collect()}
+    assert w == {"k": None, "j": 0.0}
+    one = spark.createDataFrame([("k", 2.0)], "k string, v double")
+    assert dist.kde_density(one, ["k"], "v").count() == 0
+    ci = dist.normal_ci(one, ["k"], "v").first()
+    assert ci["n"] == 1 and ci["ci_low"] is None
