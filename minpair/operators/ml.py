@@ -127,11 +127,12 @@ def lexicon_model(emotions: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 def score_lexicon(df: DataFrame, text_col: str, lexicon: DataFrame, lang_col: str = "lang",
                   out: str = "label") -> DataFrame:
-    """M08 with the lexicon model: tokens joined to the lexicon (broadcast, a fixed word list);
-    stars = rounded mean of matched word stars, 3 when nothing matches."""
+    """M08 with the lexicon model: tokens joined to the lexicon (a word list, broadcast after a size
+    check); stars = rounded mean of matched word stars, 3 when nothing matches."""
+    from minpair.operators.joins import join_dimension
     tok = df.select("*", F.posexplode_outer(word_tokens(F.col(text_col))).alias("__p", "__w"))
-    j = tok.join(F.broadcast(lexicon.select(lang_col, F.col("word").alias("__w"), F.col("stars").alias("__s"))),
-                 [lang_col, "__w"], "left")
+    j = join_dimension(tok, lexicon.select(lang_col, F.col("word").alias("__w"), F.col("stars").alias("__s")),
+                       [lang_col, "__w"], how="left")
     keys = [c for c in df.columns]
     g = j.groupBy(*keys).agg(F.avg("__s").alias("__m"))
     return g.withColumn(out, F.coalesce(F.round("__m").cast("int"), F.lit(3))).drop("__m")
