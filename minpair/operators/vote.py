@@ -21,8 +21,9 @@ def vote_items(votes: DataFrame, item_keys: list[str], tie: str = "compat",
     """One row per item: ``item_keys + (label, disagreement, kind, runner_up, n_votes)``.
 
     ``n_seeds``: keep only items voted on by every seed (a positional zip stops at the shortest).
+    Votes with a NULL label are ignored.
     """
-    g = votes.groupBy(*item_keys).agg(F.collect_list(F.struct("seed_rank", "label")).alias("v"))
+    g = votes.where(F.col("label").isNotNull()).groupBy(*item_keys).agg(F.collect_list(F.struct("seed_rank", "label")).alias("v"))
     if n_seeds is not None:
         g = g.where(F.size("v") == n_seeds)
     out = with_majority_vote(g.withColumn("n_votes", F.size("v")), "v", "", tie)
@@ -45,7 +46,8 @@ def ensemble_pairs(votes: DataFrame, pair_keys: list[str] | None = None, tie: st
     pair_keys = pair_keys or PAIR_KEYS
     # Only collect_list (an object-hash aggregate with map-side partial merge): string max() would
     # force a sort-based aggregate. The group name rides along in the struct.
-    g = votes.groupBy(*pair_keys).agg(F.collect_list(F.struct("side", "seed_rank", "label", "grp")).alias("v"))
+    g = (votes.where(F.col("label").isNotNull()).groupBy(*pair_keys)
+         .agg(F.collect_list(F.struct("side", "seed_rank", "label", "grp")).alias("v")))
     s1, s2 = _side_votes("v", 1), _side_votes("v", 2)
     g = g.select(*pair_keys, _side_name("v", 1).alias("bias_cat_1"),
                  _side_name("v", 2).alias("bias_cat_2"), s1.alias("v1"), s2.alias("v2"))

@@ -72,3 +72,16 @@ def test_vote_log_tie_ranking(spark):
     assert got == dict(exp)
     shares = {r["kind"]: r["n"] for r in vote_log_shares(parsed).collect()}
     assert shares == {"tie": len(pairs), "no_winner": 1, "one_winner": 1}
+
+
+def test_ensemble_pairs_ignores_null_votes_and_requires_all_seeds(spark):
+    from minpair.operators.vote import ensemble_pairs
+    rows = []
+    for seed_rank, (l1, l2) in enumerate([(5, 1), (5, 2), (4, 2)]):
+        rows += [("de", 1, "gender", "joy", 7, seed_rank, 1, "male", l1), ("de", 1, "gender", "joy", 7, seed_rank, 2, "female", l2)]
+    rows.append(("de", 1, "gender", "joy", 8, 0, 1, "male", 3))          # pair 8 misses side 2
+    rows.append(("de", 1, "gender", "joy", 7, 3, 1, "male", None))       # NULL vote ignored
+    df = spark.createDataFrame(rows, "lang string, steps int, bias_type string, emotion string, pair_id long, "
+                                     "seed_rank int, side int, grp string, label int")
+    out = ensemble_pairs(df, n_seeds=3).collect()
+    assert [(r.pair_id, r.label_1, r.label_2, r.bias_cat_1, r.bias_cat_2) for r in out] == [(7, 5, 2, "male", "female")]
