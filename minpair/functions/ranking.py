@@ -19,7 +19,7 @@ def hash_key(*cols: Column | str) -> Column:
                                      for c in cols]))
 
 
-def hex_bucket(key: Column, digits: int = 3) -> Column:
+def hex_bucket(key: Column, digits: int = 4) -> Column:
     """Leading hex digits of an md5 key: monotone in the key, 16**digits buckets."""
     return F.substring(key, 1, digits)
 
