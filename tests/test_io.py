@@ -100,3 +100,17 @@ def test_vectorise_tfidf(spark):
     out, _ = ml.vectorise(df, "tokens", use_idf=True)
     norms = [float(sum(x * x for x in r["features"].toArray())) for r in out.collect()]
     assert all(abs(n - 1.0) < 1e-9 for n in norms)
+
+
+def test_result_csv_glob_and_nan(spark, tmp_path):
+    """Result files chosen by suffix, ``nan`` p-values read as NULL."""
+    d = tmp_path / "results"
+    d.mkdir()
+    header = ("bias_cat_1_mean,bias_cat_2_mean,performance_gap,statistical_significance,bias_cat_1_name,"
+              "bias_cat_2_name,bias_type,steps,lang\n")
+    (d / "de_42_emotion.csv").write_text(header + "3.9,3.9,0.0,nan,male,female,gender,50001,de\n")
+    (d / "de_42.csv").write_text(header + "3.8,3.7,0.1,0.39,male,female,gender,50001,de\n")
+    df = tables.read_result_csv(spark, str(d), tables.SUMMARY_SCHEMA, glob="*emotion.csv")
+    rows = df.collect()
+    assert len(rows) == 1 and rows[0]["statistical_significance"] is None
+    assert rows[0]["source_file"].endswith("de_42_emotion.csv")
