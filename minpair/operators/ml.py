@@ -138,8 +138,9 @@ def score_lexicon(df: DataFrame, text_col: str, lexicon: DataFrame, lang_col: st
     return g.withColumn(out, F.coalesce(F.round("__m").cast("int"), F.lit(3))).drop("__m")
 
 
-def evaluate_scorer(corpus_long: DataFrame, labelled: DataFrame) -> DataFrame:
-    """M09 glue: predictions of a scored corpus with gold polarity from the emotion."""
+def evaluate_scorer(labelled: DataFrame) -> DataFrame:
+    """M09 glue: a scored corpus (``label``, ``emotion``) gets the predicted polarity and the gold
+    polarity of its emotion (P02 / P03), ready for the nested metrics."""
     return labelled.withColumns({"pred_polarity": polarity(F.col("label")),
                                  "gold_label": gold_from_emotion(F.col("emotion"))})
 

@@ -671,7 +671,7 @@ def corpus_bias(spark, sf_dir):
 @report("m09_corpus_performance")
 def corpus_performance(spark, sf_dir):
     """Nested performance of the lexicon scorer against the emotion gold labels."""
-    scored = ml.evaluate_scorer(None, _lexicon_scored(spark, sf_dir))
+    scored = ml.evaluate_scorer(_lexicon_scored(spark, sf_dir))
     return rounded(perf.nested_performance(scored, "gold_label", "pred_polarity", "bias_type", "grp"))
 
 
@@ -748,7 +748,7 @@ def scored_runs(spark, sf_dir):
 @report("a11_emotion_group_performance")
 def emotion_group_performance(spark, sf_dir):
     """Performance of the corpus scorer by (emotion, group), by emotion and overall."""
-    scored = ml.evaluate_scorer(None, _lexicon_scored(spark, sf_dir))
+    scored = ml.evaluate_scorer(_lexicon_scored(spark, sf_dir))
     return rounded(perf.nested_performance(scored, "gold_label", "pred_polarity", "emotion", "grp"))
 
 
