@@ -136,3 +136,12 @@ def test_distribution_edge_slices(spark):
     assert dist.kde_density(one, ["k"], "v").count() == 0
     ci = dist.normal_ci(one, ["k"], "v").first()
     assert ci["n"] == 1 and ci["ci_low"] is None
+
+
+def test_texts_by_language_counts_chinese_twice(spark):
+    from minpair.operators.text import texts_by_language
+    df = spark.createDataFrame([("train", "zh", "simplified"), ("train", "en", None), ("test", "zh", "mixed")],
+                               "split string, detected_lang string, zh_variant string")
+    got = {(r["split"], r["detected_lang"]): r["n"] for r in texts_by_language(df, ["split"], "zh_variant").collect()}
+    assert got[("train", "zh")] == 1 and got[("train", "zh_cn")] == 1 and got[("test", "zh_tr")] == 1
+    assert got[(None, None)] == 5
