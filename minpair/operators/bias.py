@@ -81,7 +81,8 @@ def bias_stats_sets(pairs: DataFrame, base_keys: list[str], extra: str = "emotio
 
 
 def missing_groups(observed: DataFrame, catalogue: DataFrame, keys: list[str]) -> DataFrame:
-    """Catalogue groups absent from the observed ``(keys..., grp)`` rows (per slice).
+    """Catalogue groups absent from the observed ``(keys..., grp)`` rows (per slice,
+    over the distinct observed values).
 
     ``catalogue`` is ``(lang, bias_type, grp, side)``; the result lists, for every observed slice,
     the expected groups that did not occur. A bias type with a missing group is skipped downstream.

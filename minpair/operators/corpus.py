@@ -27,7 +27,8 @@ def _grammars(grammar_cat: DataFrame, role: str) -> DataFrame:
 
 def fill_emotions(templates: DataFrame, emotions: DataFrame, grammar_cat: DataFrame,
                   agreement_langs: list[str] | None = None) -> DataFrame:
-    """J01 + U02: ``(lang, emotion, e_grammar_idx, template_idx, emotion_idx, text, variants)``.
+    """J01 + U02 + F01 + F02: ``(lang, emotion, e_grammar_idx, template_idx, emotion_idx, text,
+    variants)``.
 
     Templates with an emotion placeholder get one sentence per matching word (every occurrence of
     the placeholder replaced, literally); the rest form ``no_emotion`` (distinct template texts).
@@ -75,7 +76,7 @@ def emotion_rank(emotion: Column) -> Column:
 
 def fill_people(sentences: DataFrame, people: DataFrame, grammar_cat: DataFrame,
                 agreement_langs: list[str] | None = None) -> DataFrame:
-    """J02 + J03 + F09 + T06 + T07: every sentence with a person placeholder x every person pair
+    """J02 + J03 + F01 + F02 + F09 + T06 + T07: every sentence with a person placeholder x every pair
     of that grammar; both sides filled, whitespace collapsed. Not yet de-duplicated.
     """
     agreement_langs = dims.AGREEMENT_LANGS if agreement_langs is None else agreement_langs

@@ -103,7 +103,7 @@ def paired_model_test(mart: DataFrame, type_a: str, type_b: str, keys: list[str]
 
 
 def performance_curve(perf: DataFrame, keys: list[str]) -> DataFrame:
-    """f1 and accuracy by step (sorted numerically, not as text)."""
+    """A31 + W04: f1 and accuracy by step (steps sorted numerically, not as text)."""
     return perf.select(*keys, "steps", "f1", "acc").orderBy(*keys, "steps")
 
 

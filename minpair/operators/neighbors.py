@@ -43,7 +43,8 @@ def _local_topk(seed_words, seed_mat, k):
 
 def nearest_words(vectors: DataFrame, seeds: DataFrame, k: int = 20, max_seeds_per_block: int = 4096,
                   lower: bool = True) -> DataFrame:
-    """Top ``k`` vocabulary words per seed word: ``(seed, word, similarity, rank)``.
+    """W02 + T09: top ``k`` vocabulary words (lower-cased) per seed word: ``(seed, word, similarity,
+    rank)``.
 
     ``vectors(word, vector array<float>)``; ``seeds(word)``. Seeds without a vector are left out
     here and listed by :func:`missing_seeds`. The seed itself is among its own neighbours.

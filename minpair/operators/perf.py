@@ -14,7 +14,7 @@ from minpair.functions.labels import gold_from_emotion, polarity, polarity_to_in
 
 
 def polarity_frame(pairs: DataFrame) -> DataFrame:
-    """Polarity of both labels, gold from emotion, integer codes and the polarity gap.
+    """P08 + J09: polarity of both labels, gold from emotion, integer codes and the polarity gap.
 
     The star labels are kept (``label_1``/``label_2``) next to the polarity columns, so later
     metric steps can use either scale.

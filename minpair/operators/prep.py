@@ -17,7 +17,7 @@ from minpair.session import materialise
 
 def format_data(reviews: DataFrame, body: str = "review_body", title: str = "review_title",
                 stars: str = "stars") -> DataFrame:
-    """``(text = body + title, label = int(stars))``."""
+    """P01 + P17: ``(text = body + title, label = int(stars))`` next to the selected columns."""
     return reviews.select("*", format_text(F.col(body), F.col(title)).alias("text"),
                           F.col(stars).cast("int").alias("label"))
 

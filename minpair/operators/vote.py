@@ -39,6 +39,9 @@ def ensemble_pairs(votes: DataFrame, pair_keys: list[str] | None = None, tie: st
                    n_seeds: int | None = None) -> DataFrame:
     """Majority vote of each side of each pair, aligned by ``pair_id`` (A07 + J06, one shuffle).
 
+    P07: ``performance_gap = label_1 - label_2``. J07: ``n_seeds`` keeps items every seed voted on.
+    U07: flattening over emotions is just leaving ``emotion`` out of the key.
+
     Output: ``pair_keys + bias_cat_1, bias_cat_2, label_1, label_2, performance_gap,
     disagreement_1, disagreement_2, kind_1, kind_2, runner_up_1, runner_up_2``.
     Pairs missing a side are dropped (inner alignment).
@@ -143,7 +146,7 @@ def render_vote_log(voted: DataFrame) -> DataFrame:
 
 
 def parse_vote_log(lines: DataFrame, col: str = "value") -> DataFrame:
-    """``(kind, label_a, label_b, tie_pair)`` for every line starting with ``disagreement``."""
+    """T12 + F10: ``(kind, label_a, label_b, tie_pair)`` for every line starting with ``disagreement``."""
     v = F.col(col)
     d = lines.where(v.startswith("disagreement"))
     kind = (F.when(v.startswith("disagreement, only one vote has more"), F.lit("one_winner"))

@@ -797,3 +797,12 @@ ORACLE["s11_overall_results_roundtrip"] = _with(
     "e AS (" + bias_stats_select("ens", ["lang", "bias_type", "steps"]) + ")") + f"""SELECT {_OVERALL_COLS},
   'overall' AS averaging FROM m
 UNION ALL SELECT {_OVERALL_COLS}, 'ensemble' AS averaging FROM e"""
+
+_U01_COLS = """lang, bias_type, steps, bias_cat_1_name, bias_cat_2_name, n_pairs, bias_cat_1_mean, bias_cat_2_mean,
+  performance_gap, t_statistic, statistical_significance"""
+ORACLE["u01_union_results"] = _with(
+    votes_cte(), _SEED_PAIRS, ensemble_cte(),
+    "r AS (" + bias_stats_select("seed_pairs", ["lang", "seed", "bias_type", "steps"]) + ")",
+    "e AS (" + bias_stats_select("ens", ["lang", "bias_type", "steps"]) + ")") + f"""SELECT {_U01_COLS}, seed,
+  'run' AS averaging FROM r
+UNION ALL SELECT {_U01_COLS}, CAST(NULL AS INTEGER) AS seed, 'ensemble' AS averaging FROM e"""

@@ -769,3 +769,14 @@ def overall_results_roundtrip(spark, sf_dir):
     tables.write_result_csv(mean.unionByName(ens), path, partition_by=["averaging"])
     schema = T.StructType(tables.SUMMARY_SCHEMA.fields + [T.StructField("averaging", T.StringType())])
     return rounded(tables.read_result_csv(spark, path, schema).drop("source_file"))
+
+
+@report("u01_union_results")
+def union_results(spark, sf_dir):
+    """Per-run summaries and ensemble summaries appended by column name (the ensemble files have no
+    ``seed`` column: NULL there), each tagged with its averaging kind (U01 + P16)."""
+    v = views.votes(spark, sf_dir)
+    keys = ["lang", "bias_type", "steps"]
+    per_run = mart.tag(bias.bias_stats(vote.seed_pairs(v), ["lang", "seed", "bias_type", "steps"]), averaging="run")
+    ens = mart.tag(bias.bias_stats(vote.ensemble_pairs(v, n_seeds=N_SEEDS), keys), averaging="ensemble")
+    return rounded(mart.union_results([per_run, ens]))

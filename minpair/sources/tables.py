@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_reviews(spark: SparkSession, path: str, lang: str | None = None,
                  split: str | None = None) -> DataFrame:
-    """Reviews of one language (and split); both are partition columns, so this prunes files."""
+    """Reviews of one language (and split); both are partition columns, so this prunes files."""
     df = spark.read.parquet(path)
     if lang is not None:
         df = df.where(F.col("language") == lang)
@@ -48,13 +48,15 @@ def read_reviews(spark: SparkSession, path: str, lang: str | None = None,
 
 
 def write_reviews(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Save the prepared reviews partitioned by language and split."""
     df.write.mode(mode).partitionBy("language", "split").parquet(path)
 
 
 # --- S02: many category files, corrupt or missing ones skipped ----------------------------------
 
 def read_category_files(spark: SparkSession, paths: Iterable[str], schema: T.StructType) -> DataFrame:
-    """Union of per-category parquet files; the category comes from the file path."""
+    """Union of per-category parquet files (corrupt / missing ones skipped); the category comes
+    from the file path."""
     df = (spark.read.schema(schema)
           .option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
           .parquet(*list(paths)))
@@ -63,7 +65,7 @@ def read_category_files(spark: SparkSession, paths: Iterable[str], schema: T.Str
 
 
 def skipped_categories(loaded: DataFrame, expected: DataFrame, key: str = "source_file") -> DataFrame:
-    """Expected categories that produced no rows (anti join, the log of skipped files)."""
+    """Expected categories that produced no rows (anti join, the log of skipped files)."""
     return expected.join(loaded.select(key).distinct(), key, "left_anti")
 
 
@@ -73,7 +75,7 @@ CORPUS_JSON_TYPE = "map<string, map<string, array<string>>>"
 
 
 def read_corpus_json(spark: SparkSession, path: str, lang: str) -> DataFrame:
-    """``emotion -> group -> [sentences]`` JSON to ``(lang, emotion, grp, pair_id, sentence)``."""
+    """``emotion -> group -> [sentences]`` JSON to ``(lang, emotion, grp, pair_id, sentence)``."""
     raw = spark.read.text(path, wholetext=True)
     nested = raw.select(F.from_json("value", CORPUS_JSON_TYPE).alias("m"))
     by_emotion = nested.select(F.explode("m").alias("emotion", "groups"))
@@ -83,7 +85,7 @@ def read_corpus_json(spark: SparkSession, path: str, lang: str) -> DataFrame:
 
 
 def corpus_to_json(long: DataFrame) -> DataFrame:
-    """Inverse of :func:`read_corpus_json` for one language: a single JSON text row.
+    """Inverse of :func:`read_corpus_json` for one language: a single JSON text row.
 
     Only for small corpora (the JSON document is one value); the long table is the normal sink.
     """
@@ -124,7 +126,8 @@ PERFORMANCE_SCHEMA = T.StructType([
 
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType,
                     glob: str | None = None) -> DataFrame:
-    """Result CSV(s) with an explicit schema; ``nan`` becomes NULL, the file path is kept."""
+    """Result CSV(s) with an explicit schema (optionally chosen by file-name glob);
+    ``nan`` becomes NULL, the file path is kept."""
     reader = spark.read.schema(schema).option("header", "true").option("nanValue", "nan")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -136,6 +139,7 @@ def read_result_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 def write_result_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
                      mode: str = "overwrite") -> None:
+    """Result tables as CSV with header, partitioned by the given columns."""
     writer = df.write.mode(mode).option("header", "true")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -145,7 +149,7 @@ def write_result_csv(df: DataFrame, path: str, partition_by: list[str] | None =
 # --- S07: a family of result files tagged by model type and language ----------------------------
 
 def read_result_family(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """Results stored as ``root/model_type=<t>/lang=<l>/*.parquet``: one partitioned read.
+    """Results stored as ``root/model_type=<t>/lang=<l>/*.parquet``: one partitioned read.
 
     Missing combinations simply have no directory; partition pruning selects the ones asked for.
     """
@@ -156,13 +160,14 @@ def read_result_family(spark: SparkSession, root: str, schema: T.StructType | No
 
 
 def write_result_family(df: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """Save an assembled mart partitioned by model type and language."""
     df.write.mode(mode).partitionBy("model_type", "lang").parquet(root)
 
 
 # --- S09: run registry from config rows and checkpoint folder names ------------------------------
 
 def run_registry(configs: DataFrame, checkpoints: DataFrame) -> DataFrame:
-    """``configs(model_lang, test_lang, model_dirs array<string>)`` and ``checkpoints(model_dir,
+    """``configs(model_lang, test_lang, model_dirs array<string>)`` and ``checkpoints(model_dir,
     name)`` to ``(run, model_lang, test_lang, lang, epochs, seed, seed_rank, steps)``.
 
     The folder name is ``<lang>_<epochs>_<seed>`` (``multi+en`` is one token); checkpoint folders
@@ -182,7 +187,7 @@ def run_registry(configs: DataFrame, checkpoints: DataFrame) -> DataFrame:
 # --- S15: category mapping -------------------------------------------------------------------------
 
 def read_category_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """``source_category, target_category (x = none), uncertain ('?')``."""
+    """``source_category, target_category (x = none), uncertain ('?')``."""
     raw = spark.read.option("header", "true").csv(path)
     cols = raw.columns
     return raw.select(F.col(cols[0]).alias("source_category"),
@@ -193,4 +198,5 @@ def read_category_mapping(spark: SparkSession, path: str) -> DataFrame:
 # --- S17: vote log lines ------------------------------------------------------------------------
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Vote-log lines as a ``value`` column."""
     return spark.read.text(path)

@@ -78,6 +78,7 @@ def gold_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word vectors ``(word, vector array<float>)`` from ``embeddings``."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"),
                     F.col("embedding").alias("vector"), "vec_id", "label")

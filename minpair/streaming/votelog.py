@@ -16,7 +16,7 @@ from minpair.session import shared_path
 
 
 def vote_log_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Streaming parse of log lines: ``(kind, label_a, label_b, tie_pair)``."""
+    """S17 + T12 as a stream: parsed log lines ``(kind, label_a, label_b, tie_pair)``."""
     lines = spark.readStream.format("text").load(folder)
     return parse_vote_log(lines)
 
