@@ -69,7 +69,8 @@ def train_linear(train: DataFrame, text_col: str, label_col: str, reg: float = 1
     tok = SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower({text_col}), '(?U)\\\\b\\\\w\\\\w+\\\\b', 0) "
                                    f"AS __tokens FROM __THIS__")
     cv = CountVectorizer(inputCol="__tokens", outputCol="features")
-    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), labelCol=label_col,
+    # the per-class binary models are independent: fit them concurrently
+    ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), labelCol=label_col, parallelism=8,
                     featuresCol="features", predictionCol="prediction")
     return Pipeline(stages=[tok, cv, ovr]).fit(train)
 
