@@ -23,6 +23,20 @@ def union_results(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+# Older label-file layouts: column renames onto the current header.
+LEGACY_LABEL_COLUMNS = {"bias_cat_1_name": "bias_cat_1", "bias_cat_2_name": "bias_cat_2", "label": "label_1",
+                        "bias_cat_name": "bias_cat_1"}
+
+
+def harmonise_labels(df: DataFrame) -> DataFrame:
+    """U01 input: rename older label-file columns to the current header (files without label
+    columns simply lack them; :func:`union_results` fills NULLs)."""
+    for old, new in LEGACY_LABEL_COLUMNS.items():
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    return df
+
+
 def tag(df: DataFrame, **constants) -> DataFrame:
     """Constant columns such as ``model_type`` or ``mono_multi``."""
     return df.withColumns({k: F.lit(v) for k, v in constants.items()})

@@ -145,3 +145,23 @@ def test_texts_by_language_counts_chinese_twice(spark):
     got = {(r["split"], r["detected_lang"]): r["n"] for r in texts_by_language(df, ["split"], "zh_variant").collect()}
     assert got[("train", "zh")] == 1 and got[("train", "zh_cn")] == 1 and got[("test", "zh_tr")] == 1
     assert got[(None, None)] == 5
+
+
+def test_union_of_legacy_label_layouts(spark):
+    from minpair.operators import mart
+    cur = spark.createDataFrame([(3, 4, -1, "male", "female", "gender", 1, "de")],
+                                "label_1 int, label_2 int, performance_gap int, bias_cat_1 string, bias_cat_2 string, "
+                                "bias_type string, steps int, lang string")
+    old = spark.createDataFrame([(2, 2, 0, "male", "female", "gender", 1, "de")],
+                                "label_1 int, label_2 int, performance_gap int, bias_cat_1_name string, "
+                                "bias_cat_2_name string, bias_type string, steps int, lang string")
+    violin = spark.createDataFrame([(5, "male", "gender", 1, "de")],
+                                   "label int, bias_cat_name string, bias_type string, steps int, lang string")
+    no_labels = spark.createDataFrame([(1, "male", "female", "gender", 1, "es")],
+                                      "performance_gap int, bias_cat_1 string, bias_cat_2 string, bias_type string, "
+                                      "steps int, lang string")
+    u = mart.union_results([mart.harmonise_labels(d) for d in (cur, old, violin, no_labels)])
+    key = lambda t: tuple((x is None, "" if x is None else x) for x in t)
+    rows = sorted(((r.label_1, r.bias_cat_1, r.performance_gap, r.lang) for r in u.collect()), key=key)
+    assert rows == sorted([(3, "male", -1, "de"), (2, "male", 0, "de"), (5, "male", None, "de"),
+                           (None, "male", 1, "es")], key=key)
