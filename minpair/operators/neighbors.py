@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 OUT_SCHEMA = "seed string, word string, similarity double"
 
 
-def _local_topk(seed_words, seed_mat, k):
+def _local_topk(block, k):
+    """``block`` is a broadcast ``(seed words, unit seed matrix)``: shipped once per executor."""
     def run(batches):
+        seed_words, seed_mat = block.value
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -70,7 +72,8 @@ def nearest_words(vectors: DataFrame, seeds: DataFrame, k: int = 20, max_seeds_p
         nrm = np.linalg.norm(mat, axis=1)
         nrm[nrm == 0] = np.inf
         mat = mat / nrm[:, None]
-        parts.append(vec.mapInPandas(_local_topk(words, mat, k), OUT_SCHEMA))
+        block = vec.sparkSession.sparkContext.broadcast((words, mat))
+        parts.append(vec.mapInPandas(_local_topk(block, k), OUT_SCHEMA))
     if not parts:
         return vec.sparkSession.createDataFrame([], OUT_SCHEMA + ", rank int")
     cand = parts[0]
