@@ -806,3 +806,17 @@ ORACLE["u01_union_results"] = _with(
     "e AS (" + bias_stats_select("ens", ["lang", "bias_type", "steps"]) + ")") + f"""SELECT {_U01_COLS}, seed,
   'run' AS averaging FROM r
 UNION ALL SELECT {_U01_COLS}, CAST(NULL AS INTEGER) AS seed, 'ensemble' AS averaging FROM e"""
+
+ORACLE["m06_dummy_uniform"] = _with(_RSPLIT, """cls AS (
+  SELECT label AS prediction, k, count(*) OVER () AS nc FROM (
+    SELECT label, row_number() OVER (ORDER BY label) AS k FROM (SELECT DISTINCT label FROM rsplit WHERE split = 'train') d) c
+), t AS (
+  SELECT *, (('0x' || substr(md5(concat_ws('-', 11, review_id)), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u
+  FROM rsplit WHERE split <> 'train'
+), cut AS (
+  SELECT prediction, k, nc,
+    CASE WHEN k = nc THEN 2.0 ELSE list_reduce(list_transform(range(k), lambda i: 1.0 / nc), lambda a, b: a + b, 0.0) END AS hi
+  FROM cls
+)""") + """SELECT t.review_id, t.split, t.label,
+  (SELECT prediction FROM cut WHERE t.u < cut.hi ORDER BY k LIMIT 1) AS prediction
+FROM t"""

@@ -780,3 +780,11 @@ def union_results(spark, sf_dir):
     per_run = mart.tag(bias.bias_stats(vote.seed_pairs(v), ["lang", "seed", "bias_type", "steps"]), averaging="run")
     ens = mart.tag(bias.bias_stats(vote.ensemble_pairs(v, n_seeds=N_SEEDS), keys), averaging="ensemble")
     return rounded(mart.union_results([per_run, ens]))
+
+
+@report("m06_dummy_uniform")
+def dummy_uniform(spark, sf_dir):
+    s = _review_splits(spark, sf_dir)
+    pred = ml.dummy_predictions(s.where(F.col("split") == "train"), s.where(F.col("split") != "train"),
+                                "label", "review_id", "uniform", seed=11)
+    return pred.select("review_id", "split", "label", "prediction")
