@@ -49,8 +49,9 @@ def positions(df: DataFrame, partition: list[str], order: list[Column | str], bu
     if isinstance(limit, int):
         offsets = offsets.where(F.col("__off") < limit).withColumn("__limit", F.lit(limit))
     elif limit is not None:
-        offsets = offsets.join(limit, partition).where(F.col("__off") < F.col("__limit"))
-    joined = df2.join(offsets.drop("__cnt"), [*partition, *bcols])
+        offsets = _null_safe_join(offsets, limit, partition).where(F.col("__off") < F.col("__limit"))
+    # NULL partition or bucket values form their own group, as in the window being replaced
+    joined = _null_safe_join(df2, offsets.drop("__cnt"), [*partition, *bcols])
     inner = Window.partitionBy(*partition, *bcols).orderBy(*order)
     out = joined.withColumn(name, F.col("__off") + F.row_number().over(inner) - 1)
     if limit is not None:
@@ -58,6 +59,18 @@ def positions(df: DataFrame, partition: list[str], order: list[Column | str], bu
     return out.drop("__off", *bcols)
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` treating NULL as a value (``<=>``); the keys appear once."""
+    if not keys:  # only for a global (one-row) limit table
+        return left.join(F.broadcast(right))
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"__r_{k}"])
+        cond = c if cond is None else cond & c
+    return left.join(r, cond).drop(*[f"__r_{k}" for k in keys])
+
+
 def first_n(df: DataFrame, partition: list[str], order: list[Column | str], bucket: list[Column | str],
             n: int | DataFrame, name: str = "pos") -> DataFrame:
     """Rows whose position within ``partition`` is below ``n`` (an int or a per-partition limit

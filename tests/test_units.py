@@ -165,3 +165,12 @@ def test_union_of_legacy_label_layouts(spark):
     rows = sorted(((r.label_1, r.bias_cat_1, r.performance_gap, r.lang) for r in u.collect()), key=key)
     assert rows == sorted([(3, "male", -1, "de"), (2, "male", 0, "de"), (5, "male", None, "de"),
                            (None, "male", 1, "es")], key=key)
+
+
+def test_positions_keep_null_partition(spark):
+    from pyspark.sql import Window
+    rows = [(None, i) for i in range(5)] + [("x", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "p string, k int")
+    got = sorted((r.p or "", r.k, r.pos) for r in positions(df, ["p"], [F.col("k")], [F.floor(F.col("k") / 2)]).collect())
+    exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1)
+    assert got == sorted((r.p or "", r.k, r.pos) for r in exp.collect())
