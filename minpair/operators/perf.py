@@ -84,13 +84,37 @@ def classification_metrics(df: DataFrame, keys: list[str], gold: str, pred: str,
                            labels: list | None = None) -> DataFrame:
     """Macro precision / recall / F1, accuracy and n per slice (0/0 counts as 0)."""
     counts = confusion_counts(df.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()), keys, gold, pred)
-    classes = class_table(counts, keys, labels)
-    out = classes.groupBy(*keys).agg(
-        F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
-        F.sum("tp").alias("correct"), F.count(F.lit(1)).alias("n_classes"), F.sum("support").alias("support"))
-    return out.select(*keys, "precision", "recall", "f1", "support",
-                      F.try_divide(F.col("correct").cast("double"), F.col("support")).alias("acc"),
-                      "n_classes")
+    if labels is not None:
+        classes = class_table(counts, keys, labels)
+        out = classes.groupBy(*keys).agg(
+            F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),
+            F.sum("tp").alias("correct"), F.count(F.lit(1)).alias("n_classes"), F.sum("support").alias("support"))
+        return out.select(*keys, "precision", "recall", "f1", "support",
+                          F.try_divide(F.col("correct").cast("double"), F.col("support")).alias("acc"),
+                          "n_classes")
+    # Classes = union of gold and predicted labels of the slice. A slice's confusion cells are few
+    # (classes squared), so they are gathered once and the per-class and macro figures computed
+    # from that array: one aggregation after the counts instead of two.
+    cells = counts.groupBy(*keys).agg(F.collect_list(F.struct(F.col("gold").alias("g"), F.col("pred").alias("p"),
+                                                              F.col("n").alias("n"))).alias("c"))
+    per_class = F.expr("""transform(array_distinct(concat(transform(c, x -> x.g), transform(c, x -> x.p))), k ->
+        named_struct(
+          'tp', aggregate(c, 0L, (a, x) -> a + IF(x.g = k AND x.p = k, x.n, 0L)),
+          'sup', aggregate(c, 0L, (a, x) -> a + IF(x.g = k, x.n, 0L)),
+          'pn', aggregate(c, 0L, (a, x) -> a + IF(x.p = k, x.n, 0L))))""")
+    out = cells.select(*keys, per_class.alias("k"))
+    metric = {
+        "precision": "coalesce(try_divide(CAST(y.tp AS DOUBLE), y.pn), 0.0D)",
+        "recall": "coalesce(try_divide(CAST(y.tp AS DOUBLE), y.sup), 0.0D)",
+        "f1": "coalesce(try_divide(2.0D * y.tp, y.sup + y.pn), 0.0D)",
+    }
+    macro = {m: F.expr(f"aggregate(k, 0.0D, (a, y) -> a + {e}) / size(k)") for m, e in metric.items()}
+    support = F.expr("aggregate(k, 0L, (a, y) -> a + y.sup)")
+    correct = F.expr("aggregate(k, 0L, (a, y) -> a + y.tp)")
+    return out.select(*keys, macro["precision"].alias("precision"), macro["recall"].alias("recall"),
+                      macro["f1"].alias("f1"), support.alias("support"),
+                      F.try_divide(correct.cast("double"), support).alias("acc"),
+                      F.size("k").cast("bigint").alias("n_classes"))
 
 
 def side_performance(pairs: DataFrame, keys: list[str], binary: bool = False,
