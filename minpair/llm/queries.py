@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from minpair.llm import bpe
+from minpair.llm import bpe, mixing, rules, simhash
+from minpair.session import materialise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +25,33 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, word_tokenizer()))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document; thresholds by language from all labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    measured = materialise(rules.measure(docs))
+    cuts = rules.cutoffs(measured, table(spark, sf_dir, "labels"), "lang")
+    return rules.judge(measured, cuts, "lang").drop("lang")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document, sources weighing 1, 2, 3 in turn, three epochs
+    at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op5_rules": op5_rules,
+    "op6_mixing": op6_mixing,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE: dict[str, str] = {}
