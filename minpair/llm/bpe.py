@@ -13,6 +13,7 @@ empty table gives an empty table; input columns named like an output column are
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import unicodedata
@@ -20,6 +21,7 @@ from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 from minpair.llm.texts import chunks, fresh, with_columns
 
 #: Entries of the per-worker caches; a full cache is emptied.
-CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 400_000, 1_000_000, 48
+CACHED_WORDS, CACHED_PAIRS, CACHED_LENGTH = 250_000, 500_000, 48
 NO_LIMIT = 1 << 60
 #: Separators that ``str.split`` takes for white space, though the tokenizers' pattern does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -43,6 +45,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def token_names(spec: str) -> dict[int, str]:
+    j = json.loads(spec)
+    return {i: t for t, i in j["model"]["vocab"].items()} | {a["id"]: a["content"] for a in j["added_tokens"]}
+
+
+def join_tokens(ids: list[int], names: dict[int, str]) -> str:
+    """Token strings joined by a space: the file names no decoder; special tokens stay."""
+    return " ".join(map(names.__getitem__, ids))
+
+
 class PrefixEncoder:
     """Encoder of one tokenizer file with word ends (``</w>``), for one Python worker.
 
@@ -52,11 +64,9 @@ class PrefixEncoder:
     def __init__(self, spec: str):
         j = json.loads(spec)
         model = j["model"]
-        self.names: dict[int, str] = {i: s for s, i in model["vocab"].items()}
         self.added = {a["content"]: a["id"] for a in j["added_tokens"]}
         if any(a["lstrip"] or a["rstrip"] or a["single_word"] or a["normalized"] for a in j["added_tokens"]):
             raise ValueError("added tokens must be plain strings")
-        self.names.update({i: s for s, i in self.added.items()})
         self.split_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
         self.pieces = regex.compile(j["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
         suffix, alphabet = model["end_of_word_suffix"], byte_alphabet()
@@ -154,10 +164,6 @@ class PrefixEncoder:
         runs = WHITE_SPACE.split(text) if ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.spaced.__getitem__, runs))
 
-    def decode(self, ids: list[int]) -> str:
-        """Token strings joined by a space: the file names no decoder; special tokens stay."""
-        return " ".join(map(self.names.__getitem__, ids))
-
 
 class _Cache(dict):
     """String -> packed ids, filled on demand; long strings are not kept, a full cache is emptied."""
@@ -175,15 +181,16 @@ class _Cache(dict):
         return packed
 
 
-_ENCODERS: dict[int, PrefixEncoder] = {}
+_MADE: dict[tuple, object] = {}
 
 
-def _encoder(spec: str) -> PrefixEncoder:
-    key = hash(spec)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = PrefixEncoder(spec)
-    return _ENCODERS[key]
+def _made(make, spec: str):
+    """``make(spec)``, kept for the life of the worker; another spec takes its place."""
+    key = (make.__name__, hash(spec))
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = make(spec)
+    return _MADE[key]
 
 
 def read_spec(path: str, most_bytes: int = 16_000_000) -> str:
@@ -203,7 +210,7 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
     keep = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(spec.value)
+        enc = _made(PrefixEncoder, spec.value)
         for batch, texts in chunks(batches, text):
             packed = [enc.encode(t) for t in texts]
             offsets = [0]
@@ -215,6 +222,14 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
+def _lists(batches: Iterator[pa.RecordBatch], ids: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches with their id lists; null lists come as empty."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            yield part, [x.values.to_numpy() if x.is_valid else np.empty(0, np.int32) for x in part.column(ids)]
+
+
 def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """All input columns and ``decoded`` (string); null ids give an empty string."""
     spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
@@ -222,33 +237,27 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
     keep = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(spec.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                texts = [enc.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in part.column(ids)]
-                yield with_columns(part, keep, **{decoded: pa.array(texts, pa.string())})
+        names = _made(token_names, spec.value)
+        for part, lists in _lists(batches, ids):
+            texts = [join_tokens(x.tolist(), names) for x in lists]
+            yield with_columns(part, keep, **{decoded: pa.array(texts, pa.string())})
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
-def digests(df: DataFrame, id_col: str = "doc_id", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """Length and SHA-256 of the ids (little-endian unsigned 32-bit) and of the decoded text."""
-    import hashlib
+def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """Number of ids, SHA-256 of the ids (little-endian unsigned 32-bit) and of the text that they
+    are decoded to."""
+    spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, b = [], [], []
-            texts = batch.column(decoded)
-            for x, t in zip(batch.column(ids), texts, strict=True):
-                v = x.values.to_numpy() if x.is_valid else []
-                n.append(len(v))
-                a.append(hashlib.sha256(v.astype("<u4").tobytes() if len(v) else b"").hexdigest())
-                b.append(hashlib.sha256((t.as_py() or "").encode("utf-8")).hexdigest())
-            yield with_columns(batch, [id_col], n_tokens=pa.array(n, pa.int64()),
-                               ids_sha256=pa.array(a, pa.string()), decoded_sha256=pa.array(b, pa.string()))
-
-    own = df.schema[id_col]
-    return df.select(id_col, ids, decoded).mapInArrow(run, T.StructType([
-        own, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+        names = _made(token_names, spec.value)
+        for part, lists in _lists(batches, ids):
+            yield with_columns(
+                part, [id_col], n_tokens=pa.array([len(x) for x in lists], pa.int64()),
+                ids_sha256=pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]),
+                decoded_sha256=pa.array([hashlib.sha256(join_tokens(x.tolist(), names).encode()).hexdigest() for x in lists]))
+
+    return df.select(id_col, ids).mapInArrow(run, T.StructType([
+        df.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType())]))

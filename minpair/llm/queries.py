@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minpair.llm import bpe, mixing, rules, simhash
+from minpair.llm import bpe, langid, mixing, rules, simhash, toxicity
+from minpair.llm.texts import crc_mod
 from minpair.session import materialise
 
 
@@ -18,11 +19,21 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labelled ones whose id's crc32 mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    model = toxicity.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                         F.transform("evidence", lambda e: e["id"]).alias("evidence"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths and digests of the ids and the decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, word_tokenizer()).select("doc_id", "ids")
-    return bpe.digests(bpe.decode(ids, word_tokenizer()))
+    return bpe.digests(ids, word_tokenizer())
 
 
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +58,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those whose id's crc32 mod 4 is not 2."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = crc_mod(F.col("doc_id"), 4) == 2
+    trees = langid.train(docs.where(~held))
+    return langid.predict(docs.select("doc_id", "text"), trees).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op5_rules": op5_rules,
     "op6_mixing": op6_mixing,
     "op8_simhash": op8_simhash,
+    "op9_language": op9_language,
 }
 
 ORACLE: dict[str, str] = {}
