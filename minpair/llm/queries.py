@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minpair.llm import bpe, langid, mixing, rules, simhash, toxicity
+from minpair.llm import ann, bpe, langid, mixing, rules, simhash, toxicity
 from minpair.llm.texts import crc_mod
 from minpair.session import materialise
 
@@ -67,6 +67,11 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every row whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -74,6 +79,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
+    "op10_ann": op10_ann,
 }
 
 ORACLE: dict[str, str] = {}
