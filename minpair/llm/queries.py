@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minpair.llm import ann, bpe, langid, mixing, rules, simhash, toxicity
+from minpair.llm import ann, bpe, langid, mixing, quality, rules, simhash, toxicity
 from minpair.llm.texts import crc_mod
 from minpair.session import materialise
 
@@ -51,6 +51,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity and verdict of every document under a model of all documents labelled good."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return quality.score(docs, table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -77,6 +83,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op5_rules": op5_rules,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_ann": op10_ann,
