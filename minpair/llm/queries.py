@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minpair.llm import ann, bpe, langid, mixing, quality, rules, simhash, toxicity
+from minpair.llm import ann, bpe, chat, langid, mixing, quality, rules, simhash, toxicity
 from minpair.llm.texts import crc_mod
 from minpair.session import materialise
 
@@ -36,6 +36,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(ids, word_tokenizer())
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and masked completions of a preference pair from every conversation with a reply."""
+    pairs = chat.mismatched_pairs(table(spark, sf_dir, "conversations"))
+
+    def flat(spans: str):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(spans)
+
+    return chat.format_pairs(pairs).select(
+        "conv_id", "partner_id", "n_common", "prompt", "chosen_completion", flat("chosen_spans"),
+        "rejected_completion", flat("rejected_spans"))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document; thresholds by language from all labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
@@ -81,6 +93,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op4_chat": op4_chat,
     "op5_rules": op5_rules,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
@@ -89,4 +102,41 @@ QUERIES = {
     "op10_ann": op10_ann,
 }
 
-ORACLE: dict[str, str] = {}
+OP4_SQL = """
+WITH raw AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i,
+           role, text FROM conversations),
+t AS (
+    SELECT conv_id, i, role, text,
+           '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10) AS head,
+           replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body FROM raw),
+cut AS (SELECT conv_id, max(i) AS li FROM t WHERE role = 'assistant' GROUP BY conv_id),
+reply AS (SELECT t.conv_id, t.role, t.text, t.head, t.body FROM t JOIN cut ON t.conv_id = cut.conv_id AND t.i = cut.li),
+pair AS (
+    SELECT a.conv_id, b.conv_id AS partner_id, cut.li,
+           CASE WHEN b.conv_id IS NULL THEN 0
+                WHEN a.text IS NOT DISTINCT FROM b.text THEN cut.li + 1 ELSE cut.li END AS n_common,
+           a.head AS c_head, a.body AS c_body, b.head AS r_head, b.body AS r_body
+    FROM reply a JOIN cut ON a.conv_id = cut.conv_id LEFT JOIN reply b ON b.conv_id = xor(a.conv_id, 1::BIGINT)),
+placed AS (
+    SELECT p.conv_id, p.n_common, t.i, t.role, t.head || t.body || chr(10) AS piece,
+           length(t.head) AS lh, length(t.body) AS lb,
+           coalesce(sum(CASE WHEN t.i >= p.n_common THEN length(t.head) + length(t.body) + 1 ELSE 0 END)
+               OVER (PARTITION BY p.conv_id ORDER BY t.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    FROM pair p JOIN t ON p.conv_id = t.conv_id AND t.i <= p.li),
+texts AS (
+    SELECT conv_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE i < n_common), '') AS prompt,
+           coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE i >= n_common), '') AS chosen_completion,
+           coalesce(string_agg((pos + lh)::BIGINT || '-' || (pos + lh + lb)::BIGINT, ',' ORDER BY i)
+               FILTER (WHERE i >= n_common AND role = 'assistant'), '') AS chosen_spans
+    FROM placed GROUP BY conv_id)
+SELECT p.conv_id, p.partner_id, p.n_common::INTEGER AS n_common, x.prompt, x.chosen_completion, x.chosen_spans,
+       CASE WHEN p.partner_id IS NULL THEN NULL WHEN p.n_common > p.li THEN '' ELSE p.r_head || p.r_body || chr(10) END AS rejected_completion,
+       CASE WHEN p.partner_id IS NULL THEN NULL WHEN p.n_common > p.li THEN ''
+            ELSE length(p.r_head) || '-' || (length(p.r_head) + length(p.r_body)) END AS rejected_spans
+FROM pair p JOIN texts x ON p.conv_id = x.conv_id
+"""
+
+ORACLE: dict[str, str] = {
+    "op4_chat": OP4_SQL,
+}
