@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minpair.llm import ann, bpe, chat, langid, mixing, quality, rules, simhash, toxicity
+from minpair.llm import ann, bpe, chat, langid, lm, mixing, quality, rules, simhash, toxicity
 from minpair.llm.texts import crc_mod
 from minpair.session import materialise
 
@@ -36,6 +36,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(ids, word_tokenizer())
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document, learnt from those whose id's crc32 mod 10 is not 0."""
+    held = crc_mod(F.col("doc_id"), 10) == 0
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held_out"))
+    return lm.score(docs, ~F.col("held_out"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt and masked completions of a preference pair from every conversation with a reply."""
     pairs = chat.mismatched_pairs(table(spark, sf_dir, "conversations"))
@@ -93,6 +100,7 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_lm": op3_lm,
     "op4_chat": op4_chat,
     "op5_rules": op5_rules,
     "op6_mixing": op6_mixing,
