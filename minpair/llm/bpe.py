@@ -245,19 +245,19 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
-def digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Number of ids, SHA-256 of the ids (little-endian unsigned 32-bit) and of the text that they
-    are decoded to."""
+def digests(df: DataFrame, tokenizer: str, keep: list[str], ids: str = "ids") -> DataFrame:
+    """``keep`` columns, the number of ids, and the SHA-256 of the ids (little-endian unsigned
+    32-bit) and of the text that they are decoded to."""
     spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = _made(token_names, spec.value)
         for part, lists in _lists(batches, ids):
             yield with_columns(
-                part, [id_col], n_tokens=pa.array([len(x) for x in lists], pa.int64()),
+                part, keep, n_tokens=pa.array([len(x) for x in lists], pa.int64()),
                 ids_sha256=pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]),
                 decoded_sha256=pa.array([hashlib.sha256(join_tokens(x.tolist(), names).encode()).hexdigest() for x in lists]))
 
-    return df.select(id_col, ids).mapInArrow(run, T.StructType([
-        df.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+    return df.mapInArrow(run, T.StructType([
+        *(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType())]))

@@ -117,7 +117,6 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             .select(*docs.columns, *ADDED))
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
-    """Each row as many times as it is taken, without the mix's own columns."""
-    cols = [c for c in mixed.columns if c not in ADDED]
-    return mixed.where("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*cols)
+def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of each row as many times as it is taken."""
+    return mixed.where("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)

@@ -64,3 +64,12 @@ def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """Drop input columns that an operator is about to add under the same names."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
+def without(docs: DataFrame, rejected: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Rows of ``docs`` that are not among the rejected ``(_id, _t)``, id and hash of the text. Rows
+    alike in both have the same verdict, so the columns name rows well enough; null ids count as
+    equal."""
+    gone = rejected.select(F.col("_id").alias("_gone"), F.col("_t").alias("_gone_t")).distinct()
+    rows = docs.withColumn("_h", F.xxhash64(text))
+    return rows.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_t")), "left_anti").drop("_h")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minpair.llm.texts import chunks, fresh, with_columns
+from minpair.llm.texts import chunks, fresh, with_columns, without
 from minpair.session import materialise
 
 EXAMPLES = 8_000
@@ -286,3 +286,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()),
                                               T.StructField("evidence", shape)]))
+
+
+def reject(docs: DataFrame, labels: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text",
+           label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` with a score under ``threshold``, unchanged; learnt from all that are
+    labelled."""
+    model = train(docs, labels, doc_id, text, label)
+    scored = score(docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_x")), model, "_x")
+    return without(docs, scored.where(F.col("score") >= threshold), doc_id, text)

@@ -151,7 +151,7 @@ def test_mixing_reaches_targets(spark):
     want, taken, biggest = check_mix(docs, mixed.collect())
     for s, t in want.items():
         assert abs(taken[s] - t) <= biggest[s]
-    assert mixing.repeated(mixed).count() == sum(r.copies for r in mixed.collect())
+    assert mixing.repeated(mixed, docs.columns).count() == sum(r.copies for r in mixed.collect())
 
 
 def brute_fingerprint(text):
