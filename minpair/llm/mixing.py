@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from minpair.llm.texts import fresh, word_count
 from minpair.session import materialise
 
+#: Slices of the seeded order: its 12 leading bits.
 SLICES = 4096
 #: Lines of the plan, one for each source, up to which they are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 100_000
@@ -32,8 +33,9 @@ ADDED = ("size", "source_size", "target", "copies", "taken")
 
 
 def seeded_order(doc_id: Column, text: Column, seed: int) -> Column:
-    """Pseudo-random place of a row within its source; equal rows share a place."""
-    return F.xxhash64(F.lit(seed), doc_id, text)
+    """Pseudo-random place of a row within its source, 60 bits of an MD5; equal rows share a place."""
+    parts = [F.lit(str(seed)), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
 
 
 def _by_line(rows: DataFrame, lines: DataFrame, on: Column) -> DataFrame:
@@ -42,7 +44,7 @@ def _by_line(rows: DataFrame, lines: DataFrame, on: Column) -> DataFrame:
 
 
 def _slice(order: Column) -> Column:
-    return F.shiftright(order, 52).cast("int") + SLICES // 2
+    return F.shiftright(order, 48).cast("int")
 
 
 def number_sources(totals: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def plan(rows: DataFrame, cycle: tuple[float, ...], max_epochs: float) -> DataFr
         F.max(F.when(F.col("reached") - F.col("size") / 2 <= F.col("rest"), F.col("place"))).alias("place"))
     # No row of the slice taken: the cut lies just before the slice (null: before all rows).
     cuts = cuts.select(F.col("source").alias("c_source"), F.coalesce("place", F.when(
-        F.col("slice") > 0, F.shiftleft(F.col("slice").cast("long") - SLICES // 2, 52) - 1)).alias("cut"))
+        F.col("slice") > 0, F.shiftleft(F.col("slice").cast("long"), 48) - 1)).alias("cut"))
     return materialise(lines.join(cuts, F.col("p_source").eqNullSafe(F.col("c_source")), "left").drop("c_source", "part"))
 
 

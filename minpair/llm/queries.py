@@ -67,7 +67,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document, sources weighing 1, 2, 3 in turn, three epochs
     at most."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,6 +145,82 @@ SELECT p.conv_id, p.partner_id, p.n_common::INTEGER AS n_common, x.prompt, x.cho
 FROM pair p JOIN texts x ON p.conv_id = x.conv_id
 """
 
+WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '')"
+
+OP5_SQL = rf"""
+WITH t AS (
+    SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS txt, {WORDS_SQL} AS ws,
+           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x09-\x0D ]')) AS ls FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM t)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, sum(step) AS n FROM (SELECT r, least(8, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -8)) AS step FROM twice) GROUP BY r),
+c AS (
+    SELECT t.r, doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+           length(regexp_replace(txt, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS nl,
+           length(regexp_replace(txt, '[^\p{{Lu}}]', '', 'g')) AS upper_n, length(regexp_replace(txt, '[^!?]', '', 'g')) AS mark_n
+    FROM t LEFT JOIN rep ON t.r = rep.r),
+m AS (
+    SELECT r, doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           CASE WHEN word_chars > 0 THEN least(1.0::DOUBLE, n_symbols::DOUBLE / word_chars) ELSE 0.0::DOUBLE END AS symbol_share,
+           CASE WHEN nl > 0 THEN least(1.0::DOUBLE, n_dup_lines::DOUBLE / nl) ELSE 0.0::DOUBLE END AS dup_line_share,
+           CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, n_repeat_words::DOUBLE / n_words) ELSE 0.0::DOUBLE END AS repeat_share,
+           CASE WHEN word_chars > 0 THEN least(1.0::DOUBLE, upper_n::DOUBLE / word_chars) ELSE 0.0::DOUBLE END AS upper_share,
+           CASE WHEN n_words > 0 THEN least(1.0::DOUBLE, mark_n::DOUBLE / n_words) ELSE 0.0::DOUBLE END AS mark_share,
+           n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND max(quality) = 1),
+long AS (
+    SELECT lang, unnest(['symbol_share', 'dup_line_share', 'repeat_share', 'upper_share', 'mark_share']) AS rule,
+           unnest([symbol_share, dup_line_share, repeat_share, upper_share, mark_share]) AS v
+    FROM m WHERE doc_id IN (SELECT doc_id FROM good)),
+grid AS (SELECT unnest(range(0, 64)) AS b),
+k AS (SELECT lang, rule, b, count(*) AS n, count(*) FILTER (WHERE v * 64 > b) AS k FROM long CROSS JOIN grid GROUP BY ALL),
+p AS (
+    SELECT lang, rule, b, CASE WHEN k >= n * 0.01::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+               exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE)))) END AS tail FROM k),
+cut AS (
+    SELECT lang, rule, min(b) / 64.0::DOUBLE AS cutoff FROM p
+    WHERE tail <= 0.05::DOUBLE / ((SELECT count(DISTINCT coalesce('=' || lang, '')) FROM long) * 5) GROUP BY lang, rule),
+wide AS (
+    SELECT lang, max(cutoff) FILTER (WHERE rule = 'symbol_share') AS c_symbol_share, max(cutoff) FILTER (WHERE rule = 'dup_line_share') AS c_dup_line_share,
+           max(cutoff) FILTER (WHERE rule = 'repeat_share') AS c_repeat_share, max(cutoff) FILTER (WHERE rule = 'upper_share') AS c_upper_share,
+           max(cutoff) FILTER (WHERE rule = 'mark_share') AS c_mark_share FROM cut GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, symbol_share, dup_line_share, repeat_share, upper_share,
+       mark_share, base_failed, c_symbol_share, c_dup_line_share, c_repeat_share, c_upper_share, c_mark_share,
+       NOT base_failed AND NOT (coalesce(symbol_share > c_symbol_share, false) OR coalesce(dup_line_share > c_dup_line_share, false)
+           OR coalesce(repeat_share > c_repeat_share, false) OR coalesce(upper_share > c_upper_share, false)
+           OR coalesce(mark_share > c_mark_share, false)) AS kept
+FROM m LEFT JOIN wide ON m.lang IS NOT DISTINCT FROM wide.lang
+"""
+
+OP6_SQL = rf"""
+WITH d AS (
+    SELECT doc_id, source, len({WORDS_SQL})::BIGINT AS size,
+           ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS place FROM documents),
+s AS (
+    SELECT source, sum(size)::BIGINT AS ss, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+lev AS (
+    SELECT source, ss, w, 3.0::DOUBLE * ss AS cap,
+           ((SELECT sum(ss) FROM s) - coalesce(sum(3.0::DOUBLE * ss) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+    FROM s WINDOW o AS (ORDER BY 3.0::DOUBLE * ss / w, source NULLS LAST)),
+final AS (SELECT arg_min(level, cap / w) FILTER (WHERE w * level <= cap AND ss > 0) AS level FROM lev),
+line AS (
+    SELECT lev.source, ss, CASE WHEN ss = 0 THEN 0.0 ELSE least(cap, w * final.level) END AS target FROM lev, final),
+plan AS (
+    SELECT source, ss, target, floor(target / ss) AS whole, (target / ss - floor(target / ss)) * ss AS part FROM line WHERE ss > 0),
+g AS (SELECT source, place, sum(size) AS sz FROM d GROUP BY source, place),
+cut AS (
+    SELECT g.source, g.place, sum(sz) OVER (PARTITION BY g.source ORDER BY g.place) - sz / 2.0::DOUBLE AS pos FROM g),
+more AS (SELECT cut.source, cut.place FROM cut JOIN plan ON cut.source IS NOT DISTINCT FROM plan.source WHERE plan.part > 0 AND cut.pos <= plan.part)
+SELECT d.doc_id, d.size, line.ss AS source_size, line.target,
+       (d.size * (coalesce(plan.whole, 0) + CASE WHEN more.place IS NULL THEN 0 ELSE 1 END))::BIGINT AS taken
+FROM d JOIN line ON d.source IS NOT DISTINCT FROM line.source LEFT JOIN plan ON d.source IS NOT DISTINCT FROM plan.source
+LEFT JOIN more ON d.source IS NOT DISTINCT FROM more.source AND d.place = more.place
+"""
+
 ORACLE: dict[str, str] = {
+    "op5_rules": OP5_SQL,
+    "op6_mixing": OP6_SQL,
     "op4_chat": OP4_SQL,
 }
