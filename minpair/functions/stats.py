@@ -2,9 +2,13 @@
 
 Spark SQL has no Student-t distribution, so the two-sided p-value of a t statistic is computed from
 the regularised incomplete beta function ``p = I_{v/(v+t^2)}(v/2, 1/2)``, evaluated by the modified
-Lentz continued fraction inside a higher-order ``aggregate`` (JVM side, no Python worker). It is
-only ever applied to aggregated rows (one per slice), so the iteration count does not touch the
-data path.
+Lentz continued fraction inside a higher-order ``aggregate`` (JVM side, no Python worker). From
+``_LARGE_DOF`` degrees of freedom on, where the beta's factors would cancel, t is turned into a
+normal deviate by Hill's expansion (its error falls with the square of the dof and is below 1e-11
+there) and the normal tail is used. Both loops have a fixed number of steps. They are only ever
+applied to aggregated rows (one per slice), so they do not touch the data path.
+
+The expressions are Spark SQL text: one parse on the JVM instead of thousands of Column calls.
 """
 
 from __future__ import annotations
@@ -17,79 +21,11 @@ from pyspark.sql import functions as F
 _TINY = 1e-300
 _EPS = 3e-16
 _LN_SQRT_2PI = 0.5 * math.log(2 * math.pi)
+_LARGE_DOF = 10_000
+_TERMS = 600  # enough for the continued fraction below _LARGE_DOF (it needs about 8 sqrt(dof / 2))
 _SHIFT = 10  # lgamma(z) = lgamma(z + SHIFT) - ln(z (z+1) ... (z+SHIFT-1)); Stirling beyond
 
 
-def lgamma(z: Column) -> Column:
-    """ln Gamma(z) for z > 0 (Stirling series after shifting z by 10; error below 1e-14)."""
-    w = z + F.lit(float(_SHIFT))
-    series = (F.lit(1.0) / (12.0 * w) - F.lit(1.0) / (360.0 * F.pow(w, 3))
-              + F.lit(1.0) / (1260.0 * F.pow(w, 5)) - F.lit(1.0) / (1680.0 * F.pow(w, 7)))
-    stirling = (w - 0.5) * F.log(w) - w + F.lit(_LN_SQRT_2PI) + series
-    shift = F.lit(0.0)
-    for k in range(_SHIFT):
-        shift = shift + F.log(z + F.lit(float(k)))
-    return stirling - shift
-
-
-def _fix(x: Column) -> Column:
-    return F.when(F.abs(x) < _TINY, F.lit(_TINY)).otherwise(x)
-
-
-def _beta_cf(a: Column, b: Column, x: Column, max_terms: Column) -> Column:
-    """Continued fraction of the incomplete beta (modified Lentz), one half-step per element."""
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    d0 = F.lit(1.0) / _fix(F.lit(1.0) - qab * x / qap)
-    init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"), F.lit(False).alias("done"))
-
-    def step(acc: Column, j: Column) -> Column:
-        m = F.ceil(j / F.lit(2)).cast("double")
-        even = (j % 2) == 1  # odd j carries the d_{2m} coefficient, even j the d_{2m+1}
-        aa = F.when(even, m * (b - m) * x / ((qam + 2.0 * m) * (a + 2.0 * m))) \
-              .otherwise(-(a + m) * (qab + m) * x / ((a + 2.0 * m) * (qap + 2.0 * m)))
-        d = F.lit(1.0) / _fix(F.lit(1.0) + aa * acc["d"])
-        c = _fix(F.lit(1.0) + aa / acc["c"])
-        delta = d * c
-        done = ~even & (F.abs(delta - 1.0) < _EPS)
-        nxt = F.struct(c.alias("c"), d.alias("d"), (acc["h"] * delta).alias("h"), done.alias("done"))
-        return F.when(acc["done"], acc).otherwise(nxt)
-
-    steps = F.sequence(F.lit(1), (2 * max_terms).cast("int"))
-    return F.aggregate(steps, init, step, lambda acc: acc["h"])
-
-
-def regularized_incomplete_beta(x: Column, a: Column, b: Column) -> Column:
-    """I_x(a, b) for 0 <= x <= 1, a, b > 0 (pass column references: arguments are reused)."""
-    # Terms needed grow like sqrt(max(a, b)) near the switch point; rows are few, so be generous.
-    max_terms = F.least(F.lit(200000), F.greatest(F.lit(300), (F.ceil(F.sqrt(F.greatest(a, b))) * 8)))
-    ln_front = (lgamma(a + b) - lgamma(a) - lgamma(b)
-                + a * F.log(F.greatest(x, F.lit(_TINY))) + b * F.log(F.greatest(1.0 - x, F.lit(_TINY))))
-    front = F.exp(ln_front)
-    direct = front * _beta_cf(a, b, x, max_terms) / a
-    mirrored = F.lit(1.0) - front * _beta_cf(b, a, 1.0 - x, max_terms) / b
-    return (F.when(x <= 0.0, F.lit(0.0))
-            .when(x >= 1.0, F.lit(1.0))
-            .when(x < (a + 1.0) / (a + b + 2.0), direct)
-            .otherwise(mirrored))
-
-
-def t_two_sided_p(t: Column, dof: Column) -> Column:
-    """Two-sided p of Student's t with ``dof`` degrees of freedom; NULL when t is NULL/NaN.
-
-    Prefer :func:`with_t_p_value` on DataFrames: it stages the inputs as columns first, so the
-    optimizer does not inline a long ``t`` expression into every use.
-    """
-    v = dof.cast("double")
-    x = v / (v + t * t)
-    p = regularized_incomplete_beta(x, v / 2.0, F.lit(0.5))
-    return (F.when(t.isNull() | F.isnan(t) | (v <= 0), F.lit(None).cast("double"))
-            .when(F.abs(t) == float("inf"), F.lit(0.0))
-            .otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p))))
-
-
-# --- the same functions as Spark SQL text: one parse on the JVM instead of thousands of Python-side
-# Column constructions (the expressions are large; building them call by call dominates planning).
-
 def lgamma_sql(z: str) -> str:
     w = f"({z} + {float(_SHIFT)})"
     series = (f"(1.0 / (12.0 * {w}) - 1.0 / (360.0 * power({w}, 3)) + 1.0 / (1260.0 * power({w}, 5)) "
@@ -126,7 +62,7 @@ def _beta_cf_sql(a: str, b: str, x: str, max_terms: str) -> str:
 def ibeta_sql(x: str, a: str, b: str, ln_front: str | None = None) -> str:
     """I_x(a, b) as SQL text over column names / literals (``ln_front``: a staged column with the
     log of the beta front factor, else computed inline)."""
-    terms = f"least(200000, greatest(300, ceil(sqrt(greatest({a}, {b}))) * 8))"
+    terms = str(_TERMS)
     if ln_front is None:
         ln_front = (f"({lgamma_sql(f'({a} + {b})')} - {lgamma_sql(a)} - {lgamma_sql(b)} "
                     f"+ {a} * ln(greatest({x}, {_TINY!r})) + {b} * ln(greatest(1.0 - {x}, {_TINY!r})))")
@@ -137,19 +73,39 @@ def ibeta_sql(x: str, a: str, b: str, ln_front: str | None = None) -> str:
             f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {mirrored} END)")
 
 
+def erfc_sql(x: str) -> str:
+    """Complementary error function for x >= 0: the positive series of erf below 2.5, the continued
+    fraction from the far end above."""
+    series = (f"aggregate(sequence(1, 80), named_struct('t', {x}, 's', {x}), (a, k) -> named_struct("
+              f"'t', a.t * 2 * {x} * {x} / (2 * k + 1), 's', a.s + a.t * 2 * {x} * {x} / (2 * k + 1)), a -> a.s)")
+    fraction = f"aggregate(sequence(80, 1, -1), {x}, (f, k) -> {x} + k / 2.0D / f)"
+    return (f"(CASE WHEN {x} < 2.5D THEN 1.0D - {2 / math.sqrt(math.pi)!r}D * exp(-{x} * {x}) * {series} "
+            f"ELSE exp(-{x} * {x}) / ({math.sqrt(math.pi)!r}D * {fraction}) END)")
+
+
+def _hill_sql(t: str, v: str) -> str:
+    """Normal deviate with the two-sided tail of |t| at ``v`` degrees of freedom, over sqrt(2)."""
+    y = f"(({v} - 0.5D) * log1p({t} * {t} / {v}))"
+    b = f"(48.0D * ({v} - 0.5D) * ({v} - 0.5D))"
+    return (f"(((((-0.4D * {y} - 3.3D) * {y} - 24.0D) * {y} - 85.5D) / (0.8D * {y} * {y} + 100.0D + {b}) + {y} + 3.0D) / {b} + 1.0D) "
+            f"* sqrt({y}) * {math.sqrt(0.5)!r}D")
+
+
 def with_t_p_value(df: DataFrame, t: str, dof: Column, out: str = "statistical_significance") -> DataFrame:
     """Add the two-sided p of column ``t`` as ``out``; inputs are staged in their own projections."""
     staged = df.withColumns({"__t": F.col(t), "__v": dof.cast("double")})
     staged = staged.withColumns({"__x": F.col("__v") / (F.col("__v") + F.col("__t") * F.col("__t")),
-                                 "__a": F.col("__v") / 2.0})
+                                 "__a": F.col("__v") / 2.0,
+                                 "__z": F.expr(_hill_sql("`__t`", "`__v`"))})
     x, a = "`__x`", "`__a`"
     staged = staged.withColumn("__lf", F.expr(
         f"{lgamma_sql(f'({a} + 0.5D)')} - {lgamma_sql(a)} - {lgamma_sql('0.5D')} "
         f"+ {a} * ln(greatest({x}, {_TINY!r})) + 0.5D * ln(greatest(1.0 - {x}, {_TINY!r}))"))
     ib = ibeta_sql(x, a, "0.5D", ln_front="`__lf`")
     p = F.expr(f"CASE WHEN `__t` IS NULL OR isnan(`__t`) OR `__v` <= 0 THEN CAST(NULL AS DOUBLE) "
-               f"WHEN abs(`__t`) = double('inf') THEN 0.0D ELSE least(1.0D, greatest(0.0D, {ib})) END")
-    return staged.withColumn(out, p).drop("__t", "__v", "__x", "__a", "__lf")
+               f"WHEN abs(`__t`) = double('inf') THEN 0.0D "
+               f"WHEN `__v` >= {_LARGE_DOF} THEN {erfc_sql('`__z`')} ELSE least(1.0D, greatest(0.0D, {ib})) END")
+    return staged.withColumn(out, p).drop("__t", "__v", "__x", "__a", "__z", "__lf")
 
 
 def paired_t(n: Column, mean: Column, sd: Column) -> Column:

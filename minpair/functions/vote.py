@@ -12,62 +12,12 @@ seeds in the run registry, never by the data size). The rule, with n = number of
 
 from __future__ import annotations
 
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _scored(votes: Column) -> Column:
-    # One entry per vote: (count of its label, -seed_rank, label). array_max over these structs
-    # picks the most frequent label and, among equally frequent ones, the earliest seen.
-    return F.transform(
-        votes,
-        lambda v: F.struct(
-            F.size(F.filter(votes, lambda w: w["label"] == v["label"])).alias("cnt"),
-            (-v["seed_rank"]).alias("neg_rank"),
-            v["label"].alias("label"),
-        ),
-    )
-
-
-def majority_vote(votes: Column, tie: str = "compat") -> Column:
-    """Return ``struct(label int, disagreement boolean, kind string, runner_up int)``.
-
-    ``runner_up`` is the second label in (count desc, first seen) order for a tie, else NULL.
-    """
-    if tie not in ("compat", "median"):
-        raise ValueError("tie must be 'compat' or 'median'")
-    scored = _scored(votes)
-    labels = F.transform(votes, lambda v: v["label"])
-    n = F.size(votes)
-    top = F.array_max(scored)
-    n_distinct = F.size(F.array_distinct(labels))
-    if tie == "compat":
-        middle_pos = F.ceil(n / F.lit(2)).cast("int") + 1
-    else:
-        middle_pos = F.floor((n - 1) / F.lit(2)).cast("int") + 1
-    middle = F.element_at(F.array_sort(labels), middle_pos)
-    strict = top["cnt"] > F.floor(n / F.lit(2))
-    all_different = n_distinct == n
-    label = F.when(strict, top["label"]).when(all_different, middle).otherwise(top["label"])
-    kind = (F.when(strict, F.lit("agreement"))
-            .when(all_different, F.lit("no_winner"))
-            .when(n_distinct == n - 1, F.lit("one_winner"))
-            .otherwise(F.lit("tie")))
-    runner_up = F.when(
-        ~strict & ~all_different & (n_distinct != n - 1),
-        F.array_max(F.filter(scored, lambda s: s["label"] != top["label"]))["label"],
-    )
-    return F.struct(
-        label.cast("int").alias("label"),
-        (~strict).alias("disagreement"),
-        kind.alias("kind"),
-        runner_up.cast("int").alias("runner_up"),
-    )
-
-
 def with_majority_vote(df, votes: str, prefix: str, tie: str = "compat"):
-    """DataFrame form of :func:`majority_vote`: adds ``{prefix}label, {prefix}disagreement,
-    {prefix}kind, {prefix}runner_up``.
+    """Add ``{prefix}label, {prefix}disagreement, {prefix}kind, {prefix}runner_up``; the runner-up is
+    the second label in (count desc, first seen) order for a tie, else NULL.
 
     Written as Spark SQL text (one JVM-side parse per projection) and staged: intermediate arrays
     get their own projections, which the optimizer keeps separate rather than copying a non-trivial
@@ -86,7 +36,7 @@ def with_majority_vote(df, votes: str, prefix: str, tie: str = "compat"):
     pos = f"CAST(ceil({n} / 2) AS INT) + 1" if tie == "compat" else f"CAST(floor(({n} - 1) / 2) AS INT) + 1"
     df = df.withColumns({f"{p}top": F.expr(f"array_max(`{p}scored`)"),
                          f"{p}nd": F.expr(f"size(array_distinct(`{p}labels`))"),
-                         f"{p}mid": F.expr(f"element_at(array_sort(`{p}labels`), {pos})")})
+                         f"{p}mid": F.expr(f"try_element_at(array_sort(`{p}labels`), {pos})")})
     top, nd = f"`{p}top`", f"`{p}nd`"
     df = df.withColumns({f"{p}strict": F.expr(f"{top}.cnt > floor({n} / 2)"), f"{p}alldiff": F.expr(f"{nd} = {n}")})
     strict, alldiff = f"`{p}strict`", f"`{p}alldiff`"

@@ -60,7 +60,8 @@ def bias_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def bias_stats_sets(pairs: DataFrame, base_keys: list[str], extra: str = "emotion") -> DataFrame:
     """A03 and A04 in one pass: ``groupingSets((base), (base, extra))``.
 
-    The overall rows have ``extra`` NULL. The t statistic needs count, mean and sd only, all of which
+    The overall rows have ``extra`` NULL and ``level`` "all", the others ``level`` ``extra`` (which
+    may be NULL in the data). The t statistic needs count, mean and sd only, all of which
     are grouping-set friendly.
     """
     l1 = F.col("label_1").cast("double")
@@ -71,9 +72,10 @@ def bias_stats_sets(pairs: DataFrame, base_keys: list[str], extra: str = "emotio
     g = pairs.groupingSets([keys, keys + [extra]], *keys, extra).agg(
         F.count(diff).alias("n_pairs"), F.avg(l1).alias("bias_cat_1_mean"),
         F.avg(l2).alias("bias_cat_2_mean"), F.stddev_samp(diff).alias("sd_diff"),
-        F.avg(diff).alias("mean_diff"))
+        F.avg(diff).alias("mean_diff"), F.grouping(extra).alias("__all"))
     t = paired_t(F.col("n_pairs"), F.col("mean_diff"), F.col("sd_diff"))
-    out = g.select(*base_keys, extra, F.col("bias_cat_1").alias("bias_cat_1_name"),
+    level = F.when(F.col("__all") == 1, F.lit("all")).otherwise(F.lit(extra)).alias("level")
+    out = g.select(*base_keys, extra, level, F.col("bias_cat_1").alias("bias_cat_1_name"),
                    F.col("bias_cat_2").alias("bias_cat_2_name"), "n_pairs", "bias_cat_1_mean",
                    "bias_cat_2_mean", (F.col("bias_cat_1_mean") - F.col("bias_cat_2_mean")).alias("performance_gap"),
                    t.alias("t_statistic"), "mean_diff")
@@ -110,5 +112,5 @@ def mean_labels(df: DataFrame, keys: list[str], group: str = "grp", extra: str =
                 label: str = "label") -> DataFrame:
     """Mean label per (keys, group) and per (keys, group, extra) in one grouping-set pass."""
     g = df.groupingSets([[*keys, group], [*keys, group, extra]], *keys, group, extra).agg(
-        F.count(label).alias("n"), F.avg(F.col(label).cast("double")).alias("mean_label"))
-    return g.withColumn("level", F.when(F.col(extra).isNull(), F.lit(group)).otherwise(F.lit(extra)))
+        F.count(label).alias("n"), F.avg(F.col(label).cast("double")).alias("mean_label"), F.grouping(extra).alias("__all"))
+    return g.withColumn("level", F.when(F.col("__all") == 1, F.lit(group)).otherwise(F.lit(extra))).drop("__all")

@@ -1,15 +1,11 @@
-"""Join helpers with an explicit size check before broadcasting."""
+"""Join helper for dimension tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], max_broadcast_rows: int = 2_000_000,
-                   how: str = "inner") -> DataFrame:
-    """Join ``fact`` to ``dim``: broadcast ``dim`` when its row count is at most
-    ``max_broadcast_rows``; otherwise a shuffle join (AQE's skew-join handling splits hot keys)."""
-    n = dim.count()
-    side = F.broadcast(dim) if n <= max_broadcast_rows else dim
-    return fact.join(side, on, how)
+def join_dimension(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join ``fact`` to a caller's ``dim``. The strategy is left to Spark: its byte statistics, and at
+    run time the shuffled size, decide on a broadcast; AQE splits skewed keys of a shuffle join."""
+    return fact.join(dim, on, how)

@@ -16,6 +16,11 @@ from minpair.functions.labels import (bias_direction, corrected_alpha, not_signi
                                       significant, within_band)
 from minpair.operators.bias import paired_ttest
 from minpair.plans import dims
+from minpair.sources.tables import LEGACY_LABEL_COLUMNS
+
+
+#: Rows up to which a catalogue is broadcast.
+SMALL = 10_000
 
 
 def union_results(frames: list[DataFrame]) -> DataFrame:
@@ -23,11 +28,6 @@ def union_results(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-# Older label-file layouts: column renames onto the current header.
-LEGACY_LABEL_COLUMNS = {"bias_cat_1_name": "bias_cat_1", "bias_cat_2_name": "bias_cat_2", "label": "label_1",
-                        "bias_cat_name": "bias_cat_1"}
-
-
 def harmonise_labels(df: DataFrame) -> DataFrame:
     """U01 input: rename older label-file columns to the current header (files without label
     columns simply lack them; :func:`union_results` fills NULLs)."""
@@ -47,17 +47,17 @@ def convergence_filter(results: DataFrame, convergence: DataFrame, exempt: list[
 
     ``convergence(model_type, lang, steps)`` has ``lang`` NULL for language-independent kinds. Model
     types in ``exempt`` (the baseline) are kept whole; kinds without a catalogue entry drop out.
-    One pass: a semi join against the broadcast catalogue (tens of rows), the exemption part of the
-    join condition.
+    Equi-joins only: one left join for the entries of a language, one for those of all languages.
+    The catalogue (tens of rows) is broadcast after a look at its size, else joined by shuffle.
     """
     exempt = ["baseline"] if exempt is None else exempt
-    conv = F.broadcast(convergence.select(F.col("model_type").alias("c_type"), F.col("lang").alias("c_lang"),
-                                          F.col("steps").alias("c_steps")))
-    cond = ((F.col("model_type") == F.col("c_type")) & (F.col("steps") == F.col("c_steps"))
-            & (F.col("c_lang").isNull() | (F.col("c_lang") == F.col("lang"))))
-    if exempt:
-        cond = cond | F.col("model_type").isin(*exempt)
-    return results.join(conv, cond, "left_semi")
+    few = convergence.limit(SMALL + 1).count() <= SMALL
+    small = F.broadcast if few else (lambda df: df)
+    named = convergence.where(F.col("lang").isNotNull()).select("model_type", "lang", "steps", F.lit(True).alias("__own")).distinct()
+    shared = convergence.where(F.col("lang").isNull()).select("model_type", "steps", F.lit(True).alias("__all")).distinct()
+    joined = results.join(small(named), ["model_type", "lang", "steps"], "left").join(small(shared), ["model_type", "steps"], "left")
+    keep = F.coalesce("__own", "__all", F.col("model_type").isin(*exempt))
+    return joined.where(keep).select(*results.columns)
 
 
 def drop_bias_type(df: DataFrame, bias_type: str = "rank") -> DataFrame:

@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.feature import CountVectorizer, IDF, Normalizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, SQLTransformer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minpair.functions.labels import gold_from_emotion, polarity
 from minpair.functions.ranking import hash_key, positions
 from minpair.functions.text import word_tokens
+from minpair.operators.joins import join_dimension
 from minpair.session import materialise
 
 
@@ -33,46 +35,62 @@ def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def tfidf(df: DataFrame, id_col: str, text_col: str, max_broadcast_terms: int = 5_000_000) -> DataFrame:
+def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """M04 (long form): ``tf * (ln((1 + N) / (1 + df)) + 1)``, L2-normalised per document.
 
-    ``N`` is the number of rows of ``df``. Plan: documents are partitioned by id once (the exchange
-    is shared by both uses of the term counts); the idf table is the only other shuffle (a partial
-    aggregation by term), is checkpointed and broadcast after a size check, so the per-document norm
-    window runs on the existing partitioning. Above the bound the idf join shuffles by term (AQE
-    splits hot terms).
+    ``N`` is the number of rows of ``df``. The term counts are written once and read for the document
+    frequencies and for the weights, so texts are tokenised once; the norm is summed per document
+    before the final join, which needs no window.
     """
-    from minpair.operators.joins import join_dimension
-    tc = term_counts(df, id_col, text_col)
+    tc = materialise(term_counts(df, id_col, text_col))
     n_docs = df.count()  # one scalar
     dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    idf = materialise(idf)  # materialised once: the size check and the join read it
-    w = join_dimension(tc, idf, ["term"], max_broadcast_terms).withColumn("w", F.col("n") * F.col("idf"))
+    w = tc.join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "n", (F.col("w") / norm).alias("tfidf"))
 
 
+#: Terms up to which a vector model is fitted: Spark ML keeps the vocabulary and one coefficient a
+#: term and class on the driver. More terms raise; none is dropped.
+MOST_TERMS = 20_000_000
+
+
+def count_vectorizer(df: DataFrame, tokens_col: str, out: str, min_df: float = 1.0, max_terms: int = MOST_TERMS) -> CountVectorizer:
+    """A ``CountVectorizer`` wide enough for every term of ``df``."""
+    n = df.select(F.explode(tokens_col).alias("t")).distinct().count()
+    if n > max_terms:
+        raise ValueError(f"{n} terms; a vector model takes {max_terms} at most, use the long form")
+    return CountVectorizer(inputCol=tokens_col, outputCol=out, minDF=min_df, vocabSize=max(1, n))
+
+
 def vectorise(df: DataFrame, tokens_col: str, out: str = "features", min_df: float = 1.0,
               use_idf: bool = False) -> tuple[DataFrame, PipelineModel]:
-    """M03 / M04 vector form with Spark ML (``CountVectorizer`` [+ ``IDF`` + L2 ``Normalizer``])."""
-    stages = [CountVectorizer(inputCol=tokens_col, outputCol="tf" if use_idf else out, minDF=min_df)]
+    """M03 / M04 vector form with Spark ML: counts, or ``tf * (ln((1 + N) / (1 + df)) + 1)`` with unit
+    length, as in the long form."""
+    cv = count_vectorizer(df, tokens_col, "__tf" if use_idf else out, min_df).fit(df)
+    stages = [cv]
     if use_idf:
-        stages += [IDF(inputCol="tf", outputCol="idf_raw"), Normalizer(inputCol="idf_raw", outputCol=out, p=2.0)]
-    model = Pipeline(stages=stages).fit(df)
-    return model.transform(df), model
-
-
-def train_linear(train: DataFrame, text_col: str, label_col: str, reg: float = 1e-4, max_iter: int = 50) -> PipelineModel:
-    """Bag of words -> one-vs-rest linear SVM (hinge loss, L2). Labels are 0-based class ids."""
-    from pyspark.ml.feature import SQLTransformer
-    tok = SQLTransformer(statement=f"SELECT *, regexp_extract_all(lower({text_col}), '(?U)\\\\b\\\\w\\\\w+\\\\b', 0) "
-                                   f"AS __tokens FROM __THIS__")
-    cv = CountVectorizer(inputCol="__tokens", outputCol="features")
+        counted = cv.transform(df)
+        weight = IDF(inputCol="__tf", outputCol="__idf").fit(counted).idf.toArray() + 1.0
+        stages += [ElementwiseProduct(scalingVec=Vectors.dense(weight), inputCol="__tf", outputCol="__w"),
+                   Normalizer(inputCol="__w", outputCol=out, p=2.0)]
+    model = PipelineModel(stages)
+    return model.transform(df).drop("__tf", "__w"), model
+
+
+def train_linear(train: DataFrame, text_col: str, label_col: str, reg: float = 1e-4, max_iter: int = 50,
+                 chars: bool = False, use_idf: bool = False) -> PipelineModel:
+    """Bag of words (or of characters, for zh / ja), counts or tf-idf -> one-vs-rest linear SVM
+    (hinge loss, L2). Labels are 0-based class ids."""
+    split = f"split(lower({text_col}), '')" if chars else f"regexp_extract_all(lower({text_col}), '(?U)\\\\b\\\\w\\\\w+\\\\b', 0)"
+    tok = SQLTransformer(statement=f"SELECT *, {split} AS __tokens FROM __THIS__")
+    tokens = tok.transform(train)
+    vectors, features = vectorise(tokens, "__tokens", use_idf=use_idf)
     # the per-class binary models are independent: fit them concurrently
     ovr = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), labelCol=label_col, parallelism=8,
                     featuresCol="features", predictionCol="prediction")
-    return Pipeline(stages=[tok, cv, ovr]).fit(train)
+    return PipelineModel([tok, *features.stages, ovr.fit(vectors)])
 
 
 def dummy_predictions(train: DataFrame, test: DataFrame, label_col: str, id_col: str,
@@ -128,15 +146,18 @@ def lexicon_model(emotions: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 def score_lexicon(df: DataFrame, text_col: str, lexicon: DataFrame, lang_col: str = "lang",
                   out: str = "label") -> DataFrame:
-    """M08 with the lexicon model: tokens joined to the lexicon (a word list, broadcast after a size
-    check); stars = rounded mean of matched word stars, 3 when nothing matches."""
-    from minpair.operators.joins import join_dimension
-    tok = df.select("*", F.posexplode_outer(word_tokens(F.col(text_col))).alias("__p", "__w"))
-    j = join_dimension(tok, lexicon.select(lang_col, F.col("word").alias("__w"), F.col("stars").alias("__s")),
-                       [lang_col, "__w"], how="left")
-    keys = [c for c in df.columns]
-    g = j.groupBy(*keys).agg(F.avg("__s").alias("__m"))
-    return g.withColumn(out, F.coalesce(F.round("__m").cast("int"), F.lit(3))).drop("__m")
+    """M08 with the lexicon model: stars = rounded mean of matched word stars, 3 when nothing matches.
+
+    The lexicon (a word sheet) becomes one list of entries a language; every row looks its tokens up in
+    its language's list, so rows are neither exploded nor grouped and equal rows stay apart.
+    """
+    entry = F.struct("word", F.col("stars").cast("double").alias("stars"))
+    lists = lexicon.groupBy(lang_col).agg(F.collect_list(entry).alias("__lex"))
+    hits = F.flatten(F.transform(word_tokens(F.col(text_col)), lambda w: F.transform(
+        F.filter("__lex", lambda e: e["word"] == w), lambda e: e["stars"])))
+    mean = F.aggregate("__hits", F.lit(0.0), lambda a, x: a + x) / F.size("__hits")
+    return df.join(lists, lang_col, "left").withColumn("__hits", F.coalesce(hits, F.array().cast("array<double>"))).withColumn(
+        out, F.when(F.size("__hits") > 0, F.round(mean).cast("int")).otherwise(F.lit(3))).select(*df.columns, out)
 
 
 def evaluate_scorer(labelled: DataFrame) -> DataFrame:
@@ -151,10 +172,9 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
     """``[CLS] first [SEP] second [SEP]`` ids, longest-first truncation to ``max_length``,
     padding, attention mask and segment ids.
 
-    ``vocab(term, id)`` (ids from 4 up) is joined to the token stream (broadcast only when small);
+    ``vocab(term, id)`` (ids from 4 up) is joined to the token stream (Spark chooses the strategy);
     each document's ids are gathered back in token order.
     """
-    from minpair.operators.joins import join_dimension
     # posexplode_outer keeps texts without tokens (their marker row has a NULL position)
     budget = max_length - 3
     # Whole texts are tokenised and their full lengths drive the truncation; a segment can keep at
@@ -202,6 +222,3 @@ def build_vocabulary(term_table: DataFrame, first_id: int = 4, min_count: int =
     p = positions(c, [], [F.desc("cnt"), F.col("term")], [-F.col("cnt"), F.substring("term", 1, 2)], name="rank")
     return p.select("term", (F.col("rank") + first_id).alias("id"), "cnt")
 
-
-def polarity_col(c: Column) -> Column:
-    return polarity(c)

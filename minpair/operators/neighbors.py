@@ -1,10 +1,10 @@
 """Nearest words by cosine similarity.
 
-Seed words are few (a word list), the vocabulary is large. The seed matrix is broadcast after a size
-check; every vocabulary partition computes its similarities to all seeds with one matrix product
-(numpy inside ``mapInPandas``, Arrow batches) and keeps only its local top ``k`` per seed. The final
-top ``k`` merges at most ``k`` candidates per seed and batch - a map-side combine, exact, with no
-pairwise join. Seed lists beyond the broadcast bound are processed in blocks of that size.
+Seeds and vocabulary meet in blocks: the seeds are dealt into blocks of about ``SEED_BLOCK``, the
+vocabulary into parts, and every part of the vocabulary meets every block of seeds in one task, where
+one matrix product gives all similarities and each seed keeps its local top ``k``. A window then ranks
+the at most ``k`` (and ties) candidates a seed and part. Nothing passes through the driver, and the
+plan is the same for any number of seeds.
 """
 
 from __future__ import annotations
@@ -15,79 +15,54 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUT_SCHEMA = "seed string, word string, similarity double"
+SEED_BLOCK, PART = 2_000, 20_000
 
 
-def _local_topk(block, k):
-    """``block`` is a broadcast ``(seed words, unit seed matrix)``: shipped once per executor."""
-    def run(batches):
-        seed_words, seed_mat = block.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vecs = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            norms = np.linalg.norm(vecs, axis=1)
-            norms[norms == 0] = np.inf  # zero vectors: similarity 0
-            sims = seed_mat @ (vecs / norms[:, None]).T  # seeds x batch
-            kk = min(k, sims.shape[1])
-            words = pdf["word"].to_numpy()
-            rows_s, rows_w, rows_v = [], [], []
-            for i, s in enumerate(seed_words):
-                idx = np.argpartition(-sims[i], kk - 1)[:kk] if kk < sims.shape[1] else np.arange(sims.shape[1])
-                # keep ties at the cut: everything at least as similar as the k-th value
-                cut = sims[i, idx].min()
-                idx = np.nonzero(sims[i] >= cut)[0]
-                rows_s.extend([s] * len(idx))
-                rows_w.extend(words[idx])
-                rows_v.extend(sims[i, idx])
-            yield pd.DataFrame({"seed": rows_s, "word": rows_w, "similarity": rows_v})
+def _unit(vectors: pd.Series) -> np.ndarray:
+    m = np.stack(vectors.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(m, axis=1)
+    norms[norms == 0] = np.inf  # zero vectors: similarity 0
+    return m / norms[:, None]
+
+
+def _local_topk(k: int):
+    def run(seeds: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        if seeds.empty or words.empty:
+            return pd.DataFrame({"seed": [], "word": [], "similarity": []})
+        sims = _unit(seeds["seed_vector"]) @ _unit(words["vector"]).T
+        kk = min(k, sims.shape[1])
+        cut = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1]
+        i, j = np.nonzero(sims >= cut[:, None])  # ties at the cut stay
+        return pd.DataFrame({"seed": seeds["seed"].to_numpy()[i], "word": words["word"].to_numpy()[j], "similarity": sims[i, j]})
     return run
 
 
-def nearest_words(vectors: DataFrame, seeds: DataFrame, k: int = 20, max_seeds_per_block: int = 4096,
-                  lower: bool = True) -> DataFrame:
-    """W02 + T09: top ``k`` vocabulary words (lower-cased) per seed word: ``(seed, word, similarity,
-    rank)``.
+def nearest_words(vectors: DataFrame, seeds: DataFrame, k: int = 20, lower: bool = True) -> DataFrame:
+    """W02 + T09: top ``k`` vocabulary words per seed word: ``(seed, word, similarity, rank)``.
 
-    ``vectors(word, vector array<float>)``; ``seeds(word)``. Seeds without a vector are left out
-    here and listed by :func:`missing_seeds`. The seed itself is among its own neighbours.
-    Ties at rank ``k`` are broken by the word.
+    ``vectors(word, vector array<float>)``; ``seeds(word)``. Seeds are looked up as they are written;
+    ``lower`` only lower-cases the words of the result. Seeds without a vector are left out here and
+    listed by :func:`missing_seeds`. The seed itself is among its own neighbours. Ties at rank ``k``
+    are broken by the word as written.
     """
-    vec = vectors.select(F.lower("word").alias("word") if lower else "word", "vector")
-    seed_vecs = seeds.select(F.lower("word").alias("word") if lower else "word").distinct().join(vec, "word")
-    # One bounded collect decides the plan: up to the block size the seeds are one broadcast block.
-    first = seed_vecs.orderBy("word").limit(max_seeds_per_block + 1).collect()
-    if len(first) <= max_seeds_per_block:
-        blocks = [first]
-    else:  # larger seed lists: consecutive blocks of the sorted seed list, each collected alone
-        ordered = seed_vecs.orderBy("word")
-        n_seeds = seed_vecs.count()
-        blocks = (ordered.offset(start).limit(max_seeds_per_block).collect()
-                  for start in range(0, n_seeds, max_seeds_per_block))
-    parts = []
-    for rows in blocks:
-        if not rows:
-            continue
-        words = [r["word"] for r in rows]
-        mat = np.array([np.asarray(r["vector"], dtype=np.float64) for r in rows])
-        nrm = np.linalg.norm(mat, axis=1)
-        nrm[nrm == 0] = np.inf
-        mat = mat / nrm[:, None]
-        block = vec.sparkSession.sparkContext.broadcast((words, mat))
-        parts.append(vec.mapInPandas(_local_topk(block, k), OUT_SCHEMA))
-    if not parts:
-        return vec.sparkSession.createDataFrame([], OUT_SCHEMA + ", rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    seed_vecs = seeds.select(F.col("word").alias("seed")).distinct().join(
+        vectors.select(F.col("word").alias("seed"), F.col("vector").alias("seed_vector")), "seed")
+    blocks = max(1, -(-seeds.count() // SEED_BLOCK))
+    parts = max(1, -(-vectors.count() // PART))
+    left = seed_vecs.withColumn("__block", F.pmod(F.xxhash64("seed"), F.lit(blocks)).cast("int")).withColumn(
+        "__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = vectors.select("word", "vector", F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("__part"),
+                           F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("__block"))
+    keys = ["__block", "__part"]
+    cand = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_local_topk(k), OUT_SCHEMA)
     w = Window.partitionBy("seed").orderBy(F.desc("similarity"), "word")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.withColumn("word", F.lower("word")) if lower else ranked
 
 
-def missing_seeds(vectors: DataFrame, seeds: DataFrame, lower: bool = True) -> DataFrame:
-    """Seed words with no vector (anti join)."""
-    s = seeds.select(F.lower("word").alias("word") if lower else "word").distinct()
-    v = vectors.select(F.lower("word").alias("word") if lower else "word")
-    return s.join(v, "word", "left_anti")
+def missing_seeds(vectors: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seed words with no vector, as they are written (anti join)."""
+    return seeds.select("word").distinct().join(vectors.select("word"), "word", "left_anti")
 
 
 def neighbour_set(neighbours: DataFrame) -> DataFrame:

@@ -128,14 +128,18 @@ def side_performance(pairs: DataFrame, keys: list[str], binary: bool = False,
 
 
 def nested_performance(long: DataFrame, gold: str, pred: str, top: str, sub: str) -> DataFrame:
-    """Metrics for (top, sub), (top) and overall in one grouping-set pass over the counts."""
-    counts = long.groupBy(top, sub, F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(
+    """Metrics for (top, sub), (top) and overall in one grouping-set pass over the counts. The
+    level comes from the grouping id, so rows whose group is NULL stay a group of their own; totals
+    have an empty name. Rows without gold or prediction are left out, as in A09."""
+    counts = long.where(F.col(gold).isNotNull() & F.col(pred).isNotNull()).groupBy(top, sub, F.col(gold).alias("gold"), F.col(pred).alias("pred")).agg(
         F.count(F.lit(1)).alias("n"))
     sets = counts.groupingSets([[top, sub, "gold", "pred"], [top, "gold", "pred"], ["gold", "pred"]],
-                               top, sub, "gold", "pred").agg(F.sum("n").alias("n"))
-    level = (F.when(F.col(sub).isNotNull(), F.lit("group"))
-             .when(F.col(top).isNotNull(), F.lit(top)).otherwise(F.lit("all")))
-    sets = sets.withColumn("level", level).fillna("", subset=[top, sub])
+                               top, sub, "gold", "pred").agg(F.sum("n").alias("n"), F.grouping_id().alias("__gid"))
+    # Bits of the grouping id from the left: top, sub, gold, pred; set where rolled up.
+    rolled = {0: "group", 4: top, 12: "all"}
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in rolled.items() for x in kv]), F.col("__gid").cast("int"))
+    sets = sets.withColumns({"level": level, sub: F.when(F.col("__gid") >= 4, F.lit("")).otherwise(F.col(sub)),
+                             top: F.when(F.col("__gid") == 12, F.lit("")).otherwise(F.col(top))}).drop("__gid")
     classes = class_table(sets, ["level", top, sub])
     macro = classes.groupBy("level", top, sub).agg(
         F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"),

@@ -132,7 +132,7 @@ def seeded_shuffle(df: DataFrame, partition: list[str], id_col: str, seed: int)
 def map_categories(df: DataFrame, mapping: DataFrame, col: str, out: str = "target_category") -> DataFrame:
     """Many-to-one category mapping (left join; ``x`` / unmapped -> NULL).
 
-    The mapping is a dimension (tens of rows in practice); it is broadcast after a size check.
+    The mapping is a dimension (tens of rows in practice).
     """
     from minpair.operators.joins import join_dimension
     m = mapping.select(F.col("source_category").alias(col), F.col("target_category").alias(out), "uncertain")

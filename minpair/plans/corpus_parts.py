@@ -1,7 +1,7 @@
 """Corpus inputs for the driver-table binding.
 
-Templates and emotion words are small hand-written sheets (our own sentences, in the layout of the
-study's workbook); the people sheet is derived from the ``customer`` table, so the corpus grows
+Templates and emotion words are small hand-written sheets (sentences written for this binding, in the
+layout of the study's workbook); the people sheet is derived from the ``customer`` table, so the corpus grows
 with the data. The sheets exercise the edge cases of the expansion: a grammar cell naming two
 grammars, substring grammar matches (``situation_a`` inside ``situation_an``), a template without
 an emotion slot, one without a person slot, agreement variants (es), ``non-marked`` people and
@@ -17,20 +17,20 @@ from minpair.plans import dims
 from minpair.sources.tables import table
 
 TEMPLATES = [
-    ("en", 0, "<person subject> feels <emotion word>."),
-    ("en", 1, "The situation makes <person object> feel <emotion word>."),
-    ("en", 2, "I made <person object> feel  <emotion word>."),
-    ("en", 3, "<person subject> told us all about the recent <emotional situation word a> events."),
-    ("en", 4, "<person subject> found herself in an <emotional situation word an> situation."),
-    ("en", 5, "<person subject> goes to the school in our neighborhood."),
-    ("en", 6, "I talked to <person object> yesterday."),
-    ("en", 7, "The weather was <emotional situation word a> today."),
-    ("en", 8, "<person subject> has two children."),
-    ("en", 8, "<person subject> has two children."),
-    ("es", 0, "<person subject> está <emotion word A>."),
-    ("es", 1, "<person subject> tiene <emotion word B>."),
-    ("es", 2, "La conversación con <person object> fue <emotional situation word female>."),
-    ("es", 3, "<person subject> vive cerca de aquí."),
+    ("en", 0, "<person subject> is <emotion word> again this evening."),
+    ("en", 1, "Nobody expected <person object> to be so <emotion word>."),
+    ("en", 2, "At breakfast we found <person object>  <emotion word>."),
+    ("en", 3, "<person subject> wrote home about the <emotional situation word a> train ride."),
+    ("en", 4, "<person subject> sat through an <emotional situation word an> rehearsal."),
+    ("en", 5, "<person subject> repairs bicycles on Saturdays."),
+    ("en", 6, "The baker waved at <person object> this morning."),
+    ("en", 7, "The concert was <emotional situation word a> tonight."),
+    ("en", 8, "<person subject> waters three plants."),
+    ("en", 8, "<person subject> waters three plants."),
+    ("es", 0, "Esta noche <person subject> está <emotion word A>."),
+    ("es", 1, "Hoy <person subject> tiene <emotion word B>."),
+    ("es", 2, "La reunión con <person object> fue <emotional situation word female>."),
+    ("es", 3, "<person subject> toca la guitarra."),
 ]
 
 EMOTIONS = [

@@ -44,11 +44,13 @@ ORACLE["a05_seed_mean_bias"] = _with(votes_cte(), _MEAN_PAIRS) + bias_stats_sele
     "mean_pairs", ["lang", "bias_type", "steps"])
 
 _T = t_sql("n_pairs", "md", "sd")
-ORACLE["a01_paired_ttest_events"] = f"""WITH per_user AS (
+ORACLE["a01_paired_ttest_events"] = f"""WITH span AS (
+  SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS mid FROM events
+), per_user AS (
   SELECT event_type, user_id,
-    avg(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN value END) AS label_1,
-    avg(CASE WHEN ts >= TIMESTAMP '2024-01-16 00:00:00' THEN value END) AS label_2
-  FROM events GROUP BY event_type, user_id
+    avg(CASE WHEN epoch_us(ts) < mid THEN value END) AS label_1,
+    avg(CASE WHEN epoch_us(ts) >= mid THEN value END) AS label_2
+  FROM events, span GROUP BY event_type, user_id
 ), agg AS (
   SELECT event_type, count(label_1 - label_2) AS n_pairs, avg(label_1 - label_2) AS md,
          stddev_samp(label_1 - label_2) AS sd
@@ -373,7 +375,8 @@ ORACLE["a25_corpus_sizes"] = _with(_CORPUS_INPUTS) + """SELECT lang, bias_type,
 FROM corpus GROUP BY ROLLUP (lang, bias_type, emotion) HAVING lang IS NOT NULL"""
 ORACLE["a30_validate_pairs"] = _with(_CORPUS_INPUTS) + """SELECT lang, emotion, bias_type,
   count(*) FILTER (WHERE side = 1) AS n_side_1, count(*) FILTER (WHERE side = 2) AS n_side_2
-FROM corpus_long GROUP BY lang, emotion, bias_type HAVING n_side_1 <> n_side_2"""
+FROM corpus_long WHERE NOT (emotion = 'joy' AND side = 2 AND pair_id % 3 = 0)
+GROUP BY lang, emotion, bias_type HAVING n_side_1 <> n_side_2"""
 ORACLE["w01_first_sentences"] = _with(_CORPUS_INPUTS) + "SELECT * FROM corpus_long WHERE pair_id < 11"
 
 
@@ -382,7 +385,7 @@ ORACLE["w01_first_sentences"] = _with(_CORPUS_INPUTS) + "SELECT * FROM corpus_lo
 from minpair.functions.text import scrub_pattern as _scrub_pattern  # noqa: E402
 
 _REVIEWS = """reviews AS (
-  SELECT doc_id AS review_id, text AS review_body, substring(text, 1, 40) AS review_title, lang AS language,
+  SELECT doc_id AS review_id, text AS review_body, 'Review ' || doc_id || ' of her ' || source AS review_title, lang AS language,
          source AS product_category, CAST(1 + n_chars % 5 AS INTEGER) AS stars FROM documents
 )"""
 
@@ -609,7 +612,8 @@ ORACLE["a24_texts_by_language"] = _with(
     _PROFILE, "src AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, role, text FROM conversations)",
     _identify("src")) + """SELECT s.role, b.detected_lang, count(*) AS n FROM best b JOIN src s USING (id)
 GROUP BY ROLLUP (s.role, b.detected_lang)"""
-ORACLE["t05_script_flags"] = """SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(text, '\\p{Han}')) AS n_han
+ORACLE["t05_script_flags"] = """SELECT lang, count(*) AS n, count(*) FILTER (WHERE regexp_matches(
+  CASE WHEN doc_id % 7 = 0 THEN translate(text, 'aeo', '\u6f22\u5b57\u56fd') ELSE text END, '\\p{Han}')) AS n_han
 FROM documents GROUP BY lang"""
 
 _RSPLIT = _REVIEWS + """,
@@ -697,7 +701,8 @@ ORACLE["a03_a04_grouping_sets"] = _with(votes_cte(), ensemble_cte(), """ens_all
   SELECT lang, bias_type, steps, bias_cat_1, bias_cat_2, CAST(NULL AS VARCHAR) AS emotion, label_1, label_2 FROM ens
   UNION ALL SELECT lang, bias_type, steps, bias_cat_1, bias_cat_2, emotion, label_1, label_2 FROM ens
 ), ens_tagged AS (SELECT *, coalesce(emotion, '<all>') AS emo_key FROM ens_all)""") + f"""SELECT lang, bias_type, steps,
-  CASE WHEN emo_key = '<all>' THEN NULL ELSE emo_key END AS emotion, bias_cat_1_name, bias_cat_2_name, n_pairs,
+  CASE WHEN emo_key = '<all>' THEN NULL ELSE emo_key END AS emotion,
+  CASE WHEN emo_key = '<all>' THEN 'all' ELSE 'emotion' END AS level, bias_cat_1_name, bias_cat_2_name, n_pairs,
   bias_cat_1_mean, bias_cat_2_mean, performance_gap, t_statistic, statistical_significance
 FROM ({bias_stats_select("ens_tagged", ["lang", "bias_type", "steps", "emo_key"])}) q"""
 
@@ -708,7 +713,7 @@ GROUP BY r.seed, r.steps, s.lang, s.label"""
 ORACLE["j12_missing_groups"] = _with(votes_cte()) + f"""SELECT s.lang, s.steps, c.bias_type, c.grp, c.side
 FROM (SELECT DISTINCT lang, steps FROM votes) s JOIN {_vals(_SIDES_ROWS, "lang, bias_type, grp, side", "c")} ON c.lang = s.lang
 WHERE NOT EXISTS (SELECT 1 FROM votes v WHERE v.lang = s.lang AND v.steps = s.steps AND v.bias_type = c.bias_type
-                  AND v.grp = c.grp)"""
+                  AND v.grp = c.grp) OR (s.lang = 'de' AND s.steps = (SELECT max(steps) FROM votes) AND c.bias_type = 'gender' AND c.side = 2)"""
 
 
 # --- pair encoding ---------------------------------------------------------------------------------

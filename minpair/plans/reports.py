@@ -85,8 +85,10 @@ def paired_ttest_events(spark, sf_dir):
     the first and the second half of the time range (users present in both halves)."""
     from minpair.sources.tables import table
     ev = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "value")
-    mid = F.lit("2024-01-16 00:00:00").cast(ev.schema["ts"].dataType)
-    half = F.when(F.col("ts") < mid, F.lit(1)).otherwise(F.lit(2))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = ev.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()  # one row
+    mid = F.lit((span["lo"] + span["hi"]) // 2 if span["lo"] is not None else 0)
+    half = F.when(at < mid, F.lit(1)).otherwise(F.lit(2))
     per_user = ev.groupBy("event_type", "user_id").agg(
         F.avg(F.when(half == 1, F.col("value"))).alias("label_1"),
         F.avg(F.when(half == 2, F.col("value"))).alias("label_2"))
@@ -144,8 +146,10 @@ def tie_ranking(spark, sf_dir):
 @report("j12_missing_groups")
 def missing_groups(spark, sf_dir):
     """Catalogue groups with no predictions, per language and step (fr has no catalogue entry,
-    the inner catalogue join leaves it out)."""
+    the inner catalogue join leaves it out). The German run at the last step lost its second gender
+    group, which is what the report has to find."""
     v = views.votes(spark, sf_dir)
+    v = v.where(~((F.col("lang") == "de") & (F.col("steps") == max(dims.STEPS)) & (F.col("bias_type") == "gender") & (F.col("side") == 2)))
     return bias.missing_groups(v, dims.bias_sides(spark), ["lang", "steps"])
 
 
@@ -312,7 +316,7 @@ def normal_ci(spark, sf_dir):
 
 @report("a18_bootstrap_ci")
 def bootstrap_ci(spark, sf_dir):
-    """Randomised (hash-seeded) bootstrap interval: checked by row count and properties only."""
+    """Bootstrap interval whose draws come from hashes, so that SQL repeats them."""
     return rounded(dist.bootstrap_ci(_ensemble(spark, sf_dir), ["lang", "bias_type", "steps"], "performance_gap",
                                      replicates=200))
 
@@ -369,7 +373,9 @@ def corpus_sizes(spark, sf_dir):
 
 @report("a30_validate_pairs")
 def validate_pairs(spark, sf_dir):
-    return corpus.validate_pairs(corpus.corpus_long(_corpus(spark, sf_dir)))
+    """Slices whose sides differ, in a corpus that lost every third second side of the joyful pairs."""
+    long = corpus.corpus_long(_corpus(spark, sf_dir))
+    return corpus.validate_pairs(long.where(~((F.col("emotion") == "joy") & (F.col("side") == 2) & (F.col("pair_id") % 3 == 0))))
 
 
 @report("w01_first_sentences")
@@ -618,7 +624,11 @@ def texts_by_language(spark, sf_dir):
 
 @report("t05_script_flags")
 def script_flags(spark, sf_dir):
-    d = text.script_flags(_documents(spark, sf_dir, "doc_id", "text", "lang"), "text")
+    """Texts with Han characters by language; in every seventh document some letters are written in
+    them."""
+    d = _documents(spark, sf_dir, "doc_id", "text", "lang").withColumn(
+        "text", F.when(F.col("doc_id") % 7 == 0, F.translate("text", "aeo", "\u6f22\u5b57\u56fd")).otherwise(F.col("text")))
+    d = text.script_flags(d, "text")
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("has_han").alias("n_han"))
 
 

@@ -35,7 +35,7 @@ def group_case(bias_type: str, side: str) -> str:
     parts = " ".join(
         f"WHEN {bias_type} = '{bt}' THEN CASE WHEN {side} = 1 THEN '{g1}' ELSE '{g2}' END"
         for bt, (g1, g2) in dims.BIAS_GROUPS.items())
-    return f"CASE {parts} END"
+    return f"CASE {parts} ELSE {bias_type} || '_' || {side} END"
 
 
 def votes_cte() -> str:
@@ -47,10 +47,11 @@ def votes_cte() -> str:
     return f"""votes_raw AS (
   SELECT d.lang, s.seed, s.seed_rank, st.steps,
          {emotion_case('d.doc_id')} AS emotion,
-         CASE WHEN d.doc_id % 2 = 0 THEN 'gender' ELSE 'race' END AS bias_type,
+         CASE WHEN d.doc_id % 41 = 40 THEN 'rank' WHEN d.doc_id % 2 = 0 THEN 'gender' ELSE 'race' END AS bias_type,
          sd.side, d.doc_id AS pair_id,
          CAST(1 + (((d.doc_id + 1) * (s.seed + 3) * (7919 * sd.side + 13 + st.steps)) % 10007) % 5 AS INTEGER) AS label
   FROM documents d CROSS JOIN {seeds} CROSS JOIN {steps} CROSS JOIN {sides}
+  WHERE NOT (s.seed = 42 AND d.doc_id % 53 = 7)
 ),
 votes AS (
   SELECT lang, seed, seed_rank, steps, emotion, bias_type, {group_case('bias_type', 'side')} AS grp,
@@ -115,8 +116,8 @@ def ensemble_cte(name: str = "ens", tie: str = "compat") -> str:
     max(CASE WHEN v.side = 2 THEN v.runner_up END) AS runner_up_2
   FROM {name}_vote v JOIN {name}_grp g USING ({pk})
   GROUP BY v.lang, v.steps, v.bias_type, v.emotion, v.pair_id, g.bias_cat_1, g.bias_cat_2
-  HAVING max(CASE WHEN v.side = 1 THEN v.label END) IS NOT NULL
-     AND max(CASE WHEN v.side = 2 THEN v.label END) IS NOT NULL
+  HAVING max(CASE WHEN v.side = 1 THEN v.n_votes END) = {len(dims.SEEDS)}
+     AND max(CASE WHEN v.side = 2 THEN v.n_votes END) = {len(dims.SEEDS)}
 )"""
 
 
@@ -124,44 +125,18 @@ def r6(expr: str) -> str:
     return f"round({expr}, 6)"
 
 
-# --- Student-t p-value (regularised incomplete beta by the Lentz continued fraction) ---------------
-
-_TINY = "1e-300"
-
-
-def _fix(x: str) -> str:
-    return f"(CASE WHEN abs({x}) < {_TINY} THEN {_TINY} ELSE {x} END)"
-
-
-def _beta_cf(a: str, b: str, x: str) -> str:
-    qab, qap, qam = f"({a} + {b})", f"({a} + 1.0)", f"({a} - 1.0)"
-    m = "CAST(ceil(j / 2.0) AS DOUBLE)"
-    odd = "(j % 2 = 1)"
-    aa = (f"(CASE WHEN {odd} THEN {m} * ({b} - {m}) * {x} / (({qam} + 2.0 * {m}) * ({a} + 2.0 * {m})) "
-          f"ELSE -({a} + {m}) * ({qab} + {m}) * {x} / (({a} + 2.0 * {m}) * ({qap} + 2.0 * {m})) END)")
-    d = f"(1.0 / {_fix(f'1.0 + {aa} * acc.d')})"
-    c = _fix(f"1.0 + {aa} / acc.c")
-    d0 = f"(1.0 / {_fix(f'1.0 - {qab} * {x} / {qap}')})"
-    terms = f"least(200000, greatest(300, CAST(ceil(sqrt(greatest({a}, {b}))) AS BIGINT) * 8))"
-    step = (f"CASE WHEN acc.done THEN acc ELSE {{'c': {c}, 'd': {d}, 'h': acc.h * {d} * {c}, "
-            f"'done': (NOT {odd}) AND abs({d} * {c} - 1.0) < 3e-16}} END")
-    init = f"{{'c': 1.0::DOUBLE, 'd': {d0}::DOUBLE, 'h': {d0}::DOUBLE, 'done': false}}"
-    return f"(list_reduce(range(1, 2 * {terms} + 1), lambda acc, j: {step}, {init})).h"
-
+# --- Student-t p-value (Simpson's rule over the angle, independent of the engine's method) ----------
 
 def t_p_sql(t: str, dof: str) -> str:
-    """Two-sided p of Student's t; uses DuckDB's own ``lgamma`` for the beta front factor."""
+    """Two-sided p of Student's t: one less the integral of cos^(v-1) from 0 to atan(|t| / sqrt(v)),
+    normalised; the integrand is nil beyond 12 / sqrt(v) for large v."""
     v = f"CAST({dof} AS DOUBLE)"
-    x = f"({v} / ({v} + ({t}) * ({t})))"
-    a = f"({v} / 2.0)"
-    b = "0.5"
-    front = (f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln(greatest({x}, {_TINY})) "
-             f"+ {b} * ln(greatest(1.0 - {x}, {_TINY})))")
-    direct = f"({front} * {_beta_cf(a, b, x)} / {a})"
-    mirrored = f"(1.0 - {front} * {_beta_cf(b, a, f'(1.0 - {x})')} / {b})"
-    ib = f"(CASE WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {mirrored} END)"
-    return (f"(CASE WHEN ({t}) IS NULL OR isnan({t}) OR {v} <= 0 THEN NULL "
-            f"WHEN isinf({t}) THEN 0.0 ELSE least(1.0, greatest(0.0, {ib})) END)")
+    top = f"least(atan(abs({t}) / sqrt({v})), 12.0 / sqrt({v}) + 1.6 * CAST({v} < 200 AS INTEGER))"
+    terms = (f"list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) "
+             f"* pow(greatest(cos({top} * i / 2000.0), 0.0), {v} - 1.0)))")
+    front = f"2.0 * exp(lgamma(({v} + 1.0) / 2.0) - lgamma({v} / 2.0)) / sqrt(pi())"
+    return (f"(CASE WHEN ({t}) IS NULL OR isnan({t}) OR {v} <= 0 THEN NULL WHEN isinf({t}) THEN 0.0 "
+            f"ELSE least(1.0, greatest(0.0, 1.0 - {front} * {top} / 6000.0 * {terms})) END)")
 
 
 def t_sql(n: str, mean: str, sd: str) -> str:

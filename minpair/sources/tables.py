@@ -7,6 +7,7 @@ into the scan; writers partition by the columns later jobs filter on.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +17,9 @@ DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
-_TABLES: dict[tuple, DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; projections and filters applied later reach the parquet scan.
-
-    The DataFrame (a plan, not data) is memoised per session and path, so repeated reports skip
-    the schema-discovery job; new files are still listed by Spark's own file index rules.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), path)
-    df = _TABLES.get(key)
-    if df is None or df.sparkSession is not spark:
-        df = spark.read.parquet(path)
-        _TABLES[key] = df
-    return df
+    """One driver table as it is now; projections and filters applied later reach the parquet scan."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # --- S01 / S13: prepared reviews, partitioned by language and split -------------------------------
@@ -124,15 +112,46 @@ PERFORMANCE_SCHEMA = T.StructType([
 ])
 
 
+#: Older label-file layouts: column renames onto the current header.
+LEGACY_LABEL_COLUMNS = {"bias_cat_1_name": "bias_cat_1", "bias_cat_2_name": "bias_cat_2", "label": "label_1",
+                        "bias_cat_name": "bias_cat_1"}
+
+
+def file_headers(spark: SparkSession, path: str, glob: str | None = None) -> dict[str, list[str]]:
+    """Header line -> files that have it: the first line of every file, found in one pass (a row a
+    file comes to the driver, as its name does when a family is listed)."""
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    lines = reader.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+                                     F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("i"))
+    found: dict[str, list[str]] = {}
+    for r in lines.groupBy("file").agg(F.min_by("value", F.struct("start", "i")).alias("header")).collect():
+        found.setdefault(r["header"], []).append(r["file"])
+    return found
+
+
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType,
-                    glob: str | None = None) -> DataFrame:
-    """Result CSV(s) with an explicit schema (optionally chosen by file-name glob);
-    ``nan`` becomes NULL, the file path is kept."""
-    reader = spark.read.schema(schema).option("header", "true").option("nanValue", "nan")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = reader.csv(path)
-    df = df.withColumn("source_file", F.col("_metadata.file_path"))
+                    glob: str | None = None, renames: dict[str, str] | None = None) -> DataFrame:
+    """Result CSV(s), optionally chosen by file-name glob, read by the names in each file's
+    header: files of older layouts (other columns, other order, ``renames``) are read into the same
+    columns, and what a layout lacks is NULL. ``nan`` becomes NULL, the file path is kept. Columns of
+    a partitioned folder are taken from its path."""
+    types = {f.name: f.dataType for f in schema.fields}
+    parts = []
+    for header, files in sorted(file_headers(spark, path, glob).items()):
+        names = [c.strip().strip('"') for c in header.split(",")]
+        # A rename applies where the layout lacks the current name and the schema lacks the old one.
+        now = [(renames or {}).get(c, c) if c not in types else c for c in names]
+        now = [c if c in names or now.count(c) == 1 else n for c, n in zip(now, names)]
+        layout = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in now])
+        df = (spark.read.schema(layout).option("header", "true").option("nanValue", "nan").option("enforceSchema", "true")
+              .option("basePath", path).csv(files))
+        have = {c: df[c] for c in df.columns}
+        parts.append(df.select(*[(have[c] if c in have else F.lit(None)).cast(t).alias(c) for c, t in types.items()],
+                               F.col("_metadata.file_path").alias("source_file")))
+    if not parts:
+        empty = T.StructType([*schema.fields, T.StructField("source_file", T.StringType())])
+        return spark.createDataFrame([], empty)
+    df = reduce(DataFrame.unionByName, parts)
     doubles = [f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)]
     return df.withColumns({c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c)) for c in doubles})
 

@@ -19,7 +19,8 @@ def emotion_of(doc_id: Column) -> Column:
 
 
 def bias_type_of(doc_id: Column) -> Column:
-    return F.when(doc_id % 2 == 0, F.lit("gender")).otherwise(F.lit("race"))
+    """Gender and race in turn; every 41st document is of the retired type ``rank``."""
+    return F.when(doc_id % 41 == 40, F.lit("rank")).when(doc_id % 2 == 0, F.lit("gender")).otherwise(F.lit("race"))
 
 
 def group_name(bias_type: Column, side: Column) -> Column:
@@ -27,7 +28,7 @@ def group_name(bias_type: Column, side: Column) -> Column:
     for bt, (g1, g2) in dims.BIAS_GROUPS.items():
         val = F.when(side == 1, F.lit(g1)).otherwise(F.lit(g2))
         expr = F.when(bias_type == bt, val) if expr is None else expr.when(bias_type == bt, val)
-    return expr
+    return expr.otherwise(F.concat(bias_type, F.lit("_"), side.cast("string")))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +37,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.col("doc_id").alias("review_id"),
         F.col("text").alias("review_body"),
-        F.substring("text", 1, 40).alias("review_title"),
+        F.concat_ws(" ", F.lit("Review"), "doc_id", F.lit("of her"), "source").alias("review_title"),
         F.col("lang").alias("language"),
         F.col("source").alias("product_category"),
         (F.lit(1) + F.col("n_chars") % 5).cast("int").alias("stars"),
@@ -45,7 +46,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def votes(spark: SparkSession, sf_dir: str, seeds=None, steps=None) -> DataFrame:
     """Prediction fact table ``(lang, seed, seed_rank, steps, emotion, bias_type, grp, side,
-    pair_id, label)``: every run labels both sides of every pair.
+    pair_id, label)``: every run labels both sides of every pair, but for one seed, which misses
+    every 53rd document.
 
     The run x side product is a fixed literal array exploded per document (a generator, no join).
     """
@@ -57,6 +59,7 @@ def votes(spark: SparkSession, sf_dir: str, seeds=None, steps=None) -> DataFrame
         for (s, r) in seeds for st in steps for side in (1, 2)) + ")")
     d = table(spark, sf_dir, "documents").select("doc_id", "lang")
     x = d.select("doc_id", "lang", F.explode(combos).alias("r")).select("doc_id", "lang", "r.*")
+    x = x.where(~((F.col("seed") == 42) & (F.col("doc_id") % 53 == 7)))
     label = F.lit(1) + ((F.col("doc_id") + 1) * (F.col("seed") + 3)
                         * (F.lit(7919) * F.col("side") + 13 + F.col("steps")) % 10007) % 5
     bt = bias_type_of(F.col("doc_id"))
@@ -71,12 +74,6 @@ def votes(spark: SparkSession, sf_dir: str, seeds=None, steps=None) -> DataFrame
     )
 
 
-def gold_pred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Binary gold / prediction pairs from ``labels``: quality is gold, toxic is the prediction."""
-    return table(spark, sf_dir, "labels").select(
-        "doc_id", F.col("quality").alias("gold"), F.col("toxic").alias("pred"))
-
-
 def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word vectors ``(word, vector array<float>)`` from ``embeddings``."""
     e = table(spark, sf_dir, "embeddings")

@@ -100,6 +100,74 @@ def test_vectorise_tfidf(spark):
     out, _ = ml.vectorise(df, "tokens", use_idf=True)
     norms = [float(sum(x * x for x in r["features"].toArray())) for r in out.collect()]
     assert all(abs(n - 1.0) < 1e-9 for n in norms)
+    long = ml.tfidf(spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc")], "id int, text string"), "id", "text")
+    want = sorted(round(r["tfidf"], 9) for r in long.collect())
+    assert sorted(round(float(x), 9) for r in out.collect() for x in r["features"].toArray() if x) == want
+
+
+def test_vector_models_keep_every_term(spark):
+    """More terms than Spark ML's default vocabulary holds."""
+    n = 300_000
+    df = spark.range(300).select(F.transform(F.sequence(F.col("id") * (n // 300), (F.col("id") + 1) * (n // 300) - 1),
+                                             lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("tokens"))
+    assert len(ml.count_vectorizer(df, "tokens", "f").fit(df).vocabulary) == n
+    try:
+        ml.count_vectorizer(df, "tokens", "f", max_terms=10)
+        raise AssertionError("expected an error")
+    except ValueError:
+        pass
+
+
+def test_lexicon_scores_every_row(spark):
+    """Equal rows stay apart; stars are the rounded mean of the matches."""
+    df = spark.createDataFrame([("en", "so glad today")] * 2 + [("en", "glad but cross"), ("fr", "glad"), ("en", None)], "lang string, s string")
+    lex = spark.createDataFrame([("en", "glad", 5), ("en", "cross", 1)], "lang string, word string, stars int")
+    got = sorted((r["lang"], r["s"] or "", r["label"]) for r in ml.score_lexicon(df, "s", lex).collect())
+    assert got == [("en", "", 3), ("en", "glad but cross", 3), ("en", "so glad today", 5), ("en", "so glad today", 5), ("fr", "glad", 3)]
+
+
+def test_linear_model_learns_and_scores(spark):
+    """A separable set is learnt from words or characters, counts or tf-idf."""
+    rows = [(i, ["bad awful thing", "plain usual thing", "great lovely thing"][i % 3] + f" w{i % 7}", float(i % 3)) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, text string, y double")
+    for chars in (False, True):
+        for use_idf in (False, True):
+            model = ml.train_linear(df, "text", "y", max_iter=20, chars=chars, use_idf=use_idf)
+            scored = ml.score_with_model(df, model, "label")
+            assert scored.where("label = y").count() >= 85
+
+
+def test_result_csv_by_header(spark, tmp_path):
+    """Files of three layouts in one folder: columns by name, old names, missing ones NULL."""
+    (tmp_path / "a.csv").write_text("label_1,label_2,performance_gap,bias_cat_1,bias_cat_2,bias_type,steps,lang,emotion\n5,4,1,m,f,gender,10,de,joy\n")
+    (tmp_path / "b.csv").write_text("label,bias_cat_name,bias_type,steps,lang\n3,m,gender,20,en\n")
+    (tmp_path / "c.csv").write_text("lang,steps,bias_cat_1_name,bias_cat_2_name,label_1,label_2\nfr,30,m,f,1,2\n")
+    df = tables.read_result_csv(spark, str(tmp_path), tables.LABEL_SCHEMA, renames=tables.LEGACY_LABEL_COLUMNS)
+    got = sorted((r["lang"], r["steps"], r["label_1"], r["label_2"], r["bias_cat_1"], r["bias_cat_2"]) for r in df.collect())
+    assert got == [("de", 10, 5, 4, "m", "f"), ("en", 20, 3, None, "m", None), ("fr", 30, 1, 2, "m", "f")]
+
+
+def test_checkpoint_folder_on_a_cluster_must_be_named(spark, monkeypatch):
+    from minpair import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    try:
+        session.ensure_checkpoint_dir(Session())
+        raise AssertionError("expected an error")
+    except ValueError as e:
+        assert "spark.checkpoint.dir" in str(e)
 
 
 def test_result_csv_glob_and_nan(spark, tmp_path):

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from minpair.functions.stats import lgamma, t_two_sided_p
+from minpair.functions.stats import lgamma_sql, with_t_p_value
 from minpair.operators.bias import bias_stats, paired_ttest
 
 
@@ -13,17 +13,29 @@ from minpair.operators.bias import bias_stats, paired_ttest
     (-7.587851373892139, 1600, 5.4912349313557426e-14),
     (35.261280760147734, 10880, 5.388606160474619e-258),
     (-0.5714788624671916, 1776, 0.5677474381869663),
+    # t = 2 and 5 at large n: the normal tail plus the first terms of its 1/dof expansion
+    *[(t, n, math.erfc(t / math.sqrt(2)) + 2 * math.exp(-t * t / 2) / math.sqrt(2 * math.pi) * (
+        (t ** 3 + t) / (4 * (n - 1)) + (3 * t ** 7 - 5 * t ** 5 - 3 * t ** 3 - 9 * t) / (-96 * (n - 1) ** 2) * -1))
+      for t in (2.0, 5.0) for n in (10 ** 6, 10 ** 9, 10 ** 11, 10 ** 12)],
 ])
 def test_p_goldens(spark, t, n, p):
     df = spark.createDataFrame([(t, n)], "t double, n long")
-    got = df.select(t_two_sided_p(F.col("t"), F.col("n") - 1).alias("p")).first()["p"]
+    got = with_t_p_value(df, "t", F.col("n") - 1, "p").first()["p"]
     assert got == pytest.approx(p, rel=1e-9)
 
 
+@pytest.mark.parametrize("t", [0.01, 0.5, 2.0, 4.0, 8.0])
+def test_p_has_no_step_between_the_methods(spark, t):
+    """Just below and above the change of method the values differ by their own slope only."""
+    df = spark.createDataFrame([(t, 9_999), (t, 10_000), (t, 10_001)], "t double, v long")
+    lo, mid, hi = [r.p for r in with_t_p_value(df, "t", F.col("v"), "p").orderBy("v").collect()]
+    assert mid == pytest.approx((lo + hi) / 2, rel=1e-10)
+
+
 def test_lgamma(spark):
     xs = [0.5, 1.0, 2.5, 7.0, 123.25, 5000.0]
     df = spark.createDataFrame([(x,) for x in xs], "x double")
-    got = [r[0] for r in df.select(lgamma(F.col("x"))).collect()]
+    got = [r[0] for r in df.select(F.expr(lgamma_sql("x"))).collect()]
     for x, g in zip(xs, got):
         assert g == pytest.approx(math.lgamma(x), abs=1e-9)
 

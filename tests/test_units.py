@@ -174,3 +174,52 @@ def test_positions_keep_null_partition(spark):
     got = sorted((r.p or "", r.k, r.pos) for r in positions(df, ["p"], [F.col("k")], [F.floor(F.col("k") / 2)]).collect())
     exp = df.withColumn("pos", F.row_number().over(Window.partitionBy("p").orderBy("k")) - 1)
     assert got == sorted((r.p or "", r.k, r.pos) for r in exp.collect())
+
+
+def test_nearest_words_looks_seeds_up_as_written(spark):
+    """``Polish`` and ``polish`` are two words; only the result is lower-cased."""
+    from minpair.operators import neighbors
+    vec = spark.createDataFrame([("Polish", [1.0, 0.0]), ("polish", [0.0, 1.0]), ("Warsaw", [0.9, 0.1]), ("shine", [0.1, 0.9])],
+                                "word string, vector array<float>")
+    seeds = spark.createDataFrame([("Polish",), ("polish",), ("none",)], "word string")
+    got = {(r["seed"], r["rank"]): r["word"] for r in neighbors.nearest_words(vec, seeds, k=2).collect()}
+    assert got == {("Polish", 1): "polish", ("Polish", 2): "warsaw", ("polish", 1): "polish", ("polish", 2): "shine"}
+    assert [r[0] for r in neighbors.missing_seeds(vec, seeds).collect()] == ["none"]
+
+
+def test_nested_performance_keeps_null_groups_apart(spark):
+    """A row without a group counts in its own group and once in its total."""
+    from minpair.operators import perf
+    df = spark.createDataFrame([("g", "a", 1, 1), ("g", None, 1, 0), ("g", "a", None, 1), (None, "b", 0, 0)],
+                               "bias_type string, grp string, gold int, pred int")
+    got = {(r["level"], r["bias_type"], r["grp"]): r["support"] for r in
+           perf.nested_performance(df, "gold", "pred", "bias_type", "grp").collect()}
+    assert got == {("group", "g", "a"): 1, ("group", "g", None): 1, ("group", None, "b"): 1,
+                   ("bias_type", "g", ""): 2, ("bias_type", None, ""): 1, ("all", "", ""): 3}
+
+
+def test_mean_labels_level_with_null_emotion(spark):
+    """A row without an emotion is no total."""
+    from minpair.operators import bias
+    df = spark.createDataFrame([("de", "m", "joy", 4), ("de", "m", None, 2)], "lang string, grp string, emotion string, label int")
+    got = sorted((r["level"], r["emotion"] or "", r["n"]) for r in bias.mean_labels(df, ["lang"]).collect())
+    assert got == [("emotion", "", 1), ("emotion", "joy", 1), ("grp", "", 2)]
+
+
+def test_identify_language_returns_every_text(spark):
+    """Texts without a trigram come back as ``und``."""
+    from minpair.operators import text
+    labelled = spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "der hund und die katze", "de")], "id int, text string, lang string")
+    prof = text.trigram_profiles(labelled, "id", "text", "lang")
+    df = spark.createDataFrame([(1, "the hat"), (2, "ab"), (3, ""), (4, None), (5, "die katze")], "id int, text string")
+    got = {r["id"]: r["detected_lang"] for r in text.identify_language(df, "id", "text", prof).collect()}
+    assert got == {1: "en", 2: "und", 3: "und", 4: "und", 5: "de"}
+
+
+def test_table_sees_new_files(spark, tmp_path):
+    from minpair.sources.tables import table
+    path = str(tmp_path / "events.parquet")
+    spark.range(5).write.parquet(path)
+    assert table(spark, str(tmp_path), "events").count() == 5
+    spark.range(7).write.mode("append").parquet(path)
+    assert table(spark, str(tmp_path), "events").count() == 12
