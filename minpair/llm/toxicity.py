@@ -40,6 +40,8 @@ STEMS = (3, 4, 5, 6, 7, 8)
 LONGEST = 24
 NEIGHBOURS = 15
 BLOCK = 64
+#: Blocks that are read before the bound of the others is looked at.
+FIRST_BLOCKS = 16
 BINS = 64
 WORD = re.compile(r"[^\W\d_]+")
 ADDED = ("score", "evidence")
@@ -57,49 +59,49 @@ def terms(text: str) -> Counter:
     return out
 
 
-class _Chosen:
-    """Terms of a text that are in the vocabulary; words are looked up once for a text."""
+class _Chosen(dict):
+    """Counts of the vocabulary's terms in a text. What a run of characters between white space has
+    of them is kept, as most runs come again and have none; a full cache is emptied."""
 
     def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
         self.vocabulary = vocabulary
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def of(self, word: str) -> tuple[int, ...]:
-        got = self.words.get(word)
-        if got is None:
-            keys = [word] * (len(word) <= LONGEST) + [word[:k] + "*" for k in STEMS if len(word) >= k]
-            got = tuple(self.vocabulary[t] for t in keys if t in self.vocabulary)
-            if len(self.words) > 300_000:
-                self.words.clear()
-            self.words[word] = got
+
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        out = []
+        for w in WORD.findall(run):
+            keys = [w] * (len(w) <= LONGEST) + [w[:k] + "*" for k in STEMS if len(w) >= k]
+            out += [self.vocabulary[t] for t in keys if t in self.vocabulary]
+        if len(self) >= 300_000:
+            self.clear()
+        self[run] = got = tuple(out)
         return got
 
     def __call__(self, text: str) -> dict[int, int]:
         out: dict[int, int] = {}
-        for w in WORD.findall(text.lower()):
-            for t in self.of(w):
-                out[t] = out.get(t, 0) + 1
+        for run, n in Counter(text.lower().split()).items():
+            for t in self[run]:
+                out[t] = out.get(t, 0) + n
         return out
 
 
 @dataclass
 class Index:
-    """Examples in inverted lists by blocks. ``lists[t]``: example numbers and weights of term t;
-    ``cuts[t]``: where each block begins in them; ``most[t]``: largest weight of each block."""
+    """Examples in inverted lists by blocks of ``BLOCK`` numbers. ``lists[t]``: example numbers and
+    weights of term t; ``most[t]``: its largest weight in each block."""
 
     vocabulary: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
     lists: list[tuple[np.ndarray, np.ndarray]]
-    cuts: list[np.ndarray]
     most: np.ndarray
 
     @classmethod
     def build(cls, vocabulary: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> Index:
         """``rows``: id, label and term counts. Examples with a common heaviest term are neighbours in
         the numbering, which keeps the blocks' bounds apart."""
-        out = cls(vocabulary, idf, np.empty(0), np.empty(0), [], [], np.empty(0))
+        out = cls(vocabulary, idf, np.empty(0), np.empty(0), [], np.empty(0))
         made = [(i, y, *out.vector(c)) for i, y, c in rows if c]
         made.sort(key=lambda r: (int(r[2][r[3].argmax()]), r[0]))
         out.ids = np.array([r[0] for r in made], np.int64)
@@ -115,7 +117,6 @@ class Index:
         for t in range(len(idf)):
             own = order[edges[t]:edges[t + 1]]
             out.lists.append((number[own], weight[own]))
-            out.cuts.append(np.searchsorted(number[own], np.arange(blocks + 1) * BLOCK))
         return out
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -125,26 +126,29 @@ class Index:
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, but: int | None = None) -> list[tuple[float, int, float]]:
         """The ``k`` examples of largest cosine over 0 as (cosine, id, label), nearest first; ``but``:
-        id of an example to leave out."""
+        id of an example to leave out. The blocks of highest bound are read first; of the others only
+        those whose bound reaches the k-th cosine found."""
         if not counts or not len(self.ids):
             return []
         t, w = self.vector(counts)
         bound = w @ self.most[t]
-        order = np.argsort(-bound, kind="stable")
+        number = np.concatenate([self.lists[x][0] for x in t.tolist()])
+        product = np.concatenate([self.lists[x][1] * q for x, q in zip(t.tolist(), w.tolist(), strict=True)])
+        block = number // BLOCK
+        first = np.zeros(len(bound), bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
         best: list[tuple[float, int, float]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or len(best) >= k and bound[b] < best[k - 1][0] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for x, q in zip(t.tolist(), w.tolist(), strict=True):
-                lo, hi = self.cuts[x][b], self.cuts[x][b + 1]
-                if lo < hi:
-                    numbers, weights = self.lists[x]
-                    sums[numbers[lo:hi] - b * BLOCK] += q * weights[lo:hi]
+        for now in (first, ~first):
+            now = now & (bound > 0)
+            if len(best) == k:
+                now &= bound >= best[-1][0] - 1e-9
+            mine = now[block]
+            sums = np.bincount(number[mine], product[mine], len(self.ids)).round(12)
             own = np.nonzero(sums > 0)[0]
-            best += [(c, i, y) for c, i, y in zip(sums[own].round(12).tolist(), self.ids[own + b * BLOCK].tolist(),
-                                                  self.labels[own + b * BLOCK].tolist(), strict=True) if i != but]
-            best = sorted(best, key=lambda r: (-r[0], r[1]))[:k]
+            if len(own) > k + 1:  # ties at the end stay in; one more for the example left out
+                own = own[sums[own] >= np.partition(sums[own], len(own) - k - 1)[len(own) - k - 1]]
+            found = zip(sums[own].tolist(), self.ids[own].tolist(), self.labels[own].tolist(), strict=True)
+            best = sorted(best + [r for r in found if r[1] != but], key=lambda r: (-r[0], r[1]))[:k]
         return best
 
 
@@ -198,16 +202,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = known.where("y in (0, 1)").where(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     sample = materialise(sample.withColumn("y", F.col("y").cast("int")))
 
-    def count(batches: Iterator[pa.RecordBatch], of: int, among: frozenset | None) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch], among: list[str] | None) -> Iterator[pa.RecordBatch]:
+        find = _Chosen({t: i for i, t in enumerate(among)}) if among is not None else None
         for batch, texts in chunks(batches, "text"):
             n: Counter = Counter()
             for t in texts:
-                n.update(terms(t).keys() if among is None else among & terms(t).keys())
+                n.update(terms(t).keys() if among is None else [among[i] for i in find(t)])
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-    def having(y: int, among: frozenset | None) -> DataFrame:
+    def having(y: int, among: list[str] | None) -> DataFrame:
         rows = sample.where(F.col("y") == y).select("text")
-        return rows.mapInArrow(lambda b: count(b, y, among), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        return rows.mapInArrow(lambda b: count(b, among), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
     seen = sample.groupBy("y").count().collect()
     many = {r["y"]: r["count"] for r in seen}
@@ -217,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     # A term needs about this many toxic examples to reach the chi-square even if no other has it.
     least = max(2, int(LEAST_CHI2 * pos / (pos + neg) / 4))
     likely = having(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(16 * MOST_TERMS).collect()
-    among = frozenset(r["term"] for r in likely)
+    among = [r["term"] for r in likely]
     other = {r["term"]: r["n"] for r in having(0, among).collect()}
     n = pos + neg
     chosen = []
@@ -228,7 +233,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             if chi2 >= LEAST_CHI2:
                 # Document frequency as in the whole, not as in the sample.
                 chosen.append((-chi2, r["term"], a / share[1] + b / share[0]))
-    chosen = sorted(chosen)[:MOST_TERMS]
+    # A beginning and its longer forms that stand in the same number of texts say the same: the
+    # shortest is kept.
+    said: dict[tuple, tuple] = {}
+    for c in sorted(chosen, key=lambda c: (len(c[1].rstrip("*")), not c[1].endswith("*"), c[1])):
+        said.setdefault((c[0], c[2], c[1][:min(STEMS)]), c)
+    chosen = sorted(said.values())[:MOST_TERMS]
     vocabulary = {t: i for i, (_, t, _) in enumerate(chosen)}
     idf = np.array([1 + np.log((sum(total.values()) + 1) / (df + 1)) for _, _, df in chosen])
 
