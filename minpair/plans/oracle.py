@@ -825,3 +825,30 @@ ORACLE["m06_dummy_uniform"] = _with(_RSPLIT, """cls AS (
 )""") + """SELECT t.review_id, t.split, t.label,
   (SELECT prediction FROM cut WHERE t.u < cut.hi ORDER BY k LIMIT 1) AS prediction
 FROM t"""
+
+
+# --- sources and sinks -------------------------------------------------------------------------------
+ORACLE["s01_reviews_roundtrip"] = _with(_RSPLIT) + """SELECT r.review_id, r.stars, r.product_category
+FROM reviews r JOIN rsplit USING (review_id) WHERE r.language = 'en' AND rsplit.split = 'train'"""
+ORACLE["s02_category_files"] = _with(_REVIEWS) + """SELECT product_category, count(*) AS n, CAST(sum(stars) AS BIGINT) AS stars
+FROM reviews GROUP BY product_category"""
+ORACLE["s08_label_files_by_suffix"] = _with(votes_cte(), _SEED_PAIRS) + """SELECT seed, steps, lang, bias_type, count(*) AS n,
+  CAST(sum(label_1) AS BIGINT) AS sum_1, CAST(sum(label_2) AS BIGINT) AS sum_2
+FROM seed_pairs GROUP BY seed, steps, lang, bias_type"""
+ORACLE["s09_registry_votes"] = _with(votes_cte()) + """SELECT 'en_30_' || seed AS run, seed_rank, steps, count(*) AS n,
+  CAST(sum(label) AS BIGINT) AS label_sum
+FROM votes WHERE lang = 'en' GROUP BY seed, seed_rank, steps"""
+_FILE_KEYS = ["bias_type", "steps", "side", "bias_cat"]
+ORACLE["s12_derived_files"] = _with(*_ENS, class_table_ctes("m", "pol_long", _FILE_KEYS, "gold_label", "pred")) + f"""SELECT
+  precision, recall, f1, support, acc, bias_cat, bias_type, steps FROM ({metrics_select("m", _FILE_KEYS)}) q"""
+ORACLE["s14_mart_family"] = _with(*_M) + """SELECT model_type, emotion, steps, pair_id, label_1, label_2, bias_direction
+FROM mart WHERE model_type IN ('mono', 'multi_xl') AND lang = 'de' AND bias_type = 'gender' AND emotion IN ('joy', 'fear')"""
+ORACLE["s15_mapping_file"] = f"SELECT target_category, uncertain, count(*) AS n FROM ({ORACLE['j11_category_mapping']}) q GROUP BY ALL"
+ORACLE["s17_vote_log_file"] = ORACLE["a26_vote_log_shares"]
+ORACLE["a08_disagreeing_items"] = _with(votes_cte(), vote_cte("vt", "votes", ITEM)) + """SELECT lang, steps, side, pair_id,
+  label, kind FROM vt WHERE disagreement"""
+ORACLE["m07_linear_baseline_support"] = _with(_RSPLIT) + """SELECT sp.split, CAST(c.k AS VARCHAR) AS row, count(r.review_id) AS support
+FROM (SELECT DISTINCT split FROM rsplit WHERE split <> 'train') sp CROSS JOIN (SELECT unnest(range(1, 6)) AS k) c
+LEFT JOIN rsplit r ON r.split = sp.split AND r.label = c.k GROUP BY sp.split, c.k
+UNION ALL SELECT split, x, count(*) FROM rsplit CROSS JOIN (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(x)
+WHERE split <> 'train' GROUP BY split, x"""

@@ -663,6 +663,13 @@ def linear_baseline_report(spark, sf_dir):
     return rounded(perf.classification_report(val, ["split"], "label", "pred_stars", labels=[1, 2, 3, 4, 5]))
 
 
+@report("m07_linear_baseline_support")
+def linear_baseline_support(spark, sf_dir):
+    """The exact part of the trained model's report: its rows and their supports, which depend on the
+    split and the gold labels only."""
+    return linear_baseline_report(spark, sf_dir).select("split", "row", "support")
+
+
 def _lexicon_scored(spark, sf_dir):
     c = corpus.corpus_long(_corpus(spark, sf_dir))
     lex = ml.lexicon_model(corpus_parts.emotions(spark))
@@ -798,3 +805,123 @@ def dummy_uniform(spark, sf_dir):
     pred = ml.dummy_predictions(s.where(F.col("split") == "train"), s.where(F.col("split") != "train"),
                                 "label", "review_id", "uniform", seed=11)
     return pred.select("review_id", "split", "label", "prediction")
+
+
+# --- sources and sinks as round trips through the shared folder ---------------------------------------
+
+def _place(spark, name):
+    import uuid
+    from minpair.session import shared_path
+    return shared_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@report("s01_reviews_roundtrip")
+def reviews_roundtrip(spark, sf_dir):
+    """S13 + S01: prepared reviews saved by language and split; the English training part read back."""
+    from minpair.sources import tables
+    path = _place(spark, "reviews")
+    tables.write_reviews(prep.split_by_hash(views.reviews(spark, sf_dir), "review_id", seed=42), path)
+    return tables.read_reviews(spark, path, lang="en", split="train").select("review_id", "stars", "product_category")
+
+
+@report("s02_category_files")
+def category_files(spark, sf_dir):
+    """One folder of files a product category, read as one family; rows per category."""
+    from minpair.sources import tables
+    path = _place(spark, "categories")
+    r = views.reviews(spark, sf_dir).select("review_id", "stars", "product_category")
+    r.withColumn("category", F.col("product_category")).write.partitionBy("category").parquet(path)
+    schema = T.StructType([T.StructField("review_id", T.LongType()), T.StructField("stars", T.IntegerType()),
+                           T.StructField("product_category", T.StringType())])
+    return tables.read_category_files(spark, [path], schema).groupBy("product_category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("stars").alias("stars"))
+
+
+@report("s08_label_files_by_suffix")
+def label_files_by_suffix(spark, sf_dir):
+    """S10 + S08 + S06: label rows and summaries of every run written to one folder under their own
+    file names' endings; the label files are chosen by theirs and read by header."""
+    from minpair.sources import tables
+    path = _place(spark, "runs")
+    pairs = vote.seed_pairs(views.votes(spark, sf_dir))
+    labels = [f.name for f in tables.LABEL_SCHEMA.fields]
+    tables.write_result_csv(pairs.select(*labels, "seed"), f"{path}/kind=labels", partition_by=["seed"])
+    summ = bias.bias_stats(pairs, ["lang", "seed", "bias_type", "steps"]).select(
+        *[f.name for f in tables.SUMMARY_SCHEMA.fields], "seed")
+    tables.write_result_csv(summ, f"{path}/kind=summary", partition_by=["seed"])
+    back = tables.read_result_csv(spark, f"{path}/kind=labels", T.StructType(
+        [*tables.LABEL_SCHEMA.fields, T.StructField("seed", T.IntegerType())]), glob="*.csv")
+    return back.groupBy("seed", "steps", "lang", "bias_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label_1").alias("sum_1"), F.sum("label_2").alias("sum_2"))
+
+
+@report("s09_registry_votes")
+def registry_votes(spark, sf_dir):
+    """The run registry, read from configuration rows and checkpoint folder names, says which
+    votes belong to a run; rows and labels of each run."""
+    from minpair.sources import tables
+    dirs = [f"/models/en_30_{s}/" for s, _ in dims.SEEDS]
+    configs = spark.createDataFrame([("multi", "en", dirs)], "model_lang string, test_lang string, model_dirs array<string>")
+    names = spark.createDataFrame([(d, f"checkpoint-{st}") for d in dirs for st in dims.STEPS] + [(d, "runs") for d in dirs],
+                                  "model_dir string, name string")
+    runs = tables.run_registry(configs, names).select("run", "seed", "seed_rank", "steps")
+    v = views.votes(spark, sf_dir).where(F.col("lang") == "en").drop("seed_rank")
+    return v.join(runs, ["seed", "steps"]).groupBy("run", "seed_rank", "steps").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"))
+
+
+@report("s12_derived_files")
+def derived_files(spark, sf_dir):
+    """Performance figures written as CSV by step and read back."""
+    from minpair.sources import tables
+    path = _place(spark, "performance")
+    p = perf.side_performance(_polarity(spark, sf_dir), ["bias_type", "steps"])
+    cols = [f.name for f in tables.PERFORMANCE_SCHEMA.fields]
+    tables.write_result_csv(rounded(p.select(*cols)), path, partition_by=["steps"])
+    return rounded(tables.read_result_csv(spark, path, tables.PERFORMANCE_SCHEMA).drop("source_file"))
+
+
+@report("s14_mart_family")
+def mart_family(spark, sf_dir):
+    """S14 + S07: the mart saved by model type and language, two model types of one language read
+    back (F07, F08)."""
+    from minpair.sources import tables
+    path = _place(spark, "mart")
+    tables.write_result_family(result_mart(spark, sf_dir), path)
+    back = tables.read_result_family(spark, path)
+    back = mart.keep_values(mart.keep_values(back, "model_type", ["mono", "multi_xl"]), "lang", ["de"])
+    back = mart.keep_values(mart.keep_bias_type(back, "gender"), "emotion", ["joy", "fear"])
+    return back.select("model_type", "emotion", "steps", "pair_id", "label_1", "label_2", "bias_direction")
+
+
+@report("s15_mapping_file")
+def mapping_file(spark, sf_dir):
+    """S15 + J11: the category mapping written as the study's CSV, read back and applied; reviews per
+    target category."""
+    from minpair.sources import tables
+    path = _place(spark, "mapping")
+    m = category_mapping(spark)
+    m.select("source_category", F.coalesce("target_category", F.lit("x")).alias("target_category"),
+             F.when(F.col("uncertain"), F.lit("?")).otherwise(F.lit("")).alias("uncertain")).write.option(
+        "header", "true").csv(path)
+    r = prep.map_categories(views.reviews(spark, sf_dir).select("review_id", "product_category"),
+                            tables.read_category_mapping(spark, path), "product_category")
+    return r.groupBy("target_category", "uncertain").agg(F.count(F.lit(1)).alias("n"))
+
+
+@report("s17_vote_log_file")
+def vote_log_file(spark, sf_dir):
+    """S17 + T12 + A26: the vote log written as text lines, read back, parsed and counted."""
+    from minpair.sources import tables
+    path = _place(spark, "votelog")
+    keys = ["lang", "steps", "bias_type", "emotion", "side", "pair_id"]
+    vote.render_vote_log(vote.vote_items(views.votes(spark, sf_dir), keys)).write.text(path)
+    return rounded(vote.vote_log_shares(vote.parse_vote_log(tables.read_log_lines(spark, path))))
+
+
+@report("a08_disagreeing_items")
+def disagreeing_items(spark, sf_dir):
+    """The list of items that the runs disagree about."""
+    keys = ["lang", "steps", "bias_type", "emotion", "side", "pair_id"]
+    return vote.disagreement_items(vote.vote_items(views.votes(spark, sf_dir), keys)).select(
+        "lang", "steps", "side", "pair_id", "label", "kind")
