@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minpair.llm.texts import chunks, fresh, with_columns, without
+from minpair.llm.texts import chunks, fresh, sampled_labels, with_columns
 from minpair.session import materialise
 
 EXAMPLES = 8_000
@@ -44,7 +44,6 @@ BLOCK = 64
 FIRST_BLOCKS = 16
 BINS = 64
 WORD = re.compile(r"[^\W\d_]+")
-ADDED = ("score", "evidence")
 
 
 def terms(text: str) -> Counter:
@@ -183,24 +182,16 @@ class Model:
         return self.none if v < 0 else float(self.curve[min(BINS - 1, int(v * BINS))])
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str) -> DataFrame:
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(
-        F.min(label).alias("y"), F.max(label).alias("hi")).where("y = hi").select("id", "y")
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(known, "id")
-
-
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
           examples: int = EXAMPLES) -> Model:
     """Model of the labelled rows of ``docs`` (labels 0 and 1)."""
-    known = _labelled(docs, labels, doc_id, text, label)
-    total = {int(r["y"]): r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).where("y in (0, 1)").collect()}
+    ids, total, share = sampled_labels(docs, labels, doc_id, label, {0: examples, 1: examples})
     prior = total.get(1, 0) / max(1, sum(total.values()))
     if len(total) < 2:
         return Model(None, prior, prior, np.zeros(BINS))
-    place = F.xxhash64("id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-    share = {y: min(1.0, examples / n) for y, n in total.items()}
-    sample = known.where("y in (0, 1)").where(place < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
-    sample = materialise(sample.withColumn("y", F.col("y").cast("int")))
+    # The sample is bounded, so its ids are broadcast and only its texts are moved.
+    sample = materialise(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select(
+        F.col("_id").alias("id"), F.col("_y").alias("y"), "text"))
 
     def count(batches: Iterator[pa.RecordBatch], among: list[str] | None) -> Iterator[pa.RecordBatch]:
         find = _Chosen({t: i for i, t in enumerate(among)}) if among is not None else None
@@ -274,15 +265,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return Model(index, prior, none[0] / none[1] if none[1] else prior, isotonic(good, weight))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", evidence: str = "evidence") -> DataFrame:
     """All input columns but the text, with ``score`` and ``evidence``: the nearest examples' ids,
     cosines and labels."""
-    docs = fresh(docs, *ADDED)
+    docs = fresh(docs, out, evidence)
     keep = [c for c in docs.columns if c != text]
     shape = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType()),
                                       T.StructField("label", T.IntegerType())]))
     if model.index is None:
-        return docs.select(*keep, F.lit(model.prior).alias("score"), F.lit(None).cast(shape).alias("evidence"))
+        return docs.select(*keep, F.lit(model.prior).alias(out), F.lit(None).cast(shape).alias(evidence))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     arrow = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
@@ -291,11 +282,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         find = _Chosen(m.index.vocabulary)
         for batch, texts in chunks(batches, text):
             near = [m.index.nearest(find(t)) for t in texts]
-            yield with_columns(batch, keep, score=pa.array([m.score(x) for x in near], pa.float64()),
-                               evidence=pa.array([[(i, c, int(y)) for c, i, y in x] for x in near], arrow))
+            yield with_columns(batch, keep, **{
+                out: pa.array([m.score(x) for x in near], pa.float64()),
+                evidence: pa.array([[(i, c, int(y)) for c, i, y in x] for x in near], arrow)})
 
-    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField("score", T.DoubleType()),
-                                              T.StructField("evidence", shape)]))
+    return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.DoubleType()),
+                                              T.StructField(evidence, shape)]))
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text",
@@ -303,5 +295,5 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float, doc_id: str = "
     """The rows of ``docs`` with a score under ``threshold``, unchanged; learnt from all that are
     labelled."""
     model = train(docs, labels, doc_id, text, label)
-    scored = score(docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_t"), F.col(text).alias("_x")), model, "_x")
-    return without(docs, scored.where(F.col("score") >= threshold), doc_id, text)
+    kept = score(docs.withColumn("_x", F.col(text)), model, "_x", "_score", "_near")
+    return kept.where(F.col("_score") < threshold).select(*docs.columns)
