@@ -177,9 +177,9 @@ def check_people_header(people: DataFrame, expected: list[str] | None = None) ->
         raise ValueError(f"people columns out of order: expected {expected}, got {cols}")
 
 
-def score_runs(corpus: DataFrame, runs: list[tuple]) -> DataFrame:
-    """Every run scores every sentence - the corpus times a fixed run registry, written as a
-    generator over the registry list (no join); ``runs`` are ``(seed, seed_rank, steps)`` tuples."""
+def each_run(df: DataFrame, runs: list[tuple]) -> DataFrame:
+    """The rows for every run of a fixed registry - a generator over the list, no join; ``runs``
+    are ``(seed, seed_rank, steps)`` tuples. Scoring then joins each run's own model."""
     arr = F.array(*[F.struct(F.lit(s).alias("seed"), F.lit(r).alias("seed_rank"), F.lit(st).alias("steps"))
                     for s, r, st in runs])
-    return corpus.select("*", F.explode(arr).alias("__run")).select(*corpus.columns, "__run.*")
+    return df.select("*", F.explode(arr).alias("__run")).select(*df.columns, "__run.*")

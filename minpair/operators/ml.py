@@ -144,19 +144,21 @@ def lexicon_model(emotions: DataFrame, lang_col: str = "lang") -> DataFrame:
             .select(lang_col, F.lower(F.col("emotion_word")).alias("word"), stars.alias("stars")).distinct())
 
 
-def score_lexicon(df: DataFrame, text_col: str, lexicon: DataFrame, lang_col: str = "lang",
+def score_lexicon(df: DataFrame, text_col: str, lexicon: DataFrame, keys: list[str] | None = None,
                   out: str = "label") -> DataFrame:
     """M08 with the lexicon model: stars = rounded mean of matched word stars, 3 when nothing matches.
 
-    The lexicon (a word sheet) becomes one list of entries a language; every row looks its tokens up in
-    its language's list, so rows are neither exploded nor grouped and equal rows stay apart.
+    The lexicon (a word sheet) becomes one list of entries for each value of ``keys`` (the language;
+    with the run, every run has its own model); every row looks its tokens up in its list, so rows are
+    neither exploded nor grouped and equal rows stay apart.
     """
+    keys = keys or ["lang"]
     entry = F.struct("word", F.col("stars").cast("double").alias("stars"))
-    lists = lexicon.groupBy(lang_col).agg(F.collect_list(entry).alias("__lex"))
+    lists = lexicon.groupBy(*keys).agg(F.collect_list(entry).alias("__lex"))
     hits = F.flatten(F.transform(word_tokens(F.col(text_col)), lambda w: F.transform(
         F.filter("__lex", lambda e: e["word"] == w), lambda e: e["stars"])))
     mean = F.aggregate("__hits", F.lit(0.0), lambda a, x: a + x) / F.size("__hits")
-    return df.join(lists, lang_col, "left").withColumn("__hits", F.coalesce(hits, F.array().cast("array<double>"))).withColumn(
+    return df.join(lists, keys, "left").withColumn("__hits", F.coalesce(hits, F.array().cast("array<double>"))).withColumn(
         out, F.when(F.size("__hits") > 0, F.round(mean).cast("int")).otherwise(F.lit(3))).select(*df.columns, out)
 
 

@@ -706,9 +706,18 @@ ORACLE["a03_a04_grouping_sets"] = _with(votes_cte(), ensemble_cte(), """ens_all
   bias_cat_1_mean, bias_cat_2_mean, performance_gap, t_statistic, statistical_significance
 FROM ({bias_stats_select("ens_tagged", ["lang", "bias_type", "steps", "emo_key"])}) q"""
 
-ORACLE["j08_scored_runs"] = _with(_SCORED) + f"""SELECT r.seed, r.steps, s.lang, s.label, count(*) AS n
-FROM scored s CROSS JOIN (SELECT * FROM {_vals([(s, st) for s, _ in _dims.SEEDS for st in _dims.STEPS], "seed, steps", "rr")}) r
-GROUP BY r.seed, r.steps, s.lang, s.label"""
+ORACLE["j08_scored_runs"] = _with(_CORPUS_INPUTS + f""",
+lex AS (SELECT * FROM {_vals(_LEX_ROWS, "lang, word, stars", "lx")}),
+runs AS (SELECT * FROM {_vals([(s, st) for s, _ in _dims.SEEDS for st in _dims.STEPS], "seed, steps", "rr")}),
+lexr AS (SELECT seed, steps, lex.* FROM lex CROSS JOIN runs WHERE substr(md5(seed || '-' || steps || '-' || word), 1, 1) < 'c'),
+tok AS (SELECT lang, emotion, bias_type, side, pair_id, unnest({_tokens('sentence')}) AS w FROM corpus_long),
+scored AS (
+  SELECT r.seed, r.steps, c.lang, c.emotion, c.bias_type, c.side, c.pair_id, coalesce(CAST(round(avg(l.stars)) AS INTEGER), 3) AS label
+  FROM corpus_long c CROSS JOIN runs r
+  LEFT JOIN tok t ON t.lang = c.lang AND t.emotion = c.emotion AND t.bias_type = c.bias_type AND t.side = c.side AND t.pair_id = c.pair_id
+  LEFT JOIN lexr l ON l.lang = t.lang AND l.word = t.w AND l.seed = r.seed AND l.steps = r.steps
+  GROUP BY r.seed, r.steps, c.lang, c.emotion, c.bias_type, c.side, c.pair_id
+)""") + "SELECT seed, steps, lang, label, count(*) AS n FROM scored GROUP BY seed, steps, lang, label"
 
 ORACLE["j12_missing_groups"] = _with(votes_cte()) + f"""SELECT s.lang, s.steps, c.bias_type, c.grp, c.side
 FROM (SELECT DISTINCT lang, steps FROM votes) s JOIN {_vals(_SIDES_ROWS, "lang, bias_type, grp, side", "c")} ON c.lang = s.lang
