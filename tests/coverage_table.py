@@ -83,7 +83,7 @@ def main() -> None:
     print("# Coverage of the operator inventory (SURVEY section 2)\n")
     print("Generated by `tests/coverage_table.py`: functions whose docstring names the id, and the")
     print("registered reports that are named after the id or call one of those functions (oracle-checked")
-    print("unless marked rows-only). Rows without a report are covered by unit tests in `tests/`.\n")
+    print("unless marked rows-only). This shows mention, not proof; rows without a report have unit tests at most.\n")
     print("| id | operator | functions | reports |")
     print("|---|---|---|---|")
     for i, name in survey_ids():
