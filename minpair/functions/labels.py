@@ -33,10 +33,6 @@ def stars_to_class(stars: Column) -> Column:
     return stars.cast("int") - 1
 
 
-def class_to_stars(cls: Column) -> Column:
-    return cls + 1
-
-
 def argmax(scores: Column) -> Column:
     """0-based index of the first maximum of an array of scores."""
     return F.array_position(scores, F.array_max(scores)).cast("int") - 1

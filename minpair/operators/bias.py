@@ -96,12 +96,6 @@ def missing_groups(observed: DataFrame, catalogue: DataFrame, keys: list[str]) -
     return expected.join(present, [*keys, "bias_type", "grp"], "left_anti")
 
 
-def complete_bias_types(pairs: DataFrame, missing: DataFrame, keys: list[str]) -> DataFrame:
-    """Drop the slices (keys + bias_type) that miss a catalogue group."""
-    bad = missing.select(*keys, "bias_type").distinct()
-    return pairs.join(bad, [*keys, "bias_type"], "left_anti")
-
-
 def attach_sides(predictions: DataFrame, sides: DataFrame) -> DataFrame:
     """Bias type and side of each prediction from the catalogue ``(lang, bias_type, grp,
     side)`` (broadcast equi-join on language and group; groups outside the catalogue drop out)."""

@@ -213,22 +213,6 @@ def _fill_grid(cells: DataFrame, keys: list[str], labels: list) -> DataFrame:
     return g.select(*keys, "row_label", "col_label", F.coalesce(n, F.lit(0)).cast("bigint").alias("n"))
 
 
-def confusion_wide(cm: DataFrame, keys: list[str], labels: list) -> DataFrame:
-    """Wide form of :func:`confusion_matrix`: one column per predicted label."""
-    return cm.groupBy(*keys, "row_label").pivot("col_label", labels).agg(F.sum("n"))
-
-
-def confusion_difference(df_1: DataFrame, df_2: DataFrame, keys: list[str], row: str, col: str,
-                         labels: list) -> DataFrame:
-    """Cell-wise ``cm(df_1) - cm(df_2)`` in one pass over the union (+1 / -1 weights)."""
-    u = (df_1.select(*keys, F.col(row).alias("r"), F.col(col).alias("c"), F.lit(1).alias("w"))
-         .unionByName(df_2.select(*keys, F.col(row).alias("r"), F.col(col).alias("c"), F.lit(-1).alias("w"))))
-    inside = F.col("r").isin(*labels) & F.col("c").isin(*labels)
-    cells = u.groupBy(*keys, F.when(inside, F.col("r")).alias("row_label"),
-                      F.when(inside, F.col("c")).alias("col_label")).agg(F.sum("w").cast("bigint").alias("n"))
-    return _fill_grid(cells, keys, labels)
-
-
 def weighted_confusion(df: DataFrame, keys: list[str], row: str, col: str, weight: str, labels: list) -> DataFrame:
     """A14 from one frame: cells summed with a per-row weight (+1 / -1), e.g. the two sides of a
     pair stacked by :func:`sides_long` - one scan instead of a union of two."""

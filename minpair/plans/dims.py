@@ -118,10 +118,6 @@ STEPS = [33334, 50001]
 EMOTION_OF_DOC = ["anger", "joy", "sadness", "fear", "no_emotion"]  # element doc_id % 5
 
 
-def bias_catalogue(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BIAS_CATALOGUE, "lang string, bias_type string, cat_1 string, cat_2 string")
-
-
 def bias_sides(spark: SparkSession) -> DataFrame:
     """Long form of the catalogue: (lang, bias_type, grp, side)."""
     rows = []

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from minpair.functions.labels import stars_to_class
 from minpair.functions.ranking import hash_key
 from minpair.operators import bias, vote
 from minpair.plans import dims
@@ -238,7 +239,7 @@ def confusion_zero_diagonal(spark, sf_dir):
 
 
 def _two_models(spark, sf_dir):
-    v = views.votes(spark, sf_dir)
+    v = views.votes(spark, sf_dir, seeds=[s for s in dims.SEEDS if s[0] in (0, 63)])
     keys = ["lang", "steps", "bias_type", "emotion", "side", "pair_id"]
     a = v.where(F.col("seed") == 0)
     b = v.where(F.col("seed") == 63)
@@ -287,7 +288,7 @@ def wasserstein(spark, sf_dir):
 @report("a17_wasserstein_seeds")
 def wasserstein_seeds(spark, sf_dir):
     """Distance between the label distributions of two runs (seed 0 vs seed 63) per language."""
-    v = views.votes(spark, sf_dir).where(F.col("seed").isin(0, 63))
+    v = views.votes(spark, sf_dir, seeds=[s for s in dims.SEEDS if s[0] in (0, 63)])
     return rounded(dist.wasserstein(v, ["lang", "steps"], "seed", "label", 0, 63))
 
 
@@ -549,9 +550,9 @@ def performance_curve(spark, sf_dir):
 @report("a14_language_difference")
 def language_difference(spark, sf_dir):
     """Side-1 vs side-2 confusion of English minus German ensemble labels, per bias type and step."""
-    e = _ensemble(spark, sf_dir)
-    return perf.confusion_difference(e.where(F.col("lang") == "en"), e.where(F.col("lang") == "de"),
-                                     ["bias_type", "steps"], "label_1", "label_2", [1, 2, 3, 4, 5])
+    e = _ensemble(spark, sf_dir).where(F.col("lang").isin("en", "de"))
+    signed = e.withColumn("w", F.when(F.col("lang") == "en", F.lit(1)).otherwise(F.lit(-1)))
+    return perf.weighted_confusion(signed, ["bias_type", "steps"], "label_1", "label_2", "w", [1, 2, 3, 4, 5])
 
 
 @report("s10_results_roundtrip")
@@ -635,7 +636,7 @@ def script_flags(spark, sf_dir):
 
 def _review_splits(spark, sf_dir):
     r = prep.format_data(views.reviews(spark, sf_dir))
-    r = r.withColumn("class_id", (F.col("label") - 1).cast("double"))
+    r = r.withColumn("class_id", stars_to_class(F.col("label")).cast("double"))
     return prep.split_by_hash(r, "review_id", seed=42)
 
 
