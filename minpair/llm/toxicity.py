@@ -36,6 +36,7 @@ from minpair.session import materialise
 EXAMPLES = 8_000
 MOST_TERMS = 4_096
 LEAST_CHI2 = 30.0
+ALIKE = 1.1
 STEMS = (3, 4, 5, 6, 7, 8)
 LONGEST = 24
 NEIGHBOURS = 15
@@ -142,8 +143,9 @@ class Index:
             if len(best) == k:
                 now &= bound >= best[-1][0] - 1e-9
             mine = now[block]
-            sums = np.bincount(number[mine], product[mine], len(self.ids)).round(12)
+            sums = np.bincount(number[mine], product[mine], len(self.ids))
             own = np.nonzero(sums > 0)[0]
+            sums[own] = sums[own].round(12)
             if len(own) > k + 1:  # ties at the end stay in; one more for the example left out
                 own = own[sums[own] >= np.partition(sums[own], len(own) - k - 1)[len(own) - k - 1]]
             found = zip(sums[own].tolist(), self.ids[own].tolist(), self.labels[own].tolist(), strict=True)
@@ -224,11 +226,14 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             if chi2 >= LEAST_CHI2:
                 # Document frequency as in the whole, not as in the sample.
                 chosen.append((-chi2, r["term"], a / share[1] + b / share[0]))
-    # A beginning and its longer forms that stand in the same number of texts say the same: the
-    # shortest is kept.
-    said: dict[tuple, tuple] = {}
+    # A longer form that stands in nearly as many texts as a beginning of it, and speaks for the label
+    # hardly more, says nothing new.
+    said: dict[str, tuple] = {}
     for c in sorted(chosen, key=lambda c: (len(c[1].rstrip("*")), not c[1].endswith("*"), c[1])):
-        said.setdefault((c[0], c[2], c[1][:min(STEMS)]), c)
+        stem = c[1].rstrip("*")
+        shorter = (said.get(stem[:k] + "*") for k in STEMS if k <= len(stem))
+        if not any(x and x[2] <= ALIKE * c[2] and ALIKE * x[0] <= c[0] for x in shorter):
+            said[c[1]] = c
     chosen = sorted(said.values())[:MOST_TERMS]
     vocabulary = {t: i for i, (_, t, _) in enumerate(chosen)}
     idf = np.array([1 + np.log((sum(total.values()) + 1) / (df + 1)) for _, _, df in chosen])
