@@ -87,13 +87,10 @@ class Segment:
         self.bits = bits
 
     @staticmethod
-    def places(keys: np.ndarray, level, size: int) -> Iterator[np.ndarray]:
+    def hashes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and step of each entry; its places follow by double hashing."""
         h = mix(keys, np.uint64(level))
-        step = mix(h, np.uint64(3)) | np.uint64(1)
-        for _ in range(HASHES):
-            yield h % np.uint64(size)
-            with np.errstate(over="ignore"):
-                h = h + step
+        return h, mix(h, np.uint64(3)) | np.uint64(1)
 
     @classmethod
     def build(cls, keys: np.ndarray, levels: np.ndarray) -> bytes:
@@ -101,17 +98,24 @@ class Segment:
         bits = np.zeros(-(-size // 8), np.uint8)
         level = 0
         while len(keys):
-            for at in cls.places(keys, level, 8 * len(bits)):
+            h, step = cls.hashes(keys, level)
+            for _ in range(HASHES):
+                at = h % np.uint64(8 * len(bits))
                 np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+                h = h + step
             level += 1
             keys, levels = keys[levels >= level], levels[levels >= level]
         return bits.tobytes()
 
     def has(self, keys: np.ndarray, level: int) -> np.ndarray:
+        """Whether all places of the entries are set; entries with an empty place are dropped at once."""
+        h, step = self.hashes(keys, level)
         found = np.arange(len(keys))
-        for at in self.places(keys, level, 8 * len(self.bits)):
-            ok = self.bits[(at[found] >> np.uint64(3)).astype(np.int64)] >> (at[found] & np.uint64(7)).astype(np.uint8) & 1 == 1
-            found = found[ok]
+        for _ in range(HASHES):
+            at = h % np.uint64(8 * len(self.bits))
+            ok = self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+            found, step = found[ok], step[ok]
+            h = h[ok] + step
             if not len(found):
                 break
         out = np.zeros(len(keys), bool)
