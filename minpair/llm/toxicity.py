@@ -146,10 +146,12 @@ class Index:
             sums = np.bincount(number[mine], product[mine], len(self.ids))
             own = np.nonzero(sums > 0)[0]
             sums[own] = sums[own].round(12)
-            if len(own) > k + 1:  # ties at the end stay in; one more for the example left out
-                own = own[sums[own] >= np.partition(sums[own], len(own) - k - 1)[len(own) - k - 1]]
+            own = own[self.ids[own] != but] if but is not None else own
+            if len(own) > k:  # many examples can tie at the end: only then are ids compared
+                own = own[sums[own] >= np.partition(sums[own], len(own) - k)[len(own) - k]]
+                own = own[np.lexsort((self.ids[own], -sums[own]))[:k]]
             found = zip(sums[own].tolist(), self.ids[own].tolist(), self.labels[own].tolist(), strict=True)
-            best = sorted(best + [r for r in found if r[1] != but], key=lambda r: (-r[0], r[1]))[:k]
+            best = sorted([*best, *found], key=lambda r: (-r[0], r[1]))[:k]
         return best
 
 
