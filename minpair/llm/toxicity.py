@@ -1,9 +1,11 @@
 """Toxicity from the nearest labelled examples.
 
-Texts become TF-IDF vectors over the terms that speak for the label (words and word beginnings with
-a significant chi-square among the training examples). The examples' vectors stand in inverted lists
-cut into blocks of examples, with the largest weight of every block; a text's blocks are read in the
-order of their upper bound until no block can hold a nearer example, so the neighbours by cosine are
+Texts become TF-IDF vectors over all terms of the labelled sample (words and word beginnings), and the
+examples of both labels are searched. Plain idf buries the few words that carry the label under
+hundreds that do not, so the idf of a term that is likelier in toxic examples is raised by the root of
+1 + its chi-square; every other term keeps its idf, and none is left out. Approximate cosines come
+from a matrix product over the commonest terms and inverted lists of all others; what reaches the k-th
+of them, less the rounding, is computed again in double precision, so the neighbours by cosine are
 exact. They vote by squared cosine, and the vote is calibrated by the examples' own votes without
 themselves (isotonic regression over a fixed number of bins). The neighbours are the evidence.
 
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,125 +37,182 @@ from minpair.llm.texts import chunks, fresh, sampled_labels, with_columns
 from minpair.session import materialise
 
 EXAMPLES = 8_000
-MOST_TERMS = 4_096
-LEAST_CHI2 = 30.0
-ALIKE = 1.1
 STEMS = (3, 4, 5, 6, 7, 8)
 LONGEST = 24
 NEIGHBOURS = 15
-BLOCK = 64
-#: Blocks that are read before the bound of the others is looked at.
-FIRST_BLOCKS = 16
+#: Terms in at least one of so many examples, at most ``MOST_COMMON`` of them, are matched by a matrix
+#: product of so many texts; all others by inverted lists.
+COMMON, MOST_COMMON, TEXTS = 16, 1024, 128
+#: More than the approximate cosines can be off.
+ROUNDING = 2e-5
+KNOWN_RUNS = 300_000
 BINS = 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def terms(text: str) -> Counter:
-    """Counts of the words of letters, in lower case, and of their beginnings (marked by ``*``)."""
-    out: Counter = Counter()
-    for w, n in Counter(WORD.findall(text.lower())).items():
-        if len(w) <= LONGEST:
-            out[w] += n
-        for k in STEMS:
-            if len(w) >= k:
-                out[w[:k] + "*"] += n
+def run_terms(run: str) -> list[int]:
+    """64-bit hashes of the words of letters in a run of lower-case characters and of the words'
+    beginnings (marked by ``*``), as often as they stand."""
+    out = []
+    for w in WORD.findall(run):
+        keys = [w] * (len(w) <= LONGEST) + [w[:k] + "*" for k in STEMS if len(w) >= k]
+        out += [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in keys]
     return out
 
 
-class _Chosen(dict):
-    """Counts of the vocabulary's terms in a text. What a run of characters between white space has
-    of them is kept, as most runs come again and have none; a full cache is emptied."""
+def terms(text: str) -> np.ndarray:
+    """Sorted hashes of the distinct terms of a text."""
+    found = {t for run in set(text.lower().split()) for t in run_terms(run)}
+    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, run: str) -> tuple[int, ...]:
-        out = []
-        for w in WORD.findall(run):
-            keys = [w] * (len(w) <= LONGEST) + [w[:k] + "*" for k in STEMS if len(w) >= k]
-            out += [self.vocabulary[t] for t in keys if t in self.vocabulary]
-        if len(self) >= 300_000:
-            self.clear()
-        self[run] = got = tuple(out)
-        return got
-
-    def __call__(self, text: str) -> dict[int, int]:
+class _Finder:
+    """Numbers of the vocabulary's terms in a text, ascending, and their counts. What a run of
+    characters between white space has of them is kept; a full cache is emptied."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.known: dict[str, list[int]] = {}
+
+    def _learn(self, runs: list[str]) -> None:
+        own = [run_terms(r) for r in runs]
+        hashes = np.array([t for x in own for t in x], np.uint64).view(np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
+        hit = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
+        found, place = np.where(hit, at, -1).tolist(), 0
+        for r, x in zip(runs, own, strict=True):
+            self.known[r] = [t for t in found[place:place + len(x)] if t >= 0]
+            place += len(x)
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        runs = Counter(text.lower().split())
+        new = [r for r in runs if r not in self.known]
+        if len(self.known) + len(new) > KNOWN_RUNS:
+            self.known.clear()
+            new = list(runs)
+        if new:
+            self._learn(new)
         out: dict[int, int] = {}
-        for run, n in Counter(text.lower().split()).items():
-            for t in self[run]:
+        for run, n in runs.items():
+            for t in self.known[run]:
                 out[t] = out.get(t, 0) + n
-        return out
+        return _arrays(out)
+
+
+def _arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    t = np.fromiter(counts.keys(), np.int32, len(counts))
+    n = np.fromiter(counts.values(), np.int32, len(counts))
+    order = np.argsort(t)
+    return t[order], n[order]
 
 
 @dataclass
 class Index:
-    """Examples in inverted lists by blocks of ``BLOCK`` numbers. ``lists[t]``: example numbers and
-    weights of term t; ``most[t]``: its largest weight in each block."""
+    """Distinct vectors of the examples. ``members[v]``: the (id, label) that share vector v, smallest
+    ids first; no more are kept than can be neighbours. ``term``, ``count``: the vectors' terms, cut at
+    ``edge``; ``column[t]``: place of a common term in ``common`` or -1; ``lists``, ``weights``: vectors
+    and weights of each other term, cut at ``cut``."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray
     idf: np.ndarray
-    ids: np.ndarray
-    labels: np.ndarray
-    lists: list[tuple[np.ndarray, np.ndarray]]
-    most: np.ndarray
+    members: list[list[tuple[int, int]]]
+    term: np.ndarray
+    count: np.ndarray
+    edge: np.ndarray
+    norm: np.ndarray
+    column: np.ndarray
+    common: np.ndarray
+    lists: np.ndarray
+    weights: np.ndarray
+    cut: np.ndarray
 
     @classmethod
-    def build(cls, vocabulary: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]]) -> Index:
-        """``rows``: id, label and term counts. Examples with a common heaviest term are neighbours in
-        the numbering, which keeps the blocks' bounds apart."""
-        out = cls(vocabulary, idf, np.empty(0), np.empty(0), [], np.empty(0))
-        made = [(i, y, *out.vector(c)) for i, y, c in rows if c]
-        made.sort(key=lambda r: (int(r[2][r[3].argmax()]), r[0]))
-        out.ids = np.array([r[0] for r in made], np.int64)
-        out.labels = np.array([r[1] for r in made], np.float64)
-        blocks = -(-len(made) // BLOCK)
-        number = np.repeat(np.arange(len(made)), [len(r[2]) for r in made])
-        term = np.concatenate([r[2] for r in made]) if made else np.empty(0, np.int64)
-        weight = np.concatenate([r[3] for r in made]) if made else np.empty(0)
-        out.most = np.zeros((len(idf), blocks))
-        np.maximum.at(out.most, (term, number // BLOCK), weight)
-        order = np.lexsort((number, term))
-        edges = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        for t in range(len(idf)):
-            own = order[edges[t]:edges[t + 1]]
-            out.lists.append((number[own], weight[own]))
-        return out
-
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[x] for x in t.tolist()], np.float64))) * self.idf[t]
+    def build(cls, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple]) -> Index:
+        """``rows``: id, label and term counts, these as a dictionary or as arrays."""
+        same: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
+        for i, y, c in rows:
+            t, n = _arrays(c) if isinstance(c, dict) else c
+            if len(t):
+                same.setdefault((t.tobytes(), n.tobytes()), []).append((i, y))
+        term = np.frombuffer(b"".join(t for t, _ in same), np.int32)
+        count = np.frombuffer(b"".join(n for _, n in same), np.int32)
+        edge = np.cumsum([0, *(len(t) // 4 for t, _ in same)])
+        members = [sorted(m)[:NEIGHBOURS + 1] for m in same.values()]
+        del same
+        weight = (1 + np.log(count)) * idf[term]
+        norm = np.sqrt(np.add.reduceat(weight * weight, edge[:-1])) if len(members) else np.empty(0)
+        number = np.repeat(np.arange(len(members), dtype=np.int32), np.diff(edge))
+        weight = (weight / norm[number]).astype(np.float32)
+        often = np.bincount(term, minlength=len(idf))
+        most = np.argsort(-often, kind="stable")[:MOST_COMMON]
+        most = most[often[most] * COMMON >= max(COMMON, len(members))]
+        column = np.full(len(idf), -1, np.int32)
+        column[most] = np.arange(len(most))
+        at = column[term]
+        common = np.zeros((len(most), len(members)), np.float32)
+        common[at[at >= 0], number[at >= 0]] = weight[at >= 0]
+        rest = np.nonzero(at < 0)[0]
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        often[most] = 0
+        return cls(vocabulary, idf, members, term, count, edge, norm, column, common, number[rest], weight[rest],
+                   np.concatenate([[0], np.cumsum(often)]))
+
+    def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        t, n = _arrays(counts) if isinstance(counts, dict) else counts
+        w = (1 + np.log(n)) * self.idf[t]
         return t, w / np.sqrt((w * w).sum())
 
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS, but: int | None = None) -> list[tuple[float, int, float]]:
-        """The ``k`` examples of largest cosine over 0 as (cosine, id, label), nearest first; ``but``:
-        id of an example to leave out. The blocks of highest bound are read first; of the others only
-        those whose bound reaches the k-th cosine found."""
-        if not counts or not len(self.ids):
+    def nearest(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS, but: int | None = None
+                ) -> list[tuple[float, int, float]]:
+        """The ``k`` examples (``NEIGHBOURS`` at most) of largest cosine over 0 as (cosine, id, label),
+        nearest first, ties by id; ``but``: id of an example to leave out."""
+        return next(self.all_nearest([counts], k, [but]))
+
+    def all_nearest(self, texts: list, k: int = NEIGHBOURS, but: list | None = None) -> Iterator[list[tuple[float, int, float]]]:
+        """``nearest`` of many texts."""
+        dense = np.zeros(len(self.idf))
+        for lo in range(0, len(texts), TEXTS):
+            part = [self.vector(c) for c in texts[lo:lo + TEXTS]]
+            asked = np.zeros((len(part), len(self.common)), np.float32)
+            for row, (t, w) in zip(asked, part, strict=True):
+                at = self.column[t]
+                row[at[at >= 0]] = w[at >= 0]
+            about = asked @ self.common
+            for j, (t, w) in enumerate(part):
+                if len(t) and len(self.members):
+                    yield self._exact(t, w, self._about(t, w, about[j]), k, but[lo + j] if but else None, dense)
+                else:
+                    yield []
+
+    def _about(self, t: np.ndarray, w: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """Approximate cosines with all vectors; ``common``: the common terms' part."""
+        rare = self.column[t] < 0
+        lo, hi = self.cut[t[rare]], self.cut[t[rare] + 1]
+        spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
+        if not spans:
+            return common
+        number = np.concatenate([self.lists[a:b] for a, b in spans])
+        weight = np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(w[rare].astype(np.float32), hi - lo)
+        return common + np.bincount(number, weight, len(self.members))
+
+    def _exact(self, t: np.ndarray, w: np.ndarray, about: np.ndarray, k: int, but: int | None, dense: np.ndarray
+               ) -> list[tuple[float, int, float]]:
+        # One more, as the nearest vector can have the left out example alone.
+        line = np.partition(about, len(about) - k - 1)[len(about) - k - 1] - ROUNDING if len(about) > k + 1 else 0.0
+        near = np.nonzero((about >= line) & (about > 0))[0]
+        if not len(near):
             return []
-        t, w = self.vector(counts)
-        bound = w @ self.most[t]
-        number = np.concatenate([self.lists[x][0] for x in t.tolist()])
-        product = np.concatenate([self.lists[x][1] * q for x, q in zip(t.tolist(), w.tolist(), strict=True)])
-        block = number // BLOCK
-        first = np.zeros(len(bound), bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        best: list[tuple[float, int, float]] = []
-        for now in (first, ~first):
-            now = now & (bound > 0)
-            if len(best) == k:
-                now &= bound >= best[-1][0] - 1e-9
-            mine = now[block]
-            sums = np.bincount(number[mine], product[mine], len(self.ids))
-            own = np.nonzero(sums > 0)[0]
-            sums[own] = sums[own].round(12)
-            own = own[self.ids[own] != but] if but is not None else own
-            if len(own) > k:  # many examples can tie at the end: only then are ids compared
-                own = own[sums[own] >= np.partition(sums[own], len(own) - k)[len(own) - k]]
-                own = own[np.lexsort((self.ids[own], -sums[own]))[:k]]
-            found = zip(sums[own].tolist(), self.ids[own].tolist(), self.labels[own].tolist(), strict=True)
-            best = sorted([*best, *found], key=lambda r: (-r[0], r[1]))[:k]
-        return best
+        dense[t] = w * self.idf[t]
+        sizes = self.edge[near + 1] - self.edge[near]
+        own = np.repeat(self.edge[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        sums = np.add.reduceat((1 + np.log(self.count[own])) * dense[self.term[own]], np.cumsum(sizes) - sizes)
+        dense[t] = 0
+        cosine = (sums / self.norm[near]).round(12)
+        order = np.argsort(-cosine, kind="stable")
+        last = cosine[order[min(k, len(order) - 1)]]
+        found = [(c, i, float(y)) for c, v in zip(cosine[order].tolist(), near[order].tolist(), strict=True) if c >= last
+                 for i, y in self.members[v] if i != but]
+        return sorted(found, key=lambda r: (-r[0], r[1]))[:k]
 
 
 def vote(near: list[tuple[float, int, float]]) -> float:
@@ -197,67 +257,51 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = materialise(docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(F.broadcast(ids), "_id").select(
         F.col("_id").alias("id"), F.col("_y").alias("y"), "text"))
 
-    def count(batches: Iterator[pa.RecordBatch], among: list[str] | None) -> Iterator[pa.RecordBatch]:
-        find = _Chosen({t: i for i, t in enumerate(among)}) if among is not None else None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            n: Counter = Counter()
-            for t in texts:
-                n.update(terms(t).keys() if among is None else [among[i] for i in find(t)])
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-    def having(y: int, among: list[str] | None) -> DataFrame:
-        rows = sample.where(F.col("y") == y).select("text")
-        return rows.mapInArrow(lambda b: count(b, among), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+            own = [terms(t) for t in texts]
+            keys, place = np.unique(np.concatenate(own), return_inverse=True)
+            toxic = np.repeat(np.array(batch.column("y").to_pylist()), [len(x) for x in own]) == 1
+            a, n = np.bincount(place[toxic], minlength=len(keys)), np.bincount(place, minlength=len(keys))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(n - a)], names=["term", "a", "b"])
 
     seen = sample.groupBy("y").count().collect()
     many = {r["y"]: r["count"] for r in seen}
     pos, neg = many.get(1, 0), many.get(0, 0)
     if not pos or not neg:
         return Model(None, prior, prior, np.zeros(BINS))
-    # A term needs about this many toxic examples to reach the chi-square even if no other has it.
-    least = max(2, int(LEAST_CHI2 * pos / (pos + neg) / 4))
-    likely = having(1, None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(16 * MOST_TERMS).collect()
-    among = [r["term"] for r in likely]
-    other = {r["term"]: r["n"] for r in having(0, among).collect()}
+    found = sample.select("y", "text").mapInArrow(count, "term long, a long, b long").groupBy("term").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    vocabulary, a, b = (found.column(c).to_numpy() for c in ("term", "a", "b"))
+    order = np.argsort(vocabulary)
+    vocabulary, a, b = vocabulary[order], a[order].astype(float), b[order].astype(float)
     n = pos + neg
-    chosen = []
-    for r in likely:
-        a, b = r["n"], other.get(r["term"], 0)
-        if a * neg > b * pos:
-            chi2 = n * (a * (neg - b) - b * (pos - a)) ** 2 / (pos * neg * (a + b) * max(1, n - a - b))
-            if chi2 >= LEAST_CHI2:
-                # Document frequency as in the whole, not as in the sample.
-                chosen.append((-chi2, r["term"], a / share[1] + b / share[0]))
-    # A longer form that stands in nearly as many texts as a beginning of it, and speaks for the label
-    # hardly more, says nothing new.
-    said: dict[str, tuple] = {}
-    for c in sorted(chosen, key=lambda c: (len(c[1].rstrip("*")), not c[1].endswith("*"), c[1])):
-        stem = c[1].rstrip("*")
-        shorter = (said.get(stem[:k] + "*") for k in STEMS if k <= len(stem))
-        if not any(x and x[2] <= ALIKE * c[2] and ALIKE * x[0] <= c[0] for x in shorter):
-            said[c[1]] = c
-    chosen = sorted(said.values())[:MOST_TERMS]
-    vocabulary = {t: i for i, (_, t, _) in enumerate(chosen)}
-    idf = np.array([1 + np.log((sum(total.values()) + 1) / (df + 1)) for _, _, df in chosen])
+    chi2 = n * (a * (neg - b) - b * (pos - a)) ** 2 / (float(pos * neg) * (a + b) * np.maximum(1, n - a - b))
+    # Document frequency as in the whole, not as in the sample.
+    idf = 1 + np.log((sum(total.values()) + 1) / (a / share[1] + b / share[0] + 1))
+    idf *= np.sqrt(1 + np.where(a * neg > b * pos, chi2, 0.0))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _Chosen(vocabulary)
+        find = _Finder(vocabulary)
         for batch, texts in chunks(batches, "text"):
             got = [find(t) for t in texts]
-            lists = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array([list(g) for g in got], lists),
-                                              pa.array([list(g.values()) for g in got], lists)], names=["id", "y", "t", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *(
+                pa.array([g[k].tobytes() for g in got], pa.binary()) for k in (0, 1))], names=["id", "y", "t", "n"])
+
+    def unpacked(t: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(t, np.int32), np.frombuffer(n, np.int32)
 
     made = materialise(sample.select(F.col("id").cast("long"), "y", "text").mapInArrow(
-        vectors, "id long, y int, t array<int>, n array<int>"))
-    rows = [(r["id"], r["y"], dict(zip(r["t"], r["n"], strict=True))) for r in made.where(F.size("t") > 0).collect()]
+        vectors, "id long, y int, t binary, n binary"))
+    rows = [(r["id"], r["y"], unpacked(bytes(r["t"]), bytes(r["n"]))) for r in made.where(F.octet_length("t") > 0).toLocalIterator()]
     index = Index.build(vocabulary, idf, rows)
+    del rows
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bins = [vote(shared.value.nearest(dict(zip(t, n, strict=True)), but=i)) for i, t, n in zip(
-                *(batch.column(c).to_pylist() for c in ("id", "t", "n")), strict=True)]
+            texts = [unpacked(t, n) for t, n in zip(*(batch.column(c).to_pylist() for c in ("t", "n")), strict=True)]
+            bins = [vote(near) for near in shared.value.all_nearest(texts, but=batch.column("id").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([min(BINS - 1, int(v * BINS)) if v >= 0 else -1 for v in bins], pa.int32())], names=["y", "bin"])
 
     votes = made.mapInArrow(own_votes, "y int, bin int").groupBy("y", "bin").count().collect()
@@ -286,9 +330,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        find = _Chosen(m.index.vocabulary)
+        find = _Finder(m.index.vocabulary)
         for batch, texts in chunks(batches, text):
-            near = [m.index.nearest(find(t)) for t in texts]
+            near = list(m.index.all_nearest([find(t) for t in texts]))
             yield with_columns(batch, keep, **{
                 out: pa.array([m.score(x) for x in near], pa.float64()),
                 evidence: pa.array([[(i, c, int(y)) for c, i, y in x] for x in near], arrow)})

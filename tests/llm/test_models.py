@@ -121,6 +121,25 @@ def test_nearest_is_exact():
     assert index.nearest({}) == []
 
 
+def test_toxicity_all_terms_of_both_labels(spark):
+    """No term and no example is left out: clean texts have neighbours, and the vocabulary is that of
+    the examples."""
+    rows = [(i, ("vile slur " if i % 3 == 0 else "") + f"kind words {chr(97 + i % 7) * 3} text") for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int"))
+    assert sorted(i for m in model.index.members for i, _ in m) == list(range(90))
+    assert len(model.index.vocabulary) == len({t for _, x in rows for t in toxicity.terms(x).tolist()})
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(len(r.evidence) == 15 and (r.score >= 0.3) == (i % 3 == 0) for i, r in got.items())
+
+
+def test_nearest_of_copies():
+    """Copies share a vector; ties go to the smaller ids, without the example left out."""
+    rows = [(i, i % 2, {0: 1, 1: 2} if i < 60 else {0: 1, 2: i}) for i in range(100)]
+    index = toxicity.Index.build(np.empty(0, np.int64), np.array([1.0, 2.0, 3.0]), rows[::-1])
+    assert [i for _, i, _ in index.nearest({0: 1, 1: 2}, 15, but=3)] == [i for i in range(16) if i != 3]
+
+
 def test_isotonic():
     got = toxicity.isotonic(np.array([1.0, 0, 3, 0, 5]), np.array([4.0, 4, 4, 0, 5]))
     assert got.tolist() == [0.125, 0.125, 0.75, 0.75, 1.0] or all(a <= b for a, b in zip(got, got[1:], strict=False))
