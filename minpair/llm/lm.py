@@ -7,15 +7,16 @@ by asking for one level after the other until one is missing. For a word w after
     P(w | v) = (c(vw) + E(v) P(w)) / T(v),   P(w) = c(w) / (N + U),   P(unknown) = U / (N + U)
 
 with N training tokens, U words seen once, T(v) = c(v) + the number of different followers of v, and
-E(v) = T(v) less the bigram counts that the filter keeps, so what is not kept still has its mass. A
-word without kept bigrams leaves P(w).
+E(v) = T(v) less the bigram counts that the filter keeps. The filter keeps all words and all bigrams
+that training text has, at every size. A word without kept bigrams leaves P(w).
 
 The texts are read and tokenised once, into chunks of word numbers. From them every chunk sends each
-shard of the word hashes its words and bigrams, sorted and compressed; a shard adds up the counts of
-all chunks, answers each chunk with the exact counts of its words, and builds its segment of the
-filter. Segments share ``FILTER_BYTES`` evenly, which bounds what is broadcast; a segment keeps all
-words, and the bigrams from the least count (``LEAST_COUNT`` at first) with which it fits. The chunks
-are then scored with the filter, and the answers give the base score and the known words.
+shard of the word hashes its words and bigrams, sorted and compressed, those of texts to score among
+them; a shard adds up the counts of all chunks, builds its segment of the filter, and answers each
+chunk with the exact counts of its words and with what the segment has of its words and bigrams. So
+no worker holds more than a segment, and the filter grows with the input: there are as many segments
+as half the chunks. The chunks are then scored with the answers. Only if ``filter_bytes`` is given do
+segments share so many bytes, and bigrams under the least count that fits leave their mass to E(v).
 
 Edge cases: a null text counts as empty and has the end token only; texts that are shorter or longer
 than a chunk are treated alike; repeated rows count as often as they stand; without training text
@@ -41,8 +42,6 @@ from minpair.session import materialise
 
 CHUNK = 8_000_000
 BASE = 1.5
-LEAST_COUNT = 2
-FILTER_BYTES = 96_000_000
 BITS_PER_ENTRY, HASHES = 10, 7
 END = np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -194,17 +193,27 @@ def _before(tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
     return out
 
 
+def _follower(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(7)) & np.uint64(0xFFFFFFFF)
+
+
+def _codes(tokens: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each token the number of the word before it and 32 bits of its own hash."""
+    context = _before(tokens, lengths, int(np.searchsorted(keys, END)))
+    return context.astype(np.uint64) << np.uint64(32) | _follower(keys)[tokens]
+
+
 def _sent(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
     """What each chunk tells each shard: its words with their training counts, and for each word as
-    a context its followers (32 bits of their hash) with counts."""
+    a context its followers (32 bits of their hash) with training counts, 0 if they are only to score."""
     for batch in batches:
         for r in batch.select(["chunk", "lengths", "trains", "keys", "tokens"]).to_pylist():
             lengths, keys, tokens = unpack(r["lengths"]).astype(np.int64), unpack(r["keys"], True), unpack(r["tokens"]).astype(np.int64)
             train = np.repeat(np.frombuffer(r["trains"], np.uint8) == 1, lengths)
             count = np.bincount(tokens[train], minlength=len(keys))
-            context = _before(tokens, lengths, int(np.searchsorted(keys, END)))[train]
-            follower = (keys[tokens[train]] >> np.uint64(7)) & np.uint64(0xFFFFFFFF)
-            pairs, n = np.unique(context.astype(np.uint64) << np.uint64(32) | follower, return_counts=True)
+            codes = _codes(tokens, lengths, keys)
+            pairs, place = np.unique(codes, return_inverse=True)
+            n = np.bincount(place[train], minlength=len(pairs))
             owner = (pairs >> np.uint64(32)).astype(np.int64)
             kinds = np.bincount(owner, minlength=len(keys))
             edge = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1, dtype=np.uint64))
@@ -219,12 +228,15 @@ def _sent(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordB
 
 
 SENT = "shard int, chunk long, keys binary, counts binary, kinds binary, followers binary, pair_counts binary"
-ANSWER = "shard int, chunk long, counts binary, segment binary, tokens long, distinct long, once long"
+#: The places of a chunk's words, as such and as contexts, and of its bigrams in the filter are levels
+#: plus 1, or 0 if they are not there.
+FOUND = ("word", "total", "escape", "pair")
+ANSWER = "shard int, chunk long, counts binary, " + ", ".join(f"{c} binary" for c in FOUND) + ", tokens long, distinct long, once long, size long"
 
 
-def _answered(table: pa.Table, share: int) -> pa.Table:
-    """One shard: an answer for each chunk (exact counts of its words), and a row with the segment
-    of the filter and the shard's totals."""
+def _answered(table: pa.Table, share: int | None) -> pa.Table:
+    """One shard: an answer for each chunk (exact counts of its words, and what the shard's segment of
+    the filter has of its words and bigrams), and a row with the shard's totals."""
     rows = sorted(table.to_pylist(), key=lambda r: r["chunk"])
     shard = rows[0]["shard"]
     own = [unpack(r["keys"], True) for r in rows]
@@ -234,11 +246,11 @@ def _answered(table: pa.Table, share: int) -> pa.Table:
         np.split(place, np.cumsum([len(k) for k in own])[:-1]), rows, strict=True)]).astype(np.uint64)
     pairs, at = np.unique(context << np.uint64(32) | np.concatenate([unpack(r["followers"]) for r in rows]), return_inverse=True)
     n = np.bincount(at, np.concatenate([unpack(r["pair_counts"]) for r in rows]), len(pairs)).astype(np.int64)
-    del context, at
+    del context
     owner = (pairs >> np.uint64(32)).astype(np.int64)
-    total = count + np.bincount(owner, minlength=len(keys))
+    total = count + np.bincount(owner[n > 0], minlength=len(keys))
     known = count > 0
-    least = LEAST_COUNT
+    least = 1
     while True:
         kept = n >= least
         held = np.bincount(owner[kept], n[kept], len(keys)).astype(np.int64)
@@ -246,37 +258,50 @@ def _answered(table: pa.Table, share: int) -> pa.Table:
         entry = np.concatenate([mix(WORD, keys[known]), mix(PAIR, keys[owner[kept]], pairs[kept] & np.uint64(0xFFFFFFFF)),
                                 mix(TOTAL, keys[ctx]), mix(ESCAPE, keys[ctx])])
         level = levels(np.concatenate([count[known], n[kept], total[ctx], (total - held)[ctx]]))
-        if (level + 1).sum() * BITS_PER_ENTRY <= 8 * share or not kept.any():
+        if share is None or (level + 1).sum() * BITS_PER_ENTRY <= 8 * share or not kept.any():
             break
         least *= 2
-    out = [(shard, r["chunk"], pack(count[p]), None, 0, 0, 0) for r, p in zip(
-        rows, np.split(place, np.cumsum([len(k) for k in own])[:-1]), strict=True)]
-    out.append((shard, None, None, Segment.build(entry, level), int(count.sum()), int(known.sum()), int((count == 1).sum())))
+    segment = Segment.build(entry, level)
+    model = Filter({0: segment}, 1)
+
+    def found(asked: np.ndarray) -> np.ndarray:
+        got = model.counts(np.zeros(len(asked), np.uint64), asked)
+        return np.where(got > 0, levels(got) + 1, 0)
+
+    words_ = [found(mix(kind, keys)) for kind in (WORD, TOTAL, ESCAPE)]
+    pair = found(mix(PAIR, keys[owner], pairs & np.uint64(0xFFFFFFFF)))
+    cut = np.cumsum([len(k) for k in own])[:-1]
+    pair_cut = np.cumsum([int(unpack(r["kinds"]).sum()) for r in rows])[:-1]
+    out = [(shard, r["chunk"], pack(count[p]), *(pack(x[p]) for x in words_), pack(pair[q]), 0, 0, 0, 0)
+           for r, p, q in zip(rows, np.split(place, cut), np.split(at, pair_cut), strict=True)]
+    out.append((shard, *[None] * 6, int(count.sum()), int(known.sum()), int((count == 1).sum()), len(segment)))
     cols = list(zip(*out, strict=True))
-    types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5, *[pa.int64()] * 4]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                names=["shard", "chunk", "counts", "segment", "tokens", "distinct", "once"])
+                                names=["shard", "chunk", "counts", *FOUND, "tokens", "distinct", "once", "size"])
 
 
-def _scored(chunk: pa.Table, answers: pa.Table, model: Filter, total: int, distinct: int, once: int) -> pa.Table:
+def _scored(chunk: pa.Table, answers: pa.Table, total: int, distinct: int, once: int) -> pa.Table:
     """The rows of one chunk with their scores."""
     r = chunk.select(["lengths", "keys", "tokens"]).to_pylist()[0]
     lengths, keys, tokens = unpack(r["lengths"]).astype(np.int64), unpack(r["keys"], True), unpack(r["tokens"]).astype(np.int64)
     start = np.cumsum(lengths) - lengths
-    count = np.concatenate([unpack(a["counts"]) for a in sorted(answers.to_pylist(), key=lambda a: a["shard"])])
+    told = sorted(answers.to_pylist(), key=lambda a: a["shard"])
+    count = np.concatenate([unpack(a["counts"]) for a in told])
+    level = [np.concatenate([unpack(a[c]) for a in told]).astype(np.int64) for c in FOUND]
+    found, all_, escape, pair_count = (np.where(x > 0, BASE ** (x - 1.0), 0.0) for x in level)
     base = np.log10(count + 0.1)
     base_score = np.add.reduceat(base[tokens], start) - lengths * np.log10(total + 0.1 * (distinct + 1))
 
-    shard = shard_of(keys, model.shards)
     unseen = max(once, 1)
-    found = model.counts(shard, mix(WORD, keys))
     alone = np.where(found > 0, found, unseen) / (total + unseen)
-    all_, escape = model.counts(shard, mix(TOTAL, keys)), model.counts(shard, mix(ESCAPE, keys))
     known_context = (all_ > 0) & (escape > 0)
     context = _before(tokens, lengths, int(np.searchsorted(keys, END)))
     pair, place = np.unique(context.astype(np.int64) * len(keys) + tokens, return_inverse=True)
     v, w = pair // len(keys), pair % len(keys)
-    together = model.counts(shard[v], mix(PAIR, keys[v], (keys[w] >> np.uint64(7)) & np.uint64(0xFFFFFFFF)))
+    # Two followers of a word can share the 32 bits, so there may be fewer codes than pairs.
+    code = v.astype(np.uint64) << np.uint64(32) | _follower(keys)[w]
+    together = pair_count[np.unique(code, return_inverse=True)[1]]
     # Quantised parts can add up to more than the whole; a probability never does.
     p = np.where(known_context[v], np.minimum(1.0, (together + escape[v] * alone[w]) / np.maximum(all_[v], 1)), alone[w])
     score = np.add.reduceat(np.log10(p)[place], start)
@@ -287,30 +312,27 @@ def _scored(chunk: pa.Table, answers: pa.Table, model: Filter, total: int, disti
          pa.array(np.full(len(lengths), total, np.int64)), pa.array(base_score), pa.array(score)], names=[*names, *ADDED])
 
 
-def score(docs: DataFrame, train: Column, text: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def score(docs: DataFrame, train: Column, text: str = "text", filter_bytes: int | None = None) -> DataFrame:
     """All input columns but the text, with ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (add-a-tenth unigram) and ``score``, log10 probabilities. ``train`` marks the rows
-    to learn from."""
+    to learn from; ``filter_bytes`` bounds the whole filter, None leaves it as large as the counts
+    need."""
     docs = fresh(docs, *ADDED)
     keep = [c for c in docs.columns if c != text]
     table = tokenised(docs, text, train)
     shards = max(1, -(-table.count() // 2))
-    share = max(1, filter_bytes // shards)
+    share = None if filter_bytes is None else max(1, filter_bytes // shards)
     sent = table.mapInArrow(lambda b: _sent(b, shards), SENT)
     answers = materialise(sent.repartition(shards, "shard").groupBy("shard").applyInArrow(lambda t: _answered(t, share), ANSWER))
-    totals = answers.where("segment is not null")
-    sums = totals.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v"), F.sum("once").alias("u"),
-                      F.sum(F.octet_length("segment")).alias("size")).first()
-    if (sums["size"] or 0) > 2 * filter_bytes:
+    sums = answers.where("chunk is null").agg(*(F.sum(c).alias(c) for c in ("tokens", "distinct", "once", "size"))).first()
+    if filter_bytes is not None and (sums["size"] or 0) > 2 * filter_bytes:
         raise ValueError(f"the words alone take {sums['size']} bytes of filter; raise filter_bytes")
-    n, v, u = sums["n"] or 0, sums["v"] or 0, sums["u"] or 0
-    model = docs.sparkSession.sparkContext.broadcast(
-        ({r["shard"]: bytes(r["segment"]) for r in totals.select("shard", "segment").collect()}, shards))
+    n, v, u = sums["tokens"] or 0, sums["distinct"] or 0, sums["once"] or 0
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        return _scored(a, b, Filter(*model.value), n, v, u)
+        return _scored(a, b, n, v, u)
 
     shape = T.StructType([*[docs.schema[c] for c in keep], *(T.StructField(c, T.LongType()) for c in ADDED[:3]),
                           *(T.StructField(c, T.DoubleType()) for c in ADDED[3:])])
-    replies = answers.where("segment is null").select("chunk", "shard", "counts")
+    replies = answers.where("chunk is not null").select("chunk", "shard", "counts", *FOUND)
     return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, shape)

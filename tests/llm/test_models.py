@@ -350,6 +350,19 @@ def test_lm_small_filter_keeps_mass(spark):
     assert wide.score > slim.score > slim.base_score - 2
 
 
+def test_lm_keeps_bigrams_seen_once(spark):
+    """No bigram of training text is left out, however often it stands and however much text there is."""
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d"), (3, "a d"), (4, "a b")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(docs, F.col("doc_id") < 3).collect()}
+    assert got[4] == got[1] > got[3] + 0.3
+    pairs = [(f"x{i}", f"y{i}") for i in range(2000)]
+    rows = [(i, " ".join(p)) for i, p in enumerate(pairs)] + [(i + 2000, f"{p[0]} y{(i + 7) % 2000}") for i, p in enumerate(pairs)]
+    old, lm.CHUNK = lm.CHUNK, 500
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 2000).collect()}
+    lm.CHUNK = old
+    assert sum(got[i] > got[i + 2000] + 0.3 for i in range(2000)) >= 1900
+
+
 # --- chat ---------------------------------------------------------------------------------------
 
 def test_chat_pairs(spark):
