@@ -78,21 +78,29 @@ def without(docs: DataFrame, rejected: DataFrame, doc_id: str, text: str) -> Dat
     return rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_t")), "left_anti").drop("_h")
 
 
+def place() -> Column:
+    """Place of the id ``_id`` in a random order, from 0 to 1."""
+    return F.xxhash64("_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+
+
+def agreed_labels(labels: DataFrame, doc_id: str, label: str) -> DataFrame:
+    """``(_id, _y)``, without null labels and ids with contradicting labels."""
+    return labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
+        F.min(label).cast("int").alias("_y"), F.max(label).cast("int").alias("_hi")).where("_y = _hi").select("_id", "_y")
+
+
 def sampled_labels(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, most: dict[int, int]
                    ) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
     """A bounded sample of labelled ids: about ``most[y]`` ids with label y that ``docs`` has, selected
     by a hash of the id. Null labels and ids with contradicting labels are left out. Returns
     ``(_id, _y)``, how many ids each label has, and the share of them that was taken. Only ids are
     joined here, so the texts of the sample can be had by a broadcast of it."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(
-        F.min(label).cast("int").alias("_y"), F.max(label).cast("int").alias("_hi")).where("_y = _hi")
-    known = known.where(F.col("_y").isin(*most)).select("_id", "_y").join(
+    known = agreed_labels(labels, doc_id, label).where(F.col("_y").isin(*most)).join(
         docs.select(F.col(doc_id).alias("_id")).distinct().hint("merge"), "_id")
     known = materialise(known)
     total = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, most[y] / n) for y, n in total.items()}
-    place = F.xxhash64("_id").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     kept = F.lit(False)
     for y, part in share.items():
-        kept = kept | ((F.col("_y") == y) & (place < part))
+        kept = kept | ((F.col("_y") == y) & (place() < part))
     return materialise(known.where(kept)), total, share

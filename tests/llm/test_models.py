@@ -285,6 +285,22 @@ def test_quality_query(spark):
     assert sum(r.kept for r in good) >= 0.97 * len(good) and sum(not r.kept for r in bad) >= 0.75 * len(bad)
 
 
+def test_quality_rare_language_keeps_its_own_cutoff(spark, monkeypatch):
+    """A language with enough labels has its own cutoff, of all its trusted texts, however many texts
+    the others have and however few are fitted to."""
+    rnd = random.Random(5)
+    rows = [(i, "aa", "".join(rnd.choice("abcd ") for _ in range(60))) for i in range(1500)]
+    rows += [(2000 + i, "zz", "".join(rnd.choice("stuvwxyz ") for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "LANGUAGE_TEXTS", 100)
+    good, fitted = quality.trusted(docs, labels, "doc_id", "lang", "quality", 100)
+    assert good.count() == 1540 and fitted.where("_id >= 2000").count() == 40 and fitted.count() < 300
+    got = quality.score(docs, labels, trusted_texts=100).collect()
+    cut = {r.lang: r.cutoff for r in got}
+    assert cut["zz"] > cut["aa"] + 0.3 and all(r.kept for r in got if r.lang == "zz")
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 1), (6, 0), (6, 1), (None, 1), (3, None)], "doc_id long, quality int")
     got = quality.score(odd, labels).collect()
