@@ -7,9 +7,11 @@ is paid and the next shorter context is asked, down to the uniform distribution.
 the shortest code for the whole text is predicted; the score is its probability when all languages
 are equally likely beforehand.
 
-The trees come from a sample of distinct texts, about ``train_bytes`` bytes for each language, that a
-hash of the text selects. So the model is bounded by ``languages * train_bytes`` nodes an order, and
-its size is checked before it goes to the workers.
+The trees come from a sample of pieces of distinct texts, about ``train_bytes`` bytes for each language,
+that a hash of the text and the piece's number selects; a byte keeps the context before its piece.
+Pieces are short beside ``train_bytes``, so however a language's bytes lie in its texts, it is learnt,
+and has about ``train_bytes`` nodes an order at most. The nodes of each language are checked before
+they go to the workers, which hold a cost for every node and language.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is every text when
 nothing was learnt; ties go to the first language in code point order; texts of any length are scored
@@ -33,6 +35,9 @@ from minpair.llm.texts import chunks, fresh, with_columns
 
 ORDER = 4
 TRAIN_BYTES = 1_500_000
+#: Bytes of a piece; with small ``train_bytes`` less, so that many pieces make them up.
+PIECE, LEAST_PIECES = 2048, 512
+#: ``MOST_GRAMS``: nodes of the highest order of one language.
 MOST_LANGUAGES, MOST_GRAMS = 256, 6_000_000
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -40,22 +45,20 @@ LETTER = re.compile(r"[^\W\d_]")
 def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of the texts, it and the ``order`` bytes before it as one integer (zeros before
     the start), and the place where each text starts. Empty texts count as one zero byte."""
-    parts, starts, at = [], [], 0
     pad = bytes(order)
-    for t in texts:
-        b = t.encode("utf-8", "surrogatepass") or b"\0"
-        parts += [pad, b]
-        starts.append(at)
-        at += len(b)
+    return windows([pad + (t.encode("utf-8", "surrogatepass") or b"\0") for t in texts], order)
+
+
+def windows(parts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The same for parts that begin with ``order`` bytes of context."""
+    lengths = np.array([len(b) - order for b in parts], np.int64)
     raw = np.frombuffer(b"".join(parts), np.uint8)
     packed = np.zeros(len(raw) - order, np.int64)
     for k in range(order + 1):
         packed = (packed << 8) | raw[k:len(raw) - order + k]
-    begin = np.array(starts, np.int64)
-    lengths = np.diff(np.append(begin, at))
-    # Every text is preceded by ``order`` pads; windows that end in a later pad are dropped.
-    keep = np.repeat(np.arange(len(texts)) * order, lengths) + np.arange(at)
-    return packed[keep], begin
+    # Windows that end in a later part's context are dropped.
+    keep = np.repeat(np.arange(len(parts)) * order, lengths) + np.arange(lengths.sum())
+    return packed[keep], np.cumsum(lengths) - lengths
 
 
 @dataclass
@@ -135,21 +138,38 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_bytes:
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, train_bytes / r["n"])))])
-    sample = known.where(F.col("h").bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53)) < share[F.col("lang")]
-                         ).dropDuplicates(["lang", "h"]).select("lang", "text")
+    piece = max(1, min(PIECE, train_bytes // LEAST_PIECES))
+    mask = (1 << 53) - 1
+    drawn = F.filter(F.sequence(F.lit(0).cast("long"), F.floor((F.octet_length("text") - 1) / piece)),
+                     lambda i: F.xxhash64(F.col("h"), i).bitwiseAND(F.lit(mask)) / F.lit(float(mask + 1)) < share[F.col("lang")])
+    rows = known.withColumn("numbers", drawn).where(F.size("numbers") > 0)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in chunks(batches, "text"):
-            of = np.array(batch.column("lang").to_pylist(), dtype=object)
-            for g in sorted(set(of)):
-                keys, n = np.unique(grams([t for t, x in zip(texts, of, strict=True) if x == g])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * len(keys), pa.string()), pa.array(keys), pa.array(n)],
-                                                 names=["lang", "gram", "n"])
+            out = []
+            for t, g, h, numbers in zip(texts, *(batch.column(c).to_pylist() for c in ("lang", "h", "numbers")), strict=True):
+                raw = bytes(ORDER) + t.encode("utf-8", "surrogatepass")
+                out += [(g, h, i, raw[i * piece:(i + 1) * piece + ORDER]) for i in numbers]
+            cols = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                                             names=["lang", "h", "number", "piece"])
+
+    sample = rows.mapInArrow(cut, "lang string, h long, number long, piece binary").dropDuplicates(["lang", "h", "number"]).select("lang", "piece")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                batch = whole.slice(lo, 2000)
+                of, pieces = batch.column("lang").to_pylist(), batch.column("piece").to_pylist()
+                for g in sorted(set(of)):
+                    keys, n = np.unique(windows([b for b, x in zip(pieces, of, strict=True) if x == g])[0], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(keys), pa.string()), pa.array(keys), pa.array(n)],
+                                                     names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.limit(MOST_GRAMS + 1).toPandas()
-    if len(found) > MOST_GRAMS:
-        raise ValueError(f"more than {MOST_GRAMS} context nodes; lower train_bytes")
+    found = counted.toPandas()
+    if len(found) and found.groupby("lang").size().max() > MOST_GRAMS:
+        raise ValueError(f"more than {MOST_GRAMS} context nodes of a language; lower train_bytes")
     if not len(found):
         return None
     languages = sorted(found["lang"].unique(), key=lambda s: s.encode())

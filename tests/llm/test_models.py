@@ -78,6 +78,21 @@ def test_language_query_held_out(spark):
     assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) >= 0.99 * len(held)
 
 
+def test_language_of_one_long_text_is_learnt(spark):
+    """However a language's bytes lie in its texts, it is learnt, from about ``train_bytes`` of them; whole
+    texts give the same trees as pieces that are all drawn."""
+    rnd, rows = random.Random(3), []
+    for k in range(8):
+        letters = "abcdefghijklmnop"[2 * k:2 * k + 2] + " "
+        rows += [(f"l{k}", "".join(rnd.choice(letters) for _ in range(30))) for _ in range(40)]
+        rows.append((f"l{k}", "".join(rnd.choice(letters) for _ in range(200_000))))
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    assert langid.train(docs, train_bytes=5_000).languages == [f"l{k}" for k in range(8)]
+    got = langid.train(docs.where("lang < 'l2'"))
+    want = langid.Trees.learn(["l0", "l1"], {g: np.unique(langid.grams([t for x, t in rows if x == g])[0], return_counts=True) for g in ("l0", "l1")})
+    assert all((a == b).all() for a, b in zip(got.gram + got.cost, want.gram + want.cost, strict=True))
+
+
 def test_language_odd_rows(spark, odd):
     trees = langid.train(odd)
     got = langid.predict(odd, trees).collect()
