@@ -23,12 +23,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,43 +121,73 @@ class Index:
     term: np.ndarray
     count: np.ndarray
     edge: np.ndarray
-    norm: np.ndarray
-    column: np.ndarray
-    common: np.ndarray
-    lists: np.ndarray
-    weights: np.ndarray
-    cut: np.ndarray
+    norm: np.ndarray | None = None
+    column: np.ndarray | None = None
+    common: np.ndarray | None = None
+    lists: np.ndarray | None = None
+    weights: np.ndarray | None = None
+    cut: np.ndarray | None = None
 
     @classmethod
-    def build(cls, vocabulary: np.ndarray, idf: np.ndarray, rows: list[tuple]) -> Index:
-        """``rows``: id, label and term counts, these as a dictionary or as arrays."""
+    def build(cls, vocabulary: np.ndarray, idf: np.ndarray, rows: Iterable[tuple]) -> Index:
+        """``rows``: id, label and term counts, these as a dictionary or as the bytes of two arrays. Their
+        bytes are let go one by one, as they are about as large as the index."""
         same: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
         for i, y, c in rows:
-            t, n = _arrays(c) if isinstance(c, dict) else c
-            if len(t):
-                same.setdefault((t.tobytes(), n.tobytes()), []).append((i, y))
-        term = np.frombuffer(b"".join(t for t, _ in same), np.int32)
-        count = np.frombuffer(b"".join(n for _, n in same), np.int32)
-        edge = np.cumsum([0, *(len(t) // 4 for t, _ in same)])
+            key = tuple(x.tobytes() for x in _arrays(c)) if isinstance(c, dict) else c
+            if key[0]:
+                same.setdefault(key, []).append((i, y))
         members = [sorted(m)[:NEIGHBOURS + 1] for m in same.values()]
-        del same
-        weight = (1 + np.log(count)) * idf[term]
-        norm = np.sqrt(np.add.reduceat(weight * weight, edge[:-1])) if len(members) else np.empty(0)
-        number = np.repeat(np.arange(len(members), dtype=np.int32), np.diff(edge))
-        weight = (weight / norm[number]).astype(np.float32)
-        often = np.bincount(term, minlength=len(idf))
+        packed = list(same)[::-1]
+        same.clear()
+        edge = np.cumsum([0, *(len(t) // 4 for t, _ in packed[::-1])])
+        highest = max((int(np.frombuffer(n, np.int32).max()) for _, n in packed), default=0)
+        term, count = np.empty(edge[-1], np.int32), np.empty(edge[-1], np.uint16 if highest < 1 << 16 else np.int32)
+        for v in range(len(members)):
+            term[edge[v]:edge[v + 1]], count[edge[v]:edge[v + 1]] = (np.frombuffer(b, np.int32) for b in packed.pop())
+        return cls(vocabulary, idf, members, term, count, edge)
+
+    def __getstate__(self) -> dict:
+        """What can't be worked out from the rest, compressed, as every executor keeps a file of it."""
+        step, press = 1 << 20, zstandard.ZstdCompressor(level=3).compress
+        return {"rest": (self.vocabulary, self.idf, self.members, self.edge, self.count.dtype), "parts": [
+            tuple(press(x.view(np.uint8).reshape(len(x), -1).T.tobytes()) for x in (
+                np.diff(self.term[lo:lo + step], prepend=np.int32(0)), self.count[lo:lo + step])) for lo in range(0, len(self.term), step)]}
+
+    def __setstate__(self, state: dict) -> None:
+        def back(part: bytes, kind: np.dtype) -> np.ndarray:
+            raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8)
+            return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+        vocabulary, idf, members, edge, kind = state["rest"]
+        parts = state["parts"]
+        term = np.concatenate([np.cumsum(back(t, np.int32), dtype=np.int32) for t, _ in parts]) if parts else np.empty(0, np.int32)
+        count = np.concatenate([back(n, kind) for _, n in parts]) if parts else np.empty(0, kind)
+        self.__init__(vocabulary, idf, members, term, count, edge)
+
+    def _lay_out(self) -> None:
+        """Matrix and lists."""
+        idf, edge, many = self.idf, self.edge, len(self.members)
+        often = np.bincount(self.term, minlength=len(idf))
         most = np.argsort(-often, kind="stable")[:MOST_COMMON]
-        most = most[often[most] * COMMON >= max(COMMON, len(members))]
-        column = np.full(len(idf), -1, np.int32)
-        column[most] = np.arange(len(most))
-        at = column[term]
-        common = np.zeros((len(most), len(members)), np.float32)
-        common[at[at >= 0], number[at >= 0]] = weight[at >= 0]
-        rest = np.nonzero(at < 0)[0]
-        rest = rest[np.argsort(term[rest], kind="stable")]
+        most = most[often[most] * COMMON >= max(COMMON, many)]
+        self.column = np.full(len(idf), -1, np.int32)
+        self.column[most] = np.arange(len(most))
         often[most] = 0
-        return cls(vocabulary, idf, members, term, count, edge, norm, column, common, number[rest], weight[rest],
-                   np.concatenate([[0], np.cumsum(often)]))
+        self.cut = np.concatenate([[0], np.cumsum(often)])
+        at = self.cut[:-1].copy()
+        self.lists, self.weights = np.empty(self.cut[-1], np.int32), np.empty(self.cut[-1], np.float32)
+        self.norm, self.common = np.empty(many), np.zeros((len(most), many), np.float32)
+        for v in range(many):
+            t = self.term[edge[v]:edge[v + 1]]
+            w = (1 + np.log(self.count[edge[v]:edge[v + 1]], dtype=np.float64)) * idf[t]
+            self.norm[v] = np.sqrt((w * w).sum())
+            w = w / self.norm[v]
+            rare = self.column[t] < 0
+            self.common[self.column[t[~rare]], v] = w[~rare]
+            own = at[t[rare]]
+            self.lists[own], self.weights[own] = v, w[rare]
+            at[t[rare]] += 1
 
     def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         t, n = _arrays(counts) if isinstance(counts, dict) else counts
@@ -170,6 +202,8 @@ class Index:
 
     def all_nearest(self, texts: list, k: int = NEIGHBOURS, but: list | None = None) -> Iterator[list[tuple[float, int, float]]]:
         """``nearest`` of many texts."""
+        if self.norm is None:
+            self._lay_out()
         dense = np.zeros(len(self.idf))
         for lo in range(0, len(texts), TEXTS):
             part = [self.vector(c) for c in texts[lo:lo + TEXTS]]
@@ -205,7 +239,7 @@ class Index:
         dense[t] = w * self.idf[t]
         sizes = self.edge[near + 1] - self.edge[near]
         own = np.repeat(self.edge[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        sums = np.add.reduceat((1 + np.log(self.count[own])) * dense[self.term[own]], np.cumsum(sizes) - sizes)
+        sums = np.add.reduceat((1 + np.log(self.count[own], dtype=np.float64)) * dense[self.term[own]], np.cumsum(sizes) - sizes)
         dense[t] = 0
         cosine = (sums / self.norm[near]).round(12)
         order = np.argsort(-cosine, kind="stable")
@@ -234,12 +268,14 @@ def isotonic(good: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``index`` None: nothing was learnt. ``curve``: calibrated score of each bin of the vote."""
+    """``index`` None: nothing was learnt. ``curve``: calibrated score of each bin of the vote.
+    ``shared``: the index where the workers have it already."""
 
     index: Index | None
     prior: float
     none: float
     curve: np.ndarray
+    shared: Broadcast | None = None
 
     def score(self, near: list[tuple[float, int, float]]) -> float:
         v = vote(near)
@@ -275,12 +311,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     vocabulary, a, b = (found.column(c).to_numpy() for c in ("term", "a", "b"))
     order = np.argsort(vocabulary)
     vocabulary, a, b = vocabulary[order], a[order].astype(float), b[order].astype(float)
+    del found, order
     n = pos + neg
     chi2 = n * (a * (neg - b) - b * (pos - a)) ** 2 / (float(pos * neg) * (a + b) * np.maximum(1, n - a - b))
     # Document frequency as in the whole, not as in the sample.
     idf = 1 + np.log((sum(total.values()) + 1) / (a / share[1] + b / share[0] + 1))
     idf *= np.sqrt(1 + np.where(a * neg > b * pos, chi2, 0.0))
 
+    del a, b, chi2
+
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = _Finder(vocabulary)
         for batch, texts in chunks(batches, "text"):
@@ -293,9 +332,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     made = materialise(sample.select(F.col("id").cast("long"), "y", "text").mapInArrow(
         vectors, "id long, y int, t binary, n binary"))
-    rows = [(r["id"], r["y"], unpacked(bytes(r["t"]), bytes(r["n"]))) for r in made.where(F.octet_length("t") > 0).toLocalIterator()]
+    rows = ((r["id"], r["y"], (bytes(r["t"]), bytes(r["n"]))) for r in made.where(F.octet_length("t") > 0).toLocalIterator())
     index = Index.build(vocabulary, idf, rows)
-    del rows
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +351,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         else:
             good[r["bin"]] += w * r["y"]
             weight[r["bin"]] += w
-    return Model(index, prior, none[0] / none[1] if none[1] else prior, isotonic(good, weight))
+    return Model(index, prior, none[0] / none[1] if none[1] else prior, isotonic(good, weight), shared)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", evidence: str = "evidence") -> DataFrame:
@@ -325,16 +363,17 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
                                       T.StructField("label", T.IntegerType())]))
     if model.index is None:
         return docs.select(*keep, F.lit(model.prior).alias(out), F.lit(None).cast(shape).alias(evidence))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.shared or docs.sparkSession.sparkContext.broadcast(model.index)
+    bare = Model(None, model.prior, model.none, model.curve)
     arrow = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        find = _Finder(m.index.vocabulary)
+        index = shared.value
+        find = _Finder(index.vocabulary)
         for batch, texts in chunks(batches, text):
-            near = list(m.index.all_nearest([find(t) for t in texts]))
+            near = list(index.all_nearest([find(t) for t in texts]))
             yield with_columns(batch, keep, **{
-                out: pa.array([m.score(x) for x in near], pa.float64()),
+                out: pa.array([bare.score(x) for x in near], pa.float64()),
                 evidence: pa.array([[(i, c, int(y)) for c, i, y in x] for x in near], arrow)})
 
     return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.DoubleType()),
