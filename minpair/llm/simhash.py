@@ -142,20 +142,26 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = 3) -> DataFrame:
     """All input columns but the text, with ``fp`` (signed) and ``component_id``."""
+    return rooted(docs, doc_id, text, ngram).drop("_root")
+
+
+def rooted(docs: DataFrame, doc_id: str, text: str, ngram: int) -> DataFrame:
+    """``near_duplicates`` with ``_root``, a fingerprint of the component that no other has; two components
+    share a ``component_id`` where an id stands on rows of both."""
     marked = materialise(fingerprints(fresh(docs, "component_id"), text, ngram))
     nodes = marked.groupBy("fp").agg(F.min(doc_id).alias("least"))
     roots = components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "root")
     named = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(named.join(names, "root").select("fp", "component_id"), "fp")
+    return marked.join(named.join(names, "root").select("fp", "component_id", F.col("root").alias("_root")), "fp")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = 3) -> DataFrame:
     """One row of each component, unchanged: the one with the smallest id (a null id last, equal
     ids by the text's hash; of rows that are alike in both any one)."""
     rows = docs.withColumn("_id", F.col(doc_id)).withColumn("_t", F.xxhash64(text))
-    group = near_duplicates(rows.select("_id", "_t", F.col(text).alias("_x")), "_id", "_x", ngram)
-    best = group.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).agg(
+    group = rooted(rows.select("_id", "_t", F.col(text).alias("_x")), "_id", "_x", ngram)
+    best = group.groupBy("_root").agg(
         F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_t")).alias("best"))
     best = best.select(F.col("best._id").alias("k_id"), F.col("best._t").alias("k_t"))
     return (rows.join(best, F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_t") == F.col("k_t")), "left_semi")

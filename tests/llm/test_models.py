@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from minpair.llm import ann, chat, langid, lm, quality, toxicity
+from minpair.llm import ann, chat, langid, lm, quality, simhash, toxicity
 from minpair.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -426,6 +426,13 @@ def test_chat_mismatched_pairs(spark):
     assert got[3].rejected is None and got[None].partner_id is None
 
 
+def test_keep_one_of_each_component(spark):
+    """An id on rows with different texts does not join their components."""
+    a, b = "one two three four five six seven", "red green blue white black grey pink"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == sorted([(1, a), (1, b)])
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 def test_pipeline(spark):
