@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from minpair.llm import ann, bpe, chat, langid, lm, mixing, quality, rules, simhash, toxicity
+from minpair.llm import (
+    ann, bisector, bpe, chat, langid, lm, mixing, quality, rules, simhash, syncmers, toxicity, whitening)
 from minpair.llm.texts import crc_mod
 from minpair.session import materialise
 
@@ -97,6 +98,28 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    names = ("anchors", "edited_anchors", "next_anchors")
+    rows = syncmers.edited(table(spark, sf_dir, "documents"))
+    rows = rows.withColumns({f"{kind}_{n}": f(F.col(n)) for n in names for kind, f in (("links", syncmers.links), ("spots", syncmers.spots))})
+    own, edited, after = ((F.col(f"links_{n}"), F.col(f"spots_{n}")) for n in names)
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        syncmers.fingerprint(F.col("anchors")).alias("fingerprint"), syncmers.fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        syncmers.likeness(own, edited).alias("near_edited"), syncmers.likeness(own, after).alias("near_next"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four leading whitened components of every embedding."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every embedding of 64 components, after three rounds from 16 drawn ones."""
+    return bisector.cluster(table(spark, sf_dir, "embeddings"), 64)
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
@@ -108,6 +131,9 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_language": op9_language,
     "op10_ann": op10_ann,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_whitening": op12_whitening,
+    "op13_clusters": op13_clusters,
 }
 
 OP4_SQL = """
@@ -219,7 +245,49 @@ FROM d JOIN line ON d.source IS NOT DISTINCT FROM line.source LEFT JOIN plan ON
 LEFT JOIN more ON d.source IS NOT DISTINCT FROM more.source AND d.place = more.place
 """
 
+OP13_SQL = """
+WITH v AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(64 * e::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS (SELECT k, x FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS k, x FROM v) WHERE k < 16),
+a0 AS (
+    SELECT r, arg_min(k, struct_pack(d := d, k := k)) AS k FROM (
+        SELECT r, k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c0 c) GROUP BY r),
+c1 AS (
+    SELECT c.k, coalesce(m.x, c.x) AS x FROM c0 c LEFT JOIN (
+        SELECT k, list(x ORDER BY i) AS x FROM (
+            SELECT k, i, (CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END)::BIGINT AS x FROM (
+                SELECT k, i, sum(e) AS s, count(*) AS n FROM (SELECT a.k, unnest(v.x) AS e, unnest(range(1, 65)) AS i FROM v JOIN a0 a USING (r)) GROUP BY k, i))
+        GROUP BY k) m USING (k)),
+a1 AS (
+    SELECT r, arg_min(k, struct_pack(d := d, k := k)) AS k FROM (
+        SELECT r, k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c1 c) GROUP BY r),
+c2 AS (
+    SELECT c.k, coalesce(m.x, c.x) AS x FROM c1 c LEFT JOIN (
+        SELECT k, list(x ORDER BY i) AS x FROM (
+            SELECT k, i, (CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END)::BIGINT AS x FROM (
+                SELECT k, i, sum(e) AS s, count(*) AS n FROM (SELECT a.k, unnest(v.x) AS e, unnest(range(1, 65)) AS i FROM v JOIN a1 a USING (r)) GROUP BY k, i))
+        GROUP BY k) m USING (k)),
+a2 AS (
+    SELECT r, arg_min(k, struct_pack(d := d, k := k)) AS k FROM (
+        SELECT r, k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c2 c) GROUP BY r),
+c3 AS (
+    SELECT c.k, coalesce(m.x, c.x) AS x FROM c2 c LEFT JOIN (
+        SELECT k, list(x ORDER BY i) AS x FROM (
+            SELECT k, i, (CASE WHEN s >= 0 THEN s // n ELSE -((-s + n - 1) // n) END)::BIGINT AS x FROM (
+                SELECT k, i, sum(e) AS s, count(*) AS n FROM (SELECT a.k, unnest(v.x) AS e, unnest(range(1, 65)) AS i FROM v JOIN a2 a USING (r)) GROUP BY k, i))
+        GROUP BY k) m USING (k)),
+fin AS (
+    SELECT r, vec_id, arg_min(k, struct_pack(d := d, k := k)) AS k, min(d) AS d FROM (
+        SELECT r, vec_id, k, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v CROSS JOIN c3 c)
+    GROUP BY r, vec_id)
+SELECT vec_id, fin.k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY fin.k))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256
+FROM fin JOIN c3 ON fin.k = c3.k
+"""
+
 ORACLE: dict[str, str] = {
+    "op13_clusters": OP13_SQL,
     "op5_rules": OP5_SQL,
     "op6_mixing": OP6_SQL,
     "op4_chat": OP4_SQL,
