@@ -18,20 +18,20 @@ from pyspark.sql import functions as F
 
 from minpair.functions.labels import gold_from_emotion, polarity
 from minpair.functions.ranking import hash_key, positions
-from minpair.functions.text import word_tokens
+from minpair.functions.text import char_tokens, word_tokens
 from minpair.operators.joins import join_dimension
 from minpair.session import materialise
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """M03 (long form): ``(id, term, n)`` from T10 word tokens over the whole text.
+def term_counts(df: DataFrame, id_col: str, text_col: str, chars: bool = False) -> DataFrame:
+    """M03 (long form): ``(id, term, n)`` from T10 word tokens (``chars``: characters) over the whole text.
 
     Documents are hash-partitioned by id *before* tokenising: the shuffle moves each text once
     (cheaper than moving its per-term rows), spreads the regex work over all tasks, and the per-
     document aggregation then needs no exchange.
     """
     docs = df.select(id_col, text_col).repartition(id_col)
-    t = docs.select(id_col, F.explode(word_tokens(F.col(text_col))).alias("term"))
+    t = docs.select(id_col, F.explode((char_tokens if chars else word_tokens)(F.col(text_col))).alias("term"))
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
