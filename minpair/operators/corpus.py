@@ -118,10 +118,9 @@ def dedupe_pairs(candidates: DataFrame) -> DataFrame:
     return first.select("lang", "sentence_1", "sentence_2", *[F.col("f." + c).alias(c) for c in ORDER + payload])
 
 
-def number_pairs(pairs: DataFrame, bucket_size: int = 4096) -> DataFrame:
+def number_pairs(pairs: DataFrame) -> DataFrame:
     """Exact 0-based ``pair_id`` within (lang, emotion, bias_type) in corpus order."""
-    bucket = [F.col(c) for c in ORDER[:-1]] + [F.floor(F.col("person_idx") / bucket_size)]
-    return positions(pairs, ["lang", "emotion", "bias_type"], ORDER, bucket, name="pair_id")
+    return positions(pairs, ["lang", "emotion", "bias_type"], ORDER, name="pair_id")
 
 
 def build_corpus(templates: DataFrame, emotions: DataFrame, people: DataFrame, grammar_cat: DataFrame,

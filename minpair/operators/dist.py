@@ -1,8 +1,8 @@
 """Distributions behind the study's figures.
 
-Labels and gaps are small integers, so every operator first aggregates to ``(slice, value, count)``
-and then works on that bounded table: windows, kernels and bootstrap replicates run over distinct
-values, never over raw rows.
+Every operator first aggregates to ``(slice, value, count)``: kernels and bootstrap replicates run over
+distinct values, which are few for labels and gaps (``bin_width`` bounds those of continuous inputs).
+Ranks and distribution functions are prefix sums over range partitions, so distinct values may be many.
 """
 
 from __future__ import annotations
@@ -12,6 +12,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from minpair.functions.ranking import attach, cumulative
+from minpair.session import materialise
+
 
 def stack_columns(df: DataFrame, keys: list[str], cols: list[str], name: str = "value",
                   tag: str = "source") -> DataFrame:
@@ -33,24 +36,17 @@ def label_distribution(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def wasserstein(df: DataFrame, keys: list[str], sample: str, value: str, a, b) -> DataFrame:
     """1-D Wasserstein distance between samples ``a`` and ``b`` of ``value`` per slice.
 
-    ``integral |F_a - F_b|`` over the union of observed values; the cumulative window runs over the
-    distinct values of a slice only.
+    ``integral |F_a - F_b|`` over the union of observed values. Both distribution functions are prefix
+    sums over range partitions, so a slice of continuous values spreads over many tasks.
     """
     c = df.groupBy(*keys, value).agg(
         F.sum(F.when(F.col(sample) == a, 1).otherwise(0)).alias("na"),
         F.sum(F.when(F.col(sample) == b, 1).otherwise(0)).alias("nb"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy(*keys)
-    c = c.withColumns({
-        "ta": F.sum("na").over(tot), "tb": F.sum("nb").over(tot),
-        "fa": F.try_divide(F.sum("na").over(run), F.sum("na").over(tot)),
-        "fb": F.try_divide(F.sum("nb").over(run), F.sum("nb").over(tot)),
-        "nxt": F.lead(value).over(w),
-    })
-    width = (F.col("nxt") - F.col(value)).cast("double")
-    g = c.groupBy(*keys).agg(F.coalesce(F.sum(F.abs(F.col("fa") - F.col("fb")) * width), F.lit(0.0)).alias("d"),
-                             F.max("ta").alias("ta"), F.max("tb").alias("tb"))
+    c = cumulative(c, keys, value, ["na", "nb"])
+    fa, fb = (F.try_divide(F.col(f"{n}_before") + F.col(n), F.col(f"{n}_total")) for n in ("na", "nb"))
+    width = (F.col("next_value") - F.col(value)).cast("double")
+    g = c.groupBy(*keys).agg(F.coalesce(F.sum(F.abs(fa - fb) * width), F.lit(0.0)).alias("d"),
+                             F.max("na_total").alias("ta"), F.max("nb_total").alias("tb"))
     # a slice where one sample is empty has no distance (NULL), rather than an ANSI division error
     return g.select(*keys, F.when((F.col("ta") > 0) & (F.col("tb") > 0), F.col("d")).alias("wasserstein"))
 
@@ -58,14 +54,23 @@ def wasserstein(df: DataFrame, keys: list[str], sample: str, value: str, a, b) -
 def five_numbers(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Quartiles (linear interpolation) and Tukey whiskers (extreme values within 1.5 IQR).
 
-    One chain over the per-value counts: the weighted ``percentile`` and the fences are window
-    aggregates over a slice's distinct values, the whiskers a final ``groupBy``.
+    Ranks of the distinct values are prefix sums over range partitions, so a slice of continuous values
+    spreads over many tasks; the two values next to each quartile are picked by their ranks, and the
+    whiskers are found among all values once the fences are known.
     """
     v = F.col(value).cast("double")
     vc = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys)
-    vc = vc.withColumn("q", F.percentile(F.col("v"), [0.25, 0.5, 0.75], F.col("c")).over(w))
-    vc = vc.withColumns({"q1": F.col("q")[0], "median": F.col("q")[1], "q3": F.col("q")[2]})
+    vc = materialise(cumulative(vc, keys, "v", ["c"]))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("c_before") <= rank) & (rank < F.col("c_before") + F.col("c")), F.col("v")))
+
+    places = {q: p * (F.col("c_total") - 1) for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    near = vc.groupBy(*keys).agg(*[at(f(p)).alias(f"{q}_{n}") for q, p in places.items() for n, f in (("lo", F.floor), ("hi", F.ceil))],
+                                 F.max("c_total").alias("c_total"))
+    quartiles = near.select(*keys, *[(F.col(f"{q}_lo") + (p - F.floor(p)) * (F.col(f"{q}_hi") - F.col(f"{q}_lo"))).alias(q)
+                                     for q, p in places.items()])
+    vc = attach(vc, quartiles, keys)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return vc.groupBy(*keys, "q1", "median", "q3").agg(
@@ -100,8 +105,12 @@ def _uniform(*cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") + 0.5) / float(16 ** 13)
 
 
-def _poisson(lam: Column, u: Column, u2: Column) -> Column:
-    """Poisson(lam) draw by inverse CDF for lam < 30, rounded normal approximation above."""
+#: What a count is split by, and how often the rejection is tried.
+PART, TRIES = 16, 32
+
+
+def _poisson_small(lam: Column, u: Column) -> Column:
+    """Poisson(lam) draw by inversion, for ``lam`` below ``PART``."""
     k_max = (lam + 12.0 * F.sqrt(lam) + 12.0).cast("int")
     # state: (k, pmf, cdf, result)
     init = F.struct(F.lit(0).alias("k"), F.exp(-lam).alias("pmf"), F.exp(-lam).alias("cdf"),
@@ -116,11 +125,53 @@ def _poisson(lam: Column, u: Column, u2: Column) -> Column:
         ).otherwise(F.struct(k1.alias("k"), pmf1.alias("pmf"), (acc["cdf"] + pmf1).alias("cdf"),
                              F.lit(-1).alias("res")))
 
-    small = F.aggregate(F.sequence(F.lit(0), F.greatest(k_max, F.lit(1))), init, step,
-                        lambda acc: F.when(acc["res"] >= 0, acc["res"]).otherwise(acc["k"]))
-    z = F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * u2)
-    big = F.greatest(F.lit(0), F.round(lam + F.sqrt(lam) * z).cast("int"))
-    return F.when(lam < 30, small).otherwise(big)
+    return F.aggregate(F.sequence(F.lit(0), F.greatest(k_max, F.lit(1))), init, step,
+                       lambda acc: F.when(acc["res"] >= 0, acc["res"]).otherwise(acc["k"]))
+
+
+def _log_factorial(k: Column) -> Column:
+    """ln k! by Stirling's series at ``k + 9``, eight factors taken off."""
+    z = k + 9.0
+    product = k + 1.0
+    for i in range(2, 9):
+        product = product * (k + float(i))
+    z2 = z * z
+    series = (1.0 / 12.0 - (1.0 / 360.0 - (1.0 / 1260.0 - (1.0 / 1680.0) / z2) / z2) / z2) / z
+    return (z - 0.5) * F.log(z) - z + 0.5 * math.log(2.0 * math.pi) + series - F.log(product)
+
+
+def _poisson_parts(lam: Column, uniform) -> Column:
+    """Poisson(lam) draw for a positive multiple of ``PART`` by transformed rejection with squeeze (Hoermann's
+    PTRS). ``uniform(tag, try)``: the two uniforms of a try. One try in four at most fails, so that after
+    ``TRIES`` of them all have failed (then the mean is taken) less than once in 10**18 draws."""
+    slam = F.sqrt(lam)
+    b = 0.931 + 2.53 * slam
+    a = -0.059 + 0.02483 * b
+    vr = 0.9277 - 3.6224 / (b - 2.0)
+    inv_alpha = 1.1239 + 1.1328 / (b - 3.4)
+
+    def attempt(i: Column) -> Column:
+        u, v = uniform("u", i) - 0.5, uniform("v", i)
+        us = 0.5 - F.abs(u)
+        k = F.floor((2.0 * a / us + b) * u + lam + 0.43).cast("double")
+        quick = (us >= 0.07) & (v <= vr)
+        full = ~((us < 0.013) & (v > us)) & (F.log(v) + F.log(inv_alpha) - F.log(a / (us * us) + b)
+                                             <= k * F.log(lam) - lam - _log_factorial(k))
+        return F.when((k >= 0) & (quick | full), k).otherwise(-1.0)
+
+    found = F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(-1.0), lambda acc, i: F.when(acc >= 0, acc).otherwise(attempt(i)))
+    return F.when(found >= 0, found).otherwise(lam)
+
+
+def poisson(count: Column, *key: Column) -> Column:
+    """Poisson draw whose mean is a whole ``count``: the draw of the remainder of a division by ``PART`` plus
+    the draw of the rest, both exact (a sum of Poisson draws is one), at any size. The uniforms are hashes of
+    ``key``."""
+    rest = F.pmod(count, F.lit(float(PART)))
+    whole = count - rest
+    small = _poisson_small(rest, _uniform(*key, F.lit(1)))
+    return small + F.when(whole > 0, _poisson_parts(whole, lambda tag, i: _uniform(
+        *key, F.concat(F.lit(tag), i.cast("string"))))).otherwise(0.0)
 
 
 def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 1000, seed: int = 0,
@@ -128,7 +179,7 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 1
     """A18 (bootstrap): Poisson bootstrap of the mean per slice.
 
     The data are first reduced to ``(slice, value, count)``; replicate ``b`` reweights each cell with
-    a Poisson(count) draw seeded by ``md5(slice, value, b, seed)`` (the sum of ``count``
+    an exact Poisson(count) draw seeded by ``md5(slice, value, b, seed)`` (the sum of ``count``
     independent Poisson(1) row weights). Work grows with slices x distinct values x replicates
     (``bin_width`` bounds the distinct values of continuous inputs).
     """
@@ -136,9 +187,9 @@ def bootstrap_ci(df: DataFrame, keys: list[str], value: str, replicates: int = 1
     cells = df.where(v.isNotNull()).groupBy(*keys, v.alias("v")).agg(F.count(F.lit(1)).cast("double").alias("c"))
     reps = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b"))
     key_str = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.col("v").cast("string"))
-    u1 = _uniform(key_str, F.col("b"), F.lit(seed), F.lit(1))
-    u2 = _uniform(key_str, F.col("b"), F.lit(seed), F.lit(2))
-    reps = reps.withColumn("w", _poisson(F.col("c"), u1, u2).cast("double"))
+    # the key is worked out once and not in every try
+    reps = reps.withColumn("__key", F.concat_ws("|", key_str, F.col("b").cast("string"), F.lit(str(seed))))
+    reps = reps.withColumn("w", poisson(F.col("c"), F.col("__key")).cast("double"))
     means = reps.groupBy(*keys, "b").agg(
         F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"),
         (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("point"), F.sum("c").alias("n"))

@@ -219,9 +219,8 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
 
 def build_vocabulary(term_table: DataFrame, first_id: int = 4, min_count: int = 1) -> DataFrame:
     """Vocabulary ``(term, id)`` by descending corpus frequency, ties by term; exact dense ids from
-    bucketed positions (no single-task global window)."""
-    # Written once: the bucket counts and the numbering both read it.
-    c = materialise(term_table.groupBy("term").agg(F.sum("n").alias("cnt")).where(F.col("cnt") >= min_count))
-    p = positions(c, [], [F.desc("cnt"), F.col("term")], [-F.col("cnt"), F.substring("term", 1, 2)], name="rank")
+    positions by range (no single-task global window)."""
+    c = term_table.groupBy("term").agg(F.sum("n").alias("cnt")).where(F.col("cnt") >= min_count)
+    p = positions(c, [], [F.desc("cnt"), F.col("term")], name="rank")
     return p.select("term", (F.col("rank") + first_id).alias("id"), "cnt")
 

@@ -10,9 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from minpair.functions.ranking import first_n, hash_key, hex_bucket, positions
+from minpair.functions.ranking import first_n, hash_key, positions
 from minpair.functions.text import format_text, scrub, scrub_count
-from minpair.session import materialise
 
 
 def format_data(reviews: DataFrame, body: str = "review_body", title: str = "review_title",
@@ -52,17 +51,16 @@ def class_counts(df: DataFrame, label: str, keys: list[str] | None = None) -> Da
 def balance_classes(df: DataFrame, label: str, id_col: str, seed: int = 42, keys: list[str] | None = None) -> DataFrame:
     """Undersample every class to the smallest class size, reproducibly.
 
-    Rows of a class are ranked by ``md5(seed-id)``; ranks come from bucketed positions (hex prefix
-    of the hash), so a class holding a third of the data is numbered by many tasks.
+    Rows of a class are ranked by ``md5(seed-id)``; ranks come from positions by range, so a class
+    holding a third of the data is numbered by many tasks.
     """
     keys = keys or []
     key = hash_key(F.lit(seed), F.col(id_col))
     df = df.withColumn("__h", key)
     counts = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__n"))
     limits = counts.withColumn("__limit", F.min("__n").over(Window.partitionBy(*keys))).drop("__n")
-    # rows of a large class beyond the smallest class size are cut in the bucket table already
-    ranked = first_n(df, [*keys, label], [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], limits,
-                     name="__pos")
+    # parts of a large class beyond the smallest class size are cut by the parts' table already
+    ranked = first_n(df, [*keys, label], [F.col("__h"), F.col(id_col)], limits, name="__pos")
     return ranked.drop("__h", "__pos")
 
 
@@ -83,31 +81,28 @@ def split_exact(df: DataFrame, id_col: str, seed: int = 42, test_size: float = 0
     """M02 (exact-size mode): ``test = ceil(n * test_size)`` rows by hash order, then the held-out
     part halved the same way (validation first, ``ceil`` half to test).
 
-    One chain: a global hash rank (bucketed, with the total from the bucket table), checkpointed,
-    then a second rank partitioned by the held-out flag (the train rows' second rank is unused).
+    One chain: a global hash rank (with the total from the parts' table), then a second rank
+    partitioned by the held-out flag (the train rows' second rank is unused).
     """
     d = df.withColumn("__h", hash_key(F.lit(seed), F.lit("a"), F.col(id_col)))
-    d = positions(d, [], [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], name="__p1",
-                  total_name="__n")
+    d = positions(d, [], [F.col("__h"), F.col(id_col)], name="__p1", total_name="__n")
     d = d.withColumn("__held", F.col("__p1") >= F.col("__n") - F.ceil(F.col("__n") * test_size))
-    d = materialise(d)  # read twice below (bucket counts and rows of the second rank)
     d = d.withColumn("__h2", hash_key(F.lit(seed), F.lit("b"), F.col(id_col)))
-    d = positions(d, ["__held"], [F.col("__h2"), F.col(id_col)], [hex_bucket(F.col("__h2"))], name="__p2",
-                  total_name="__m")
+    d = positions(d, ["__held"], [F.col("__h2"), F.col(id_col)], name="__p2", total_name="__m")
     n_val = F.col("__m") - F.ceil(F.col("__m") * 0.5)
     split = (F.when(~F.col("__held"), F.lit("train"))
              .when(F.col("__p2") < n_val, F.lit("validation")).otherwise(F.lit("test")))
     return d.select(*df.columns, split.alias("split"))
 
 
-def interleave(df: DataFrame, source: str, source_idx: Column, order: str, bucket_size: int = 4096) -> DataFrame:
+def interleave(df: DataFrame, source: str, source_idx: Column, order: str) -> DataFrame:
     """Round-robin interleave of sources, stopping at the shortest (k x min rows).
 
     Adds ``pos`` (position within the source, by ``order``) and ``interleave_pos`` (position in the
     interleaved stream).
     """
     d = df.withColumn("__si", source_idx)
-    d = positions(d, [source], [F.col(order)], [F.floor(F.col(order) / bucket_size)], name="pos")
+    d = positions(d, [source], [F.col(order)], name="pos")
     counts = d.groupBy(source, "__si").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(F.lit(0))  # over the per-source count table only (one row per source)
     lim = counts.select(source, F.min("__n").over(w).alias("__min"), F.count(F.lit(1)).over(w).alias("__k"),
@@ -117,15 +112,15 @@ def interleave(df: DataFrame, source: str, source_idx: Column, order: str, bucke
         "__min", "__k", "__si", "__rank")
 
 
-def first_rows(df: DataFrame, partition: list[str], order: str, n: int, bucket_size: int = 4096) -> DataFrame:
+def first_rows(df: DataFrame, partition: list[str], order: str, n: int) -> DataFrame:
     """The first ``n`` rows of each partition by ``order`` (a small-test subset)."""
-    return first_n(df, partition, [F.col(order)], [F.floor(F.col(order) / bucket_size)], n, name="pos")
+    return first_n(df, partition, [F.col(order)], n, name="pos")
 
 
 def seeded_shuffle(df: DataFrame, partition: list[str], id_col: str, seed: int) -> DataFrame:
     """Position of each row in a seeded shuffle (order by ``md5(seed-id)``)."""
     d = df.withColumn("__h", hash_key(F.lit(seed), F.col(id_col)))
-    d = positions(d, partition, [F.col("__h"), F.col(id_col)], [hex_bucket(F.col("__h"))], name="shuffle_pos")
+    d = positions(d, partition, [F.col("__h"), F.col(id_col)], name="shuffle_pos")
     return d.drop("__h")
 
 

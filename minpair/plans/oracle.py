@@ -769,28 +769,55 @@ def _u_sql(key: str, b: str, seed: int, stream: int) -> str:
     return f"((('0x' || substr(md5(concat_ws('|', {key}, CAST({b} AS VARCHAR), '{seed}', '{stream}')), 1, 13))::BIGINT + 0.5) / {float(16 ** 13)!r})"
 
 
-_KEY = "concat_ws('|', lang, bias_type, CAST(steps AS VARCHAR), CAST(v AS VARCHAR))"
-_POISSON_SMALL = ("list_reduce(range(0, greatest(CAST(floor(c + 12.0 * sqrt(c) + 12.0) AS BIGINT), 1) + 1), "
+_POISSON_SMALL = ("list_reduce(range(0, greatest(CAST(floor(r + 12.0 * sqrt(r) + 12.0) AS BIGINT), 1) + 1), "
                   "lambda acc, i: CASE WHEN acc.res >= 0 THEN acc "
                   "WHEN acc.cdf >= u1 THEN {'k': acc.k, 'pmf': acc.pmf, 'cdf': acc.cdf, 'res': acc.k} "
-                  "ELSE {'k': acc.k + 1, 'pmf': acc.pmf * c / (acc.k + 1), 'cdf': acc.cdf + acc.pmf * c / (acc.k + 1), "
-                  "'res': -1} END, {'k': 0, 'pmf': exp(-c), 'cdf': exp(-c), 'res': -1})")
-ORACLE["a18_bootstrap_ci"] = _with(votes_cte(), ensemble_cte(), f"""cells AS (
-  SELECT lang, bias_type, steps, CAST(performance_gap AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS c
-  FROM ens WHERE performance_gap IS NOT NULL GROUP BY lang, bias_type, steps, performance_gap
-), reps AS (
-  SELECT cells.*, b.b, {_u_sql(_KEY, 'b.b', 0, 1)} AS u1, {_u_sql(_KEY, 'b.b', 0, 2)} AS u2
-  FROM cells CROSS JOIN (SELECT unnest(range(1, 201)) AS b) b
+                  "ELSE {'k': acc.k + 1, 'pmf': acc.pmf * r / (acc.k + 1), 'cdf': acc.cdf + acc.pmf * r / (acc.k + 1), "
+                  "'res': -1} END, {'k': 0, 'pmf': exp(-r), 'cdf': exp(-r), 'res': -1})")
+
+
+def _draw(tag: str) -> str:
+    return f"((('0x' || substr(md5(key || '|{tag}' || i::VARCHAR), 1, 13))::BIGINT + 0.5) / {float(16 ** 13)!r}::DOUBLE)"
+
+
+def bootstrap_sql(source: str, keys: list[str], value: str, replicates: int) -> str:
+    """Poisson bootstrap: the remainder of a count by 16 by inversion, the rest by rejection, each try a row."""
+    kc = ", ".join(keys)
+    named = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
+    return f"""cells AS (
+  SELECT {kc}, CAST({value} AS DOUBLE) AS v, CAST(count(*) AS DOUBLE) AS c
+  FROM {source} WHERE {value} IS NOT NULL GROUP BY {kc}, {value}
+), keyed AS (
+  SELECT cells.*, c - (c::BIGINT % 16) AS lam, (c::BIGINT % 16)::DOUBLE AS r, b.b,
+    concat_ws('|', {named}, CAST(v AS VARCHAR), CAST(b.b AS VARCHAR), '0') AS key
+  FROM cells CROSS JOIN (SELECT unnest(range(1, {replicates + 1})) AS b) b
+), small AS (
+  SELECT *, CASE WHEN p.res >= 0 THEN p.res ELSE p.k END AS w1 FROM (SELECT *, {_POISSON_SMALL} AS p FROM (
+    SELECT *, {_draw('1').replace(" || i::VARCHAR", "")} AS u1 FROM keyed) k1) k2
+), tries AS (
+  SELECT key, lam, i, {_draw('u')} - 0.5 AS u, {_draw('v')} AS w, 0.931::DOUBLE + 2.53::DOUBLE * sqrt(lam) AS pb
+  FROM keyed, (SELECT unnest(range(0, 32)) AS i) t WHERE lam > 0
+), tried AS (
+  SELECT *, 0.5 - abs(u) AS us, -0.059::DOUBLE + 0.02483::DOUBLE * pb AS pa FROM tries
+), proposed AS (
+  SELECT *, floor((2.0 * pa / us + pb) * u + lam + 0.43) AS k FROM tried
+), accepted AS (
+  SELECT key, arg_min(k, i) AS w2 FROM proposed
+  WHERE k >= 0 AND ((us >= 0.07 AND w <= 0.9277::DOUBLE - 3.6224::DOUBLE / (pb - 2.0)) OR (NOT (us < 0.013 AND w > us)
+    AND ln(w) + ln(1.1239::DOUBLE + 1.1328::DOUBLE / (pb - 3.4)) - ln(pa / (us * us) + pb) <= k * ln(lam) - lam - lgamma(k + 1.0)))
+  GROUP BY key
 ), w AS (
-  SELECT *, CASE WHEN c < 30 THEN (CASE WHEN p.res >= 0 THEN p.res ELSE p.k END)
-    ELSE greatest(0, CAST(round(c + sqrt(c) * (sqrt(-2.0 * ln(u1)) * cos(2.0 * pi() * u2))) AS INTEGER)) END AS wt
-  FROM (SELECT *, {_POISSON_SMALL} AS p FROM reps) r
+  SELECT s.*, s.w1 + CASE WHEN s.lam > 0 THEN coalesce(a.w2, s.lam) ELSE 0 END AS wt FROM small s LEFT JOIN accepted a USING (key)
 ), means AS (
-  SELECT lang, bias_type, steps, b, sum(wt * v) / nullif(sum(wt), 0) AS m, sum(c * v) / sum(c) AS point, sum(c) AS n
-  FROM w GROUP BY lang, bias_type, steps, b
-)""") + """SELECT lang, bias_type, steps, CAST(first(n) AS BIGINT) AS n, round(first(point), 6) AS mean,
-  round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high
-FROM means GROUP BY lang, bias_type, steps"""
+  SELECT {kc}, b, sum(wt * v) / nullif(sum(wt), 0) AS m, sum(c * v) / sum(c) AS point, sum(c) AS n FROM w GROUP BY {kc}, b
+), ci AS (
+  SELECT {kc}, CAST(first(n) AS BIGINT) AS n, round(first(point), 6) AS mean,
+    round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM means GROUP BY {kc}
+)"""
+
+
+ORACLE["a18_bootstrap_ci"] = _with(votes_cte(), ensemble_cte(), bootstrap_sql(
+    "ens", ["lang", "bias_type", "steps"], "performance_gap", 200)) + "SELECT * FROM ci"
 
 ORACLE["a11_emotion_group_performance"] = _with(_SCORED, f"""ev AS (
   SELECT emotion, grp, {_GOLD} AS gold_label, {_pol('label')} AS pred FROM scored

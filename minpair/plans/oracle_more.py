@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from minpair.operators.linear import FEATURE, IDF_UNIT, UNIT, step
-from minpair.plans.oracle import _CORPUS_INPUTS, _GOLD, _REVIEWS, ORACLE, _pol, _tokens, _with
+from minpair.plans.oracle import _CORPUS_INPUTS, _GOLD, _REVIEWS, ORACLE, _pol, _tokens, _with, bootstrap_sql
 from minpair.plans.reports import ROUNDS
-from minpair.plans.sqlkit import bias_stats_select, class_table_ctes, report_select
+from minpair.plans.sqlkit import bias_stats_select, class_table_ctes, report_select, votes_cte
 
 # --- trained baseline: every round spelled out ----------------------------------------------------
 
@@ -105,3 +105,24 @@ ORACLE["m09_trained_performance"] = _with(*_TRAINED, f"""ev AS (
   grp, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1,
   CAST(sum(support) AS BIGINT) AS support, round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS acc
 FROM m_cls GROUP BY level, bias_type, grp"""
+
+
+# --- distributions of continuous values, large counts -----------------------------------------------
+
+_EVENTS = "ev AS (SELECT event_type, CAST(user_id % 2 AS INTEGER) AS half, value FROM events)"
+_STEPS = """vals AS (SELECT DISTINCT g, value FROM twice), f AS (
+  SELECT v.g, v.value, lead(v.value) OVER (PARTITION BY v.g ORDER BY v.value) - v.value AS width,
+    (SELECT count(*) FROM twice b WHERE b.g = v.g AND b.half = 0 AND b.value <= v.value)
+      / (SELECT count(*) FROM twice b WHERE b.g = v.g AND b.half = 0)::DOUBLE AS fa,
+    (SELECT count(*) FROM twice b WHERE b.g = v.g AND b.half = 1 AND b.value <= v.value)
+      / (SELECT count(*) FROM twice b WHERE b.g = v.g AND b.half = 1)::DOUBLE AS fb FROM vals v)"""
+ORACLE["a17_wasserstein_events"] = _with(_EVENTS, """twice AS (
+  SELECT event_type AS g, half, value FROM ev UNION ALL SELECT '<all>', half, value FROM ev)""", _STEPS) + """SELECT
+  nullif(g, '<all>') AS event_type, round(sum(abs(fa - fb) * width), 6) AS wasserstein FROM f GROUP BY g"""
+ORACLE["a19_five_numbers_events"] = _with(_EVENTS, """q AS (
+  SELECT event_type, half, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3
+  FROM ev GROUP BY event_type, half)""") + """SELECT event_type, half, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  count(*) AS n, min(value) AS min, max(value) AS max, min(value) FILTER (WHERE value >= q1 - 1.5 * (q3 - q1)) AS whisker_low,
+  max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)) AS whisker_high
+FROM ev JOIN q USING (event_type, half) GROUP BY event_type, half, q.q1, q.median, q.q3"""
+ORACLE["a18_bootstrap_large_counts"] = _with(votes_cte(), bootstrap_sql("votes", ["steps"], "label", 100)) + "SELECT * FROM ci"

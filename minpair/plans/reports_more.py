@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from minpair.operators import bias, corpus, linear, ml, perf, vote
+from minpair.operators import bias, corpus, dist, linear, ml, perf, vote
 from minpair.plans.reports import _baseline, _corpus, _validated, report, rounded
+from minpair.sources import views
+from minpair.sources.tables import table
 
 
 # --- trained baseline -----------------------------------------------------------------------------
@@ -56,3 +58,32 @@ def trained_performance(spark, sf_dir):
     """Nested performance of the trained baseline on the corpus against the emotions' gold labels."""
     scored = ml.evaluate_scorer(_trained_scored(spark, sf_dir))
     return rounded(perf.nested_performance(scored, "gold_label", "pred_polarity", "bias_type", "grp"))
+
+
+# --- distributions of continuous values, large counts -----------------------------------------------
+
+def _events(spark, sf_dir):
+    """Events with an even or odd user as the two samples."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return e.withColumn("half", (F.col("user_id") % 2).cast("int"))
+
+
+@report("a17_wasserstein_events")
+def wasserstein_events(spark, sf_dir):
+    """Distance between the values of even and odd users by event type, and over all events."""
+    e = _events(spark, sf_dir)
+    each = dist.wasserstein(e, ["event_type"], "half", "value", 0, 1)
+    every = dist.wasserstein(e, [], "half", "value", 0, 1).select(F.lit(None).cast("string").alias("event_type"), "wasserstein")
+    return rounded(each.unionByName(every))
+
+
+@report("a19_five_numbers_events")
+def five_numbers_events(spark, sf_dir):
+    """Quartiles and whiskers of the values by event type and by the user's half."""
+    return rounded(dist.five_numbers(_events(spark, sf_dir), ["event_type", "half"], "value"))
+
+
+@report("a18_bootstrap_large_counts")
+def bootstrap_large_counts(spark, sf_dir):
+    """Bootstrap interval of the labels of all runs by step: every cell counts hundreds of rows and more."""
+    return rounded(dist.bootstrap_ci(views.votes(spark, sf_dir), ["steps"], "label", replicates=100))
