@@ -871,7 +871,7 @@ FROM reviews GROUP BY product_category"""
 ORACLE["s08_label_files_by_suffix"] = _with(votes_cte(), _SEED_PAIRS) + """SELECT seed, steps, lang, bias_type, count(*) AS n,
   CAST(sum(label_1) AS BIGINT) AS sum_1, CAST(sum(label_2) AS BIGINT) AS sum_2
 FROM seed_pairs GROUP BY seed, steps, lang, bias_type"""
-ORACLE["s09_registry_votes"] = _with(votes_cte()) + """SELECT 'en_30_' || seed AS run, seed_rank, steps, count(*) AS n,
+ORACLE["s09_registry_votes"] = _with(votes_cte()) + """SELECT 'en_30.0_' || seed || '_2021_11_28' AS run, seed_rank, steps, count(*) AS n,
   CAST(sum(label) AS BIGINT) AS label_sum
 FROM votes WHERE lang = 'en' GROUP BY seed, seed_rank, steps"""
 _FILE_KEYS = ["bias_type", "steps", "side", "bias_cat"]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from minpair.operators.linear import FEATURE, IDF_UNIT, UNIT, step
-from minpair.plans.oracle import _CORPUS_INPUTS, _GOLD, _REVIEWS, ORACLE, _pol, _tokens, _with, bootstrap_sql
+from minpair.plans.oracle import _CONV, _CORPUS_INPUTS, _GOLD, _REVIEWS, _SEED_PAIRS, ORACLE, _pol, _tokens, _with, bootstrap_sql
 from minpair.plans.reports import ROUNDS
-from minpair.plans.sqlkit import bias_stats_select, class_table_ctes, report_select, votes_cte
+from minpair.plans import corpus_parts as _cp
+from minpair.plans.sqlkit import bias_stats_select, class_table_ctes, metrics_select, report_select, values, votes_cte
 
 # --- trained baseline: every round spelled out ----------------------------------------------------
 
@@ -126,3 +127,46 @@ ORACLE["a19_five_numbers_events"] = _with(_EVENTS, """q AS (
   max(value) FILTER (WHERE value <= q3 + 1.5 * (q3 - q1)) AS whisker_high
 FROM ev JOIN q USING (event_type, half) GROUP BY event_type, half, q.q1, q.median, q.q3"""
 ORACLE["a18_bootstrap_large_counts"] = _with(votes_cte(), bootstrap_sql("votes", ["steps"], "label", 100)) + "SELECT * FROM ci"
+
+
+# --- sources and sinks on real files ----------------------------------------------------------------
+
+ORACLE["s02_skipped_files"] = """SELECT source AS category, 'read' AS state, 0 AS files_unread, count(*) AS n_rows FROM documents
+WHERE source IS NOT NULL GROUP BY source
+UNION ALL VALUES ('broken', 'unread', 1, 0), ('absent', 'missing', 0, 0)"""
+
+ORACLE["s03_sheets"] = _with(_CORPUS_INPUTS) + f"""SELECT 'people' AS sheet, lang, true AS header_ok, count(*) AS n_rows,
+  count(*) FILTER (WHERE lang = 'es' AND person_idx % 50 = 0) AS n_rejected,
+  count(*) FILTER (WHERE NOT (lang = 'es' AND person_idx % 50 = 0)) AS n_last FROM people GROUP BY lang
+UNION ALL SELECT 'people', 'pt', false, NULL, NULL, NULL
+UNION ALL SELECT 'templates', lang, true, count(*), 0, count(template) FROM {values(_cp.TEMPLATES, "lang, idx, template", "t")} GROUP BY lang
+UNION ALL SELECT 'emotions', lang, true, count(*), 0, count(f) FROM {values(_cp.EMOTIONS, "lang, idx, c, w, g, f", "e")} GROUP BY lang"""
+
+_RUN = ["lang", "seed", "bias_type", "steps"]
+_SIDE = [*_RUN, "side", "bias_cat"]
+
+
+def _sides(name: str, where: str) -> str:
+    return f"""{name} AS (SELECT lang, seed, bias_type, steps, {_GOLD} AS gold_label, 1 AS side, bias_cat_1 AS bias_cat, {_pol('label_1')} AS pred
+  FROM seed_pairs {where} UNION ALL SELECT lang, seed, bias_type, steps, {_GOLD}, 2, bias_cat_2, {_pol('label_2')} FROM seed_pairs {where})"""
+
+
+_GAP = "sum(label_1 - label_2)::DOUBLE"
+_KINDS = {
+    "summary": f"SELECT lang, seed, count(*) AS n, sum(statistical_significance) AS total FROM ({bias_stats_select('seed_pairs', _RUN)}) q",
+    "summary_emotion": "SELECT lang, seed, count(*) AS n, sum(statistical_significance) AS total FROM ("
+                       f"{bias_stats_select('seed_pairs', [*_RUN, 'emotion'])}) q",
+    "labels": f"SELECT lang, seed, count(*) AS n, {_GAP} AS total FROM seed_pairs",
+    "labels_emotion": f"SELECT lang, seed, count(*) AS n, {_GAP} AS total FROM seed_pairs",
+    "polarity": f"SELECT lang, seed, count(*) AS n, sum(CASE {_GOLD} WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END)::DOUBLE "
+                "AS total FROM seed_pairs",
+    "performance": f"SELECT lang, seed, count(*) AS n, sum(acc) AS total FROM ({metrics_select('a', _SIDE)}) q",
+    "performance_binary": f"SELECT lang, seed, count(*) AS n, sum(f1) AS total FROM ({metrics_select('b', _SIDE)}) q",
+    "convergence": f"SELECT q.lang, seed, count(*) AS n, sum(bias_cat_1_mean) AS total FROM ({bias_stats_select('seed_pairs', _RUN)}) q "
+                   "JOIN conv ON c_type = 'mono' AND c_lang = q.lang AND c_steps = q.steps",
+}
+ORACLE["s10_output_set"] = _with(votes_cte(), _SEED_PAIRS, _CONV, _sides("all_sides", ""), _sides("marked", f"WHERE {_GOLD} <> 'neutral'"),
+                                 class_table_ctes("a", "all_sides", _SIDE, "gold_label", "pred"),
+                                 class_table_ctes("b", "marked", _SIDE, "gold_label", "pred")) + " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, lang, seed, n, round(total, 4) AS total, CAST(sum(n) OVER () AS BIGINT) AS n_written FROM ({sql} GROUP BY ALL) k"
+    for kind, sql in _KINDS.items())

@@ -876,16 +876,29 @@ def label_files_by_suffix(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.sum("label_1").alias("sum_1"), F.sum("label_2").alias("sum_2"))
 
 
+def write_run_folders(spark, root: str, configs: dict[str, tuple[str, str, list[str]]], steps: list[int]) -> None:
+    """Stand-in input of the registry: a configuration text a name, and a file in a folder for every step of
+    every run."""
+    for name, (model_lang, test_lang, runs) in configs.items():
+        text = "\n".join([f"model_lang: {model_lang}", f"test_lang: {test_lang}", "model_dirs:", *[f"  - {root}/models/{r}/" for r in runs], ""])
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{root}/config/{name}")
+        files = [(r, f) for r in runs for f in [*[f"checkpoint-{s}" for s in steps], "runs"]]
+        rows = spark.createDataFrame([(r, f, "weights") for r, f in files], "run string, folder string, value string")
+        for r in runs:
+            rows.where(F.col("run") == r).select("folder", "value").write.partitionBy("folder").text(f"{root}/models/{r}")
+
+
 @report("s09_registry_votes")
 def registry_votes(spark, sf_dir):
-    """The run registry, read from configuration rows and checkpoint folder names, says which
-    votes belong to a run; rows and labels of each run."""
+    """The run registry, read from configuration texts and the folders of the runs that they name, says
+    which votes belong to a run; rows and labels of each run."""
     from minpair.sources import tables
-    dirs = [f"/models/en_30_{s}/" for s, _ in dims.SEEDS]
-    configs = spark.createDataFrame([("multi", "en", dirs)], "model_lang string, test_lang string, model_dirs array<string>")
-    names = spark.createDataFrame([(d, f"checkpoint-{st}") for d in dirs for st in dims.STEPS] + [(d, "runs") for d in dirs],
-                                  "model_dir string, name string")
-    runs = tables.run_registry(configs, names).select("run", "seed", "seed_rank", "steps")
+    root = _place(spark, "runs")
+    dirs = [f"en_30.0_{s}_2021_11_28" for s, _ in dims.SEEDS]
+    write_run_folders(spark, root, {"en": ("en", "en", dirs), "other": ("multi", "de", ["multi+en_5_7"])}, dims.STEPS)
+    listed = tables.read_checkpoint_folders(spark, f"{root}/models").withColumn("name", F.regexp_replace("name", "^folder=", ""))
+    runs = tables.run_registry(tables.read_run_configs(spark, f"{root}/config/*"), listed)
+    runs = runs.where((F.col("test_lang") == "en") & (F.col("epochs") == 30)).select("run", "seed", "seed_rank", "steps")
     v = views.votes(spark, sf_dir).where(F.col("lang") == "en").drop("seed_rank")
     return v.join(runs, ["seed", "steps"]).groupBy("run", "seed_rank", "steps").agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"))

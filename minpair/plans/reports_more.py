@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from minpair.operators import bias, corpus, dist, linear, ml, perf, vote
-from minpair.plans.reports import _baseline, _corpus, _validated, report, rounded
-from minpair.sources import views
+from minpair.operators import bias, corpus, dist, linear, mart, ml, perf, prep, vote
+from minpair.plans import corpus_parts
+from minpair.plans.reports import _baseline, _corpus, _place, _validated, binding_convergence, report, rounded
+from minpair.session import materialise
+from minpair.sources import tables, views
 from minpair.sources.tables import table
 
 
@@ -87,3 +92,97 @@ def five_numbers_events(spark, sf_dir):
 def bootstrap_large_counts(spark, sf_dir):
     """Bootstrap interval of the labels of all runs by step: every cell counts hundreds of rows and more."""
     return rounded(dist.bootstrap_ci(views.votes(spark, sf_dir), ["steps"], "label", replicates=100))
+
+
+# --- sources and sinks on real files ----------------------------------------------------------------
+
+@report("s02_skipped_files")
+def skipped_files(spark, sf_dir):
+    """Files by category with one that is no Parquet file, and an expected category without a folder:
+    what was read of each, and which were skipped."""
+    path = _place(spark, "categories")
+    r = views.reviews(spark, sf_dir).select("review_id", "stars", F.col("product_category").alias("category")).where("category is not null")
+    r.write.partitionBy("category").parquet(path)
+    spark.createDataFrame([("not a parquet file",)], "value string").coalesce(1).write.text(f"{path}/category=broken")
+    names = r.select("category").distinct().unionByName(spark.createDataFrame([("broken",), ("absent",)], "category string"))
+    return tables.account_categories(spark, path, names, T.StructType([T.StructField("review_id", T.LongType())]))
+
+
+#: Columns of the sheets, as the files have them.
+SHEETS = {
+    "templates": ("template_idx int, template string", lambda spark, sf_dir: corpus_parts.templates(spark)),
+    "emotions": ("emotion_idx int, emotion_category string, emotion_word string, grammar string, emotion_word_female string",
+                 lambda spark, sf_dir: corpus_parts.emotions(spark)),
+    "people": ("person_1 string, person_2 string, person_1_type string, person_2_type string, bias_type string, grammar string, "
+               "person_idx int", corpus_parts.people),
+}
+
+
+@report("s03_sheets")
+def sheets(spark, sf_dir):
+    """The three sheets of every language as files, read by type with their headers checked. A third
+    language's people sheet has two columns swapped, and every 50th Spanish person has no number."""
+    root, out = _place(spark, "sheets"), []
+    for kind, (ddl, rows) in SHEETS.items():
+        schema = T.StructType.fromDDL(ddl)
+        df, path = rows(spark, sf_dir), f"{root}/{kind}"
+        cols = [F.col(c).cast("string").alias(c) for c in schema.names]
+        if kind == "people":
+            odd = (F.col("lang") == "es") & (F.col("person_idx") % 50 == 0)
+            cols[-1] = F.when(odd, "n/a").otherwise(F.col("person_idx").cast("string")).alias("person_idx")
+            swapped = [schema.names[1], schema.names[0], *schema.names[2:]]
+            df.where("lang = 'en'").select(*swapped).write.option("header", "true").csv(f"{path}/lang=pt")
+        df.select("lang", *cols).write.mode("append").option("header", "true").partitionBy("lang").csv(path)
+        names = schema.names[:6] if kind == "people" else schema.names
+        read = tables.read_sheet(spark, path, schema, len(names)).groupBy("lang").agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count("rejected").alias("n_rejected"), F.count(schema.names[-1]).alias("n_last"))
+        heads = tables.sheet_headers(spark, path, names).groupBy("lang").agg(F.bool_and("header_ok").alias("header_ok"))
+        out.append(heads.join(read, "lang", "left").select(F.lit(kind).alias("sheet"), "lang", "header_ok", "n_rows", "n_rejected", "n_last"))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def output_set(pairs, convergence) -> dict:
+    """The eight files of each run (language and seed) from its label pairs: summaries and labels, each
+    also by emotion, polarity codes, performance with and without neutral texts, and the summaries at
+    the language's convergence step."""
+    codes = perf.polarity_frame(pairs)
+    keys = ["lang", "seed", "bias_type", "steps"]
+    stats = materialise(bias.bias_stats_sets(pairs, keys))
+    means = ["bias_cat_1_mean", "bias_cat_2_mean", "performance_gap", "statistical_significance", "bias_cat_1_name", "bias_cat_2_name",
+             "bias_type", "steps"]
+    summary = stats.where("level = 'all'").select("lang", "seed", *means)
+    labels = ["label_1", "label_2", "performance_gap", "bias_cat_1", "bias_cat_2", "bias_type", "steps"]
+    scores = ["precision", "recall", "f1", "support", "acc", "bias_cat", "bias_type", "steps"]
+    return {
+        "summary": summary,
+        "summary_emotion": stats.where("level = 'emotion'").select("lang", "seed", *means, "emotion"),
+        "labels": pairs.select("lang", "seed", *labels),
+        "labels_emotion": pairs.select("lang", "seed", *labels, "emotion"),
+        "polarity": codes.select("lang", "seed", F.col("polarity_1_int").alias("label_1"), F.col("polarity_2_int").alias("label_2"),
+                                 F.col("polarity_gap").alias("performance_gap"), "bias_cat_1", "bias_cat_2", "bias_type", "steps", "emotion",
+                                 "gold_label", "gold_label_int"),
+        "performance": perf.side_performance(codes, keys).select("lang", "seed", *scores),
+        "performance_binary": perf.side_performance(codes, keys, binary=True).select("lang", "seed", *scores),
+        "convergence": mart.convergence_filter(mart.tag(summary, model_type="mono"), convergence).select("lang", "seed", *means),
+    }
+
+
+@report("s10_output_set")
+def all_outputs(spark, sf_dir):
+    """S10 + S12: all eight outputs of every run in one write, one run written again, all read back: rows, the
+    rows counted while writing, and the sum of the last number of each kind."""
+    path = _place(spark, "outputs")
+    pairs = materialise(vote.seed_pairs(views.votes(spark, sf_dir)))
+    outputs = {kind: rounded(df) for kind, df in output_set(pairs, binding_convergence(spark)).items()}
+    written = tables.write_outputs(outputs, path, ["lang", "seed"])
+    tables.write_outputs({k: df.where((F.col("lang") == "en") & (F.col("seed") == 42)) for k, df in outputs.items()}, path, ["lang", "seed"])
+    total = {"summary": "statistical_significance", "summary_emotion": "statistical_significance", "convergence": "bias_cat_1_mean",
+             "performance": "acc", "performance_binary": "f1", "polarity": "gold_label_int"}
+    out = []
+    for kind, df in outputs.items():
+        schema = T.StructType([f for f in df.schema.fields if f.name not in ("lang", "seed")] + [df.schema["lang"], df.schema["seed"]])
+        back = tables.read_output(spark, path, kind, schema)
+        out.append(back.groupBy("lang", "seed").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col(total.get(kind, "performance_gap")).cast("double")).alias("total")).select(
+            F.lit(kind).alias("kind"), "lang", "seed", "n", "total", F.lit(written[kind]).cast("long").alias("n_written")))
+    return rounded(reduce(lambda a, b: a.unionByName(b), out), 4)

@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from minpair.session import materialise
+
 DRIVER_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -52,6 +54,23 @@ def read_category_files(spark: SparkSession, paths: Iterable[str], schema: T.Str
     return df.withColumn("source_file", F.regexp_replace(name, r"\.parquet$", ""))
 
 
+def account_categories(spark: SparkSession, root: str, expected: DataFrame, schema: T.StructType) -> DataFrame:
+    """S02, the log of a tolerant read: for every expected category and every folder ``root/category=<c>``
+    its ``state`` - ``read``, ``partly`` (some files gave no row), ``unread`` (none did: broken or empty) or
+    ``missing`` (no folder) -, how many files gave no row, and the rows read. ``expected(category)``. Files
+    are listed without being opened; rows are counted by the file they come from."""
+    files = spark.read.format("binaryFile").option("basePath", root).load(root).select(
+        F.col("category").cast("string").alias("category"), F.col("_metadata.file_path").alias("file"))
+    rows = (spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").option("basePath", root)
+            .parquet(root).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n")))
+    found = files.join(rows, "file", "left").groupBy("category").agg(
+        F.count_if(F.col("n").isNull()).alias("files_unread"), F.count("n").alias("read"), F.sum("n").alias("n_rows"))
+    state = (F.when(F.col("read").isNull(), "missing").when(F.col("read") == 0, "unread")
+             .when(F.col("files_unread") > 0, "partly").otherwise("read"))
+    return expected.select("category").distinct().join(found, "category", "full").select(
+        "category", state.alias("state"), F.coalesce("files_unread", F.lit(0)).alias("files_unread"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
+
+
 def skipped_categories(loaded: DataFrame, expected: DataFrame, key: str = "source_file") -> DataFrame:
     """Expected categories that produced no rows (anti join, the log of skipped files)."""
     return expected.join(loaded.select(key).distinct(), key, "left_anti")
@@ -165,6 +184,56 @@ def write_result_csv(df: DataFrame, path: str, partition_by: list[str] | None =
     writer.csv(path)
 
 
+# --- S03: sheets -----------------------------------------------------------------------------------
+
+def read_sheet(spark: SparkSession, path: str, schema: T.StructType, checked: int | None = None) -> DataFrame:
+    """One kind of sheet, a CSV file or more for each ``path/lang=<l>``, read by type: the schema's columns,
+    ``lang``, ``source_file``, and ``rejected``, the line of a row that doesn't fit its types (NULL for sound
+    rows). Only files whose header starts with the schema's first ``checked`` names (default all) in their
+    order are read; :func:`sheet_headers` lists all. Read once, as lines are checked only where all
+    columns are read."""
+    names = schema.names[:checked]
+    sound = [f for header, files in file_headers(spark, path).items() if header_names(header)[:len(names)] == names for f in files]
+    full = T.StructType([*schema.fields, T.StructField("rejected", T.StringType())])
+    if not sound:
+        return spark.createDataFrame([], T.StructType([*full.fields, T.StructField("lang", T.StringType()), T.StructField("source_file", T.StringType())]))
+    rows = (spark.read.schema(full).option("header", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "rejected")
+            .option("basePath", path).csv(sound))
+    return materialise(rows.withColumn("source_file", F.col("_metadata.file_path")))
+
+
+def header_names(header: str) -> list[str]:
+    return [c.strip().strip('"') for c in header.split(",")]
+
+
+def sheet_headers(spark: SparkSession, path: str, expected: list[str]) -> DataFrame:
+    """``source_file, lang, header, header_ok`` of every file of a kind of sheet."""
+    rows = [(f, header, header_names(header)[:len(expected)] == expected) for header, files in file_headers(spark, path).items() for f in files]
+    found = spark.createDataFrame(rows, "source_file string, header string, header_ok boolean")
+    return found.withColumn("lang", F.regexp_extract("source_file", r"/lang=([^/]+)/", 1))
+
+
+# --- S10 / S12: all outputs of a set of runs -------------------------------------------------------
+
+def write_outputs(outputs: dict[str, DataFrame], path: str, by: list[str]) -> dict[str, int]:
+    """Every kind of output in one write, as CSV lines without header under ``kind=<k>/<by>=<v>/``.
+    Partitions that the rows touch are replaced, others stay, so one run can be written again. Returns the
+    number of rows of each kind, counted while they are written."""
+    lines = reduce(DataFrame.unionByName, [
+        df.select(F.lit(kind).alias("kind"), *by, F.to_csv(F.struct(*[c for c in df.columns if c not in by])).alias("value"))
+        for kind, df in outputs.items()])
+    seen = Observation()
+    lines = lines.observe(seen, *[F.count_if(F.col("kind") == kind).alias(kind) for kind in outputs])
+    lines.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind", *by).text(path)
+    return seen.get
+
+
+def read_output(spark: SparkSession, path: str, kind: str, schema: T.StructType) -> DataFrame:
+    """One kind of a set written by :func:`write_outputs`; ``schema`` holds the line's columns and those of
+    the folders."""
+    return spark.read.schema(schema).option("basePath", f"{path}/kind={kind}").csv(f"{path}/kind={kind}")
+
+
 # --- S07: a family of result files tagged by model type and language ----------------------------
 
 def read_result_family(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
@@ -189,20 +258,46 @@ def run_registry(configs: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """``configs(model_lang, test_lang, model_dirs array<string>)`` and ``checkpoints(model_dir,
     name)`` to ``(run, model_lang, test_lang, lang, epochs, seed, seed_rank, steps)``.
 
-    The folder name is ``<lang>_<epochs>_<seed>`` (``multi+en`` is one token); checkpoint folders
-    are ``checkpoint-<steps>``. ``seed_rank`` is the position in ``model_dirs`` (vote tie order).
+    The folder name is ``<lang>_<epochs>_<seed>`` and maybe a date (``multi+en`` is one token); checkpoint
+    folders are ``checkpoint-<steps>``. ``seed_rank`` is the position in ``model_dirs`` (vote tie order).
     """
     runs = configs.select("model_lang", "test_lang",
                           F.posexplode("model_dirs").alias("seed_rank", "model_dir"))
     base = F.element_at(F.filter(F.split(F.col("model_dir"), "/"), lambda s: s != ""), -1)
     parts = F.split(base, "_")
     runs = runs.select("*", base.alias("run"), parts[0].alias("lang"),
-                       parts[1].cast("int").alias("epochs"), parts[2].cast("int").alias("seed"))
+                       parts[1].cast("double").cast("int").alias("epochs"), parts[2].cast("int").alias("seed"))
+    runs = runs.withColumn("model_dir", folder_path(F.col("model_dir")))
     ck = checkpoints.where(F.col("name").startswith("checkpoint")).select(
-        "model_dir", F.regexp_extract("name", r"checkpoint-(\d+)", 1).cast("int").alias("steps"))
+        folder_path(F.col("model_dir")).alias("model_dir"), F.regexp_extract("name", r"checkpoint-(\d+)", 1).cast("int").alias("steps"))
     return runs.join(ck, "model_dir").drop("model_dir")
 
 
+def folder_path(path: Column) -> Column:
+    """A folder as a configuration or a listing names it, without the file system and the end's slashes."""
+    return F.regexp_replace(F.regexp_replace(path, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), r"/+$", "")
+
+
+def read_run_configs(spark: SparkSession, path: str) -> DataFrame:
+    """``(model_lang, test_lang, model_dirs)`` of every configuration text in a folder: two ``key: value``
+    lines and a list of folders, one a line after a hyphen."""
+    text = spark.read.text(path, wholetext=True)
+
+    def key(name: str) -> Column:
+        return F.regexp_extract("value", rf"(?m)^{name}:[ \t]*(\S+)", 1).alias(name)
+
+    return text.select(key("model_lang"), key("test_lang"), F.regexp_extract_all(
+        "value", F.lit(r"(?m)^[ \t]*-[ \t]+(\S+)"), 1).alias("model_dirs"))
+
+
+def read_checkpoint_folders(spark: SparkSession, root: str) -> DataFrame:
+    """``(model_dir, name)`` of every folder with files two levels below ``root``: a listing of paths, no
+    file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path"))
+    at = r"^(.*)/([^/]+)/[^/]+$"
+    return files.select(F.regexp_extract("path", at, 1).alias("model_dir"), F.regexp_extract("path", at, 2).alias("name")).distinct()
+
+
 # --- S15: category mapping -------------------------------------------------------------------------
 
 def read_category_mapping(spark: SparkSession, path: str) -> DataFrame:

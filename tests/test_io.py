@@ -182,3 +182,55 @@ def test_result_csv_glob_and_nan(spark, tmp_path):
     rows = df.collect()
     assert len(rows) == 1 and rows[0]["statistical_significance"] is None
     assert rows[0]["source_file"].endswith("de_42_emotion.csv")
+
+
+def test_account_of_categories(spark, tmp_path):
+    root = str(tmp_path / "cats")
+    df = spark.range(20).selectExpr("id AS review_id", "concat('c', id % 2) AS category")
+    df.repartition(2).write.partitionBy("category").parquet(root)
+    (tmp_path / "cats" / "category=c1" / "part-broken.parquet").write_bytes(b"PAR1 nothing")
+    (tmp_path / "cats" / "category=bad").mkdir()
+    (tmp_path / "cats" / "category=bad" / "x.parquet").write_text("no")
+    expected = spark.createDataFrame([("c0",), ("c1",), ("bad",), ("gone",)], "category string")
+    schema = T.StructType([T.StructField("review_id", T.LongType())])
+    got = {r.category: (r.state, r.files_unread, r.n_rows) for r in tables.account_categories(spark, root, expected, schema).collect()}
+    assert got == {"c0": ("read", 0, 10), "c1": ("partly", 1, 10), "bad": ("unread", 1, 0), "gone": ("missing", 0, 0)}
+
+
+def test_registry_of_real_folders(spark, tmp_path):
+    for run, step in (("de_15.0_42_2021_10_21", 100), ("de_15.0_42_2021_10_21", 9), ("de_15.0_5", 100), ("fr_1_1", 7)):
+        d = tmp_path / "m" / run / f"checkpoint-{step}"
+        d.mkdir(parents=True)
+        (d / "weights").write_text("x")
+    (tmp_path / "m" / "de_15.0_5" / "runs").mkdir()
+    (tmp_path / "m" / "de_15.0_5" / "runs" / "log").write_text("x")
+    (tmp_path / "cfg").mkdir()
+    (tmp_path / "cfg" / "de.yaml").write_text(f"model_lang: de\ntest_lang: en\nmodel_dirs:\n  - {tmp_path}/m/de_15.0_5\n  - file:{tmp_path}/m/de_15.0_42_2021_10_21/\n")
+    runs = tables.run_registry(tables.read_run_configs(spark, str(tmp_path / "cfg")), tables.read_checkpoint_folders(spark, str(tmp_path / "m")))
+    got = sorted(tuple(r) for r in runs.select("run", "model_lang", "test_lang", "lang", "epochs", "seed", "seed_rank", "steps").collect())
+    assert got == [("de_15.0_42_2021_10_21", "de", "en", "de", 15, 42, 1, 9), ("de_15.0_42_2021_10_21", "de", "en", "de", 15, 42, 1, 100),
+                   ("de_15.0_5", "de", "en", "de", 15, 5, 0, 100)]
+
+
+def test_sheets_report_bad_rows_and_headers(spark, tmp_path):
+    for lang, text in (("en", "a,b,n\nx,y,1\nx,y,oops\n,,3\n"), ("de", "b,a,n\ny,x,2\n"), ("fr", '"a","b",n\n"q, r",s,4\n')):
+        (tmp_path / "s" / f"lang={lang}").mkdir(parents=True)
+        (tmp_path / "s" / f"lang={lang}" / "sheet.csv").write_text(text)
+    schema = T.StructType.fromDDL("a string, b string, n int")
+    rows = tables.read_sheet(spark, str(tmp_path / "s"), schema)
+    assert sorted(((r.lang, r.a, r.n, r.rejected) for r in rows.collect()), key=str) == sorted([
+        ("en", "x", 1, None), ("en", "x", None, "x,y,oops"), ("en", None, 3, None), ("fr", "q, r", 4, None)], key=str)
+    heads = {r.lang: r.header_ok for r in tables.sheet_headers(spark, str(tmp_path / "s"), ["a", "b"]).collect()}
+    assert heads == {"en": True, "fr": True, "de": False}
+    assert tables.read_sheet(spark, str(tmp_path / "s" / "lang=de"), schema).collect() == []
+
+
+def test_outputs_replace_only_their_partitions(spark, tmp_path):
+    path = str(tmp_path / "out")
+    a = spark.createDataFrame([(1, "x", 1.5), (2, "y, z", None)], "seed int, name string, v double")
+    n = tables.write_outputs({"first": a, "second": a.where("seed = 2")}, path, ["seed"])
+    assert n == {"first": 2, "second": 1}
+    tables.write_outputs({"first": spark.createDataFrame([(1, "new", 2.5)], a.schema)}, path, ["seed"])
+    schema = T.StructType.fromDDL("name string, v double, seed int")
+    assert sorted(tuple(r) for r in tables.read_output(spark, path, "first", schema).collect()) == [("new", 2.5, 1), ("y, z", None, 2)]
+    assert [tuple(r) for r in tables.read_output(spark, path, "second", schema).collect()] == [("y, z", None, 2)]
