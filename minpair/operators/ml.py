@@ -35,18 +35,25 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, chars: bool = False)
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Terms of an idf table up to which it is sent to all tasks.
+MOST_SENT_IDF = 500_000
+
+
 def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """M04 (long form): ``tf * (ln((1 + N) / (1 + df)) + 1)``, L2-normalised per document.
 
-    ``N`` is the number of rows of ``df``. The term counts are written once and read for the document
-    frequencies and for the weights, so texts are tokenised once; the norm is summed per document
-    before the final join, which needs no window.
+    ``N`` is the number of rows of ``df``. The term counts are written once, dealt by document, and read for
+    the document frequencies and for the weights, so texts are tokenised once. An idf table of at most
+    ``MOST_SENT_IDF`` terms is sent to all tasks, and the norm, a window over a document's terms, needs no
+    further shuffle; a larger one is joined by term, which shuffles the counts there and back.
     """
     tc = materialise(term_counts(df, id_col, text_col))
     n_docs = df.count()  # one scalar
     dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = dfreq.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    w = tc.join(idf, "term").withColumn("w", F.col("n") * F.col("idf"))
+    idf = materialise(idf)
+    few = idf.count() <= MOST_SENT_IDF
+    w = tc.join(F.broadcast(idf) if few else idf, "term").withColumn("w", F.col("n") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     return w.select(id_col, "term", "n", (F.col("w") / norm).alias("tfidf"))
 

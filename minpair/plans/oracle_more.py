@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from minpair.operators.linear import FEATURE, IDF_UNIT, UNIT, step
-from minpair.plans.oracle import _CONV, _CORPUS_INPUTS, _GOLD, _REVIEWS, _SEED_PAIRS, ORACLE, _pol, _tokens, _with, bootstrap_sql
+from minpair.plans.oracle import _CONV, _CORPUS_INPUTS, _GOLD, _REVIEWS, _SEED_PAIRS, ORACLE, _identify, _pol, _PROFILE, _tokens, _with, bootstrap_sql
 from minpair.plans.reports import ROUNDS
 from minpair.plans import corpus_parts as _cp
 from minpair.plans.sqlkit import bias_stats_select, class_table_ctes, metrics_select, report_select, values, votes_cte
@@ -170,3 +170,26 @@ ORACLE["s10_output_set"] = _with(votes_cte(), _SEED_PAIRS, _CONV, _sides("all_si
                                  class_table_ctes("b", "marked", _SIDE, "gold_label", "pred")) + " UNION ALL ".join(
     f"SELECT '{kind}' AS kind, lang, seed, n, round(total, 4) AS total, CAST(sum(n) OVER () AS BIGINT) AS n_written FROM ({sql} GROUP BY ALL) k"
     for kind, sql in _KINDS.items())
+
+
+# --- text and labels --------------------------------------------------------------------------------
+
+ORACLE["t10_char_tokens"] = f"""SELECT doc_id, len({_chars('text')})::INTEGER AS n_tokens, md5(array_to_string({_chars('text')}, '|')) AS digest
+FROM documents"""
+_HAN = """han AS (SELECT doc_id, lang, CASE doc_id % 11 WHEN 0 THEN translate(text, 'ao', '\u6f22\u5b57')
+  WHEN 1 THEN translate(text, 'ao', '\u6c49\u5b57') WHEN 2 THEN translate(text, 'ao', '\u570b\u56fd')
+  WHEN 3 THEN translate(text, 'ao', '\u5b57\u4e2d') ELSE text END AS text FROM documents),
+zh AS (SELECT *, length(regexp_replace(text, '[^\u6c49\u56fd]', '', 'g')) AS s, length(regexp_replace(text, '[^\u6f22\u570b]', '', 'g')) AS t,
+  regexp_matches(text, '\\p{Han}') AS h FROM han),
+kinds AS (SELECT doc_id, lang, CASE WHEN h THEN s END AS n_simplified, CASE WHEN h THEN t END AS n_traditional,
+  CASE WHEN NOT h THEN NULL WHEN s > 0 AND t > 0 THEN 'mixed' WHEN s > 0 THEN 'simplified' WHEN t > 0 THEN 'traditional' ELSE 'unknown' END AS zh_variant
+  FROM zh)"""
+ORACLE["t05_chinese_variant"] = _with(_HAN) + "SELECT doc_id, n_simplified, n_traditional, zh_variant FROM kinds"
+ORACLE["a24_texts_by_variant"] = _with(_HAN, _PROFILE, "src AS (SELECT doc_id AS id, text FROM han)", _identify("src"), """keys AS (
+  SELECT k.lang, b.detected_lang FROM kinds k JOIN best b ON b.id = k.doc_id
+  UNION ALL SELECT lang, CASE WHEN zh_variant = 'simplified' THEN 'zh_cn' ELSE 'zh_tr' END FROM kinds WHERE zh_variant IS NOT NULL
+)""") + "SELECT lang, detected_lang, count(*) AS n FROM keys GROUP BY ROLLUP (lang, detected_lang)"
+ORACLE["p18_effective_lang"] = _with(votes_cte()) + """SELECT CASE WHEN seed = 0 THEN 'multi' WHEN seed = 63 AND lang = 'en' THEN 'en_scrubbed'
+  ELSE lang END AS model_lang, CASE WHEN seed = 63 AND lang = 'en' THEN 'en_s' ELSE lang END AS data_lang, count(*) AS n, CAST(sum(label) AS BIGINT) AS label_sum
+FROM votes GROUP BY ALL"""
+ORACLE["f05_substring_filter"] = _with(votes_cte()) + "SELECT bias_type, lang, count(*) AS n FROM votes WHERE contains(bias_type, 'ra') GROUP BY ALL"

@@ -604,7 +604,7 @@ def tfidf(spark, sf_dir):
 
 
 def _profiles(spark, sf_dir):
-    return text.trigram_profiles(_documents(spark, sf_dir, "doc_id", "text", "lang"), "doc_id", "text", "lang")
+    return text.trigram_profiles(_documents(spark, sf_dir, "text", "lang"), "text", "lang")
 
 
 @report("t04_identify_language")
@@ -620,8 +620,8 @@ def texts_by_language(spark, sf_dir):
     from minpair.sources.tables import table as _t
     conv = _t(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("tid"), "role", "text")
-    det = text.identify_language(conv, "tid", "text", _profiles(spark, sf_dir))
-    return text.texts_by_language(det.join(conv.select("tid", "role"), "tid"), ["role"])
+    det = text.identify_language(conv, "tid", "text", _profiles(spark, sf_dir), ["role"])
+    return text.texts_by_language(det, ["role"])
 
 
 @report("t05_script_flags")

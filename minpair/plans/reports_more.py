@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minpair.operators import bias, corpus, dist, linear, mart, ml, perf, prep, vote
+from minpair.functions.labels import effective_lang, relabel_lang
+from minpair.operators import bias, corpus, dist, linear, mart, ml, perf, text, vote
 from minpair.plans import corpus_parts
-from minpair.plans.reports import _baseline, _corpus, _place, _validated, binding_convergence, report, rounded
+from minpair.plans.reports import _baseline, _corpus, _documents, _place, _profiles, _validated, binding_convergence, report, rounded
 from minpair.session import materialise
 from minpair.sources import tables, views
 from minpair.sources.tables import table
@@ -186,3 +187,63 @@ def all_outputs(spark, sf_dir):
             F.count(F.lit(1)).alias("n"), F.sum(F.col(total.get(kind, "performance_gap")).cast("double")).alias("total")).select(
             F.lit(kind).alias("kind"), "lang", "seed", "n", "total", F.lit(written[kind]).cast("long").alias("n_written")))
     return rounded(reduce(lambda a, b: a.unionByName(b), out), 4)
+
+
+# --- text and labels --------------------------------------------------------------------------------
+
+@report("t10_char_tokens")
+def char_tokens(spark, sf_dir):
+    """T10 by characters (the analyser for zh / ja): their number, and a digest of them in order."""
+    d = text.tokens(_documents(spark, sf_dir, "doc_id", "text"), "text", chars=True)
+    return d.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", "|")).alias("digest"))
+
+
+#: Characters of one script only, as a user's table has them.
+SCRIPT_CHARACTERS = [("\u6f22", "traditional"), ("\u570b", "traditional"), ("\u6c49", "simplified"), ("\u56fd", "simplified")]
+
+
+def _chinese(spark, sf_dir):
+    """Documents in some of which letters are written as Han characters: of either script, both, or neither."""
+    d = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    kinds = {0: "\u6f22\u5b57", 1: "\u6c49\u5b57", 2: "\u570b\u56fd", 3: "\u5b57\u4e2d"}
+    written = F.col("text")
+    for k, chars in kinds.items():
+        written = F.when(F.col("doc_id") % 11 == k, F.translate("text", "ao", chars)).otherwise(written)
+    return d.withColumn("text", written)
+
+
+def _variants(spark, sf_dir, docs):
+    table_ = spark.createDataFrame(SCRIPT_CHARACTERS, "char string, variant string")
+    return text.chinese_variant(docs, "doc_id", "text", table_)
+
+
+@report("t05_chinese_variant")
+def chinese_variants(spark, sf_dir):
+    """Which Chinese script the Han characters of every document belong to."""
+    return _variants(spark, sf_dir, _chinese(spark, sf_dir)).select("doc_id", "n_simplified", "n_traditional", "zh_variant")
+
+
+@report("a24_texts_by_variant")
+def texts_by_variant(spark, sf_dir):
+    """Documents by detected language; those with Han characters count under a second key, simplified or
+    traditional, as well."""
+    docs = _chinese(spark, sf_dir)
+    det = text.identify_language(docs, "doc_id", "text", _profiles(spark, sf_dir), ["lang"])
+    return text.texts_by_language(det.join(_variants(spark, sf_dir, docs).select("doc_id", "zh_variant"), "doc_id"), ["lang"], "zh_variant")
+
+
+@report("p18_effective_lang")
+def effective_langs(spark, sf_dir):
+    """P18 + P15: the language of the data that each run is scored on - its own, or the target for the
+    multilingual run (seed 0) -, with the scrubbed run (seed 63 in English) under its short name."""
+    v = views.votes(spark, sf_dir)
+    model = (F.when(F.col("seed") == 0, "multi").when((F.col("seed") == 63) & (F.col("lang") == "en"), "en_scrubbed").otherwise(F.col("lang")))
+    v = v.withColumn("model_lang", model).withColumn("data_lang", relabel_lang(effective_lang(F.col("model_lang"), F.col("lang"))))
+    return v.groupBy("model_lang", "data_lang").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("label_sum"))
+
+
+@report("f05_substring_filter")
+def substring_filter(spark, sf_dir):
+    """F05 as the display script has it: bias types whose name contains a text (``ra``: race and rank)."""
+    v = mart.keep_bias_type(views.votes(spark, sf_dir), "ra", substring=True)
+    return v.groupBy("bias_type", "lang").agg(F.count(F.lit(1)).alias("n"))

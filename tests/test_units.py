@@ -210,7 +210,7 @@ def test_identify_language_returns_every_text(spark):
     """Texts without a trigram come back as ``und``."""
     from minpair.operators import text
     labelled = spark.createDataFrame([(1, "the cat and the hat", "en"), (2, "der hund und die katze", "de")], "id int, text string, lang string")
-    prof = text.trigram_profiles(labelled, "id", "text", "lang")
+    prof = text.trigram_profiles(labelled, "text", "lang")
     df = spark.createDataFrame([(1, "the hat"), (2, "ab"), (3, ""), (4, None), (5, "die katze")], "id int, text string")
     got = {r["id"]: r["detected_lang"] for r in text.identify_language(df, "id", "text", prof).collect()}
     assert got == {1: "en", 2: "und", 3: "und", 4: "und", 5: "de"}
