@@ -35,11 +35,15 @@ def dealt(df: DataFrame, order: list[Column | str]) -> DataFrame:
         "__idx", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id")
 
 
+def sent_if_few(table: DataFrame) -> DataFrame:
+    """The table marked for broadcast if a look at it finds few rows, else as it is."""
+    return F.broadcast(table) if table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else table
+
+
 def attach(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join to a table that has one row for each of ``keys`` (NULL is a value), broadcast if it
     has few rows."""
-    few = table.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return _null_safe_join(df, F.broadcast(table) if few else table, keys)
+    return _null_safe_join(df, sent_if_few(table), keys)
 
 
 def positions(df: DataFrame, partition: list[str], order: list[Column | str], name: str = "pos",

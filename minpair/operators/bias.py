@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.ranking import sent_if_few
 from minpair.functions.stats import paired_t, with_t_p_value
 
 
@@ -91,7 +92,7 @@ def missing_groups(observed: DataFrame, catalogue: DataFrame, keys: list[str]) -
     """
     slices = observed.select(*keys).distinct()
     # Slices x catalogue rows of their language: an equi-join on lang (catalogue is tiny).
-    expected = slices.join(F.broadcast(catalogue), "lang")
+    expected = slices.join(sent_if_few(catalogue), "lang")
     present = observed.select(*keys, "bias_type", "grp").distinct()
     return expected.join(present, [*keys, "bias_type", "grp"], "left_anti")
 
@@ -99,7 +100,7 @@ def missing_groups(observed: DataFrame, catalogue: DataFrame, keys: list[str]) -
 def attach_sides(predictions: DataFrame, sides: DataFrame) -> DataFrame:
     """Bias type and side of each prediction from the catalogue ``(lang, bias_type, grp,
     side)`` (broadcast equi-join on language and group; groups outside the catalogue drop out)."""
-    return predictions.join(F.broadcast(sides), ["lang", "grp"])
+    return predictions.join(sent_if_few(sides), ["lang", "grp"])
 
 
 def mean_labels(df: DataFrame, keys: list[str], group: str = "grp", extra: str = "emotion",

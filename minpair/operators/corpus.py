@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from minpair.functions.ranking import positions
+from minpair.functions.ranking import positions, sent_if_few
 from minpair.functions.text import collapse_whitespace
 from minpair.plans import dims
 from minpair.session import materialise
@@ -35,7 +35,7 @@ def fill_emotions(templates: DataFrame, emotions: DataFrame, grammar_cat: DataFr
     In agreement languages the ``state_estoy`` sentences carry male / female variants.
     """
     agreement_langs = dims.AGREEMENT_LANGS if agreement_langs is None else agreement_langs
-    eg = F.broadcast(_grammars(grammar_cat, "emotions"))  # fixed catalogue, a few rows
+    eg = sent_if_few(_grammars(grammar_cat, "emotions"))  # fixed catalogue, a few rows
     # templates containing the grammar's placeholder.
     tg = templates.join(eg, "lang").where(F.col("template").contains(F.col("placeholder")))
     # words whose grammar / category cell contains the name (substring, NULL -> false).
@@ -80,7 +80,7 @@ def fill_people(sentences: DataFrame, people: DataFrame, grammar_cat: DataFrame,
     of that grammar; both sides filled, whitespace collapsed. Not yet de-duplicated.
     """
     agreement_langs = dims.AGREEMENT_LANGS if agreement_langs is None else agreement_langs
-    pg = F.broadcast(_grammars(grammar_cat, "people"))
+    pg = sent_if_few(_grammars(grammar_cat, "people"))
     sg = sentences.join(pg, "lang").where(F.col("text").contains(F.col("placeholder")))
     pp = (people.withColumnRenamed("grammar", "grammar_cell").join(pg.select("lang", "grammar"), "lang")
           .where(F.coalesce(F.col("grammar_cell"), F.lit("")).contains(F.col("grammar"))))
@@ -89,9 +89,9 @@ def fill_people(sentences: DataFrame, people: DataFrame, grammar_cat: DataFrame,
                    F.trim("person_1_type").alias("bias_cat_1"), F.trim("person_2_type").alias("bias_cat_2"),
                    F.trim("grammar_1").alias("g1"), F.trim("grammar_2").alias("g2"))
     pp = pp.where((F.col("p1") != "") & (F.col("p2") != ""))  # F09
-    # The sentence side comes from the template and word sheets (fixed inputs, not data-sized):
-    # broadcast it, so the person pairs (which grow with the data) are never shuffled for this join.
-    j = F.broadcast(sg).join(pp, ["lang", "grammar"])
+    # The sentence side comes from the template and word sheets: few rows, as a rule, that are sent, so
+    # that the person pairs (which grow with the data) aren't shuffled for this join.
+    j = sent_if_few(sg).join(pp, ["lang", "grammar"])
     has_var = F.col("lang").isin(*agreement_langs) & F.col("variants").isNotNull() if agreement_langs else F.lit(False)
     base1 = F.when(has_var, F.coalesce(F.col("variants")[F.col("g1")], F.col("text"))).otherwise(F.col("text"))
     base2 = F.when(has_var, F.coalesce(F.col("variants")[F.col("g2")], F.col("text"))).otherwise(F.col("text"))
@@ -151,13 +151,34 @@ def validate_pairs(long: DataFrame) -> DataFrame:
 
 def corpus_sizes(pairs: DataFrame) -> DataFrame:
     """Pairs, distinct pairs and distinct sentences per (lang, bias_type, emotion), with
-    rollup totals (NULL emotion = all emotions of a bias type; NULL bias type = language total)."""
-    g = pairs.rollup("lang", "bias_type", "emotion").agg(
-        F.count(F.lit(1)).alias("n_pairs"),
-        F.count_distinct("sentence_1", "sentence_2").alias("n_distinct_pairs"),
-        F.count_distinct("sentence_1").alias("n_distinct_side_1"),
-        F.count_distinct("sentence_2").alias("n_distinct_side_2"))
-    return g.where(F.col("lang").isNotNull())
+    rollup totals (NULL emotion = all emotions of a bias type; NULL bias type = language total).
+
+    A pair and its two sentences are one row each for their language, combined before the shuffle, with the
+    set of slices that they occur in (a few, as types and emotions are catalogues); each then counts once in
+    every slice and total that its set touches. The rows are never copied for the levels.
+    """
+    def thing(kind: str, a, b):
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+    s1, s2, none = F.col("sentence_1"), F.col("sentence_2"), F.lit(None).cast("string")
+    things = pairs.where(F.col("lang").isNotNull()).select("lang", "bias_type", "emotion", F.explode(F.array(
+        thing("pair", s1, s2), thing("one", s1, none), thing("two", s2, none))).alias("t"))
+    things = things.where(F.col("t.a").isNotNull() & ((F.col("t.kind") != "pair") | F.col("t.b").isNotNull()))
+    slices = things.groupBy("lang", "t.kind", "t.a", "t.b").agg(
+        F.collect_set(F.struct(F.lit(0).alias("level"), "bias_type", "emotion")).alias("own"))
+    types = F.array_distinct(F.transform("own", lambda s: F.struct(
+        F.lit(1).alias("level"), s["bias_type"].alias("bias_type"), none.alias("emotion"))))
+    whole = F.array(F.struct(F.lit(3).alias("level"), none.alias("bias_type"), none.alias("emotion")))
+    keys = ["lang", "level", "bias_type", "emotion"]
+    distinct = slices.select("lang", "kind", F.explode(F.concat("own", types, whole)).alias("s")).select("lang", "kind", "s.*").groupBy(*keys).agg(
+        F.count_if(F.col("kind") == "pair").alias("n_distinct_pairs"), F.count_if(F.col("kind") == "one").alias("n_distinct_side_1"),
+        F.count_if(F.col("kind") == "two").alias("n_distinct_side_2"))
+    n = pairs.rollup("lang", "bias_type", "emotion").agg(F.count(F.lit(1)).alias("n_pairs"), F.grouping_id().cast("int").alias("level"))
+    same = distinct.select(*[F.col(k).alias(f"__{k}") for k in keys], "n_distinct_pairs", "n_distinct_side_1", "n_distinct_side_2")
+    on = [n[k].eqNullSafe(same[f"__{k}"]) for k in keys]
+    sizes = n.where(F.col("level") < 7).where(F.col("lang").isNotNull()).join(same, on, "left")
+    return sizes.select("lang", "bias_type", "emotion", "n_pairs", *[F.coalesce(c, F.lit(0)).alias(c) for c in (
+        "n_distinct_pairs", "n_distinct_side_1", "n_distinct_side_2")])
 
 
 def first_sentences(pairs: DataFrame, n: int = 11) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from minpair.functions.ranking import sent_if_few
 from minpair.functions.labels import (bias_direction, corrected_alpha, not_significant, relabel_lang,
                                       significant, within_band)
 from minpair.operators.bias import paired_ttest
@@ -99,7 +100,7 @@ def relabel(df: DataFrame, source: str = "en_scrubbed", target: str = "en_s") ->
 
 def with_type_order(df: DataFrame, order: DataFrame) -> DataFrame:
     """Attach the fixed display order of model types (broadcast dimension)."""
-    return df.join(F.broadcast(order), "model_type", "left")
+    return df.join(sent_if_few(order), "model_type", "left")
 
 
 def paired_model_test(mart: DataFrame, type_a: str, type_b: str, keys: list[str], item_keys: list[str],

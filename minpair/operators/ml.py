@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from minpair.functions.labels import gold_from_emotion, polarity
 from minpair.functions.ranking import hash_key, positions
 from minpair.functions.text import char_tokens, word_tokens
-from minpair.operators.joins import join_dimension
 from minpair.session import materialise
 
 
@@ -196,7 +195,7 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
     toks = docs.select(id_col, F.explode(segs).alias("s")).select(
         id_col, F.col("s.seg").alias("seg"), F.size("s.toks").alias("seg_len"),
         F.posexplode_outer(F.slice("s.toks", 1, budget)).alias("pos", "term"))
-    ids = join_dimension(toks, vocab, ["term"], how="left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
+    ids = toks.join(vocab, "term", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
     g = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seg", "pos", "id"))).alias("t"),
                                 F.max(F.when(F.col("seg") == 0, F.col("seg_len"))).alias("la"),
                                 F.max(F.when(F.col("seg") == 1, F.col("seg_len"))).alias("lb"))

@@ -129,6 +129,5 @@ def map_categories(df: DataFrame, mapping: DataFrame, col: str, out: str = "targ
 
     The mapping is a dimension (tens of rows in practice).
     """
-    from minpair.operators.joins import join_dimension
     m = mapping.select(F.col("source_category").alias(col), F.col("target_category").alias(out), "uncertain")
-    return join_dimension(df, m, [col], how="left")
+    return df.join(m, col, "left")

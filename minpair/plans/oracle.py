@@ -868,9 +868,10 @@ ORACLE["s01_reviews_roundtrip"] = _with(_RSPLIT) + """SELECT r.review_id, r.star
 FROM reviews r JOIN rsplit USING (review_id) WHERE r.language = 'en' AND rsplit.split = 'train'"""
 ORACLE["s02_category_files"] = _with(_REVIEWS) + """SELECT product_category, count(*) AS n, CAST(sum(stars) AS BIGINT) AS stars
 FROM reviews GROUP BY product_category"""
-ORACLE["s08_label_files_by_suffix"] = _with(votes_cte(), _SEED_PAIRS) + """SELECT seed, steps, lang, bias_type, count(*) AS n,
-  CAST(sum(label_1) AS BIGINT) AS sum_1, CAST(sum(label_2) AS BIGINT) AS sum_2
-FROM seed_pairs GROUP BY seed, steps, lang, bias_type"""
+ORACLE["s08_label_files_by_suffix"] = _with(votes_cte(), _SEED_PAIRS) + f"""SELECT p.*, q.performance_gap FROM (
+  SELECT seed, steps, lang, bias_type, count(*) AS n, CAST(sum(label_1) AS BIGINT) AS sum_1, CAST(sum(label_2) AS BIGINT) AS sum_2
+  FROM seed_pairs GROUP BY seed, steps, lang, bias_type) p
+FULL JOIN ({bias_stats_select("seed_pairs", ["lang", "seed", "bias_type", "steps"])}) q USING (seed, steps, lang, bias_type)"""
 ORACLE["s09_registry_votes"] = _with(votes_cte()) + """SELECT 'en_30.0_' || seed || '_2021_11_28' AS run, seed_rank, steps, count(*) AS n,
   CAST(sum(label) AS BIGINT) AS label_sum
 FROM votes WHERE lang = 'en' GROUP BY seed, seed_rank, steps"""

@@ -860,20 +860,20 @@ def category_files(spark, sf_dir):
 
 @report("s08_label_files_by_suffix")
 def label_files_by_suffix(spark, sf_dir):
-    """S10 + S08 + S06: label rows and summaries of every run written to one folder under their own
-    file names' endings; the label files are chosen by theirs and read by header."""
+    """S10 + S08 + S06: label rows (ending ``lab``) and summaries (``csv``) of every run written into the same
+    folders; each kind is chosen by its files' ending and read by header."""
     from minpair.sources import tables
     path = _place(spark, "runs")
+    seed = T.StructField("seed", T.IntegerType())
     pairs = vote.seed_pairs(views.votes(spark, sf_dir))
-    labels = [f.name for f in tables.LABEL_SCHEMA.fields]
-    tables.write_result_csv(pairs.select(*labels, "seed"), f"{path}/kind=labels", partition_by=["seed"])
-    summ = bias.bias_stats(pairs, ["lang", "seed", "bias_type", "steps"]).select(
-        *[f.name for f in tables.SUMMARY_SCHEMA.fields], "seed")
-    tables.write_result_csv(summ, f"{path}/kind=summary", partition_by=["seed"])
-    back = tables.read_result_csv(spark, f"{path}/kind=labels", T.StructType(
-        [*tables.LABEL_SCHEMA.fields, T.StructField("seed", T.IntegerType())]), glob="*.csv")
-    return back.groupBy("seed", "steps", "lang", "bias_type").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label_1").alias("sum_1"), F.sum("label_2").alias("sum_2"))
+    tables.write_result_csv(pairs.select(*tables.LABEL_SCHEMA.names, "seed"), path, partition_by=["seed"], mode="append", ending="lab")
+    summ = bias.bias_stats(pairs, ["lang", "seed", "bias_type", "steps"]).select(*tables.SUMMARY_SCHEMA.names, "seed")
+    tables.write_result_csv(rounded(summ), path, partition_by=["seed"], mode="append")
+    labels = tables.read_result_csv(spark, path, T.StructType([*tables.LABEL_SCHEMA.fields, seed]), glob="*.lab")
+    summaries = tables.read_result_csv(spark, path, T.StructType([*tables.SUMMARY_SCHEMA.fields, seed]), glob="*.csv")
+    keys = ["seed", "steps", "lang", "bias_type"]
+    n = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("label_1").alias("sum_1"), F.sum("label_2").alias("sum_2"))
+    return n.join(summaries.select(*keys, "performance_gap"), keys, "full")
 
 
 def write_run_folders(spark, root: str, configs: dict[str, tuple[str, str, list[str]]], steps: list[int]) -> None:

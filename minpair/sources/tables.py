@@ -176,9 +176,10 @@ def read_result_csv(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def write_result_csv(df: DataFrame, path: str, partition_by: list[str] | None = None,
-                     mode: str = "overwrite") -> None:
-    """Result tables as CSV with header, partitioned by the given columns."""
-    writer = df.write.mode(mode).option("header", "true")
+                     mode: str = "overwrite", ending: str = "csv") -> None:
+    """Result tables as CSV with header, partitioned by the given columns; ``ending``: three
+    letters that the files' names end in."""
+    writer = df.write.mode(mode).option("header", "true").option("extension", ending)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.csv(path)
