@@ -1,19 +1,25 @@
 """Toxicity from the nearest labelled examples.
 
-Texts become TF-IDF vectors over all terms of the labelled sample (words and word beginnings), and the
-examples of both labels are searched. Plain idf buries the few words that carry the label under
-hundreds that do not, so the idf of a term that is likelier in toxic examples is raised by the root of
-1 + its chi-square; every other term keeps its idf, and none is left out. Approximate cosines come
-from a matrix product over the commonest terms and inverted lists of all others; what reaches the k-th
-of them, less the rounding, is computed again in double precision, so the neighbours by cosine are
-exact. They vote by squared cosine, and the vote is calibrated by the examples' own votes without
-themselves (isotonic regression over a fixed number of bins). The neighbours are the evidence.
+Texts become TF-IDF vectors over all words of the labelled sample, and the examples of both labels are
+searched. Plain idf buries the few words that carry the label under hundreds that do not, so the idf of
+a word that is likelier in toxic examples is raised by the root of 1 + its chi-square; every other word
+keeps its idf, and none is left out.
+
+The index is inverted and in blocks: vectors are ordered by their heaviest word and cut into blocks of
+``BLOCK``; a word's list is in runs, one for each block that has it, and each run has its largest weight.
+The commonest words' runs are rows of a small matrix for each block. The largest weights of a text's words
+add up to a bound for every block. The blocks with the highest bounds are read first; what they reach
+for the k-th neighbour then decides which other blocks are read at all, each for those texts of a batch
+whose bound passes. Sums are off by less than ``ROUNDING``; whatever reaches the k-th, less that, is
+computed again in double precision, so the neighbours by cosine are exact. They vote by squared cosine,
+and the vote is calibrated by the examples' own votes without themselves (isotonic regression over a
+fixed number of bins). The neighbours are the evidence.
 
 Training uses a bounded sample: at most about ``examples`` labelled texts of either label, selected
 by a hash of the id; with them the index, which every worker gets, is bounded as well.
 
-Edge cases: null and empty texts have no terms and get the share of toxic examples among those
-without terms; ties in cosine go to the example with the smaller id; repeated rows are scored alike;
+Edge cases: null and empty texts have no words and get the share of toxic examples among those
+without words; ties in cosine go to the example with the smaller id; repeated rows are scored alike;
 labels that are null or contradict each other for an id are left out; without examples of both
 labels nothing is learnt and every score is the share of toxic examples (0 without any); an empty
 table gives an empty table; input columns named like an output column are replaced.
@@ -22,6 +28,7 @@ table gives an empty table; input columns named like an output column are replac
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -38,28 +45,27 @@ from pyspark.sql import types as T
 from minpair.llm.texts import chunks, fresh, sampled_labels, with_columns
 from minpair.session import materialise
 
-EXAMPLES = 8_000
-STEMS = (3, 4, 5, 6, 7, 8)
+EXAMPLES = 4_000
 LONGEST = 24
 NEIGHBOURS = 15
-#: Terms in at least one of so many examples, at most ``MOST_COMMON`` of them, are matched by a matrix
-#: product of so many texts; all others by inverted lists.
-COMMON, MOST_COMMON, TEXTS = 16, 1024, 128
-#: More than the approximate cosines can be off.
-ROUNDING = 2e-5
+#: Vectors of a block, how many blocks are read before the others' bounds are looked at, and texts of a batch.
+BLOCK, FIRST, TEXTS = 64, 8, 128
+#: Terms in at least one of so many vectors, ``MOST_COMMON`` of them at most, are rows of the blocks' matrices.
+COMMON, MOST_COMMON = 16, 1024
+#: More than the sums of products of unit vectors can be off: the common part has at most ``MOST_COMMON``
+#: float products and additions, each off by at most 2**-24 of a sum of sizes of at most 1 (Cauchy and
+#: Schwarz); the factors and the other terms' products add a few roundings more.
+ROUNDING = (MOST_COMMON + 8) * 2.0 ** -24
 KNOWN_RUNS = 300_000
 BINS = 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
 def run_terms(run: str) -> list[int]:
-    """64-bit hashes of the words of letters in a run of lower-case characters and of the words'
-    beginnings (marked by ``*``), as often as they stand."""
-    out = []
-    for w in WORD.findall(run):
-        keys = [w] * (len(w) <= LONGEST) + [w[:k] + "*" for k in STEMS if len(w) >= k]
-        out += [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in keys]
-    return out
+    """64-bit hashes of the words of letters in a run of lower-case characters, as often as they stand; a
+    word over ``LONGEST`` characters counts by its beginning (marked by ``*``)."""
+    return [xxhash.xxh3_64_intdigest((w if len(w) <= LONGEST else w[:LONGEST] + "*").encode("utf-8", "surrogatepass"))
+            for w in WORD.findall(run)]
 
 
 def terms(text: str) -> np.ndarray:
@@ -108,12 +114,20 @@ def _arrays(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     return t[order], n[order]
 
 
+def _spans(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all spans from ``lo`` up to ``hi``, one after the other."""
+    n = hi - lo
+    ends = np.cumsum(n)
+    return np.repeat(lo - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 @dataclass
 class Index:
     """Distinct vectors of the examples. ``members[v]``: the (id, label) that share vector v, smallest
     ids first; no more are kept than can be neighbours. ``term``, ``count``: the vectors' terms, cut at
-    ``edge``; ``column[t]``: place of a common term in ``common`` or -1; ``lists``, ``weights``: vectors
-    and weights of each other term, cut at ``cut``."""
+    ``edge``, ``forward``: their weights. ``column[t]``: row of a common term in the blocks' matrices ``common`` and in ``common_most``, their
+    largest weights by block, or -1. The other terms' lists: ``vectors`` and ``weights`` by term, in runs of
+    one block each; ``start``, ``block`` and ``most`` of every run, a term's runs cut at ``cut``."""
 
     vocabulary: np.ndarray
     idf: np.ndarray
@@ -122,10 +136,15 @@ class Index:
     count: np.ndarray
     edge: np.ndarray
     norm: np.ndarray | None = None
+    forward: np.ndarray | None = None
     column: np.ndarray | None = None
     common: np.ndarray | None = None
-    lists: np.ndarray | None = None
+    common_most: np.ndarray | None = None
+    vectors: np.ndarray | None = None
     weights: np.ndarray | None = None
+    start: np.ndarray | None = None
+    block: np.ndarray | None = None
+    most: np.ndarray | None = None
     cut: np.ndarray | None = None
 
     @classmethod
@@ -137,9 +156,15 @@ class Index:
             key = tuple(x.tobytes() for x in _arrays(c)) if isinstance(c, dict) else c
             if key[0]:
                 same.setdefault(key, []).append((i, y))
-        members = [sorted(m)[:NEIGHBOURS + 1] for m in same.values()]
-        packed = list(same)[::-1]
+        def heaviest(key: tuple[bytes, bytes]) -> int:
+            t, n = (np.frombuffer(b, np.int32) for b in key)
+            return int(t[((1 + np.log(n)) * idf[t]).argmax()])
+
+        # Vectors with the same heaviest term are neighbours, so that blocks are alike.
+        packed = sorted(same, key=heaviest)
+        members = [sorted(same[key])[:NEIGHBOURS + 1] for key in packed]
         same.clear()
+        packed.reverse()
         edge = np.cumsum([0, *(len(t) // 4 for t, _ in packed[::-1])])
         highest = max((int(np.frombuffer(n, np.int32).max()) for _, n in packed), default=0)
         term, count = np.empty(edge[-1], np.int32), np.empty(edge[-1], np.uint16 if highest < 1 << 16 else np.int32)
@@ -166,28 +191,33 @@ class Index:
         self.__init__(vocabulary, idf, members, term, count, edge)
 
     def _lay_out(self) -> None:
-        """Matrix and lists."""
-        idf, edge, many = self.idf, self.edge, len(self.members)
-        often = np.bincount(self.term, minlength=len(idf))
+        """Matrices, lists and runs."""
+        many, blocks = len(self.members), max(1, -(-len(self.members) // BLOCK))
+        own = np.repeat(np.arange(many), np.diff(self.edge))
+        w = (1 + np.log(self.count, dtype=np.float64)) * self.idf[self.term]
+        self.norm = np.sqrt(np.bincount(own, w * w, many))
+        w /= self.norm[own]
+        self.forward = w
+        often = np.bincount(self.term, minlength=len(self.idf))
         most = np.argsort(-often, kind="stable")[:MOST_COMMON]
         most = most[often[most] * COMMON >= max(COMMON, many)]
-        self.column = np.full(len(idf), -1, np.int32)
+        self.column = np.full(len(self.idf), -1, np.int32)
         self.column[most] = np.arange(len(most))
-        often[most] = 0
-        self.cut = np.concatenate([[0], np.cumsum(often)])
-        at = self.cut[:-1].copy()
-        self.lists, self.weights = np.empty(self.cut[-1], np.int32), np.empty(self.cut[-1], np.float32)
-        self.norm, self.common = np.empty(many), np.zeros((len(most), many), np.float32)
-        for v in range(many):
-            t = self.term[edge[v]:edge[v + 1]]
-            w = (1 + np.log(self.count[edge[v]:edge[v + 1]], dtype=np.float64)) * idf[t]
-            self.norm[v] = np.sqrt((w * w).sum())
-            w = w / self.norm[v]
-            rare = self.column[t] < 0
-            self.common[self.column[t[~rare]], v] = w[~rare]
-            own = at[t[rare]]
-            self.lists[own], self.weights[own] = v, w[rare]
-            at[t[rare]] += 1
+        row = self.column[self.term]
+        dense = np.zeros((blocks, len(most), BLOCK), np.float32)
+        here = row >= 0
+        dense[own[here] // BLOCK, row[here], own[here] % BLOCK] = w[here]
+        self.common, self.common_most = dense, dense.max(axis=2, initial=0).T.copy()
+        order = np.flatnonzero(~here)
+        order = order[np.argsort(self.term[order], kind="stable")]
+        self.vectors, self.weights = own[order], w[order]
+        run = self.term[order].astype(np.int64) * blocks + self.vectors // BLOCK
+        del own, w, row, here, order
+        first = np.flatnonzero(np.diff(run, prepend=-1))
+        self.start = np.append(first, len(run))
+        self.block = run[first] % blocks
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.cut = np.concatenate([[0], np.cumsum(np.bincount(run[first] // blocks, minlength=len(self.idf)))])
 
     def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         t, n = _arrays(counts) if isinstance(counts, dict) else counts
@@ -207,27 +237,49 @@ class Index:
         dense = np.zeros(len(self.idf))
         for lo in range(0, len(texts), TEXTS):
             part = [self.vector(c) for c in texts[lo:lo + TEXTS]]
-            asked = np.zeros((len(part), len(self.common)), np.float32)
-            for row, (t, w) in zip(asked, part, strict=True):
-                at = self.column[t]
-                row[at[at >= 0]] = w[at >= 0]
-            about = asked @ self.common
+            about = self._about(part, k) if self.members else None
             for j, (t, w) in enumerate(part):
-                if len(t) and len(self.members):
-                    yield self._exact(t, w, self._about(t, w, about[j]), k, but[lo + j] if but else None, dense)
+                if len(t) and about is not None:
+                    yield self._exact(t, w, about[j], k, but[lo + j] if but else None, dense)
                 else:
                     yield []
 
-    def _about(self, t: np.ndarray, w: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """Approximate cosines with all vectors; ``common``: the common terms' part."""
-        rare = self.column[t] < 0
-        lo, hi = self.cut[t[rare]], self.cut[t[rare] + 1]
-        spans = list(zip(lo.tolist(), hi.tolist(), strict=True))
-        if not spans:
-            return common
-        number = np.concatenate([self.lists[a:b] for a, b in spans])
-        weight = np.concatenate([self.weights[a:b] for a, b in spans]) * np.repeat(w[rare].astype(np.float32), hi - lo)
-        return common + np.bincount(number, weight, len(self.members))
+    def _about(self, part: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
+        """Rounded cosines of texts (rows) with all vectors that can be among their ``k + 1`` nearest; the
+        others have a part of their sum, or nothing."""
+        many, blocks = len(self.members), len(self.common)
+        asked = np.zeros((len(part), len(self.common_most)), np.float32)
+        lists = []
+        for row, (t, w) in zip(asked, part, strict=True):
+            at = self.column[t]
+            row[at[at >= 0]] = w[at >= 0]
+            t, w = t[at < 0], w[at < 0]
+            lists.append((_spans(self.cut[t], self.cut[t + 1]), np.repeat(w, self.cut[t + 1] - self.cut[t])))
+        bound = (asked @ self.common_most).astype(np.float64)
+        for row, (runs, w) in zip(bound, lists, strict=True):
+            row += np.bincount(self.block[runs], self.most[runs] * w, blocks)
+        about = np.zeros((len(part), blocks * BLOCK))
+        if blocks > FIRST:
+            first = np.zeros(bound.shape, bool)
+            np.put_along_axis(first, np.argpartition(-bound, FIRST - 1, axis=1)[:, :FIRST], True, axis=1)
+        else:
+            first = np.ones(bound.shape, bool)
+        self._read(about, asked, lists, first)
+        if blocks > FIRST:
+            line = np.partition(about, about.shape[1] - k - 1, axis=1)[:, about.shape[1] - k - 1] if many > k + 1 else np.zeros(len(part))
+            self._read(about, asked, lists, ~first & (bound >= line[:, None] - 2 * ROUNDING) & (bound > 0))
+        return about[:, :many]
+
+    def _read(self, about: np.ndarray, asked: np.ndarray, lists: list, which: np.ndarray) -> None:
+        """Add the products of the chosen blocks (columns of ``which``), each for the texts that chose it."""
+        for b in np.flatnonzero(which.any(axis=0)).tolist():
+            rows = np.flatnonzero(which[:, b])
+            about[rows, b * BLOCK:(b + 1) * BLOCK] += asked[rows] @ self.common[b]
+        for row, chosen, (runs, w) in zip(about, which, lists, strict=True):
+            here = chosen[self.block[runs]]
+            runs, w = runs[here], w[here]
+            at = _spans(self.start[runs], self.start[runs + 1])
+            row += np.bincount(self.vectors[at], self.weights[at] * np.repeat(w, self.start[runs + 1] - self.start[runs]), about.shape[1])
 
     def _exact(self, t: np.ndarray, w: np.ndarray, about: np.ndarray, k: int, but: int | None, dense: np.ndarray
                ) -> list[tuple[float, int, float]]:
@@ -236,12 +288,11 @@ class Index:
         near = np.nonzero((about >= line) & (about > 0))[0]
         if not len(near):
             return []
-        dense[t] = w * self.idf[t]
+        dense[t] = w
         sizes = self.edge[near + 1] - self.edge[near]
         own = np.repeat(self.edge[near] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        sums = np.add.reduceat((1 + np.log(self.count[own], dtype=np.float64)) * dense[self.term[own]], np.cumsum(sizes) - sizes)
+        cosine = np.add.reduceat(self.forward[own] * dense[self.term[own]], np.cumsum(sizes) - sizes).round(12)
         dense[t] = 0
-        cosine = (sums / self.norm[near]).round(12)
         order = np.argsort(-cosine, kind="stable")
         last = cosine[order[min(k, len(order) - 1)]]
         found = [(c, i, float(y)) for c, v in zip(cosine[order].tolist(), near[order].tolist(), strict=True) if c >= last
@@ -385,5 +436,6 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float, doc_id: str = "
     """The rows of ``docs`` with a score under ``threshold``, unchanged; learnt from all that are
     labelled."""
     model = train(docs, labels, doc_id, text, label)
-    kept = score(docs.withColumn("_x", F.col(text)), model, "_x", "_score", "_near")
-    return kept.where(F.col("_score") < threshold).select(*docs.columns)
+    own = {c: f"toxicity_{uuid.uuid4().hex}_{c}" for c in ("text", "score", "near")}
+    kept = score(docs.withColumn(own["text"], F.col(text)), model, own["text"], own["score"], own["near"])
+    return kept.where(F.col(own["score"]) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
