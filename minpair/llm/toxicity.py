@@ -49,7 +49,7 @@ EXAMPLES = 4_000
 LONGEST = 24
 NEIGHBOURS = 15
 #: Vectors of a block, how many blocks are read before the others' bounds are looked at, and texts of a batch.
-BLOCK, FIRST, TEXTS = 64, 8, 128
+BLOCK, FIRST, TEXTS = 128, 4, 256
 #: Terms in at least one of so many vectors, ``MOST_COMMON`` of them at most, are rows of the blocks' matrices.
 COMMON, MOST_COMMON = 16, 1024
 #: More than the sums of products of unit vectors can be off: the common part has at most ``MOST_COMMON``
@@ -59,13 +59,20 @@ ROUNDING = (MOST_COMMON + 8) * 2.0 ** -24
 KNOWN_RUNS = 300_000
 BINS = 64
 WORD = re.compile(r"[^\W\d_]+")
+#: Marks that often end a run; a run without other marks needs no pattern.
+MARKS = frozenset(".,;:!?")
 
 
 def run_terms(run: str) -> list[int]:
     """64-bit hashes of the words of letters in a run of lower-case characters, as often as they stand; a
     word over ``LONGEST`` characters counts by its beginning (marked by ``*``)."""
-    return [xxhash.xxh3_64_intdigest((w if len(w) <= LONGEST else w[:LONGEST] + "*").encode("utf-8", "surrogatepass"))
-            for w in WORD.findall(run)]
+    if run.isalpha():
+        words = [run]
+    elif run[:-1].isalpha() and run[-1] in MARKS:
+        words = [run[:-1]]
+    else:
+        words = WORD.findall(run)
+    return [xxhash.xxh3_64_intdigest((w if len(w) <= LONGEST else w[:LONGEST] + "*").encode("utf-8", "surrogatepass")) for w in words]
 
 
 def terms(text: str) -> np.ndarray:
@@ -76,11 +83,12 @@ def terms(text: str) -> np.ndarray:
 
 class _Finder:
     """Numbers of the vocabulary's terms in a text, ascending, and their counts. What a run of
-    characters between white space has of them is kept; a full cache is emptied."""
+    characters between white space has of them is kept (the number of a single word, -1 for one that the
+    vocabulary lacks, or several numbers); a full cache is emptied."""
 
     def __init__(self, vocabulary: np.ndarray):
         self.vocabulary = vocabulary
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, int | tuple[int, ...]] = {}
 
     def _learn(self, runs: list[str]) -> None:
         own = [run_terms(r) for r in runs]
@@ -88,22 +96,32 @@ class _Finder:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
         hit = self.vocabulary[at] == hashes if len(self.vocabulary) else np.zeros(len(hashes), bool)
         found, place = np.where(hit, at, -1).tolist(), 0
+        known = self.known
         for r, x in zip(runs, own, strict=True):
-            self.known[r] = [t for t in found[place:place + len(x)] if t >= 0]
+            if len(x) == 1:
+                known[r] = found[place]
+            else:
+                known[r] = tuple(t for t in found[place:place + len(x)] if t >= 0)
             place += len(x)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         runs = Counter(text.lower().split())
-        new = [r for r in runs if r not in self.known]
-        if len(self.known) + len(new) > KNOWN_RUNS:
-            self.known.clear()
-            new = list(runs)
+        known = self.known
+        new = runs.keys() - known.keys() if len(known) < len(runs) else [r for r in runs if r not in known]
+        if len(known) + len(new) > KNOWN_RUNS:
+            known.clear()
+            new = runs.keys()
         if new:
-            self._learn(new)
+            self._learn(list(new))
         out: dict[int, int] = {}
         for run, n in runs.items():
-            for t in self.known[run]:
-                out[t] = out.get(t, 0) + n
+            t = known[run]
+            if t.__class__ is int:
+                if t >= 0:
+                    out[t] = out.get(t, 0) + n
+            else:
+                for t in t:
+                    out[t] = out.get(t, 0) + n
         return _arrays(out)
 
 
