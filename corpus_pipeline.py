@@ -59,7 +59,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("encoding", encode),
 ]
 
-#: The model-based stages can't be written in SQL; the tests hold run() against brute force.
+#: The model-based stages can't be written in SQL; the tests compare run() with its stages one by one.
 ORACLE_SQL: str | None = None
 
 
