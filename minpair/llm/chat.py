@@ -8,8 +8,9 @@ Edge cases: null roles and texts are rendered as empty; turns are equal if role
 being equal to null; equal conversations give empty completions, as does the shorter one of two if it
 is a prefix of the other; a null conversation counts as one without turns, and its completion is
 null; markers inside texts are broken up so that they can't end a turn; turns with the same number
-are ordered by role and text; rows with a null conversation id form one conversation without a
-partner; an empty table gives an empty table; extra columns are not read.
+are ordered by role and text; a row with a null conversation id is a conversation of its own without
+a partner; an empty table gives an empty table; extra columns are not read, and those named like an output column
+are replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from minpair.llm.texts import fresh, shield
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
+ADDED = ("n_common", "prompt", "chosen_completion", "chosen_spans", "rejected_completion", "rejected_spans")
 
 
 def _text(x: Column) -> Column:
@@ -61,6 +65,7 @@ def common_turns(a: Column, b: Column) -> Column:
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` has two arrays of structs with role and text. All other columns, with ``n_common``,
     ``prompt``, ``chosen_completion``, ``chosen_spans``, ``rejected_completion``, ``rejected_spans``."""
+    pairs, back = shield(fresh(pairs, *ADDED), chosen, rejected)
     keep = [c for c in pairs.columns if c not in (chosen, rejected)]
     none = F.array().cast(pairs.schema[chosen].dataType)
     rows = pairs.select(*keep, F.col(chosen).alias("_c"), F.col(rejected).alias("_r"),
@@ -72,7 +77,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     # A null side has no common turns: the prompt is then empty.
     return rows.select(*keep, "n_common", render(F.slice(F.coalesce("_c", none), F.lit(1), F.col("n_common"))).alias("prompt"),
                        render(rest("_c")).alias("chosen_completion"), trained_spans(rest("_c")).alias("chosen_spans"),
-                       render(rest("_r")).alias("rejected_completion"), trained_spans(rest("_r")).alias("rejected_spans"))
+                       render(rest("_r")).alias("rejected_completion"), trained_spans(rest("_r")).alias("rejected_spans")).withColumnsRenamed(back)
 
 
 def mismatched_pairs(conversations: DataFrame) -> DataFrame:
@@ -81,12 +86,18 @@ def mismatched_pairs(conversations: DataFrame) -> DataFrame:
     one, the partner being the conversation whose id differs in the lowest bit. A conversation
     without a reply is no pair; without a partner's reply rejected is null."""
     turn = F.struct("turn", "role", "text")
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("t"))
+    # The rows of both partners meet in one shuffle, by what their ids have in common; ``own`` tells
+    # the rows without an id apart.
+    rows = conversations.select("conv_id", turn.alias("x"), F.shiftright("conv_id", 1).alias("half"),
+                                F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own"))
+    whole = rows.repartition("half", "own").groupBy("half", "own", "conv_id").agg(F.sort_array(F.collect_list("x")).alias("t"))
     places = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.col("t")[i - 1]["role"] == TRAINED)
     cut = whole.withColumn("last", F.array_max(places)).where("last is not null").select(
-        "conv_id", F.transform(F.slice("t", 1, F.col("last")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
-    replies = cut.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("conv_id").alias("partner_id"),
-                         F.element_at("chosen", -1).alias("reply"))
-    swapped = F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("reply"))
-    return cut.join(replies, "conv_id", "left").select(
-        "conv_id", "partner_id", "chosen", F.when(F.col("partner_id").isNotNull(), swapped).alias("rejected"))
+        "half", "own", "conv_id", F.transform(F.slice("t", 1, F.col("last")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("chosen"))
+    both = cut.groupBy("half", "own").agg(F.collect_list(F.struct("conv_id", "chosen")).alias("both")).select(
+        F.explode(F.transform("both", lambda a: F.struct(a.alias("own"), F.get(F.filter(
+            "both", lambda b: b["conv_id"] != a["conv_id"]), F.lit(0)).alias("partner")))).alias("p"))
+    chosen, partner = F.col("p.own.chosen"), F.col("p.partner")
+    swapped = F.concat(F.slice(chosen, F.lit(1), F.size(chosen) - 1), F.array(F.element_at(partner["chosen"], -1)))
+    return both.select(F.col("p.own.conv_id").alias("conv_id"), partner["conv_id"].alias("partner_id"), chosen.alias("chosen"),
+                       F.when(partner.isNotNull(), swapped).alias("rejected"))

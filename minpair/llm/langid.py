@@ -10,8 +10,9 @@ are equally likely beforehand.
 The trees come from a sample of pieces of distinct texts, about ``train_bytes`` bytes for each language,
 that a hash of the text and the piece's number selects; a byte keeps the context before its piece.
 Pieces are short beside ``train_bytes``, so however a language's bytes lie in its texts, it is learnt,
-and has about ``train_bytes`` nodes an order at most. The nodes of each language are checked before
-they go to the workers, which hold a cost for every node and language.
+and has about ``train_bytes`` nodes an order at most. There can be any number of languages: ``TOGETHER``
+at a time are brought to the driver and laid out in a table of costs of their own, so what goes to the
+workers grows in step with the number of languages, whatever the input's size.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0, as is every text when
 nothing was learnt; ties go to the first language in code point order; texts of any length are scored
@@ -21,25 +22,26 @@ empty table gives an empty table; input columns named like an output column are
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minpair.llm.texts import chunks, fresh, with_columns
+from minpair.llm.texts import chunks, fresh, shield, with_columns
+from minpair.session import materialise
 
 ORDER = 4
 TRAIN_BYTES = 1_500_000
 #: Bytes of a piece; with small ``train_bytes`` less, so that many pieces make them up.
 PIECE, LEAST_PIECES = 2048, 512
-#: ``MOST_GRAMS``: nodes of the highest order of one language.
-MOST_LANGUAGES, MOST_GRAMS = 256, 6_000_000
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages whose trees share a table of costs, which has a cell for every node and language.
+TOGETHER = 4
+LETTER = regex.compile(r"\p{L}")
 
 
 def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -127,16 +129,25 @@ class Trees:
         return out
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES) -> Trees | None:
+class Forest:
+    """Trees of many languages, some in each part."""
+
+    def __init__(self, parts: list[Trees]):
+        self.parts = parts
+        self.languages = [g for part in parts for g in part.languages]
+
+    def bits(self, packed: np.ndarray) -> np.ndarray:
+        return np.concatenate([part.bits(packed) for part in self.parts], axis=1)
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_bytes: int = TRAIN_BYTES) -> Trees | Forest | None:
     """Context trees of the languages in ``docs``; None if there are none."""
     known = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) > 0)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     sizes = known.groupBy("lang", "h").agg(F.max(F.octet_length("text")).alias("n")).groupBy("lang").agg(
-        F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+        F.sum("n").alias("n")).collect()
     if not sizes:
         return None
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, train_bytes / r["n"])))])
     piece = max(1, min(PIECE, train_bytes // LEAST_PIECES))
     mask = (1 << 53) - 1
@@ -167,21 +178,22 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_bytes:
                                                      names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    found = counted.toPandas()
-    if len(found) and found.groupby("lang").size().max() > MOST_GRAMS:
-        raise ValueError(f"more than {MOST_GRAMS} context nodes of a language; lower train_bytes")
-    if not len(found):
-        return None
-    languages = sorted(found["lang"].unique(), key=lambda s: s.encode())
-    return Trees.learn(languages, {g: (x["gram"].to_numpy(), x["n"].to_numpy()) for g, x in found.groupby("lang")})
+    counted = materialise(counted)
+    languages = sorted((r["lang"] for r in counted.select("lang").distinct().collect()), key=lambda s: s.encode())
+    parts = []
+    for i in range(0, len(languages), TOGETHER):
+        own = languages[i:i + TOGETHER]
+        found = counted.where(F.col("lang").isin(own)).toPandas()
+        parts.append(Trees.learn(own, {g: (x["gram"].to_numpy(), x["n"].to_numpy()) for g, x in found.groupby("lang")}))
+    return Forest(parts) if len(parts) > 1 else parts[0] if parts else None
 
 
-def predict(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, trees: Trees | Forest | None, text: str = "text") -> DataFrame:
     """All input columns but the text, with ``lang_pred`` and ``score``."""
-    docs = fresh(docs, "lang_pred", "score")
+    docs, back = shield(fresh(docs, "lang_pred", "score"), text)
     keep = [c for c in docs.columns if c != text]
     if trees is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score")).withColumnsRenamed(back)
     model = docs.sparkSession.sparkContext.broadcast(trees)
     # Fewer characters a step when there are many languages: a step holds bytes times languages.
     step = max(50_000, 4_000_000 // len(trees.languages))
@@ -202,5 +214,5 @@ def predict(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFra
             yield with_columns(batch, keep, lang_pred=pa.array([m.languages[b] if x else "und" for b, x in zip(best, lettered, strict=True)]),
                                score=pa.array(np.where(lettered, score, 0.0)))
 
-    fields = [docs.schema[c] for c in keep]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    shape = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, shape).withColumnsRenamed(back)

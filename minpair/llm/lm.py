@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from minpair.llm.texts import chunks, fresh, hash_words, words
+from minpair.llm.texts import chunks, fresh, hash_words, private, shield, words
 from minpair.session import materialise
 
 CHUNK = 8_000_000
@@ -148,17 +148,17 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.rint(np.log(np.maximum(counts, 1)) / np.log(BASE)).astype(np.int64)
 
 
-def tokenised(docs: DataFrame, text: str, train: Column) -> DataFrame:
+def tokenised(docs: DataFrame, text: str, train: str) -> DataFrame:
     """One row a chunk: number, the other columns of its rows, the tokens of each row, which rows
     train, the sorted distinct words and every token's number among them."""
-    keep = [c for c in docs.columns if c != text]
-    rows = docs.select(*keep, F.col(text).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
+    keep = [c for c in docs.columns if c not in (text, train)]
+    rows = docs.select(*keep, text, F.coalesce(train, F.lit(False)).alias(train))
     row_type = T.StructType([docs.schema[c] for c in keep])
     arrow_rows = to_arrow_type(row_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        for batch, texts in chunks(batches, "_text", CHUNK):
+        for batch, texts in chunks(batches, text, CHUNK):
             ws, lengths = [], []
             for t in texts:
                 own = words(t)
@@ -172,7 +172,7 @@ def tokenised(docs: DataFrame, text: str, train: Column) -> DataFrame:
             keys, place = np.unique(tokens, return_inverse=True)
             members = pa.StructArray.from_arrays([batch.column(c) for c in keep], fields=list(arrow_rows))
             listed = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), members)
-            trains = np.array(batch.column("_train").to_pylist(), np.uint8)
+            trains = np.array(batch.column(train).to_pylist(), np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part << 32 | number], pa.int64()), listed,
                  *(pa.array([b], pa.binary()) for b in (pack(np.array(lengths)), trains.tobytes(), pack(keys, True), pack(place)))],
@@ -317,9 +317,10 @@ def score(docs: DataFrame, train: Column, text: str = "text", filter_bytes: int
     ``base_score`` (add-a-tenth unigram) and ``score``, log10 probabilities. ``train`` marks the rows
     to learn from; ``filter_bytes`` bounds the whole filter, None leaves it as large as the counts
     need."""
-    docs = fresh(docs, *ADDED)
-    keep = [c for c in docs.columns if c != text]
-    table = tokenised(docs, text, train)
+    mark, = private("train")
+    docs, back = shield(fresh(docs.withColumn(mark, train), *ADDED), text, mark)
+    table = tokenised(docs, text, mark)
+    keep = [c for c in docs.columns if c not in (text, mark)]
     shards = max(1, -(-table.count() // 2))
     share = None if filter_bytes is None else max(1, filter_bytes // shards)
     sent = table.mapInArrow(lambda b: _sent(b, shards), SENT)
@@ -335,4 +336,4 @@ def score(docs: DataFrame, train: Column, text: str = "text", filter_bytes: int
     shape = T.StructType([*[docs.schema[c] for c in keep], *(T.StructField(c, T.LongType()) for c in ADDED[:3]),
                           *(T.StructField(c, T.DoubleType()) for c in ADDED[3:])])
     replies = answers.where("chunk is not null").select("chunk", "shard", "counts", *FOUND)
-    return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, shape)
+    return table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, shape).withColumnsRenamed(back)

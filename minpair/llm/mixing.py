@@ -13,7 +13,7 @@ source's line of the plan alone.
 Edge cases: a null text has size 0; a null source is a source of its own, sorted last; rows of size
 0 are never needed to reach a target and follow the same rule; rows equal in id and text are taken
 alike; sources of size 0 and an empty table give target 0; input columns named like an output column
-are replaced.
+are replaced by ``mix`` and come back as they were from ``repeat``; any other column passes through.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from minpair.llm.texts import fresh, word_count
+from minpair.llm.texts import fresh, private, shield, word_count
 from minpair.session import materialise
 
 #: Slices of the seeded order: its 12 leading bits.
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """All input columns with ``size`` (words), ``source_size``, ``target``, ``copies`` (times the
     row is taken) and ``taken`` (words taken, repeats counted). ``cycle``: weights of the sources in
     the order of their names, repeating."""
-    docs = fresh(docs, *ADDED)
+    docs, back = shield(fresh(docs, *ADDED), doc_id, text, source)
     sized = docs.withColumn("size", word_count(F.col(text))).withColumn(
         "place", seeded_order(F.col(doc_id), F.col(text), seed))
     lines = plan(materialise(sized.select(F.col(source).alias("source"), "size", "place")), cycle, max_epochs)
@@ -116,9 +116,17 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return (_by_line(sized, lines, F.col(source).eqNullSafe(F.col("p_source")))
             .withColumn("copies", F.col("whole") + F.coalesce(extra, F.lit(0)))
             .withColumn("taken", F.col("size") * F.col("copies"))
-            .select(*docs.columns, *ADDED))
+            .select(*docs.columns, *ADDED).withColumnsRenamed(back))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of each row as many times as it is taken."""
-    return mixed.where("copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    number, = private("number")
+    return mixed.where("copies > 0").withColumn(number, F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
+        *[F.col(f"`{c}`") for c in columns])
+
+
+def repeat(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, unchanged, as many times as ``mix`` takes them."""
+    rows, back = shield(docs, doc_id, text, source)
+    return repeated(mix(rows, doc_id, text, source, **options), rows.columns).withColumnsRenamed(back)

@@ -61,7 +61,8 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     measured = materialise(rules.measure(docs))
     cuts = rules.cutoffs(measured, table(spark, sf_dir, "labels"), "lang")
-    return rules.judge(measured, cuts, "lang").drop("lang")
+    return rules.judge(measured, cuts, "lang").select(
+        "doc_id", *rules.MEASURES, "base_failed", "kept", *rules.RULES, *(f"c_{r}" for r in rules.RULES))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,37 +139,37 @@ QUERIES = {
 
 OP4_SQL = """
 WITH raw AS (
-    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i,
-           role, text FROM conversations),
+    SELECT conv_id, k, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i, role, text
+    FROM (SELECT *, coalesce(conv_id::VARCHAR, 'row ' || row_number() OVER ()) AS k FROM conversations)),
 t AS (
-    SELECT conv_id, i, role, text,
+    SELECT conv_id, k, i, role, text,
            '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '<| im_') || chr(10) AS head,
            replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body FROM raw),
-cut AS (SELECT conv_id, max(i) AS li FROM t WHERE role = 'assistant' GROUP BY conv_id),
-reply AS (SELECT t.conv_id, t.role, t.text, t.head, t.body FROM t JOIN cut ON t.conv_id = cut.conv_id AND t.i = cut.li),
+cut AS (SELECT k, max(i) AS li FROM t WHERE role = 'assistant' GROUP BY k),
+reply AS (SELECT t.conv_id, t.k, t.role, t.text, t.head, t.body FROM t JOIN cut ON t.k = cut.k AND t.i = cut.li),
 pair AS (
-    SELECT a.conv_id, b.conv_id AS partner_id, cut.li,
+    SELECT a.conv_id, a.k, b.conv_id AS partner_id, cut.li,
            CASE WHEN b.conv_id IS NULL THEN 0
                 WHEN a.text IS NOT DISTINCT FROM b.text THEN cut.li + 1 ELSE cut.li END AS n_common,
            a.head AS c_head, a.body AS c_body, b.head AS r_head, b.body AS r_body
-    FROM reply a JOIN cut ON a.conv_id = cut.conv_id LEFT JOIN reply b ON b.conv_id = xor(a.conv_id, 1::BIGINT)),
+    FROM reply a JOIN cut ON a.k = cut.k LEFT JOIN reply b ON b.conv_id = xor(a.conv_id, 1::BIGINT)),
 placed AS (
-    SELECT p.conv_id, p.n_common, t.i, t.role, t.head || t.body || chr(10) AS piece,
+    SELECT p.k, p.n_common, t.i, t.role, t.head || t.body || chr(10) AS piece,
            length(t.head) AS lh, length(t.body) AS lb,
            coalesce(sum(CASE WHEN t.i >= p.n_common THEN length(t.head) + length(t.body) + 1 ELSE 0 END)
-               OVER (PARTITION BY p.conv_id ORDER BY t.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
-    FROM pair p JOIN t ON p.conv_id = t.conv_id AND t.i <= p.li),
+               OVER (PARTITION BY p.k ORDER BY t.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+    FROM pair p JOIN t ON p.k = t.k AND t.i <= p.li),
 texts AS (
-    SELECT conv_id, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE i < n_common), '') AS prompt,
+    SELECT k, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE i < n_common), '') AS prompt,
            coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE i >= n_common), '') AS chosen_completion,
            coalesce(string_agg((pos + lh)::BIGINT || '-' || (pos + lh + lb)::BIGINT, ',' ORDER BY i)
                FILTER (WHERE i >= n_common AND role = 'assistant'), '') AS chosen_spans
-    FROM placed GROUP BY conv_id)
+    FROM placed GROUP BY k)
 SELECT p.conv_id, p.partner_id, p.n_common::INTEGER AS n_common, x.prompt, x.chosen_completion, x.chosen_spans,
        CASE WHEN p.partner_id IS NULL THEN NULL WHEN p.n_common > p.li THEN '' ELSE p.r_head || p.r_body || chr(10) END AS rejected_completion,
        CASE WHEN p.partner_id IS NULL THEN NULL WHEN p.n_common > p.li THEN ''
             ELSE length(p.r_head) || '-' || (length(p.r_head) + length(p.r_body)) END AS rejected_spans
-FROM pair p JOIN texts x ON p.conv_id = x.conv_id
+FROM pair p JOIN texts x ON p.k = x.k
 """
 
 WORDS_SQL = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x09-\x0D ]+'), lambda x: x <> '')"
@@ -202,8 +203,8 @@ long AS (
 grid AS (SELECT unnest(range(0, 64)) AS b),
 k AS (SELECT lang, rule, b, count(*) AS n, count(*) FILTER (WHERE v * 64 > b) AS k FROM long CROSS JOIN grid GROUP BY ALL),
 p AS (
-    SELECT lang, rule, b, CASE WHEN k >= n * 0.01::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-               exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.01::DOUBLE) + (n - i) * ln(0.99::DOUBLE)))) END AS tail FROM k),
+    SELECT lang, rule, b, CASE WHEN k >= n * (0.01 / 5)::DOUBLE THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+               exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln((0.01 / 5)::DOUBLE) + (n - i) * ln((1 - 0.01 / 5)::DOUBLE)))) END AS tail FROM k),
 cut AS (
     SELECT lang, rule, min(b) / 64.0::DOUBLE AS cutoff FROM p
     WHERE tail <= 0.05::DOUBLE / ((SELECT count(DISTINCT coalesce('=' || lang, '')) FROM long) * 5) GROUP BY lang, rule),
@@ -211,8 +212,8 @@ wide AS (
     SELECT lang, max(cutoff) FILTER (WHERE rule = 'symbol_share') AS c_symbol_share, max(cutoff) FILTER (WHERE rule = 'dup_line_share') AS c_dup_line_share,
            max(cutoff) FILTER (WHERE rule = 'repeat_share') AS c_repeat_share, max(cutoff) FILTER (WHERE rule = 'upper_share') AS c_upper_share,
            max(cutoff) FILTER (WHERE rule = 'mark_share') AS c_mark_share FROM cut GROUP BY lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, symbol_share, dup_line_share, repeat_share, upper_share,
-       mark_share, base_failed, c_symbol_share, c_dup_line_share, c_repeat_share, c_upper_share, c_mark_share,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, symbol_share, dup_line_share, repeat_share,
+       upper_share, mark_share, c_symbol_share, c_dup_line_share, c_repeat_share, c_upper_share, c_mark_share,
        NOT base_failed AND NOT (coalesce(symbol_share > c_symbol_share, false) OR coalesce(dup_line_share > c_dup_line_share, false)
            OR coalesce(repeat_share > c_repeat_share, false) OR coalesce(upper_share > c_upper_share, false)
            OR coalesce(mark_share > c_mark_share, false)) AS kept

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from minpair.llm.components import components
-from minpair.llm.texts import chunks, fresh, with_columns, words
+from minpair.llm.texts import chunks, fresh, shield, with_columns, words
 from minpair.session import materialise
 
 SEED = 42
@@ -142,7 +142,8 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = 3) -> DataFrame:
     """All input columns but the text, with ``fp`` (signed) and ``component_id``."""
-    return rooted(docs, doc_id, text, ngram).drop("_root")
+    docs, back = shield(fresh(docs, "fp", "component_id"), doc_id, text)
+    return rooted(docs, doc_id, text, ngram).drop("_root").withColumnsRenamed(back)
 
 
 def rooted(docs: DataFrame, doc_id: str, text: str, ngram: int) -> DataFrame:
@@ -159,10 +160,11 @@ def rooted(docs: DataFrame, doc_id: str, text: str, ngram: int) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ngram: int = 3) -> DataFrame:
     """One row of each component, unchanged: the one with the smallest id (a null id last, equal
     ids by the text's hash; of rows that are alike in both any one)."""
+    docs, back = shield(docs, doc_id, text)
     rows = docs.withColumn("_id", F.col(doc_id)).withColumn("_t", F.xxhash64(text))
     group = rooted(rows.select("_id", "_t", F.col(text).alias("_x")), "_id", "_x", ngram)
     best = group.groupBy("_root").agg(
         F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_t")).alias("best"))
     best = best.select(F.col("best._id").alias("k_id"), F.col("best._t").alias("k_t"))
     return (rows.join(best, F.col("_id").eqNullSafe(F.col("k_id")) & (F.col("_t") == F.col("k_t")), "left_semi")
-            .dropDuplicates(["_id", "_t"]).select(*docs.columns))
+            .dropDuplicates(["_id", "_t"]).select(*docs.columns).withColumnsRenamed(back))

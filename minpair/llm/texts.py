@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,14 +69,29 @@ def fresh(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def private(*names: str) -> list[str]:
+    """Column names that no input has."""
+    mark = uuid.uuid4().hex
+    return [f"{name}_{mark}" for name in names]
+
+
+def shield(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with every column but the used ones under a name that no operator uses within, and
+    the names to go back to with ``withColumnsRenamed``."""
+    hidden = dict(zip(private(*(f"c{i}" for i in range(len(docs.columns)))), docs.columns, strict=True))
+    back = {h: c for h, c in hidden.items() if c not in used}
+    return docs.withColumnsRenamed({c: h for h, c in back.items()}), back
+
+
 def without(docs: DataFrame, rejected: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Rows of ``docs`` that are not among the rejected ``(_id, _t)``, id and hash of the text. Rows
     alike in both have the same verdict, so the columns name rows well enough; null ids count as
     equal."""
     gone = rejected.select(F.col("_id").alias("_gone"), F.col("_t").alias("_gone_t")).distinct()
+    docs, back = shield(docs, doc_id, text)
     rows = docs.withColumn("_h", F.xxhash64(text))
     # A shuffle join at every size, as the rejected rows grow with the input.
-    return rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_t")), "left_anti").drop("_h")
+    return rows.join(gone.hint("merge"), F.col(doc_id).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_t")), "left_anti").drop("_h").withColumnsRenamed(back)
 
 
 def place() -> Column:

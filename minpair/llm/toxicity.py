@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from minpair.llm.texts import chunks, fresh, sampled_labels, with_columns
+from minpair.llm.texts import chunks, fresh, sampled_labels, shield, with_columns
 from minpair.session import materialise
 
 EXAMPLES = 4_000
@@ -426,12 +426,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score", evidence: str = "evidence") -> DataFrame:
     """All input columns but the text, with ``score`` and ``evidence``: the nearest examples' ids,
     cosines and labels."""
-    docs = fresh(docs, out, evidence)
+    docs, back = shield(fresh(docs, out, evidence), text)
     keep = [c for c in docs.columns if c != text]
     shape = T.ArrayType(T.StructType([T.StructField("id", T.LongType()), T.StructField("cosine", T.DoubleType()),
                                       T.StructField("label", T.IntegerType())]))
     if model.index is None:
-        return docs.select(*keep, F.lit(model.prior).alias(out), F.lit(None).cast(shape).alias(evidence))
+        return docs.select(*keep, F.lit(model.prior).alias(out), F.lit(None).cast(shape).alias(evidence)).withColumnsRenamed(back)
     shared = model.shared or docs.sparkSession.sparkContext.broadcast(model.index)
     bare = Model(None, model.prior, model.none, model.curve)
     arrow = pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
@@ -446,7 +446,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
                 evidence: pa.array([[(i, c, int(y)) for c, i, y in x] for x in near], arrow)})
 
     return docs.mapInArrow(run, T.StructType([*[docs.schema[c] for c in keep], T.StructField(out, T.DoubleType()),
-                                              T.StructField(evidence, shape)]))
+                                              T.StructField(evidence, shape)])).withColumnsRenamed(back)
 
 
 def reject(docs: DataFrame, labels: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text",
