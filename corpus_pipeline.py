@@ -47,8 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), word_tokenizer()).drop("text")
-    return bpe.digests(ids, word_tokenizer(), ["doc_id", "lang", "source", "ids"])
+    return bpe.digests(docs.select("doc_id", "lang", "source", "text"), word_tokenizer(), ["doc_id", "lang", "source"], ids="ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

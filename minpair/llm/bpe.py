@@ -164,6 +164,11 @@ class PrefixEncoder:
         runs = WHITE_SPACE.split(text) if ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.spaced.__getitem__, runs))
 
+    def forget(self) -> None:
+        """Empty the caches, so that a worker between tasks holds the tables alone."""
+        for cache in (self.known, self.spaced, self.checked):
+            cache.clear()
+
 
 class _Cache(dict):
     """String -> packed ids, filled on demand; long strings are not kept, a full cache is emptied."""
@@ -203,6 +208,15 @@ def read_spec(path: str, most_bytes: int = 16_000_000) -> str:
     return spec
 
 
+def _id_array(packed: list[bytes]) -> pa.Array:
+    """Packed ids of each text as lists."""
+    offsets = [0]
+    for p in packed:
+        offsets.append(offsets[-1] + len(p) // 4)
+    values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
 def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All input columns and ``ids`` (array of int). ``tokenizer``: path of the file on the driver."""
     spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
@@ -213,11 +227,8 @@ def encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids")
         enc = _made(PrefixEncoder, spec.value)
         for batch, texts in chunks(batches, text):
             packed = [enc.encode(t) for t in texts]
-            offsets = [0]
-            for p in packed:
-                offsets.append(offsets[-1] + len(p) // 4)
-            values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(packed))])
-            yield with_columns(batch, keep, **{ids: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)})
+            yield with_columns(batch, keep, **{ids: _id_array(packed)})
+        enc.forget()
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -245,19 +256,29 @@ def decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "deco
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(decoded, T.StringType())]))
 
 
-def digests(df: DataFrame, tokenizer: str, keep: list[str], ids: str = "ids") -> DataFrame:
-    """``keep`` columns, the number of ids, and the SHA-256 of the ids (little-endian unsigned
-    32-bit) and of the text that they are decoded to."""
+def _coder(spec: str) -> tuple[PrefixEncoder, dict[int, str]]:
+    return PrefixEncoder(spec), token_names(spec)
+
+
+def digests(df: DataFrame, tokenizer: str, keep: list[str], text: str = "text", ids: str | None = None) -> DataFrame:
+    """``keep`` columns, the ids under the name ``ids`` if one is given, the number of ids, and the
+    SHA-256 of the ids (little-endian unsigned 32-bit) and of the text that these ids are decoded to.
+    Texts are encoded, decoded and hashed in one pass, so ids travel only if they are asked for."""
     spec = df.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+    id_type = [T.StructField(ids, T.ArrayType(T.IntegerType()))] if ids else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = _made(token_names, spec.value)
-        for part, lists in _lists(batches, ids):
+        enc, names = _made(_coder, spec.value)
+        for batch, texts in chunks(batches, text):
+            packed = [enc.encode(t) for t in texts]
+            lists = [np.frombuffer(p, "<u4") for p in packed]
+            own = {ids: _id_array(packed)} if ids else {}
             yield with_columns(
-                part, keep, n_tokens=pa.array([len(x) for x in lists], pa.int64()),
-                ids_sha256=pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in lists]),
-                decoded_sha256=pa.array([hashlib.sha256(join_tokens(x.tolist(), names).encode()).hexdigest() for x in lists]))
+                batch, keep, **own, n_tokens=pa.array([len(x) for x in lists], pa.int64()),
+                ids_sha256=pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string()),
+                decoded_sha256=pa.array([hashlib.sha256(join_tokens(x.tolist(), names).encode()).hexdigest() for x in lists], pa.string()))
+        enc.forget()
 
     return df.mapInArrow(run, T.StructType([
-        *(df.schema[c] for c in keep), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
+        *(df.schema[c] for c in keep), *id_type, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType())]))

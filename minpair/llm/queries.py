@@ -33,8 +33,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lengths and digests of the ids and the decoded text of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, word_tokenizer()).select("doc_id", "ids")
-    return bpe.digests(ids, word_tokenizer(), ["doc_id"])
+    return bpe.digests(docs, word_tokenizer(), ["doc_id"])
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

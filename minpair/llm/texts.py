@@ -45,7 +45,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHAR
            ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches whose texts hold about ``limit`` characters, so that memory stays
     bounded however many rows a batch has; a longer text is a slice of its own. Null texts come
-    as empty."""
+    as empty. After the last batch Arrow's unused memory goes back to the system, as the worker lives on."""
     for batch in batches:
         col = [t or "" for t in batch.column(text).to_pylist()]
         start = size = 0
@@ -56,6 +56,8 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHAR
             size += len(t)
         if col[start:]:
             yield batch.slice(start), col[start:]
+    batch = col = None
+    pa.default_memory_pool().release_unused()
 
 
 def with_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.RecordBatch:

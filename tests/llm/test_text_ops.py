@@ -49,6 +49,18 @@ def test_bpe_matches_library(spark, odd):
     assert bpe.encode(odd.limit(0), word_tokenizer()).count() == 0
 
 
+def test_bpe_digests_of_odd_texts(spark, odd):
+    """One pass gives what encoding and decoding give one by one; null texts and empty tables too."""
+    import hashlib
+    both = bpe.decode(bpe.encode(odd, word_tokenizer()), word_tokenizer()).collect()
+    want = collections.Counter((r.doc_id, tuple(r.ids), len(r.ids), hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest(),
+                                hashlib.sha256(r.decoded.encode()).hexdigest()) for r in both)
+    got = bpe.digests(odd, word_tokenizer(), ["doc_id"], ids="ids")
+    assert got.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert collections.Counter((r[0], tuple(r[1]), *r[2:]) for r in got.collect()) == want
+    assert bpe.digests(odd.limit(0), word_tokenizer(), ["doc_id"], ids="ids").count() == 0
+
+
 def test_bpe_query_digests(spark):
     import hashlib
 
