@@ -1,11 +1,12 @@
 """Linear text classifier trained by joins, and its scorers.
 
 A one-vs-rest hinge loss with an L2 term is minimised by a fixed number of full-batch subgradient rounds
-(step ``1 / (reg * round)``, zero start, no draw of rows). The coefficients are a table with a row for
-each term and a column for each class. A round joins the documents' terms to it, adds the products up by
-document, keeps the documents inside the margin, joins them back to their terms and adds the gradient
-up by term; only the intercepts, one number a class, come to the driver. Spark and its adaptive plans
-choose between sending the coefficients to all tasks and a shuffle, by their size.
+(step ``1 / (reg * round)``, zero start, no draw of rows). The coefficients of the ``MOST_COMMON`` terms that
+most documents have are an array that every task gets; a document is one row with its common terms'
+numbers, so a round is one pass over the documents that adds their scores and the gradient up. All other
+terms, a small share of the occurrences, stay in tables: a round joins them to their coefficients, adds
+the products up by document, and joins the documents inside the margin back to them. The driver holds the
+common terms and the intercepts.
 
 Features and coefficients are whole numbers (``FEATURE`` and ``UNIT`` to one), so every sum is exact and
 a model does not depend on partitions or on the engine.
@@ -23,18 +24,25 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from minpair.functions.labels import argmax
+from minpair.functions.ranking import least_common
 from minpair.functions.text import char_tokens, word_tokens
 from minpair.operators.ml import term_counts
-from minpair.session import materialise
+from minpair.session import dealt_by, materialise, parts_of, stored
 
 FEATURE, UNIT, IDF_UNIT = 2 ** 10, 2 ** 30, 64
+#: Terms of most documents whose coefficients every task gets, and the bits of a feature (``FEATURE`` at most).
+MOST_COMMON, X_BITS = 200_000, 11
 #: Terms up to which a model is sent to Python workers as a whole; larger ones are joined.
 MOST_SENT_TERMS = 1_000_000
 
@@ -67,12 +75,13 @@ def idf_table(counts: DataFrame, n_docs: int) -> DataFrame:
     return counts.groupBy("term").agg(F.floor(value * IDF_UNIT + 0.5).alias("idf"))
 
 
-def features(counts: DataFrame, id_col: str, idf: DataFrame | None = None) -> DataFrame:
+def features(counts: DataFrame, id_col: str, idf: DataFrame | None = None, parts: int = 1) -> DataFrame:
     """M03 / M04 as whole numbers: ``id, term, x`` from ``id, term, n``; values that round down to 0 are
-    left out. The vector's length is summed on the documents' partitioning."""
+    left out. The vector's length is summed on the documents' partitioning; with ``idf`` the rows are dealt
+    anew, to ``parts`` tasks."""
     w = F.col("n").cast("double")
     if idf is not None:
-        counts = counts.join(idf, "term")
+        counts = dealt_by(counts.join(idf, "term"), parts, id_col)
         w = w * F.col("idf")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
     x = counts.withColumn("w", w).withColumn("x", F.floor(F.lit(float(FEATURE)) * F.col("w") / length))
@@ -87,6 +96,75 @@ def margins(docs: DataFrame, x: DataFrame, id_col: str, coefficients: DataFrame,
     return full.withColumns({f"s{c}": F.coalesce(f"s{c}", F.lit(0)) + F.lit(FEATURE * intercepts[c]) for c in k})
 
 
+def numbered(x: DataFrame, id_col: str) -> tuple[list[str], DataFrame]:
+    """The ``MOST_COMMON`` terms at most that most documents have, and a row for each document: ``packed``, its
+    common terms' numbers with ``x`` in the last ``X_BITS`` bits, and ``rare``, the other terms with ``x``."""
+    rows = stored(x.groupBy(id_col).agg(F.collect_list(F.struct("term", F.col("x").cast("int").alias("x"))).alias("f")))
+    often = stored(rows.select(F.explode("f.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    least = least_common(often, "df", MOST_COMMON)
+    names = sorted(r[0] for r in often.where(F.col("df") >= max(2, least)).select("term").collect())  # bounded
+    sent = x.sparkSession.sparkContext.broadcast(names)
+    kind = pa.list_(pa.struct([("term", pa.string()), ("x", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(sent.value, pa.string())
+        for batch in batches:
+            f = batch.column("f").cast(kind)
+            flat, ends = f.flatten(), np.cumsum(np.append(0, f.value_lengths().to_numpy()))
+            at = pc.index_in(flat.field("term"), value_set=known)
+            hit = at.is_valid().to_numpy(zero_copy_only=False)
+            value = flat.field("x").to_numpy()
+            before = np.cumsum(np.append(0, hit))
+            packed = (at.drop_null().to_numpy().astype(np.int32) << X_BITS) | value[hit]
+            other = flat.filter(pa.array(~hit))
+            yield pa.RecordBatch.from_arrays([
+                batch.column(id_col), pa.ListArray.from_arrays(pa.array(before[ends], pa.int32()), pa.array(packed, pa.int32())),
+                pa.ListArray.from_arrays(pa.array(ends - before[ends], pa.int32()), other)], names=[id_col, "packed", "rare"])
+
+    shape = T.StructType([rows.schema[id_col], T.StructField("packed", T.ArrayType(T.IntegerType())), T.StructField(
+        "rare", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("x", T.IntegerType())])))])
+    return names, stored(rows.mapInArrow(run, shape))
+
+
+def _round(rows: DataFrame, id_col: str, common: np.ndarray, intercepts: list[int], first: bool) -> DataFrame:
+    """One pass over the documents, ``id, y0, ..., packed, r0, ...`` (what the rare terms add to the scores):
+    a row ``id, g0, ...`` with ``y`` of the classes whose margin the document is inside, else 0, and rows
+    ``t, g0, ...`` with a task's gradient by common term, the intercepts' as the last."""
+    classes, many = common.shape
+    sent = rows.sparkSession.sparkContext.broadcast(common)
+    kind = rows.schema[id_col]
+    grads = [f"g{c}" for c in range(classes)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, total = sent.value, np.zeros((classes, many + 1), np.int64)
+        id_type = None
+        for batch in batches:
+            lists, id_type = batch.column("packed"), batch.column(id_col).type
+            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            ends = np.cumsum(np.append(0, sizes))
+            t, x = flat >> X_BITS, (flat & ((1 << X_BITS) - 1)).astype(np.int64)
+            inside = []
+            for c in range(classes):
+                y = batch.column(f"y{c}").to_numpy()
+                if not first:
+                    sums = np.cumsum(np.append(0, x * w[c][t]))
+                    score = sums[ends[1:]] - sums[ends[:-1]] + batch.column(f"r{c}").to_numpy() + FEATURE * intercepts[c]
+                    y = np.where(y * score < FEATURE * UNIT, y, 0)
+                # Sums of one batch are far below 2 ** 53, so doubles hold them exactly.
+                total[c, :many] += np.bincount(t, x * np.repeat(y, sizes), many).astype(np.int64)
+                total[c, many] += y.sum()
+                inside.append(pa.array(y, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.nulls(len(batch), pa.int32()), *inside], names=[id_col, "t", *grads])
+        if id_type is not None:
+            at = np.flatnonzero(total.any(axis=0)).astype(np.int32)
+            for part in np.array_split(at, max(1, len(at) // 10_000)):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(part), id_type), pa.array(part), *[pa.array(total[c, part]) for c in range(classes)]],
+                                                 names=[id_col, "t", *grads])
+
+    shape = T.StructType([T.StructField(id_col, kind.dataType), T.StructField("t", T.IntegerType()), *[T.StructField(g, T.LongType()) for g in grads]])
+    return rows.mapInArrow(run, shape)
+
+
 def step(reg: float, at: int) -> float:
     """What a round's gradient sum is divided by, for one document."""
     return FEATURE * reg * at
@@ -101,30 +179,47 @@ def train(df: DataFrame, id_col: str, text_col: str, label_col: str, rounds: int
         raise ValueError("no labelled rows to train on")
     classes, n_docs = sorted(r[0] for r in labels), sum(r["count"] for r in labels)
     k = range(len(classes))
-    counts = term_counts(df, id_col, text_col, chars=chars)
+    parts = parts_of(df, text_col)
+    counts = term_counts(df, id_col, text_col, chars=chars, parts=parts)
     idf = None
     if use_idf:
-        counts = materialise(counts)
+        counts = stored(counts)
         idf = materialise(idf_table(counts, n_docs))
-    x = materialise(features(counts, id_col, idf))
+    names, vectors = numbered(features(counts, id_col, idf, parts).where(F.col(id_col).isNotNull()), id_col)
     signs = [F.when(F.col(label_col) == c, 1).otherwise(-1).cast("long").alias(f"y{i}") for i, c in enumerate(classes)]
-    docs = materialise(df.select(id_col, *signs))
-    coefficients, intercepts = None, [0] * len(classes)
+    docs = dealt_by(df.select(id_col, *signs), parts // 4, id_col).join(vectors.drop("rare"), id_col, "left")
+    docs = materialise(docs.withColumn("packed", F.coalesce("packed", F.array().cast("array<int>"))))
+    rare = stored(vectors.select(id_col, F.explode("rare").alias("r")).select(id_col, "r.term", "r.x"))
+    if rare.isEmpty():
+        rare = None
+    common, rarer, intercepts = np.zeros((len(classes), len(names)), np.int64), None, [0] * len(classes)
     for at in range(1, rounds + 1):
-        inside = docs
-        if coefficients is not None:
-            inside = margins(docs, x, id_col, coefficients, intercepts)
-            inside = inside.select(id_col, *[F.when(F.col(f"y{c}") * F.col(f"s{c}") < FEATURE * UNIT, F.col(f"y{c}")).otherwise(0)
-                                             .cast("long").alias(f"y{c}") for c in k])
-            inside = materialise(inside)
-        gradient = x.join(inside, id_col).groupBy("term").agg(*[F.sum(F.col("x") * F.col(f"y{c}")).alias(f"g{c}") for c in k])
+        rows = docs
+        if rarer is not None:
+            sums = rare.join(rarer, "term").groupBy(id_col).agg(*[F.sum(F.col("x") * F.col(f"w{c}")).alias(f"r{c}") for c in k])
+            rows = dealt_by(docs, parts // 4, id_col).join(sums, id_col, "left")
+        rows = rows.withColumns({f"r{c}": F.coalesce(f"r{c}", F.lit(0)).cast("long") if rarer is not None else F.lit(0).cast("long") for c in k})
+        out = materialise(_round(rows, id_col, common, intercepts, first=at == 1))
         keep, rate = (at - 1) / at, UNIT / (step(reg, at) * n_docs)
-        old = gradient.withColumns({f"w{c}": F.lit(0) for c in k}) if coefficients is None else coefficients.join(gradient, "term")
-        coefficients = materialise(old.select("term", *[
-            F.floor(F.col(f"w{c}") * F.lit(keep) + F.col(f"g{c}") * F.lit(rate) + 0.5).alias(f"w{c}") for c in k]))
-        sums = inside.agg(*[F.sum(f"y{c}").alias(f"y{c}") for c in k]).first()
-        intercepts = [math.floor(intercepts[c] * keep + float(FEATURE * (sums[f"y{c}"] or 0)) * rate + 0.5) for c in k]
-    return LinearModel(classes, coefficients, intercepts, idf, chars)
+        # A row for each common term, and one of the intercepts' sums.
+        found = out.where("t is not null").groupBy("t").agg(*[F.sum(f"g{c}").alias(f"g{c}") for c in k]).toArrow()
+        gradient = np.zeros((len(classes), len(names) + 1), np.int64)
+        for c in k:
+            gradient[c, found.column("t").to_numpy()] = found.column(f"g{c}").to_numpy()
+        common = np.floor(common * keep + gradient[:, :-1] * rate + 0.5).astype(np.int64)
+        intercepts = [math.floor(intercepts[c] * keep + float(FEATURE * int(gradient[c, -1])) * rate + 0.5) for c in k]
+        if rare is not None:
+            inside = out.where("t is null").select(id_col, *[f"g{c}" for c in k])
+            own = rare.join(inside, id_col).groupBy("term").agg(*[F.sum(F.col("x") * F.col(f"g{c}")).alias(f"g{c}") for c in k])
+            old = own.withColumns({f"w{c}": F.lit(0) for c in k}) if rarer is None else rarer.join(own, "term")
+            rarer = materialise(old.select("term", *[
+                F.floor(F.col(f"w{c}") * F.lit(keep) + F.col(f"g{c}") * F.lit(rate) + 0.5).alias(f"w{c}") for c in k]))
+    rows = pa.table({"term": pa.array(names, pa.string())} | {f"w{c}": pa.array(common[c]) for c in k})
+    shape = T.StructType([T.StructField("term", T.StringType()), *[T.StructField(f"w{c}", T.LongType()) for c in k]])
+    coefficients = df.sparkSession.createDataFrame(rows, shape)
+    if rarer is not None:
+        coefficients = coefficients.unionByName(rarer)
+    return LinearModel(classes, materialise(coefficients), intercepts, idf, chars)
 
 
 def predict(df: DataFrame, id_col: str, text_col: str, model: LinearModel, out: str = "prediction") -> DataFrame:
@@ -197,5 +292,16 @@ def tokens_of(text: Column, model: LinearModel) -> Column:
 
 
 def score_corpus(df: DataFrame, text_col: str, model: LinearModel, out: str = "label", loads=None) -> DataFrame:
-    """M08 for a corpus: every row labelled by the model in Python workers."""
+    """M08 for a corpus: every row labelled by the model in Python workers, which get the terms that the
+    corpus has; if these are too many as well, by joins on a number of the row."""
+    if model.coefficients.count() > MOST_SENT_TERMS:
+        used = materialise(df.select(F.explode(tokens_of(F.col(text_col), model)).alias("term")).distinct())
+        own = materialise(model.coefficients.join(used, "term", "left_semi"))
+        idf = None if model.idf is None else materialise(model.idf.join(used, "term", "left_semi"))
+        model = replace(model, coefficients=own, idf=idf)
+    if max(model.coefficients.count(), 0 if model.idf is None else model.idf.count()) > MOST_SENT_TERMS:
+        row, text = "__row", "__text"
+        rows = materialise(df.withColumn(row, F.monotonically_increasing_id()))
+        labels = predict(rows.select(row, F.col(text_col).alias(text)), row, text, model, "__p").select(row, F.col("__p").cast("int").alias(out))
+        return rows.drop(out).join(labels, row).select(*[c for c in df.columns if c != out], out)
     return df.withColumn(out, scorer(model, loads)(tokens_of(F.col(text_col), model)).cast("int"))

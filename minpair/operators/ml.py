@@ -17,44 +17,57 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from minpair.functions.labels import gold_from_emotion, polarity
-from minpair.functions.ranking import hash_key, positions
+from minpair.functions.ranking import hash_key, least_common, positions
 from minpair.functions.text import char_tokens, word_tokens
-from minpair.session import materialise
+from minpair.session import dealt_by, materialise, parts_of, stored
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, chars: bool = False) -> DataFrame:
+def term_counts(df: DataFrame, id_col: str, text_col: str, chars: bool = False, parts: int | None = None) -> DataFrame:
     """M03 (long form): ``(id, term, n)`` from T10 word tokens (``chars``: characters) over the whole text.
 
     Documents are hash-partitioned by id *before* tokenising: the shuffle moves each text once
     (cheaper than moving its per-term rows), spreads the regex work over all tasks, and the per-
-    document aggregation then needs no exchange.
+    document aggregation then needs no exchange. There are as many parts as the texts fill (``parts``, if
+    it is known), so the pairs that a task holds are bounded.
     """
-    docs = df.select(id_col, text_col).repartition(id_col)
+    docs = dealt_by(df.select(id_col, text_col), parts or parts_of(df, text_col), id_col)
     t = docs.select(id_col, F.explode((char_tokens if chars else word_tokens)(F.col(text_col))).alias("term"))
     return t.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Terms of an idf table up to which it is sent to all tasks.
+#: Terms of an idf table or a vocabulary that are sent to all tasks: all, or those of most rows.
 MOST_SENT_IDF = 500_000
+MOST_SENT_WORDS = 200_000
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """M04 (long form): ``tf * (ln((1 + N) / (1 + df)) + 1)``, L2-normalised per document.
 
-    ``N`` is the number of rows of ``df``. The term counts are written once, dealt by document, and read for
-    the document frequencies and for the weights, so texts are tokenised once. An idf table of at most
-    ``MOST_SENT_IDF`` terms is sent to all tasks, and the norm, a window over a document's terms, needs no
-    further shuffle; a larger one is joined by term, which shuffles the counts there and back.
+    ``N`` is the number of rows of ``df``. The term counts are written once and read for the document
+    frequencies and for the weights, so texts are tokenised once. An idf table of at most ``MOST_SENT_IDF``
+    terms is sent to all tasks; of a larger one the terms of most documents are, and only the rows of the
+    others are joined by term. The norm is a window over a document's terms, dealt by document to as many
+    tasks as the texts fill.
     """
-    tc = materialise(term_counts(df, id_col, text_col))
+    parts = parts_of(df, text_col)
+    tc = stored(term_counts(df, id_col, text_col, parts=parts))
     n_docs = df.count()  # one scalar
     dfreq = tc.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = dfreq.select("term", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    idf = materialise(idf)
-    few = idf.count() <= MOST_SENT_IDF
-    w = tc.join(F.broadcast(idf) if few else idf, "term").withColumn("w", F.col("n") * F.col("idf"))
+    idf = materialise(dfreq.select("term", "df", (F.log((1.0 + F.lit(n_docs)) / (1.0 + F.col("df"))) + 1.0).alias("idf")))
+    w = _by_common_terms(tc, idf, "df", MOST_SENT_IDF).select(id_col, "term", "n", (F.col("n") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return w.select(id_col, "term", "n", (F.col("w") / norm).alias("tfidf"))
+    return dealt_by(w, parts, id_col).select(id_col, "term", "n", (F.col("w") / norm).alias("tfidf"))
+
+
+def _by_common_terms(rows: DataFrame, table: DataFrame, count: str, most: int) -> DataFrame:
+    """``rows`` joined to ``table``, one row a term: it is sent as a whole if it has at most ``most`` terms, else
+    the terms of the largest ``count``, and the rows of the others are joined by shuffle."""
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), "term")
+    least = least_common(table, count, most)
+    common, rest = table.where(F.col(count) >= least), table.where(F.col(count) < least)
+    others = rows.join(F.broadcast(common.select("term")), "term", "left_anti")
+    return rows.join(F.broadcast(common), "term").unionByName(others.join(rest.hint("merge"), "term"))
 
 
 #: Terms up to which a vector model is fitted: Spark ML keeps the vocabulary and one coefficient a
@@ -180,8 +193,10 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
     """``[CLS] first [SEP] second [SEP]`` ids, longest-first truncation to ``max_length``,
     padding, attention mask and segment ids.
 
-    ``vocab(term, id)`` (ids from 4 up) is joined to the token stream (Spark chooses the strategy);
-    each document's ids are gathered back in token order.
+    ``vocab(term, id)`` (ids from 4 up; the smaller, the more frequent) is sent to all tasks up to
+    ``MOST_SENT_WORDS`` rows, those of the smallest ids. Documents are dealt by id to as many tasks as their
+    texts fill and their ids are gathered there in token order; of a larger vocabulary, the terms that
+    are left are joined by shuffle, once for each document, and come back to it as a map.
     """
     # posexplode_outer keeps texts without tokens (their marker row has a NULL position)
     budget = max_length - 3
@@ -189,16 +204,29 @@ def encode_pairs(df: DataFrame, id_col: str, first: str, second: str, vocab: Dat
     # most ``budget`` tokens, so positions beyond it cannot reach the output and are not joined.
     segs = F.array(F.struct(F.lit(0).alias("seg"), word_tokens(F.col(first)).alias("toks")),
                    F.struct(F.lit(1).alias("seg"), word_tokens(F.col(second)).alias("toks")))
-    # texts partitioned by id first: one text shuffle, parallel tokenising, and the per-document
-    # gather below runs on that partitioning (the vocabulary join is a broadcast when small)
-    docs = df.select(id_col, first, second).repartition(id_col)
-    toks = docs.select(id_col, F.explode(segs).alias("s")).select(
-        id_col, F.col("s.seg").alias("seg"), F.size("s.toks").alias("seg_len"),
+    parts = parts_of(df, first, second)
+    # NULL ids are a document of their own, also where documents are joined: a struct is never NULL
+    docs = dealt_by(df.select(F.struct(F.col(id_col).alias("id")).alias("doc"), first, second), parts, "doc")
+    toks = docs.select("doc", F.explode(segs).alias("s")).select(
+        "doc", F.col("s.seg").alias("seg"), F.size("s.toks").alias("seg_len"),
         F.posexplode_outer(F.slice("s.toks", 1, budget)).alias("pos", "term"))
-    ids = toks.join(vocab, "term", "left").withColumn("id", F.coalesce("id", F.lit(unk_id)))
-    g = ids.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("seg", "pos", "id"))).alias("t"),
-                                F.max(F.when(F.col("seg") == 0, F.col("seg_len"))).alias("la"),
-                                F.max(F.when(F.col("seg") == 1, F.col("seg_len"))).alias("lb"))
+    n_terms, first_id = vocab.agg(F.count(F.lit(1)), F.min("id")).first()
+    large = n_terms > MOST_SENT_WORDS
+    common = vocab.where(F.col("id") < first_id + MOST_SENT_WORDS) if large else vocab
+    ids = toks.join(F.broadcast(common), "term", "left")
+    left = F.when(F.col("id").isNull(), F.col("term")) if large else F.lit(None).cast("string")
+    g = ids.groupBy("doc").agg(F.collect_list(F.struct("seg", "pos", "id", left.alias("term"))).alias("t"),
+                               F.max(F.when(F.col("seg") == 0, F.col("seg_len"))).alias("la"),
+                               F.max(F.when(F.col("seg") == 1, F.col("seg_len"))).alias("lb"))
+    found = F.col("t.id")
+    if large:
+        others = ids.where("id is null and term is not null").select("doc", "term").distinct()
+        rest = vocab.where(F.col("id") >= first_id + MOST_SENT_WORDS)
+        maps = others.join(rest.hint("merge"), "term").groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "id"))).alias("m"))
+        g = g.join(maps.hint("merge"), "doc", "left")
+        found = F.transform("t", lambda x: F.coalesce(x["id"], F.when(x["term"].isNotNull(), F.try_element_at(F.col("m"), x["term"]))))
+    t = F.sort_array(F.zip_with("t", found, lambda x, i: F.struct(x["seg"].alias("seg"), x["pos"].alias("pos"), F.coalesce(i, F.lit(unk_id)).alias("id"))))
+    g = g.select(F.col("doc.id").alias(id_col), t.alias("t"), "la", "lb")
     a = F.expr("transform(filter(t, x -> x.seg = 0 AND x.pos IS NOT NULL), x -> x.id)")
     b = F.expr("transform(filter(t, x -> x.seg = 1 AND x.pos IS NOT NULL), x -> x.id)")
     g = g.select(id_col, a.alias("a"), b.alias("b"), "la", "lb")

@@ -93,3 +93,46 @@ def test_large_models_are_joined(spark, monkeypatch):
     monkeypatch.setattr(linear, "MOST_SENT_TERMS", 1)
     with pytest.raises(ValueError):
         linear.scorer(model)
+
+
+@pytest.mark.parametrize(("use_idf", "most"), [(False, 2), (False, 3), (True, 0)])
+def test_corpus_over_the_limit_is_scored_by_joins(spark, monkeypatch, use_idf, most):
+    model = linear.train(spark.createDataFrame(made(60, 4), "id long, text string, label string"), "id", "text", "label", rounds=3, use_idf=use_idf)
+    model.classes = [0, 1, 2]
+    rows = [(i % 7, t) for i, t, _ in made(30, 5)] + [(None, None), (3, ""), (3, "never seen"), (3, "never seen"), (None, "good bad")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = sorted((str(r.id), str(r.text), r.label) for r in linear.score_corpus(df, "text", model).collect())
+    monkeypatch.setattr(linear, "MOST_SENT_TERMS", most)
+    got = linear.score_corpus(df, "text", model)
+    assert got.columns == ["id", "text", "label"]
+    assert sorted((str(r.id), str(r.text), r.label) for r in got.collect()) == want
+
+
+def test_corpus_gets_only_its_own_terms(spark, monkeypatch):
+    model = linear.train(spark.createDataFrame(made(60, 4), "id long, text string, label string"), "id", "text", "label", rounds=2)
+    model.classes = [0, 1, 2]
+    df = spark.createDataFrame([(1, "good bad"), (2, "nothing known")], "id long, text string")
+    want = [r.label for r in linear.score_corpus(df, "text", model).orderBy("id").collect()]
+    monkeypatch.setattr(linear, "MOST_SENT_TERMS", 2)
+    monkeypatch.setattr(linear, "predict", None)
+    assert [r.label for r in linear.score_corpus(df, "text", model).orderBy("id").collect()] == want
+
+
+@pytest.mark.parametrize("most", [0, 3])
+def test_rounds_do_not_depend_on_which_terms_are_sent(spark, monkeypatch, most):
+    rows = made(40, 1)
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    odd = df.unionByName(spark.createDataFrame([(None, "good of it", "a"), (7, "poor was", "b"), (7, "so so", "c"), (90, None, "a")], df.schema))
+    whole = linear.train(odd, "id", "text", "label", rounds=4, reg=0.05)
+    monkeypatch.setattr(linear, "MOST_COMMON", most)
+    parts = linear.train(odd, "id", "text", "label", rounds=4, reg=0.05)
+    assert sorted(map(tuple, parts.table().collect())) == sorted(map(tuple, whole.table().collect()))
+    got = {r.id: list(r.p_scores) for r in linear.predict(df, "id", "text", linear.train(df, "id", "text", "label", rounds=4, reg=0.05), "p").collect()}
+    assert [got[i] for i in range(40)] == twin(rows, 4, 0.05)
+
+
+def test_parts_grow_with_the_texts(spark):
+    from minpair.session import parts_of
+    df = spark.createDataFrame([("x" * 900,), (None,)], "t string").crossJoin(spark.range(100))
+    assert parts_of(df, "t") == 1
+    assert parts_of(df.crossJoin(spark.range(200).select(F.col("id").alias("j"))), "t") == 2
