@@ -223,3 +223,34 @@ def test_table_sees_new_files(spark, tmp_path):
     assert table(spark, str(tmp_path), "events").count() == 5
     spark.range(7).write.mode("append").parquet(path)
     assert table(spark, str(tmp_path), "events").count() == 12
+
+
+def test_large_profiles_and_vocabularies_give_the_same(spark, monkeypatch):
+    from minpair.operators import ml, text
+    rows = [(1, "the cat sat on the mat", "en", "x y"), (2, "el gato en la mesa", "es", ""), (2, "rare zebra here", "en", None),
+            (None, "the cat and el gato", "en", "cat mat zebra"), (None, "unknown", None, "gato"), (3, None, "en", "the"), (4, "ab", "es", "of the")]
+    df = spark.createDataFrame(rows, "id long, t string, lang string, u string")
+
+    def results():
+        prof = text.trigram_profiles(df, "t", "lang")
+        vocab = ml.build_vocabulary(ml.term_counts(df, "id", "t")).select("term", "id")
+        found = [text.identify_language(df.withColumn("id2", F.coalesce("id", F.lit(0))), "id", "t", prof, ["id2"]).select("id", "id2", "detected_lang", F.round("score", 6)),
+                 ml.encode_pairs(df, "id", "t", "u", vocab, max_length=12),
+                 ml.tfidf(df, "id", "t").withColumn("tfidf", F.round("tfidf", 9))]
+        return [sorted(map(str, f.collect())) for f in found]
+
+    want = results()
+    for most in (0, 2, 5):
+        monkeypatch.setattr(text, "MOST_SENT_GRAMS", most)
+        monkeypatch.setattr(ml, "MOST_SENT_WORDS", most)
+        monkeypatch.setattr(ml, "MOST_SENT_IDF", most)
+        assert results() == want
+
+
+def test_the_terms_of_most_rows_are_not_joined_by_shuffle(spark, monkeypatch):
+    from minpair.operators import ml
+    rows = spark.createDataFrame([(i, t) for i in range(30) for t in ("all", f"own{i}")], "id long, term string")
+    table = rows.groupBy("term").agg(F.count("*").alias("df"))
+    joined = ml._by_common_terms(rows, table, "df", 5)
+    assert sorted(map(tuple, joined.select("id", "term", "df").collect())) == sorted([(i, "all", 30) for i in range(30)] + [(i, f"own{i}", 1) for i in range(30)])
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
