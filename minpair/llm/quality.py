@@ -2,9 +2,8 @@
 
 The model runs over characters, with ``ORDER`` - 1 characters of history: what marks broken text
 (symbols glued to words, lists of fragments, shouting, random letters) shows there, and unlike words
-no clean text has unseen ones. Trusted are the texts labelled good; the model is
-fitted to at most about ``TRUSTED_TEXTS`` of them, and to about ``LANGUAGE_TEXTS`` of every language
-that has so many. N-gram counts of the trusted texts are summed over the cluster, and
+no clean text has unseen ones. Trusted are the texts labelled good, and the model is
+fitted to all of them, unless the caller asks for a sample (``trusted_texts``). N-gram counts of the trusted texts are summed over the cluster, and
 every step of the model is a join of count tables that are sharded by n-gram: contexts bring the
 discounted mass, shorter n-grams the lower-order probability.
 
@@ -43,10 +42,10 @@ BITS = 21  # of a code point
 FREQUENT = 200_000
 #: Characters that are counted or scored at once.
 STEP = 500_000
-#: The model is fitted to a bounded sample of about so many trusted texts, selected by a hash of the id,
-#: with at least so many of every language that has them; their ids are broadcast.
-TRUSTED_TEXTS = 50_000
+#: A sample, where one is asked for, has about so many texts at least of every language that has them.
 LANGUAGE_TEXTS = 2_000
+#: Words of 64 bits of the filter that tells texts that can't be trusted without a shuffle.
+FILTER_WORDS = 2 ** 18
 SMOOTHING = 50.0
 LEAST_TRUSTED = 30
 ADDED = ("n_chars_scored", "bits_per_char", "perplexity", "cutoff", "kept")
@@ -166,29 +165,49 @@ def code_lengths(docs: DataFrame, model: DataFrame, text: str) -> DataFrame:
         "bits", F.col("often_bits") + F.coalesce("rare_bits", F.lit(0.0))).drop("_row", "rare", "often_bits", "rare_bits")
 
 
-def trusted(docs: DataFrame, labels: DataFrame, doc_id: str, lang: str, label: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """``(_id)`` of all texts labelled good, and of those to fit to: about ``most``, and about
-    ``LANGUAGE_TEXTS`` of every language that has so many. Only ids and languages are joined."""
+def trusted(docs: DataFrame, labels: DataFrame, doc_id: str, lang: str, label: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(_id)`` of all texts labelled good, and of those to fit to: all, or with ``most`` about so many, and
+    about ``LANGUAGE_TEXTS`` of every language that has so many. Only ids and languages are joined."""
     ids = agreed_labels(labels, doc_id, label).where("_y = 1").select("_id")
     each = materialise(docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).distinct().join(ids.hint("merge"), "_id"))
+    good = materialise(each.select("_id").distinct())
+    if most is None:
+        return good, good
     sizes = each.groupBy("_lang").agg(F.count("*").alias("_n"))
     total = each.count()
     share = F.greatest(F.lit(most / max(1, total)), F.lit(float(LANGUAGE_TEXTS)) / F.col("_n"))
     drawn = each.join(sizes.select(F.col("_lang").alias("_l"), share.alias("_share")), F.col("_lang").eqNullSafe(F.col("_l"))).where(place() < F.col("_share"))
-    return each.select("_id").distinct(), materialise(drawn.select("_id").distinct())
+    return good, materialise(drawn.select("_id").distinct())
+
+
+def marked(docs: DataFrame, ids: DataFrame, doc_id: str) -> DataFrame:
+    """``docs`` with ``_trusted``: whether the id is among ``ids``. The ids grow with the input, so they are joined
+    by shuffle; a broadcast filter of ``FILTER_WORDS`` words, which every hash of an id has a bit in, spares
+    that to nearly all texts that are not among them."""
+    def spot(key: str) -> tuple[Column, Column]:
+        h = F.xxhash64(key)
+        return F.shiftright(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+    word, bit = spot("_id")
+    bits = ids.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    word, bit = spot(doc_id)
+    near = docs.join(F.broadcast(bits), word == F.col("_word"), "left")
+    near = near.withColumn("_near", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("_word", "_bits")
+    known = ids.select(F.col("_id").alias("_good"), F.lit(True).alias("_trusted"))
+    exact = near.where("_near").join(known.hint("merge"), F.col(doc_id) == F.col("_good"), "left").drop("_good", "_near")
+    return near.where(~F.col("_near")).drop("_near").withColumn("_trusted", F.lit(False)).unionByName(
+        exact.withColumn("_trusted", F.coalesce("_trusted", F.lit(False))))
 
 
 def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-          label: str = "quality", quantile: float = 0.99, margin: float = 1.0, trusted_texts: int = TRUSTED_TEXTS) -> DataFrame:
+          label: str = "quality", quantile: float = 0.99, margin: float = 1.0, trusted_texts: int | None = None) -> DataFrame:
     """All input columns but the text, with ``n_chars_scored``, ``bits_per_char`` (pulled towards the
     median), ``perplexity`` (the text's own, per character; null without characters), the language's
     ``cutoff`` for ``bits_per_char``, and ``kept``."""
     docs, back = shield(fresh(docs, *ADDED), doc_id, text, lang)
     good, fitted = trusted(docs, labels, doc_id, lang, label, trusted_texts)
-    marked = docs.join(F.broadcast(fitted.select(F.col("_id").alias("_good"), F.lit(True).alias("_trusted"))),
-                       F.col(doc_id) == F.col("_good"), "left").drop("_good")
-    grams = counts(marked, text, F.col("_trusted"))
-    scored = materialise(code_lengths(marked, probabilities(grams), text))
+    grams = counts(marked(docs.select(doc_id, text), fitted, doc_id), text, F.col("_trusted"))
+    scored = materialise(code_lengths(docs, probabilities(grams), text))
     raw = F.col("bits") / F.col("n_chars_scored")
     # Scored rows have no text, so the shuffle of this join is small.
     known = materialise(scored.where("n_chars_scored > 0").select(

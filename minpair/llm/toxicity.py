@@ -57,6 +57,8 @@ COMMON, MOST_COMMON = 16, 1024
 #: Schwarz); the factors and the other terms' products add a few roundings more.
 ROUNDING = (MOST_COMMON + 8) * 2.0 ** -24
 KNOWN_RUNS = 300_000
+#: Characters of the texts that are scored at once.
+STEP = 1_000_000
 BINS = 64
 WORD = re.compile(r"[^\W\d_]+")
 #: Marks that often end a run; a run without other marks needs no pattern.
@@ -439,7 +441,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         find = _Finder(index.vocabulary)
-        for batch, texts in chunks(batches, text):
+        for batch, texts in chunks(batches, text, STEP):
             near = list(index.all_nearest([find(t) for t in texts]))
             yield with_columns(batch, keep, **{
                 out: pa.array([bare.score(x) for x in near], pa.float64()),

@@ -316,6 +316,26 @@ def test_quality_rare_language_keeps_its_own_cutoff(spark, monkeypatch):
     assert cut["zz"] > cut["aa"] + 0.3 and all(r.kept for r in got if r.lang == "zz")
 
 
+def test_quality_fits_to_all_trusted_texts(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LANGUAGE_TEXTS", 1)
+    monkeypatch.setattr(quality, "TRUSTED_TEXTS", 3, raising=False)  # the size of the former sample
+    docs = spark.createDataFrame([(i, "aa", f"text number {i}") for i in range(60)] + [(7, "aa", "again"), (None, "aa", "none")], "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(50)] + [(900, 1)], "doc_id long, quality int")
+    good, fitted = quality.trusted(docs, labels, "doc_id", "lang", "quality")
+    want = [i for i in range(50) if i % 3 > 0]
+    assert sorted(r[0] for r in fitted.collect()) == sorted(r[0] for r in good.collect()) == want
+    for words in (quality.FILTER_WORDS, 1):  # one word: nearly all texts go through the join
+        monkeypatch.setattr(quality, "FILTER_WORDS", words)
+        rows = quality.marked(docs, fitted, "doc_id").collect()
+        assert sorted((str(r.doc_id), r.text) for r in rows) == sorted((str(r.doc_id), r.text) for r in docs.collect())
+        assert all(r._trusted == (r.doc_id in want) for r in rows)
+    seen = []
+    real = quality.counts
+    monkeypatch.setattr(quality, "counts", lambda d, text, flag: seen.append(d.where(flag).count()) or real(d, text, flag))
+    quality.score(docs, labels)
+    assert seen == [len([r for r in docs.collect() if r.doc_id in want])]
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1), (5, 1), (6, 0), (6, 1), (None, 1), (3, None)], "doc_id long, quality int")
     got = quality.score(odd, labels).collect()
