@@ -54,9 +54,9 @@ BLOCK, FIRST, TEXTS = 128, 4, 256
 COMMON, MOST_COMMON = 16, 1024
 #: More than the sums of products of unit vectors can be off: the common part has at most ``MOST_COMMON``
 #: float products and additions, each off by at most 2**-24 of a sum of sizes of at most 1 (Cauchy and
-#: Schwarz); the factors and the other terms' products add a few roundings more.
+#: Schwarz); the factors, the other terms' weights (floats) and their products add a few roundings more.
 ROUNDING = (MOST_COMMON + 8) * 2.0 ** -24
-KNOWN_RUNS = 300_000
+KNOWN_RUNS = 150_000
 #: Characters of the texts that are scored at once.
 STEP = 1_000_000
 BINS = 64
@@ -211,33 +211,40 @@ class Index:
         self.__init__(vocabulary, idf, members, term, count, edge)
 
     def _lay_out(self) -> None:
-        """Matrices, lists and runs."""
+        """Matrices, lists and runs, some vectors at a time and in narrow types, as every worker has them."""
         many, blocks = len(self.members), max(1, -(-len(self.members) // BLOCK))
-        own = np.repeat(np.arange(many), np.diff(self.edge))
-        w = (1 + np.log(self.count, dtype=np.float64)) * self.idf[self.term]
-        self.norm = np.sqrt(np.bincount(own, w * w, many))
-        w /= self.norm[own]
-        self.forward = w
         often = np.bincount(self.term, minlength=len(self.idf))
         most = np.argsort(-often, kind="stable")[:MOST_COMMON]
         most = most[often[most] * COMMON >= max(COMMON, many)]
+        del often
         self.column = np.full(len(self.idf), -1, np.int32)
         self.column[most] = np.arange(len(most))
-        row = self.column[self.term]
         dense = np.zeros((blocks, len(most), BLOCK), np.float32)
-        here = row >= 0
-        dense[own[here] // BLOCK, row[here], own[here] % BLOCK] = w[here]
+        self.norm, self.forward = np.empty(many), np.empty(len(self.term))
+        rare = np.empty(len(self.term), bool)
+        for v in range(0, many, BLOCK):
+            here = slice(self.edge[v], self.edge[min(many, v + BLOCK)])
+            own = np.repeat(np.arange(min(many - v, BLOCK)), np.diff(self.edge[v:v + BLOCK + 1]))
+            w = (1 + np.log(self.count[here], dtype=np.float64)) * self.idf[self.term[here]]
+            self.norm[v:v + BLOCK] = np.sqrt(np.bincount(own, w * w))
+            w /= self.norm[v + own]
+            row = self.column[self.term[here]]
+            dense[v // BLOCK, row[row >= 0], own[row >= 0]] = w[row >= 0]
+            self.forward[here], rare[here] = w, row < 0
         self.common, self.common_most = dense, dense.max(axis=2, initial=0).T.copy()
-        order = np.flatnonzero(~here)
+        order = np.flatnonzero(rare).astype(np.int32)
         order = order[np.argsort(self.term[order], kind="stable")]
-        self.vectors, self.weights = own[order], w[order]
-        run = self.term[order].astype(np.int64) * blocks + self.vectors // BLOCK
-        del own, w, row, here, order
-        first = np.flatnonzero(np.diff(run, prepend=-1))
-        self.start = np.append(first, len(run))
-        self.block = run[first] % blocks
-        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.cut = np.concatenate([[0], np.cumsum(np.bincount(run[first] // blocks, minlength=len(self.idf)))])
+        self.vectors = np.repeat(np.arange(many, dtype=np.int32), np.diff(self.edge))[order]
+        self.weights = self.forward[order].astype(np.float32)
+        term, block = self.term[order], self.vectors // np.int32(BLOCK)
+        del rare, order
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        first = np.flatnonzero(first).astype(np.int32)
+        self.start = np.append(first, np.int32(len(term)))
+        self.block = block[first]
+        self.most = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0, np.float32)
+        self.cut = np.concatenate([[0], np.cumsum(np.bincount(term[first], minlength=len(self.idf)))]).astype(np.int32)
 
     def vector(self, counts: dict[int, int] | tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         t, n = _arrays(counts) if isinstance(counts, dict) else counts
